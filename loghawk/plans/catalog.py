@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loghawk.operators import analytics as A
 from loghawk.operators import scoring as T
+from loghawk.plans import clean_plans
 from loghawk.plans.fixture_plans import scored_fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +57,4 @@ QUERIES: dict[str, Query] = {
     "detected_count": _on_scored(A.detected_count),
     "table_preview": _on_scored(A.table_preview),
 }
+QUERIES.update(clean_plans.QUERIES)

@@ -168,3 +168,74 @@ ORACLE = {
         "SELECT count(*) FILTER (WHERE predicted_label = 'Attack') AS attacks_flagged, count(*) AS total_rows FROM scored"),
     "table_preview": scored_query("SELECT * FROM scored ORDER BY row_id LIMIT 20"),
 }
+
+
+# ---------------------------------------------------------------- cleaning (P, V)
+def _num(c: str) -> str:
+    t = f"trim({c})"
+    return (f"(CASE WHEN regexp_matches({t}, '[0-9.][dDfF]$') THEN NULL "
+            f"WHEN isnan(TRY_CAST({t} AS DOUBLE)) THEN NULL ELSE TRY_CAST({t} AS DOUBLE) END)")
+
+
+NUMS = C.NUMERIC_COLUMNS
+REQ = C.REQUIRED_COLUMNS
+
+CLEAN_CTE = f"""
+f1 AS ({SECURITY_LOGS_SQL}),
+coerced AS (SELECT row_id, timestamp, source_ip, destination_ip, protocol,
+  {', '.join(f'{_num(c)} AS {c}' for c in NUMS)}, attack_type FROM f1),
+med AS (SELECT {', '.join(f'quantile_cont({c}, 5e-1) AS {c}' for c in NUMS)} FROM coerced),
+filled AS (SELECT row_id, timestamp,
+  {', '.join(f"coalesce({c}, 'unknown') AS {c}" for c in C.TEXT_FILL_COLUMNS)},
+  {', '.join(f'coalesce(coerced.{c}, (SELECT {c} FROM med), 0e0) AS {c}' for c in NUMS)},
+  coalesce(attack_type, 'Unknown') AS attack_type FROM coerced),
+tsfill AS (SELECT row_id,
+  coalesce(last_value(timestamp IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           (SELECT arg_min(timestamp, row_id) FROM filled WHERE timestamp IS NOT NULL)) AS timestamp,
+  source_ip, destination_ip, protocol, {', '.join(NUMS)}, attack_type FROM filled),
+dedup AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(REQ)} ORDER BY row_id) AS rn
+  FROM tsfill) WHERE rn = 1),
+quart AS (SELECT {', '.join(f'quantile_cont({c}, [25e-2, 75e-2]) AS {c}' for c in NUMS)} FROM dedup),
+outl AS (SELECT dedup.*, coalesce({' OR '.join(
+    f'(dedup.{c} < q.{c}[1] - 15e-1 * (q.{c}[2] - q.{c}[1]) OR dedup.{c} > q.{c}[2] + 15e-1 * (q.{c}[2] - q.{c}[1]))'
+    for c in NUMS)}, false) AS is_outlier FROM dedup, quart q),
+enc AS (SELECT *, CAST(dense_rank() OVER (ORDER BY protocol) - 1 AS INTEGER) AS protocol_encoded FROM outl),
+sc AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in NUMS)} FROM enc),
+clean AS (SELECT enc.*, {', '.join(
+    f'(enc.{c} - m_{c}) / (CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1e0 ELSE s_{c} END) AS {c}_scaled'
+    for c in NUMS)} FROM enc, sc)
+"""
+
+
+def clean_query(body: str) -> str:
+    return _with(CLEAN_CTE) + body
+
+
+SCALED_OUT = ", ".join(f"{r(f'{c}_scaled', 6)} AS {c}_scaled" for c in NUMS)
+NON_NUMERIC = " UNION ALL ".join(
+    f"SELECT 'non_numeric' AS check, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NOT NULL AND {_num(c)} IS NULL) AS count FROM f1"
+    for c in NUMS)
+NULLS = " UNION ALL ".join(
+    f"SELECT 'nulls' AS check, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS count FROM f1" for c in REQ)
+
+ORACLE.update({
+    "read_logs": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + "SELECT * FROM f1",
+    "validation_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") +
+        f"SELECT 'rows' AS check, CAST(NULL AS VARCHAR) AS column_name, count(*) AS count FROM f1 UNION ALL {NON_NUMERIC} UNION ALL {NULLS}",
+    "coerce_numeric": clean_query(f"SELECT row_id, {', '.join(NUMS)} FROM coerced"),
+    "fill_median": clean_query(f"SELECT row_id, {', '.join(NUMS)} FROM filled"),
+    "fill_unknown": clean_query(f"SELECT row_id, {', '.join(C.TEXT_FILL_COLUMNS)} FROM filled"),
+    "fill_timestamp": clean_query("SELECT row_id, timestamp FROM tsfill"),
+    "fill_label": clean_query("SELECT row_id, attack_type FROM filled"),
+    "dedup_first": clean_query("SELECT * FROM dedup"),
+    "flag_outliers": clean_query("SELECT row_id, is_outlier FROM outl"),
+    "encode_protocol": clean_query("SELECT row_id, protocol, protocol_encoded FROM enc"),
+    "scale_features": clean_query(f"SELECT row_id, {SCALED_OUT} FROM clean"),
+    "clean_logs": clean_query(
+        f"SELECT row_id, {', '.join(REQ)}, attack_type, is_outlier, protocol_encoded, {SCALED_OUT} FROM clean"),
+    "quality_report": clean_query(
+        "SELECT (SELECT count(*) FROM f1) AS original_rows, (SELECT count(*) FROM clean) AS cleaned_rows, "
+        "(SELECT count(*) FROM f1) - (SELECT count(*) FROM clean) AS duplicates_removed, "
+        "(SELECT CAST(" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in REQ) + " AS BIGINT) FROM coerced) AS missing_values_filled, "
+        "(SELECT count(*) FILTER (WHERE is_outlier) FROM clean) AS outliers_flagged"),
+})
