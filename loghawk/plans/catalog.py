@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from loghawk.operators import analytics as A
+from loghawk.operators import incidents as I
 from loghawk.operators import scoring as T
 from loghawk.plans import clean_plans
 from loghawk.plans.fixture_plans import scored_fixture
@@ -58,3 +61,29 @@ QUERIES: dict[str, Query] = {
     "table_preview": _on_scored(A.table_preview),
 }
 QUERIES.update(clean_plans.QUERIES)
+
+
+def _incidents(spark, sf_dir):
+    return I.incident_records(scored_fixture(spark, sf_dir), scan_id=1, year=2024)
+
+
+def _incident_records(spark, sf_dir):
+    return _incidents(spark, sf_dir).withColumns({
+        "affected_assets": F.array_join("affected_assets", ", "),
+        "source_ips": F.array_join("source_ips", ", "),
+        "recommended_actions": F.to_json("recommended_actions")})
+
+
+def _incident_summary(spark, sf_dir):
+    scored = scored_fixture(spark, sf_dir)
+    return I.incident_summary(T.scan_metrics(scored), I.incident_records(scored, scan_id=1, year=2024))
+
+
+QUERIES.update({
+    "flag_incident_rows": lambda s, d: I.flag_incident_rows(scored_fixture(s, d)).select(
+        "row_id", "attack_type_predicted", "severity"),
+    "incident_records": _incident_records,
+    "incident_store_rows": lambda s, d: I.incident_rows_for_store(_incidents(s, d), scan_id=1),
+    "executive_summary": lambda s, d: I.executive_summary(T.scan_metrics(scored_fixture(s, d))),
+    "incident_summary": _incident_summary,
+})

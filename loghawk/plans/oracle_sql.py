@@ -239,3 +239,70 @@ ORACLE.update({
         "(SELECT CAST(" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in REQ) + " AS BIGINT) FROM coerced) AS missing_values_filled, "
         "(SELECT count(*) FILTER (WHERE is_outlier) FROM clean) AS outliers_flagged"),
 })
+
+
+# ---------------------------------------------------------------- incidents (I)
+def _sev_rank(col: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in C.SEVERITY_RANK.items()) + " ELSE 0 END)"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _actions_json(col: str) -> str:
+    def lst(acts):
+        return "to_json([" + ", ".join(_sql_str(a) for a in acts) + "])"
+    whens = " ".join(f"WHEN {col} = {_sql_str(k)} THEN {lst(v)}" for k, v in C.RECOMMENDED_ACTIONS.items())
+    return f"(CASE {whens} ELSE {lst(C.RECOMMENDED_ACTIONS[C.FALLBACK_ACTION_TYPE])} END)"
+
+
+INCIDENT_CTE = f"""
+flagged AS (SELECT * FROM scored WHERE predicted_label = 'Attack' AND {_sev_rank('severity')} >= 2),
+inc_groups AS (SELECT attack_type_predicted, severity, count(*) AS event_count, avg(threat_score) AS avg_s,
+  min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+  list_slice(list_sort(list(DISTINCT destination_ip)), 1, 10) AS affected_assets,
+  list_slice(list_sort(list(DISTINCT source_ip)), 1, 10) AS source_ips
+  FROM flagged GROUP BY 1, 2),
+inc_num AS (SELECT *, row_number() OVER (ORDER BY attack_type_predicted, severity) AS n FROM inc_groups),
+incidents AS (SELECT printf('INC-%d-%04d-%03d', 2024, 1, n) AS incident_id, attack_type_predicted AS threat_type,
+  severity, event_count, affected_assets, source_ips, {r('avg_s', 2)} AS avg_threat_score,
+  {_actions_json('attack_type_predicted')} AS recommended_actions, first_seen, last_seen,
+  CAST(row_number() OVER (ORDER BY {_sev_rank('severity')} DESC, n) AS INTEGER) AS incident_order FROM inc_num)
+"""
+
+METRICS_CTE = """
+metrics AS (SELECT count(*) AS total_logs, count(*) FILTER (WHERE predicted_label = 'Attack') AS attack_count,
+  count(*) FILTER (WHERE severity = 'Critical') AS critical_count, count(*) FILTER (WHERE severity = 'High') AS high_count,
+  count(*) FILTER (WHERE severity = 'Medium') AS medium_count, count(*) FILTER (WHERE severity = 'Low') AS low_count
+  FROM scored)
+"""
+
+ORACLE.update({
+    "flag_incident_rows": scored_query(
+        f"SELECT row_id, attack_type_predicted, severity FROM scored WHERE predicted_label = 'Attack' AND {_sev_rank('severity')} >= 2"),
+    "incident_records": scored_query(
+        "SELECT incident_id, threat_type, severity, event_count, array_to_string(affected_assets, ', ') AS affected_assets, "
+        "array_to_string(source_ips, ', ') AS source_ips, avg_threat_score, recommended_actions, first_seen, last_seen, "
+        "incident_order FROM incidents", INCIDENT_CTE),
+    "incident_store_rows": scored_query(
+        "SELECT CAST(1 AS BIGINT) AS scan_id, incident_id, threat_type, severity, "
+        "array_to_string(affected_assets, ', ') AS affected_assets, recommended_actions FROM incidents", INCIDENT_CTE),
+    "executive_summary": scored_query(
+        "SELECT CAST(position AS INTEGER) AS position, metric, value FROM (VALUES "
+        "(0, 'Total Logs Analyzed', (SELECT CAST(total_logs AS DOUBLE) FROM metrics)), "
+        "(1, 'Detected Attacks', (SELECT CAST(attack_count AS DOUBLE) FROM metrics)), "
+        "(2, 'Attack Percentage', (SELECT CASE WHEN total_logs > 0 THEN " + r("attack_count / total_logs * 1e2", 1) + " ELSE 0e0 END FROM metrics)), "
+        "(3, 'Critical', (SELECT CAST(critical_count AS DOUBLE) FROM metrics)), "
+        "(4, 'High', (SELECT CAST(high_count AS DOUBLE) FROM metrics)), "
+        "(5, 'Medium', (SELECT CAST(medium_count AS DOUBLE) FROM metrics)), "
+        "(6, 'Low', (SELECT CAST(low_count AS DOUBLE) FROM metrics))) t(position, metric, value)", METRICS_CTE),
+    "incident_summary": scored_query(
+        "SELECT CAST(position AS INTEGER) AS position, metric, CAST(value AS BIGINT) AS value FROM (VALUES "
+        "(0, 'Total Logs Analyzed', (SELECT total_logs FROM metrics)), "
+        "(1, 'Detected Attacks', (SELECT attack_count FROM metrics)), "
+        "(2, 'Critical Threats', (SELECT critical_count FROM metrics)), "
+        "(3, 'High Severity Threats', (SELECT high_count FROM metrics)), "
+        "(4, 'Total Incidents Reported', (SELECT count(*) FROM incidents))) t(position, metric, value)",
+        METRICS_CTE, INCIDENT_CTE),
+})
