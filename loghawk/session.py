@@ -54,3 +54,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set(CHECKPOINT_CONF, local)
     sc.setCheckpointDir(local)
     return local
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``loghawk`` importable by Python workers (pandas UDFs pickle by module).
+
+    Zips the package once per SparkContext and adds it with ``addPyFile``,
+    which distributes it to every executor through Spark's file server.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="loghawk-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out_dir, "loghawk"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="loghawk")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
