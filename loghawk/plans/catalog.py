@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loghawk.operators import analytics as A
 from loghawk.operators import incidents as I
 from loghawk.operators import scoring as T
-from loghawk.plans import clean_plans
+from loghawk.plans import clean_plans, model_plans
 from loghawk.plans.fixture_plans import scored_fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,4 @@ QUERIES.update({
     "executive_summary": lambda s, d: I.executive_summary(T.scan_metrics(scored_fixture(s, d))),
     "incident_summary": _incident_summary,
 })
+QUERIES.update(model_plans.QUERIES)

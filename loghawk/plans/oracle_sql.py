@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from loghawk import constants as C
 from loghawk.sources.fixtures import (
-    CLASS_PROBABILITIES_SQL, DETECTOR_OUTPUTS_SQL, MODEL_OUTPUTS_SQL, SECURITY_LOGS_SQL,
+    CLASS_PROBABILITIES_DUCKDB, DETECTOR_OUTPUTS_SQL, MODEL_OUTPUTS_SQL, SECURITY_LOGS_SQL,
 )
 
 
@@ -306,3 +306,64 @@ ORACLE.update({
         "(4, 'Total Incidents Reported', (SELECT count(*) FROM incidents))) t(position, metric, value)",
         METRICS_CTE, INCIDENT_CTE),
 })
+
+
+# ---------------------------------------------------------------- models given outputs (M)
+DET_CTE = f"""
+f5 AS ({DETECTOR_OUTPUTS_SQL}),
+ens AS (SELECT row_id, y, is_test, p_rf, p_gbt, (0e0 + p_rf + p_gbt) / 2e0 AS attack_probability FROM f5),
+preds AS (SELECT *, CAST(attack_probability >= 5e-1 AS INTEGER) AS ensemble_pred,
+  CAST(p_rf >= 5e-1 AS INTEGER) AS rf_pred, CAST(p_gbt >= 5e-1 AS INTEGER) AS gbt_pred FROM ens),
+cm AS (SELECT 'random_forest' AS model,
+    count(*) FILTER (WHERE y = 0 AND rf_pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND rf_pred = 1) AS fp,
+    count(*) FILTER (WHERE y = 1 AND rf_pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND rf_pred = 1) AS tp
+  FROM preds WHERE is_test
+  UNION ALL SELECT 'gbt',
+    count(*) FILTER (WHERE y = 0 AND gbt_pred = 0), count(*) FILTER (WHERE y = 0 AND gbt_pred = 1),
+    count(*) FILTER (WHERE y = 1 AND gbt_pred = 0), count(*) FILTER (WHERE y = 1 AND gbt_pred = 1)
+  FROM preds WHERE is_test),
+met AS (SELECT model,
+  {r('CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0e0 END', 4)} AS accuracy,
+  {r('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END', 4)} AS precision,
+  {r('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END', 4)} AS recall,
+  {r('CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0e0 END', 4)} AS f1,
+  tn, fp, fn, tp FROM cm)
+"""
+
+F6_NAMES = ["Botnet", "DDoS", "Malware", "Port Scan"]
+
+ORACLE.update({
+    "binary_label": clean_query(
+        "SELECT row_id, CAST(CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END AS INTEGER) AS y FROM clean"),
+    "class_guard": clean_query(
+        "SELECT count(DISTINCT CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END) AS n_classes, "
+        "count(DISTINCT CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END) >= 2 AS trainable FROM clean"),
+    "classifier_guard": clean_query(
+        "SELECT count(*) AS attack_rows, count(DISTINCT attack_type) AS attack_labels, "
+        "count(*) >= 10 AND count(DISTINCT attack_type) >= 2 AS trainable FROM clean WHERE attack_type <> 'Normal'"),
+    "ensemble_vote": _with(DET_CTE) + "SELECT row_id, attack_probability, ensemble_pred FROM preds",
+    "classification_metrics": _with(DET_CTE) + "SELECT * FROM met",
+    "confusion_matrix": _with(DET_CTE) +
+        "SELECT model, actual, predicted, count FROM met, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(actual, predicted) "
+        "CROSS JOIN LATERAL (SELECT CASE WHEN actual = 0 AND predicted = 0 THEN tn WHEN actual = 0 THEN fp "
+        "WHEN predicted = 0 THEN fn ELSE tp END AS count)",
+    "model_comparison": _with(DET_CTE) +
+        "SELECT CAST(position AS INTEGER) AS position, metric, "
+        "max(v) FILTER (WHERE model = 'random_forest') AS random_forest, max(v) FILTER (WHERE model = 'gbt') AS gbt "
+        "FROM (SELECT model, 0 AS position, 'Accuracy' AS metric, accuracy AS v FROM met UNION ALL "
+        "SELECT model, 1, 'Precision', precision FROM met UNION ALL SELECT model, 2, 'Recall', recall FROM met "
+        "UNION ALL SELECT model, 3, 'F1 Score', f1 FROM met) GROUP BY position, metric",
+    "assign_attack_type": _with(f"f6 AS ({CLASS_PROBABILITIES_DUCKDB})") +
+        "SELECT row_id, CASE WHEN detected = 1 THEN (['" + "', '".join(F6_NAMES) + "'])"
+        "[list_position(probability, list_max(probability))] ELSE 'Normal' END AS attack_type_predicted, "
+        "CASE WHEN detected = 1 THEN list_max(probability) ELSE 0e0 END AS attack_type_confidence FROM f6",
+    "assign_attack_type_fallback": _with(f"f6 AS ({CLASS_PROBABILITIES_DUCKDB})") +
+        "SELECT row_id, CASE WHEN detected = 1 THEN (CASE WHEN attack_type <> 'Normal' THEN attack_type "
+        "ELSE 'Unknown Threat' END) ELSE 'Normal' END AS attack_type_predicted, "
+        "CASE WHEN detected = 1 THEN 5e-1 ELSE 0e0 END AS attack_type_confidence FROM f6",
+    "anomaly_normalise": _with(f"f2 AS ({MODEL_OUTPUTS_SQL})") +
+        "SELECT row_id, " + r("CASE WHEN hi - lo < 1e-9 THEN 0e0 ELSE (anomaly_score - lo) / (hi - lo) * 1e2 END", 6) +
+        " AS anomaly_norm FROM f2, (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM f2)",
+    "anomaly_flag": _with(f"f2 AS ({MODEL_OUTPUTS_SQL})") +
+        "SELECT row_id, coalesce(anomaly_score > (SELECT quantile_cont(anomaly_score, 9e-1) FROM f2), false) AS is_anomaly FROM f2",
+})

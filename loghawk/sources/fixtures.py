@@ -70,15 +70,18 @@ SELECT event_id AS row_id,
 FROM events
 """
 
-# class probabilities of a multiclass model for every row.
-CLASS_PROBABILITIES_SQL = """
+# class probabilities of a multiclass model for every row. ``{array}`` is
+# the engine's array constructor (Spark: array, DuckDB: list_value).
+CLASS_PROBABILITIES_TEMPLATE = """
 SELECT event_id AS row_id,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS detected,
   CASE WHEN event_type = 'error' THEN 'Malware' ELSE 'Normal' END AS attack_type,
-  array(cast((event_id % 7) AS double) / 1e1, cast((event_id % 5) AS double) / 1e1,
+  {array}(cast((event_id % 7) AS double) / 1e1, cast((event_id % 5) AS double) / 1e1,
         cast((event_id % 3) AS double) / 1e1, cast((user_id % 4) AS double) / 1e1) AS probability
 FROM events
 """
+CLASS_PROBABILITIES_SQL = CLASS_PROBABILITIES_TEMPLATE.format(array="array")
+CLASS_PROBABILITIES_DUCKDB = CLASS_PROBABILITIES_TEMPLATE.format(array="list_value")
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
