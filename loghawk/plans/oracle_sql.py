@@ -367,3 +367,66 @@ ORACLE.update({
     "anomaly_flag": _with(f"f2 AS ({MODEL_OUTPUTS_SQL})") +
         "SELECT row_id, coalesce(anomaly_score > (SELECT quantile_cont(anomaly_score, 9e-1) FROM f2), false) AS is_anomaly FROM f2",
 })
+
+
+# ---------------------------------------------------------------- history (H)
+from loghawk.sources.fixtures import (  # noqa: E402
+    AUDIT_SQL, DELETED_SCANS_SQL, SCANS_SQL, USERS_SQL,
+)
+
+HIST_CTE = f"""
+users_t AS ({USERS_SQL}),
+scans_t AS ({SCANS_SQL}),
+audit_t AS ({AUDIT_SQL}),
+deleted_t AS ({DELETED_SCANS_SQL})
+"""
+EVENTS_CTE = """
+events_t AS (SELECT CAST(substr(timestamp, 9, 2) AS BIGINT) AS scan_id, timestamp, source_ip, destination_ip,
+  protocol, bytes_sent, bytes_received, connection_duration, predicted_label, attack_type, attack_type_predicted,
+  attack_type_confidence, attack_probability, anomaly_score, is_anomaly, frequency_score, severity_weight,
+  threat_score, severity FROM scored)
+"""
+
+
+def hist(body: str) -> str:
+    return _with(HIST_CTE) + body
+
+
+def hist_events(body: str, *extra: str) -> str:
+    return _with(SCORED_CTE, HIST_CTE, EVENTS_CTE, *extra) + body
+
+
+ORACLE.update({
+    "scans_for_user": hist("SELECT * FROM scans_t WHERE user_id = 7"),
+    "scan_by_id": hist("SELECT * FROM scans_t WHERE id = 12"),
+    "all_scans": hist("SELECT s.id, u.username, s.dataset_name, s.scan_date, s.total_logs, s.threat_count, "
+                      "s.critical_count FROM scans_t s JOIN users_t u ON s.user_id = u.id"),
+    "delete_scan_scans": hist("SELECT * FROM scans_t WHERE id NOT IN (SELECT scan_id FROM deleted_t)"),
+    "delete_scan_events": hist_events("SELECT * FROM events_t WHERE scan_id NOT IN (SELECT scan_id FROM deleted_t)"),
+    "count_scans": hist("SELECT count(*) AS scan_count FROM scans_t"),
+    "count_users": hist("SELECT count(*) AS user_count FROM users_t"),
+    "sum_threats": hist("SELECT CAST(coalesce(sum(threat_count), 0) AS BIGINT) AS total_threats FROM scans_t"),
+    "events_for_scan": hist_events("SELECT * FROM events_t WHERE scan_id = 12"),
+    "global_top_sources": hist_events(
+        "SELECT source_ip, count(*) AS count FROM events_t WHERE predicted_label = 'Attack' "
+        "GROUP BY 1 ORDER BY count DESC, source_ip LIMIT 10"),
+    "reports_for_scan": scored_query(
+        "SELECT CAST(1 AS BIGINT) AS scan_id, incident_id, threat_type, severity, "
+        "array_to_string(affected_assets, ', ') AS affected_assets, recommended_actions FROM incidents", INCIDENT_CTE),
+    "recent_audit": hist("SELECT * FROM audit_t ORDER BY created_at DESC, id DESC LIMIT 200"),
+    "user_totals": hist("SELECT user_id, count(*) AS scans_run, CAST(coalesce(sum(threat_count), 0) AS BIGINT) AS threats_found, "
+                        "CAST(coalesce(sum(critical_count), 0) AS BIGINT) AS critical_total FROM scans_t GROUP BY user_id"),
+    "user_recent_scans": hist("SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY scan_date DESC, id DESC) AS INTEGER) "
+                              "AS recent_rank FROM scans_t) WHERE recent_rank <= 5"),
+    "list_users": hist("SELECT id, username, email, role, created_at FROM users_t"),
+    "scan_report": hist(
+        "SELECT id, CAST(json_extract(coalesce(report_json, '{}'), '$.total_logs') AS BIGINT) AS total_logs, "
+        "CAST(json_extract(coalesce(report_json, '{}'), '$.normal_count') AS BIGINT) AS normal_count, "
+        "CAST(json_extract(coalesce(report_json, '{}'), '$.attack_count') AS BIGINT) AS attack_count, "
+        "CAST(json_extract(coalesce(report_json, '{}'), '$.critical_count') AS BIGINT) AS critical_count, "
+        "CAST(json_extract(coalesce(report_json, '{}'), '$.high_count') AS BIGINT) AS high_count, "
+        "CAST(json_extract(coalesce(report_json, '{}'), '$.medium_count') AS BIGINT) AS medium_count, "
+        "CAST(json_extract(coalesce(report_json, '{}'), '$.low_count') AS BIGINT) AS low_count, "
+        "array_to_string(CAST(json_extract(coalesce(report_json, '{}'), '$.classification_classes') AS VARCHAR[]), ', ') "
+        "AS classification_classes FROM scans_t"),
+})

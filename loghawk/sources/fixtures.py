@@ -103,3 +103,60 @@ def detector_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, CLASS_PROBABILITIES_SQL)
+
+
+# History fixtures: the scan store's tables derived from customer and orders.
+USERS_SQL = """
+SELECT c_custkey AS id, c_name AS username,
+  concat(lower(replace(c_name, '#', '.')), '@example.com') AS email,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'analyst' END AS role,
+  concat('2023-01-01 ', lpad(cast(c_custkey % 24 AS string), 2, '0'), ':00:00') AS created_at
+FROM customer
+"""
+
+SCANS_SQL = """
+SELECT o_orderkey AS id, o_custkey AS user_id,
+  concat('logs_', cast(o_orderkey AS string), '.csv') AS dataset_name,
+  substr(cast(o_orderdate AS string), 1, 19) AS scan_date,
+  cast(floor(o_totalprice / 1e1) AS bigint) AS total_logs,
+  cast(floor(o_totalprice / 1e3) AS bigint) AS threat_count,
+  cast(floor(o_totalprice / 1e4) AS bigint) AS critical_count,
+  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE concat('{"total_logs": ',
+    cast(cast(floor(o_totalprice / 1e1) AS bigint) AS string), ', "attack_count": ',
+    cast(cast(floor(o_totalprice / 1e3) AS bigint) AS string),
+    ', "classification_classes": ["DDoS", "Malware"]}') END AS report_json
+FROM orders
+"""
+
+AUDIT_SQL = """
+SELECT o_orderkey AS id, o_custkey AS user_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'run_scan' WHEN o_orderstatus = 'O' THEN 'export' ELSE 'login' END AS action,
+  concat('Scan #', cast(o_orderkey AS string)) AS details,
+  substr(cast(o_orderdate AS string), 1, 19) AS created_at
+FROM orders
+"""
+
+DELETED_SCANS_SQL = """
+SELECT o_orderkey AS scan_id FROM orders WHERE o_orderpriority = '5-LOW'
+"""
+
+
+def _tables_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    register_tables(spark, sf_dir, ("customer", "orders"))
+    return spark.sql(text)
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_sql(spark, sf_dir, USERS_SQL)
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_sql(spark, sf_dir, SCANS_SQL)
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_sql(spark, sf_dir, AUDIT_SQL)
+
+
+def deleted_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables_sql(spark, sf_dir, DELETED_SCANS_SQL)
