@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loghawk.operators import analytics as A
 from loghawk.operators import incidents as I
 from loghawk.operators import scoring as T
-from loghawk.plans import clean_plans, history_plans, model_plans
+from loghawk.plans import clean_plans, history_plans, io_plans, model_plans
 from loghawk.plans.fixture_plans import scored_fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,4 @@ QUERIES.update({
 })
 QUERIES.update(model_plans.QUERIES)
 QUERIES.update(history_plans.QUERIES)
+QUERIES.update(io_plans.QUERIES)

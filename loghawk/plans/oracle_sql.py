@@ -430,3 +430,23 @@ ORACLE.update({
         "array_to_string(CAST(json_extract(coalesce(report_json, '{}'), '$.classification_classes') AS VARCHAR[]), ', ') "
         "AS classification_classes FROM scans_t"),
 })
+
+
+# ---------------------------------------------------------------- sources / sinks (S)
+ORACLE.update({
+    "export_csv": scored_query("SELECT * FROM scored"),
+    "export_json": scored_query("SELECT * FROM scored"),
+    "write_events": hist_events(
+        "SELECT timestamp, source_ip, destination_ip, protocol, bytes_sent, bytes_received, connection_duration, "
+        "predicted_label, attack_type, attack_type_predicted, attack_type_confidence, attack_probability, "
+        "anomaly_score, is_anomaly, frequency_score, severity_weight, threat_score, severity, "
+        "CAST(3 AS BIGINT) AS scan_id FROM events_t"),
+    "write_scan": scored_query(
+        "SELECT CAST(3 AS BIGINT) AS id, count(*) AS total_logs, count(*) FILTER (WHERE predicted_label = 'Normal') AS normal_count, "
+        "count(*) FILTER (WHERE predicted_label = 'Attack') AS attack_count, "
+        + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}_count" for s in SEV) + " FROM scored"),
+    "write_incidents": scored_query(
+        "SELECT incident_id, threat_type, severity, array_to_string(affected_assets, ', ') AS affected_assets, "
+        "recommended_actions, CAST(1 AS BIGINT) AS scan_id FROM incidents", INCIDENT_CTE),
+    "write_audit": hist("SELECT * FROM audit_t"),
+})
