@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from loghawk import constants as C
 from loghawk.functions import parse_timestamp, round_half_even
 
-ATTACK = F.col("predicted_label") == "Attack"
+def _is_attack():
+    return F.col("predicted_label") == "Attack"
 
 
 def _attacks(df: DataFrame) -> DataFrame:
-    return df.where(ATTACK)
+    return df.where(_is_attack())
 
 
 def _with_ts(df: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def kpi_row(scored: DataFrame) -> DataFrame:
     agg = scored.agg(
         F.count(F.lit(1)).alias("total_logs"),
         F.count_if(F.col("predicted_label") == "Normal").alias("normal_count"),
-        F.count_if(ATTACK).alias("attack_count"),
+        F.count_if(_is_attack()).alias("attack_count"),
         F.count_if(F.col("severity") == "Critical").alias("critical_count"))
     rate = F.when(F.col("total_logs") > 0,
                   F.col("attack_count") / F.col("total_logs") * F.lit(100.0)).otherwise(F.lit(0.0))
@@ -234,7 +235,7 @@ def preview_type_counts(scored: DataFrame, n: int = 200) -> DataFrame:
 
 def detected_count(scored: DataFrame) -> DataFrame:
     """Rows flagged as attacks out of all rows."""
-    return scored.agg(F.count_if(ATTACK).alias("attacks_flagged"), F.count(F.lit(1)).alias("total_rows"))
+    return scored.agg(F.count_if(_is_attack()).alias("attacks_flagged"), F.count(F.lit(1)).alias("total_rows"))
 
 
 def table_preview(df: DataFrame, n: int = 20) -> DataFrame:

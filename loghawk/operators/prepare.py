@@ -53,19 +53,24 @@ def forward_back_fill(df: DataFrame, col: str, order_col: str = "row_id",
          reaches rows before it) backs up buckets with nothing before them;
       2. a window partitioned by bucket fills inside the bucket, falling back
          to the carried value.
-    No task ever holds more than one bucket of rows.
+    No task ever holds more than one bucket of rows. Ids are expected to be
+    dense (as ``with_file_order_ids`` makes them): the bucket table has
+    (id range / bucket_rows) rows.
     """
     bucket = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")
     keyed = df.withColumn("_fb", bucket)
-    per_bucket = (keyed.where(F.col(col).isNotNull()).groupBy("_fb")
-                  .agg(F.min_by(col, order_col).alias("_first"), F.max_by(col, order_col).alias("_last")))
+    # Every bucket gets a row (a bucket of nulls still needs its carried value);
+    # orderings of null cells are nulled so min_by/max_by skip them.
+    present_order = F.when(F.col(col).isNotNull(), F.col(order_col))
+    per_bucket = keyed.groupBy("_fb").agg(F.min_by(col, present_order).alias("_first"),
+                                          F.max_by(col, present_order).alias("_last"))
     ordered = Window.orderBy("_fb")
     carry = per_bucket.select(
         "_fb", F.coalesce(
             F.last("_last", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
             F.first("_first", ignorenulls=True).over(
                 ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_carry"))
-    overall_first = per_bucket.agg(F.min_by("_first", "_fb")).scalar()
+    overall_first = per_bucket.agg(F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("_fb")))).scalar()
     inside = F.last(col, ignorenulls=True).over(
         Window.partitionBy("_fb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
     return (keyed.join(carry, "_fb", "left")
