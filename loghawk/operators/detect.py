@@ -126,6 +126,26 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
         train.unpersist()
 
 
+def fit_detector(df: DataFrame, which: str, features_col: str = "features", y_col: str = "y",
+                 rf_trees: int = C.RF_TREES, rf_depth: int = C.RF_DEPTH, gbt_rounds: int = C.GBT_ROUNDS,
+                 gbt_depth: int = C.GBT_DEPTH, gbt_step: float = C.GBT_STEP, seed: int = C.MODEL_SEED):
+    """M4 (``which="random_forest"``) or M5 (``"gbt"``) alone, on the training split."""
+    sel = df.where(~F.col("is_test")).select(features_col, y_col)
+    train = training_frame(sel, sel.count())
+    try:
+        if which == "random_forest":
+            est = RandomForestClassifier(featuresCol=features_col, labelCol=y_col, numTrees=rf_trees,
+                                         maxDepth=rf_depth, seed=seed, probabilityCol="rf_prob",
+                                         rawPredictionCol="rf_raw", predictionCol="rf_pred")
+        else:
+            est = (GBTClassifier(featuresCol=features_col, labelCol=y_col, maxIter=gbt_rounds,
+                                 maxDepth=gbt_depth, stepSize=gbt_step, seed=seed, predictionCol="gbt_pred")
+                   .setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))
+        return est.fit(train)
+    finally:
+        train.unpersist()
+
+
 def ensemble_vote(df: DataFrame, p_cols=("p_rf", "p_gbt"), out_prob: str = "attack_probability",
                   out_pred: str = "ensemble_pred") -> DataFrame:
     """M6: mean of the detectors' attack probabilities; attack when >= 0.5."""

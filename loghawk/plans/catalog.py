@@ -36,6 +36,8 @@ def _threat_scores(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "threat_scores": _threat_scores,
+    "frequency_score": lambda s, d: T.frequency_score(scored_fixture(s, d).drop("frequency_score"))
+        .select("row_id", "source_ip", (F.rint(F.col("frequency_score") * 1e6) / 1e6).alias("frequency_score")),
     "scored_logs": lambda spark, sf_dir: scored_fixture(spark, sf_dir),
     "scan_metrics": _on_scored(T.scan_metrics),
     "kpi_row": _on_scored(A.kpi_row),
@@ -83,6 +85,10 @@ QUERIES.update({
     "flag_incident_rows": lambda s, d: I.flag_incident_rows(scored_fixture(s, d)).select(
         "row_id", "attack_type_predicted", "severity"),
     "incident_records": _incident_records,
+    "incident_ids": lambda s, d: _incidents(s, d).select("incident_id", "threat_type", "severity"),
+    "recommended_actions": lambda s, d: _incidents(s, d).select(
+        "threat_type", F.to_json("recommended_actions").alias("recommended_actions")),
+    "incident_order": lambda s, d: _incidents(s, d).select("incident_id", "incident_order"),
     "incident_store_rows": lambda s, d: I.incident_rows_for_store(_incidents(s, d), scan_id=1),
     "executive_summary": lambda s, d: I.executive_summary(T.scan_metrics(scored_fixture(s, d))),
     "incident_summary": _incident_summary,

@@ -13,7 +13,7 @@ from loghawk.operators import prepare as P
 from loghawk.operators import quality as V
 from loghawk.session import ensure_checkpoint_dir
 from loghawk.sources import fixtures
-from loghawk.sources.logs import read_logs
+from loghawk.sources.logs import limit_rows, read_logs
 
 NUMS = C.NUMERIC_COLUMNS
 
@@ -57,6 +57,13 @@ def q_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "read_logs": q_read_logs,
     "validation_counts": lambda s, d: V.validation_counts(fixtures.security_logs(s, d)),
+    "non_numeric_counts": lambda s, d: V.validation_counts(fixtures.security_logs(s, d))
+        .where("check = 'non_numeric'").drop("check"),
+    "null_counts": lambda s, d: V.validation_counts(fixtures.security_logs(s, d))
+        .where("check = 'nulls' AND count > 0").drop("check"),
+    "is_empty": lambda s, d: V.validation_counts(fixtures.security_logs(s, d))
+        .where("check = 'rows'").select((F.col("count") == 0).alias("is_empty")),
+    "limit_rows": lambda s, d: limit_rows(fixtures.security_logs(s, d), C.SOURCE_MAX_ROWS),
     "coerce_numeric": lambda s, d: _coerced(s, d).select("row_id", *NUMS),
     "fill_median": lambda s, d: P.fill_median(_coerced(s, d)).select("row_id", *NUMS),
     "fill_unknown": lambda s, d: P.fill_unknown(_coerced(s, d)).select("row_id", *C.TEXT_FILL_COLUMNS),

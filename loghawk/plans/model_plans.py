@@ -14,6 +14,7 @@ from loghawk.functions import round_half_even
 from loghawk.operators import anomaly as AN
 from loghawk.operators import detect as D
 from loghawk.operators.prepare import FEATURE_COLUMNS, feature_vector
+from loghawk.operators.prepare import cut_lineage as P_cut
 from loghawk.plans.clean_plans import clean_fixture
 from loghawk.plans.pipeline import run_pipeline
 from loghawk.sources import fixtures
@@ -45,6 +46,31 @@ def q_detect_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.scored.select("row_id", "y", "is_test", "p_rf", "p_gbt", "attack_probability", "ensemble_pred")
 
 
+def _one_detector(spark, sf_dir, which):
+    split = P_cut(D.stratified_split(D.binary_label(_features(spark, sf_dir)), "y"))
+    out = D.fit_detector(split, which).transform(split)
+    prob = "rf_prob" if which == "random_forest" else "gbt_prob"
+    return out.select("row_id", "y", "is_test", D._p1(prob).alias("attack_probability"))
+
+
+def q_detect_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 alone: forest probability of attack on every row."""
+    return _one_detector(spark, sf_dir, "random_forest")
+
+
+def q_detect_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 alone: boosted-trees probability of attack on every row."""
+    return _one_detector(spark, sf_dir, "gbt")
+
+
+def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the model input vector, unpacked (6 dp)."""
+    from pyspark.ml.functions import vector_to_array
+    v = vector_to_array(F.col("features"))
+    return _features(spark, sf_dir).select(
+        "row_id", *[round_half_even(v[i], 6).alias(f"f{i}") for i in range(len(FEATURE_COLUMNS))])
+
+
 def q_detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detect_attacks(_features(spark, sf_dir)).metrics
 
@@ -71,7 +97,7 @@ def q_run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "binary_label": lambda s, d: D.binary_label(clean_fixture(s, d)).select("row_id", "y"),
-    "class_guard": lambda s, d: D.class_guard(D.binary_label(clean_fixture(s, d))),
+    "single_class_guard": lambda s, d: D.class_guard(D.binary_label(clean_fixture(s, d))),
     "classifier_guard": lambda s, d: D.classifier_guard(clean_fixture(s, d)),
     "stratified_split": q_stratified_split,
     "ensemble_vote": lambda s, d: _preds(s, d).select("row_id", "attack_probability", "ensemble_pred"),
@@ -90,6 +116,9 @@ QUERIES = {
     ).select("row_id", round_half_even("anomaly_norm", 6).alias("anomaly_norm")),
     "anomaly_flag": lambda s, d: AN.flag_anomalies(
         fixtures.model_outputs(s, d), raw_col="anomaly_score").select("row_id", "is_anomaly"),
+    "detect_rf": q_detect_rf,
+    "detect_gbt": q_detect_gbt,
+    "feature_matrix": q_feature_matrix,
     "detect_attacks": q_detect_attacks,
     "detection_metrics": q_detection_metrics,
     "classify_attacks": q_classify_attacks,

@@ -335,7 +335,7 @@ F6_NAMES = ["Botnet", "DDoS", "Malware", "Port Scan"]
 ORACLE.update({
     "binary_label": clean_query(
         "SELECT row_id, CAST(CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END AS INTEGER) AS y FROM clean"),
-    "class_guard": clean_query(
+    "single_class_guard": clean_query(
         "SELECT count(DISTINCT CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END) AS n_classes, "
         "count(DISTINCT CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END) >= 2 AS trainable FROM clean"),
     "classifier_guard": clean_query(
@@ -450,3 +450,20 @@ ORACLE.update({
         "recommended_actions, CAST(1 AS BIGINT) AS scan_id FROM incidents", INCIDENT_CTE),
     "write_audit": hist("SELECT * FROM audit_t"),
 })
+
+
+# ---------------------------------------------------------------- split-out projections
+ORACLE.update({
+    "non_numeric_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + f"SELECT column_name, count FROM ({NON_NUMERIC})",
+    "null_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + f"SELECT column_name, count FROM ({NULLS}) WHERE count > 0",
+    "is_empty": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + "SELECT count(*) = 0 AS is_empty FROM f1",
+    "limit_rows": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + f"SELECT * FROM f1 ORDER BY row_id LIMIT {C.SOURCE_MAX_ROWS}",
+    "feature_matrix": clean_query(
+        f"SELECT row_id, {r('bytes_sent_scaled', 6)} AS f0, {r('bytes_received_scaled', 6)} AS f1, "
+        f"{r('connection_duration_scaled', 6)} AS f2, {r('CAST(protocol_encoded AS DOUBLE)', 6)} AS f3 FROM clean"),
+    "incident_ids": scored_query("SELECT incident_id, threat_type, severity FROM incidents", INCIDENT_CTE),
+    "recommended_actions": scored_query("SELECT threat_type, recommended_actions FROM incidents", INCIDENT_CTE),
+    "incident_order": scored_query("SELECT incident_id, incident_order FROM incidents", INCIDENT_CTE),
+    "frequency_score": scored_query(
+        "SELECT row_id, source_ip, " + r("freq_raw", 6) + " AS frequency_score FROM blend"),
+})
