@@ -37,6 +37,8 @@ class ScanResult:
     classification_accuracy: DataFrame | None
     class_names: list[str]
     warnings: list[str] = field(default_factory=list)
+    models: dict = field(default_factory=dict)
+    predictions: DataFrame | None = None
 
 
 def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATION,
@@ -71,4 +73,5 @@ def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATIO
     scored = cut_lineage(scored.select(*SCORED_COLUMNS), checkpoint)
     return ScanResult(scored=scored, metrics=T.scan_metrics(scored), detection_metrics=det.metrics,
                       classification_accuracy=cls.accuracy, class_names=cls.class_names,
-                      warnings=warnings)
+                      warnings=warnings, predictions=predictions,
+                      models={**det.models, "classifier": cls.model, "isolation_forest": forest})
