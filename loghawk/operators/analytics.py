@@ -148,8 +148,7 @@ def hourly_attack_counts(scored: DataFrame) -> DataFrame:
     grid = (counts.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
             .where(F.col("lo").isNotNull())
             .select("lo", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour")))
-    idx = ((F.unix_timestamp(F.col("hour").cast("timestamp")) -
-            F.unix_timestamp(F.col("lo").cast("timestamp"))) / 3600).cast("bigint")
+    idx = F.timestamp_diff("HOUR", F.col("lo"), F.col("hour")).cast("bigint")
     return (grid.join(counts, "hour", "left")
             .select(idx.alias("hour_index"), F.col("hour").cast("timestamp_ntz").alias("hour"),
                     F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("count")))

@@ -88,7 +88,9 @@ def synthetic_from_ids(ids: DataFrame, n_rows: int, attack_ratio: float = C.DEFA
     attack_off = F.least(F.greatest(center + F.lit(600.0) * _normal(r, seed, 40), F.lit(0.0)), F.lit(float(DAY_SECONDS)))
     normal_off = _uniform(r, seed, 42) * F.lit(float(DAY_SECONDS))
     offset = F.floor(F.when(F.col("_atk"), attack_off).otherwise(normal_off)).cast("bigint")
-    ts = F.timestamp_seconds(F.lit(int(start.timestamp())) + offset)
+    # Wall-clock arithmetic on timestamp_ntz: independent of the session time zone.
+    base = F.lit(start.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    ts = base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset.cast("decimal(18,6)"))
     return df.select(
         "row_id",
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
