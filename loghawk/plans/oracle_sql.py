@@ -252,7 +252,7 @@ def _sql_str(s: str) -> str:
 
 def _actions_json(col: str) -> str:
     def lst(acts):
-        return "to_json([" + ", ".join(_sql_str(a) for a in acts) + "])"
+        return "CAST(to_json([" + ", ".join(_sql_str(a) for a in acts) + "]) AS VARCHAR)"
     whens = " ".join(f"WHEN {col} = {_sql_str(k)} THEN {lst(v)}" for k, v in C.RECOMMENDED_ACTIONS.items())
     return f"(CASE {whens} ELSE {lst(C.RECOMMENDED_ACTIONS[C.FALLBACK_ACTION_TYPE])} END)"
 

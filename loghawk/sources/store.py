@@ -56,7 +56,12 @@ class ScanStore:
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
         if not self._exists(table) and schema is not None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self.path(table))
+        df = self.spark.read.parquet(self.path(table))
+        if "scan_id" in df.columns:
+            # Partition values are typed by inference (small ids -> int); ids are bigint.
+            # Filters on the cast column still prune partitions.
+            df = df.withColumn("scan_id", F.col("scan_id").cast("bigint"))
+        return df
 
     # ---------------------------------------------------------------- writes
     def write_scan(self, scan_id: int, user_id: int, dataset_name: str, metrics: DataFrame,

@@ -46,7 +46,25 @@ def duck(sf_dir: str):
     return con
 
 
-def compare(spark, sf_dir, names=None, verbose=True):
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "date": "DATE",
+    "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT",
+}
+
+
+def type_mismatches(sdf, con, sql):
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        got = duck_types.get(f.name)
+        if got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} duck {got}")
+    return out
+
+
+def compare(spark, sf_dir, names=None, verbose=True, check_types=True):
     import __spark_entry__ as E
     qs, oracle = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -85,6 +103,10 @@ def compare(spark, sf_dir, names=None, verbose=True):
                 results[name] = f"VALUES differ, e.g. {diff}"
             else:
                 results[name] = f"OK {len(a)} rows"
+                if check_types:
+                    bad = type_mismatches(sdf, con, oracle[name])
+                    if bad:
+                        results[name] = f"TYPES {bad}"
         print(f"{name}: {results[name]} ({ts:.1f}s)", flush=True)
     return results
 
