@@ -89,3 +89,24 @@ def test_single_class_falls_back_to_labels(spark, clean):
     assert det.scored.agg(F.max("attack_probability")).first()[0] == 0.0
     cls = D.classify_attacks(P.feature_vector(normal_only))
     assert cls.warning and cls.model is None
+
+
+def test_unlabelled_file_scores_everything_as_unknown_attack(spark, clean):
+    raw = synthetic_logs(spark, 300, seed=11, start=START).drop("attack_type")
+    raw = raw.select("row_id", *[F.col(c).cast("string") for c in raw.columns if c != "row_id"])
+    c = P.clean_logs(raw)
+    res = run_pipeline(c, rf_trees=5, rf_depth=3, gbt_rounds=3, gbt_depth=2, iso_trees=10)
+    assert len(res.warnings) == 2 and res.detection_metrics is None and res.class_names == []
+    st = res.scored.agg(F.min("attack_probability"), F.count_if(F.col("predicted_label") != "Attack"),
+                        F.collect_set("attack_type_predicted"), F.collect_set("attack_type_confidence"),
+                        F.collect_set("severity_weight")).first()
+    assert st[0] == 1.0 and st[1] == 0
+    assert st[2] == ["Unknown"] and st[3] == [0.5] and st[4] == [50.0]
+
+
+def test_approx_statistics_stay_close(spark, clean):
+    raw = synthetic_logs(spark, 2000, seed=7, start=START)
+    raw = raw.select("row_id", *[F.col(c).cast("string") for c in raw.columns if c != "row_id"])
+    exact = P.clean_logs(raw).agg(F.count_if("is_outlier"), F.sum("bytes_sent_scaled")).first()
+    approx = P.clean_logs(raw, approx=True).agg(F.count_if("is_outlier"), F.sum("bytes_sent_scaled")).first()
+    assert abs(exact[0] - approx[0]) <= 5 and abs(exact[1] - approx[1]) < 1e-6

@@ -47,3 +47,13 @@ def test_global_statistics_are_subqueries_not_joins(spark):
     df = P.fill_median(P.coerce_numeric(fixtures.security_logs(spark, SF_SMALL)))
     p = plan(df)
     assert "Subquery" in p and "Join" not in p and "CartesianProduct" not in p
+
+
+def test_store_reads_prune_partitions(spark, tmp_path):
+    from loghawk.sources.store import ScanStore
+    store = ScanStore(spark, str(tmp_path / "store"))
+    scored = scored_fixture(spark, SF_SMALL)
+    store.write_events(1, scored)
+    store.write_events(2, scored)
+    p = plan(store.events().where("scan_id = 2"))
+    assert "PartitionFilters: [isnotnull(scan_id" in p and "(scan_id" in p
