@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loghawk import constants as C
 from loghawk.functions import round_half_even
+from loghawk.operators.prepare import cut_lineage
 
 SPLIT_BITS = 16
 
@@ -81,11 +83,9 @@ def training_frame(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PE
     Tree learners run several jobs per tree level; tiny partitions make those
     jobs all overhead, while large inputs keep their partitioning.
     """
-    import math as _m
-    want = max(1, _m.ceil(n_rows / rows_per_partition))
+    want = max(1, math.ceil(n_rows / rows_per_partition))
     have = df.rdd.getNumPartitions()
     out = df.coalesce(want) if want < have else df
-    from pyspark import StorageLevel
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -204,7 +204,6 @@ def detect_attacks(df: DataFrame, features_col: str = "features", label_col: str
         return Detection(scored=fallback, metrics=None, warning=(
             "Dataset contains only one class (all Normal or all Attack). Detection metrics "
             "require both classes; upload a more varied dataset or use the synthetic generator."))
-    from loghawk.operators.prepare import cut_lineage
     split = cut_lineage(stratified_split(labelled, "y", seed=seed))
     rf, gbt = fit_detectors(split, features_col, seed=seed, **params)
     out = gbt.transform(rf.transform(split))
@@ -243,7 +242,6 @@ def classify_attacks(df: DataFrame, features_col: str = "features", label_col: s
     indexer = StringIndexer(inputCol=label_col, outputCol="_cls", stringOrderType="alphabetAsc").fit(attacks)
     names = list(indexer.labels)
     smallest = attacks.groupBy(label_col).count().agg(F.min("count")).first()[0]
-    from loghawk.operators.prepare import cut_lineage
     split = cut_lineage(stratified_split(indexer.transform(attacks), label_col if smallest >= 2 else None,
                                          seed=seed))
     sel = split.where(~F.col("is_test")).select(features_col, "_cls")

@@ -3,31 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from loghawk.functions import round_half_even
 from loghawk.operators import scoring
+from loghawk.operators.anomaly import flag_anomalies
 from loghawk.sources import fixtures
 
 
-def anomaly_flags(df: DataFrame, score_col: str = "anomaly_score", contamination: float = 0.1,
-                  out_col: str = "is_anomaly", approx: bool = False) -> DataFrame:
-    """M15 on a score where high means anomalous: flag the top ``contamination`` share.
-
-    Strictly above the (1 - contamination) quantile, which is the mirror of
-    "raw score below the contamination quantile".
-    """
-    from loghawk.functions.stats import quantile_expr
-    cut = df.agg(quantile_expr(score_col, [1.0 - contamination], approx)[0]).scalar()
-    return df.withColumn(out_col, F.coalesce(F.col(score_col) > cut, F.lit(False)))
-
-
 def scored_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 model outputs -> threat scores (T1-T4) -> published rounding (T5) + flags."""
+    """F2 model outputs -> anomaly flags (M15) -> threat scores (T1-T4) -> published rounding (T5)."""
     raw = fixtures.model_outputs(spark, sf_dir)
-    flagged = anomaly_flags(raw)
+    flagged = flag_anomalies(raw, raw_col="anomaly_score")
     scored = scoring.threat_scores(flagged)
     return scored.withColumns({
-        "attack_type_confidence": F.rint(F.col("attack_type_confidence") * 1e4) / 1e4,
-        "attack_probability": F.rint(F.col("attack_probability") * 1e4) / 1e4,
-        "anomaly_score": F.rint(F.col("anomaly_score") * 1e2) / 1e2,
+        "attack_type_confidence": round_half_even("attack_type_confidence", 4),
+        "attack_probability": round_half_even("attack_probability", 4),
+        "anomaly_score": round_half_even("anomaly_score", 2),
     })

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from loghawk.functions import round_half_even
 from loghawk.operators import anomaly as AN
 from loghawk.operators import detect as D
-from loghawk.operators.prepare import FEATURE_COLUMNS, feature_vector
-from loghawk.operators.prepare import cut_lineage as P_cut
+from loghawk.operators.prepare import FEATURE_COLUMNS, cut_lineage, feature_vector
 from loghawk.plans.clean_plans import clean_fixture
 from loghawk.plans.pipeline import run_pipeline
 from loghawk.sources import fixtures
@@ -47,7 +46,7 @@ def q_detect_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_detector(spark, sf_dir, which):
-    split = P_cut(D.stratified_split(D.binary_label(_features(spark, sf_dir)), "y"))
+    split = cut_lineage(D.stratified_split(D.binary_label(_features(spark, sf_dir)), "y"))
     out = D.fit_detector(split, which).transform(split)
     prob = "rf_prob" if which == "random_forest" else "gbt_prob"
     return out.select("row_id", "y", "is_test", D._p1(prob).alias("attack_probability"))
