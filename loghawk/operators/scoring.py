@@ -63,10 +63,16 @@ def finalize_scored(df: DataFrame, predicted_col: str = "ensemble_pred",
     })
 
 
-def scan_metrics(scored: DataFrame) -> DataFrame:
-    """One row of scan totals; severity counts cover all rows."""
+def scan_metrics(scored: DataFrame, class_names: list[str] | None = None) -> DataFrame:
+    """One row of scan totals; severity counts cover all rows.
+
+    With ``class_names`` (the classifier's label list) the row also carries
+    ``classification_classes``.
+    """
     def n_if(cond):
         return F.count_if(cond).cast("bigint")
+    extra = [] if class_names is None else [
+        F.array(*[F.lit(n) for n in class_names]).cast("array<string>").alias("classification_classes")]
     return scored.agg(
         F.count(F.lit(1)).alias("total_logs"),
         n_if(F.col("predicted_label") == "Normal").alias("normal_count"),
@@ -75,4 +81,5 @@ def scan_metrics(scored: DataFrame) -> DataFrame:
         n_if(F.col("severity") == "High").alias("high_count"),
         n_if(F.col("severity") == "Medium").alias("medium_count"),
         n_if(F.col("severity") == "Low").alias("low_count"),
+        *extra,
     )

@@ -71,7 +71,7 @@ def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATIO
     rows = AN.flag_anomalies(AN.normalise_scores(predictions), contamination=contamination, approx=approx)
     scored = T.finalize_scored(T.threat_scores(rows))
     scored = cut_lineage(scored.select(*SCORED_COLUMNS), checkpoint)
-    return ScanResult(scored=scored, metrics=T.scan_metrics(scored), detection_metrics=det.metrics,
+    return ScanResult(scored=scored, metrics=T.scan_metrics(scored, cls.class_names), detection_metrics=det.metrics,
                       classification_accuracy=cls.accuracy, class_names=cls.class_names,
                       warnings=warnings, predictions=predictions,
                       models={**det.models, "classifier": cls.model, "isolation_forest": forest})
