@@ -163,3 +163,23 @@ def test_unparsable_timestamp_dropped_from_timeline(spark):
     data = [(0, "bad", "s", "d", "Attack", "DDoS", 1.0, 0.0), (1, "2024-01-01 05:30:00", "s", "d", "Attack", "DDoS", 1.0, 0.0)]
     out = A.attack_timeline(scored_frame(spark, data))
     assert out.count() == 1 and out.first()["count"] == 1
+
+
+def test_hot_key_holding_a_third_of_rows(spark):
+    # 3000 rows: 1000 copies of one log line from one source, 2000 distinct lines.
+    hot = [row(i, src="6.6.6.6", dst="10.0.0.9", label="DDoS") for i in range(1000)]
+    rest = [row(1000 + i, ts=f"2024-01-01 00:{i % 60:02d}:00", src=f"7.7.{i % 50}.{i % 7}",
+                dst=f"10.0.1.{i % 9}", bs=str(i)) for i in range(2000)]
+    df = P.coerce_numeric(logs(spark, hot + rest)).repartition(8)
+    dd = P.dedup_first(df)
+    assert dd.count() == 2001
+    assert rows(dd.where("source_ip = '6.6.6.6'"), "row_id", "attack_type") == [(0, "DDoS")]
+    scored_in = df.withColumns({"predicted_label": F.lit("Attack"), "attack_type_predicted": F.lit("DDoS"),
+                                "attack_probability": F.lit(1.0), "anomaly_score": F.lit(0.0)})
+    sc = T.threat_scores(scored_in)
+    assert rows(sc.where("source_ip = '6.6.6.6'").select("frequency_score").distinct()) == [(100.0,)]
+    top = A.threat_leaderboard(sc).first()
+    assert top["source_ip"] == "6.6.6.6" and top["events"] == 1000
+    inc = I.incident_records(sc, scan_id=1, min_severity="Low", year=2024).collect()
+    assert sum(r["event_count"] for r in inc) == 3000
+    assert all(len(r["affected_assets"]) <= 10 for r in inc)
