@@ -70,3 +70,14 @@ def severity_bucket(score) -> Column:
 def severity_rank(severity) -> Column:
     """Low 0 < Medium 1 < High 2 < Critical 3; anything else 0."""
     return map_lookup(C.SEVERITY_RANK, severity, 0)
+
+
+def portable_hash(id_col, seed: int) -> Column:
+    """Uniform 60-bit key of (id, seed): the first 15 hex digits of md5("id:seed").
+
+    JVM-side and partition-independent like ``xxhash64``, and also computable
+    in plain SQL elsewhere, so orders that depend on it can be checked by an
+    oracle.
+    """
+    text = F.concat(_col(id_col).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

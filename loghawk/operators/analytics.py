@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loghawk import constants as C
-from loghawk.functions import parse_timestamp, round_half_even
+from loghawk.functions import parse_timestamp, portable_hash, round_half_even
 
 def _is_attack():
     return F.col("predicted_label") == "Attack"
@@ -112,10 +112,10 @@ SAMPLE_COLUMNS = ["bytes_sent", "bytes_received", "predicted_label", "connection
 def traffic_sample(scored: DataFrame, n: int = C.TRAFFIC_SAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """Uniform sample of min(n, rows) rows without replacement, 7 columns.
 
-    The random key is a hash of (row_id, seed), so the sample does not depend
-    on partitioning; top-n on it is a bounded heap per task.
+    The random key is a portable hash of (row_id, seed), so the sample does
+    not depend on partitioning; top-n on it is a bounded heap per task.
     """
-    key = F.xxhash64(F.col("row_id"), F.lit(seed))
+    key = portable_hash("row_id", seed)
     return scored.orderBy(key, F.col("row_id")).limit(n).select(*SAMPLE_COLUMNS)
 
 

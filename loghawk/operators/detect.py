@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loghawk import constants as C
-from loghawk.functions import round_half_even
+from loghawk.functions import portable_hash, round_half_even
 from loghawk.operators.prepare import cut_lineage
 
 SPLIT_BITS = 16
+HASH_BITS = 60
 
 
 def binary_label(df: DataFrame, label_col: str = "attack_type", out_col: str = "y") -> DataFrame:
@@ -48,7 +49,7 @@ def stratified_split(df: DataFrame, strata_col: str | None, test_fraction: float
                      bits: int = SPLIT_BITS) -> DataFrame:
     """M3: adds ``is_test``; per stratum exactly ceil(fraction x rows) test rows.
 
-    Rows are ordered by a hash of (id, seed). The hash's top ``bits`` bits
+    Rows are ordered by a portable hash of (id, seed). The hash's top ``bits`` bits
     cut each stratum into up to 2^bits ordered buckets; a running count over
     the (stratum, bucket) count table (small: strata x 2^bits rows) decides
     whole buckets, and only the one boundary bucket per stratum is ranked
@@ -56,8 +57,8 @@ def stratified_split(df: DataFrame, strata_col: str | None, test_fraction: float
     of all rows is fine. ``strata_col=None`` splits without strata.
     """
     strata = F.col(strata_col) if strata_col else F.lit(0)
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    keyed = df.withColumns({"_s": strata, "_h": h, "_b": F.shiftright(h, 64 - bits)})
+    h = portable_hash(id_col, seed)  # 60-bit, non-negative
+    keyed = df.withColumns({"_s": strata, "_h": h, "_b": F.shiftright(h, HASH_BITS - bits)})
     counts = keyed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
     per_stratum = Window.partitionBy("_s")
     running = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -467,3 +467,19 @@ ORACLE.update({
     "frequency_score": scored_query(
         "SELECT row_id, source_ip, " + r("freq_raw", 6) + " AS frequency_score FROM blend"),
 })
+
+
+# ---------------------------------------------------------------- portable-hash orders
+def _pkey(col: str, seed: int) -> str:
+    return f"('0x' || substr(md5(CAST({col} AS VARCHAR) || ':{seed}'), 1, 15))::BIGINT"
+
+
+ORACLE.update({
+    "traffic_sample": scored_query(
+        "SELECT bytes_sent, bytes_received, predicted_label, connection_duration, source_ip, destination_ip, "
+        f"attack_type_predicted FROM scored ORDER BY {_pkey('row_id', 42)}, row_id LIMIT 2000"),
+    "stratified_split": clean_query(
+        "SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY k, row_id) <= ceil(25e-2 * count(*) OVER (PARTITION BY y)) "
+        f"AS is_test FROM (SELECT row_id, CAST(CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END AS INTEGER) AS y, "
+        f"{_pkey('row_id', 42)} AS k FROM clean)"),
+})

@@ -183,3 +183,30 @@ def test_hot_key_holding_a_third_of_rows(spark):
     inc = I.incident_records(sc, scan_id=1, min_severity="Low", year=2024).collect()
     assert sum(r["event_count"] for r in inc) == 3000
     assert all(len(r["affected_assets"]) <= 10 for r in inc)
+
+
+def test_heatmap_days_in_week_order_with_24_hours(spark):
+    days = ["2024-01-07", "2024-01-01", "2024-01-03"]  # Sunday, Monday, Wednesday
+    data = [(i, f"{d} 23:00:00", "s", "d", "Attack", "DDoS", 1.0, 0.0) for i, d in enumerate(days)]
+    out = A.attack_heatmap(scored_frame(spark, data))
+    recs = out.collect()
+    assert [r["day"] for r in recs] == ["Monday", "Wednesday", "Sunday"]
+    assert len([c for c in out.columns if c.startswith("h")]) == 24
+    assert all(r["h23"] == 1 and r["h00"] == 0 for r in recs)
+
+
+def test_histogram_top_edge_in_last_bin(spark):
+    data = [(i, "2024-01-01 00:00:00", "s", "d", "Normal", "Normal", 0.0, a)
+            for i, a in enumerate([0.0, 2.49, 2.5, 100.0])]
+    got = sorted(rows(A.anomaly_histogram(scored_frame(spark, data)), "bin", "count"))
+    assert got == [(0, 2), (1, 1), (39, 1)]
+
+
+def test_incident_numbers_follow_type_order_and_records_follow_severity(spark):
+    data = [(0, "2024-01-01 00:00:00", "a", "x", "Attack", "Malware", 1.0, 100.0),   # Critical
+            (1, "2024-01-01 00:00:00", "b", "y", "Attack", "DDoS", 0.5, 20.0),      # High
+            (2, "2024-01-01 00:00:00", "b", "y", "Attack", "DDoS", 1.0, 100.0)]     # Critical
+    recs = I.incident_records(scored_frame(spark, data), scan_id=3, year=2024).orderBy("incident_order").collect()
+    got = [(r["incident_id"], r["threat_type"], r["severity"]) for r in recs]
+    assert got == [("INC-2024-0003-001", "DDoS", "Critical"), ("INC-2024-0003-003", "Malware", "Critical"),
+                   ("INC-2024-0003-002", "DDoS", "High")]
