@@ -76,17 +76,35 @@ def stratified_split(df: DataFrame, strata_col: str | None, test_fraction: float
 
 
 ROWS_PER_TRAIN_PARTITION = 500_000
+MIN_ROWS_PER_TRAIN_PARTITION = 2_000
+
+
+def training_partitions(n_rows: int, parallelism: int, rows_per_partition: int = ROWS_PER_TRAIN_PARTITION,
+                        min_rows: int = MIN_ROWS_PER_TRAIN_PARTITION) -> int:
+    """Partitions for a training set of ``n_rows``.
+
+    At least one per ``rows_per_partition`` rows (large inputs keep their
+    parallelism); and, while every partition keeps ``min_rows``, at least one
+    per core: a forest level over one partition runs on one core, which made a
+    80-tree forest 4x slower at 76k rows (measured: 52 s on 1 partition, 13 s
+    on 8).
+    """
+    by_size = math.ceil(n_rows / rows_per_partition)
+    by_cores = min(parallelism, n_rows // min_rows)
+    return max(1, by_size, by_cores)
 
 
 def training_frame(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_TRAIN_PARTITION) -> DataFrame:
-    """Cache a training set with partitions sized to its rows (coalesce only, no shuffle).
+    """Cache a training set with partitions sized to its rows and the cluster's cores.
 
-    Tree learners run several jobs per tree level; tiny partitions make those
-    jobs all overhead, while large inputs keep their partitioning.
+    Tree learners run several jobs per tree level: tiny partitions make those
+    jobs all overhead, a single partition leaves the other cores idle. Too
+    many partitions are merged without a shuffle; too few are spread with one
+    round-robin shuffle of the (feature, label) rows.
     """
-    want = max(1, math.ceil(n_rows / rows_per_partition))
+    want = training_partitions(n_rows, df.sparkSession.sparkContext.defaultParallelism, rows_per_partition)
     have = df.rdd.getNumPartitions()
-    out = df.coalesce(want) if want < have else df
+    out = df.coalesce(want) if want < have else df.repartition(want) if want > have else df
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
