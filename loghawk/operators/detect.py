@@ -129,6 +129,8 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
     Both learners read one cached, right-sized copy of the training rows.
     """
     from concurrent.futures import ThreadPoolExecutor
+
+    from loghawk.session import run_in_pool
     sel = df.where(~F.col("is_test")).select(features_col, y_col)
     train = training_frame(sel, sel.count())
     rf_est = RandomForestClassifier(featuresCol=features_col, labelCol=y_col, numTrees=rf_trees,
@@ -139,7 +141,9 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
                .setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))
     try:
         with ThreadPoolExecutor(max_workers=2) as pool:
-            rf_f, gbt_f = pool.submit(rf_est.fit, train), pool.submit(gbt_est.fit, train)
+            spark = train.sparkSession
+            rf_f = pool.submit(run_in_pool, spark, "forest", rf_est.fit, train)
+            gbt_f = pool.submit(run_in_pool, spark, "boosting", gbt_est.fit, train)
             return rf_f.result(), gbt_f.result()
     finally:
         train.unpersist()

@@ -19,6 +19,7 @@ from loghawk.operators import anomaly as AN
 from loghawk.operators import detect as D
 from loghawk.operators import scoring as T
 from loghawk.operators.prepare import FEATURE_COLUMNS, cut_lineage, feature_vector
+from loghawk.session import run_in_pool
 
 SCORED_COLUMNS = [
     "row_id", "timestamp", "source_ip", "destination_ip", "protocol", "bytes_sent", "bytes_received",
@@ -49,12 +50,16 @@ def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATIO
     warnings: list[str] = []
     feats = feature_vector(clean)
     # The three model families are independent: fit them concurrently (Spark
-    # schedules the jobs of all driver threads on the same executors).
+    # schedules the jobs of all driver threads on the same executors; each
+    # family has its own fair-scheduler pool).
+    spark = clean.sparkSession
     with ThreadPoolExecutor(max_workers=3) as pool:
         det_f = pool.submit(D.detect_attacks, feats, seed=seed, rf_trees=rf_trees, rf_depth=rf_depth,
                             gbt_rounds=gbt_rounds, gbt_depth=gbt_depth)
-        cls_f = pool.submit(D.classify_attacks, feats, trees=rf_trees, depth=rf_depth, seed=seed)
-        iso_f = pool.submit(AN.fit_isolation_forest, feats, FEATURE_COLUMNS, n_trees=iso_trees, seed=seed)
+        cls_f = pool.submit(run_in_pool, spark, "classifier", D.classify_attacks, feats, trees=rf_trees,
+                            depth=rf_depth, seed=seed)
+        iso_f = pool.submit(run_in_pool, spark, "isolation", AN.fit_isolation_forest, feats, FEATURE_COLUMNS,
+                            n_trees=iso_trees, seed=seed)
         det, cls, forest = det_f.result(), cls_f.result(), iso_f.result()
     if det.warning:
         warnings.append(det.warning)
