@@ -110,3 +110,40 @@ def test_approx_statistics_stay_close(spark, clean):
     exact = P.clean_logs(raw).agg(F.count_if("is_outlier"), F.sum("bytes_sent_scaled")).first()
     approx = P.clean_logs(raw, approx=True).agg(F.count_if("is_outlier"), F.sum("bytes_sent_scaled")).first()
     assert abs(exact[0] - approx[0]) <= 5 and abs(exact[1] - approx[1]) < 1e-6
+
+
+def test_training_partitions_rule():
+    # one partition per 500k rows at scale; one per core while each keeps 2,000 rows
+    assert D.training_partitions(10**9, 8) == 2000
+    assert D.training_partitions(76_000, 8) == 8
+    assert D.training_partitions(7_500, 8) == 3
+    assert D.training_partitions(1_500, 8) == 1
+    assert D.training_partitions(0, 8) == 1
+
+
+def test_training_frame_spreads_and_merges(spark, clean):
+    n = clean.count()
+    one = clean.coalesce(1)
+    spread = D.training_frame(one, n, rows_per_partition=500)
+    try:
+        assert spread.rdd.getNumPartitions() == D.training_partitions(
+            n, spark.sparkContext.defaultParallelism, 500)
+        assert spread.count() == n
+    finally:
+        spread.unpersist()
+    merged = D.training_frame(clean.repartition(16), 10, rows_per_partition=500)
+    try:
+        assert merged.rdd.getNumPartitions() == 1
+    finally:
+        merged.unpersist()
+
+
+def test_run_in_pool_sets_and_clears_the_pool(spark):
+    from loghawk.session import run_in_pool
+    sc = spark.sparkContext
+    seen = run_in_pool(spark, "boosting", lambda: sc.getLocalProperty("spark.scheduler.pool"))
+    assert seen == "boosting"
+    assert sc.getLocalProperty("spark.scheduler.pool") is None
+    with pytest.raises(ZeroDivisionError):
+        run_in_pool(spark, "forest", lambda: 1 / 0)
+    assert sc.getLocalProperty("spark.scheduler.pool") is None
