@@ -27,7 +27,6 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.scheduler.mode", os.environ.get("LOGHAWK_SCHEDULER_MODE", "FAIR"))
         .config("spark.driver.memory", os.environ.get("LOGHAWK_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
@@ -63,9 +62,11 @@ def run_in_pool(spark: SparkSession, pool: str, fn, *args, **kwargs):
     Concurrent model fits share the executors. Under FIFO a short boosting
     stage queues behind every task of a forest stage submitted before it,
     so the sequential booster, the longest chain of jobs, waits the most.
-    In its own pool (``spark.scheduler.mode=FAIR``) its few tasks go first
-    whenever it holds fewer running tasks than the other pools. Under FIFO
-    the property is ignored.
+    In its own pool (when the cluster runs ``spark.scheduler.mode=FAIR``)
+    its few tasks go first whenever it holds fewer running tasks than the
+    other pools. Under FIFO, Spark's default and what local sessions use,
+    the property is ignored: on local[8] FAIR measured no gain (pipeline
+    100 s FIFO vs 111 s FAIR, back to back).
     """
     sc = spark.sparkContext
     sc.setLocalProperty("spark.scheduler.pool", pool)
