@@ -51,7 +51,7 @@ def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATIO
     feats = feature_vector(clean)
     # The three model families are independent: fit them concurrently (Spark
     # schedules the jobs of all driver threads on the same executors; each
-    # family has its own fair-scheduler pool).
+    # family has its own scheduler pool, used when the cluster runs FAIR).
     spark = clean.sparkSession
     with ThreadPoolExecutor(max_workers=3) as pool:
         det_f = pool.submit(D.detect_attacks, feats, seed=seed, rf_trees=rf_trees, rf_depth=rf_depth,
