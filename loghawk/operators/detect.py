@@ -123,10 +123,11 @@ class Detection:
 def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y",
                   rf_trees: int = C.RF_TREES, rf_depth: int = C.RF_DEPTH,
                   gbt_rounds: int = C.GBT_ROUNDS, gbt_depth: int = C.GBT_DEPTH,
-                  gbt_step: float = C.GBT_STEP, seed: int = C.MODEL_SEED):
+                  gbt_step: float = C.GBT_STEP, seed: int = C.MODEL_SEED, on_fit=None):
     """M4 + M5 on the training split (``is_test`` false), fitted concurrently.
 
     Both learners read one cached, right-sized copy of the training rows.
+    ``on_fit`` (no arguments) is called when the fits are about to start.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -139,6 +140,8 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
     gbt_est = (GBTClassifier(featuresCol=features_col, labelCol=y_col, maxIter=gbt_rounds, maxDepth=gbt_depth,
                              stepSize=gbt_step, seed=seed, predictionCol="gbt_pred")
                .setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))
+    if on_fit is not None:
+        on_fit()
     try:
         with ThreadPoolExecutor(max_workers=2) as pool:
             spark = train.sparkSession
@@ -217,18 +220,24 @@ def model_comparison(metrics: DataFrame, models=("random_forest", "gbt")) -> Dat
 
 
 def detect_attacks(df: DataFrame, features_col: str = "features", label_col: str = "attack_type",
-                   seed: int = C.MODEL_SEED, **params) -> Detection:
-    """M1-M8: label, guard, split, fit both detectors, ensemble on all rows, test metrics."""
+                   seed: int = C.MODEL_SEED, on_fit=None, **params) -> Detection:
+    """M1-M8: label, guard, split, fit both detectors, ensemble on all rows, test metrics.
+
+    ``on_fit`` (no arguments) is called once the detector fits start, or when
+    it is clear that there will be none.
+    """
     labelled = binary_label(df, label_col)
     n_classes = class_guard(labelled).first()["n_classes"]
     if n_classes < 2:
+        if on_fit is not None:
+            on_fit()
         fallback = labelled.withColumns({
             "attack_probability": F.col("y").cast("double"), "ensemble_pred": F.col("y")})
         return Detection(scored=fallback, metrics=None, warning=(
             "Dataset contains only one class (all Normal or all Attack). Detection metrics "
             "require both classes; upload a more varied dataset or use the synthetic generator."))
     split = cut_lineage(stratified_split(labelled, "y", seed=seed))
-    rf, gbt = fit_detectors(split, features_col, seed=seed, **params)
+    rf, gbt = fit_detectors(split, features_col, seed=seed, on_fit=on_fit, **params)
     out = gbt.transform(rf.transform(split))
     out = out.withColumns({"p_rf": _p1("rf_prob"), "p_gbt": _p1("gbt_prob")}) \
              .drop("rf_prob", "rf_raw", "gbt_prob", "gbt_raw")
