@@ -64,6 +64,8 @@ def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATIO
                             gbt_rounds=gbt_rounds, gbt_depth=gbt_depth, on_fit=fits_started.set)
         while not fits_started.wait(0.5) and not det_f.done():
             pass
+        if det_f.done() and det_f.exception() is not None:
+            raise det_f.exception()  # failed before fitting: start nothing else
         cls_f = pool.submit(run_in_pool, spark, "classifier", D.classify_attacks, feats, trees=rf_trees,
                             depth=rf_depth, seed=seed)
         iso_f = pool.submit(run_in_pool, spark, "isolation", AN.fit_isolation_forest, feats, FEATURE_COLUMNS,

@@ -147,3 +147,19 @@ def test_run_in_pool_sets_and_clears_the_pool(spark):
     with pytest.raises(ZeroDivisionError):
         run_in_pool(spark, "forest", lambda: 1 / 0)
     assert sc.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_pipeline_stops_when_detection_fails_before_fitting(spark, clean, monkeypatch):
+    import loghawk.plans.pipeline as PL
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("no detector")
+
+    def must_not_run(*args, **kwargs):
+        raise AssertionError("started after a failed detection")
+
+    monkeypatch.setattr(PL.D, "detect_attacks", broken)
+    monkeypatch.setattr(PL.D, "classify_attacks", must_not_run)
+    monkeypatch.setattr(PL.AN, "fit_isolation_forest", must_not_run)
+    with pytest.raises(RuntimeError, match="no detector"):
+        PL.run_pipeline(clean)
