@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loghawk.llm.decontaminate import contaminated_pairs
+from loghawk.llm import quality_rules
+from loghawk.llm.simhash import simhash_groups
 from loghawk.llm.substring_dedup import substring_dedup
 from loghawk.session import ensure_checkpoint_dir, ship_package
 from loghawk.sources.tables import read_table
@@ -21,8 +24,29 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled of good quality and not toxic."""
+    return _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.quality_report(docs, quality_rules.fit(docs, trusted_ids(spark, sf_dir)))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
