@@ -6,9 +6,10 @@ score is the sum of ``log(p_target / p_raw)`` over its n-grams, divided by their
 number. A text is kept if it passes the base rules and its score reaches the fixed
 ``threshold``, whatever else is in the corpus at hand; nothing is drawn at random.
 
-``p_raw = (raw + 1) / (R + buckets)``, ``p_target = (target + buckets * p_raw) /
-(T + buckets)``: with few trusted texts the ratio tends to 1 and rejects nothing.
-Counts are whole; what reaches the driver is one row a bucket, whatever the input.
+``p_raw = (raw - own + 1) / (R - n + buckets)``, where ``own`` and ``n`` are the text's
+own n-grams, so that no text is held against itself; ``p_target = (target + buckets *
+p_raw) / (T + buckets)``: with few trusted texts the ratio tends to 1 and rejects
+nothing. Counts are whole; one row a bucket reaches the driver, whatever the input.
 
 Edge cases: a null or wordless text has zero counts, score 0 and fails the base
 rules; trusted ids that no document has, repeated trusted ids and null ids add
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from loghawk.llm import text as T
 from loghawk.llm.substring_dedup import cover
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 THRESHOLD = -0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 
@@ -46,7 +47,7 @@ def _grams(texts, buckets: int):
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         buckets: int = BUCKETS) -> np.ndarray:
-    """log(p_target / p_raw) of every bucket; ``trusted`` holds the ids of trusted documents."""
+    """Raw and target count of every bucket; ``trusted`` holds the ids of trusted documents."""
     ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     marked = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
               .join(ids.withColumn("good", F.lit(True)), "doc_id", "left")
@@ -66,11 +67,9 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
 
     rows = (marked.mapInArrow(count, "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow())
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    at = rows["bucket"].to_numpy()
-    raw[at], target[at] = rows["raw"].to_numpy(), rows["target"].to_numpy()
-    p_raw = (raw + 1) / (raw.sum() + buckets)
-    return np.log((target + buckets * p_raw) / (target.sum() + buckets) / p_raw)
+    counts = np.zeros((2, buckets))
+    counts[:, rows["bucket"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
+    return counts
 
 
 def text_stats(texts) -> dict[str, np.ndarray]:
@@ -103,22 +102,32 @@ def text_stats(texts) -> dict[str, np.ndarray]:
             "n_repeat_words": per_doc(repeated, words.bounds)}
 
 
-def judge(texts, ratio: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+def ratio_scores(texts, counts: np.ndarray) -> np.ndarray:
+    """Mean log(p_target / p_raw) over each text's n-grams; 0 without any."""
+    (raw, target), buckets = counts, counts.shape[1]
+    bucket, doc = _grams(texts, buckets)
+    key, own = np.unique(doc * buckets + bucket, return_counts=True)
+    doc, bucket = key // buckets, key % buckets
+    grams = np.bincount(doc, own, minlength=len(texts))
+    # A text that was not counted (scored only) may hold more than the corpus: at least 0.
+    p_raw = (np.maximum(raw[bucket] - own, 0) + 1) / (np.maximum(raw.sum() - grams[doc], 0) + buckets)
+    p_target = (target[bucket] + buckets * p_raw) / (target.sum() + buckets)
+    return np.bincount(doc, own * np.log(p_target / p_raw), minlength=len(texts)) / np.maximum(grams, 1)
+
+
+def judge(texts, counts: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
     out = text_stats(texts)
-    bucket, doc = _grams(texts, len(ratio))
-    n = len(out["n_words"])
-    total, grams = np.bincount(doc, ratio[bucket], minlength=n), np.bincount(doc, minlength=n)
-    out["score"] = total / np.maximum(grams, 1)
+    out["score"] = ratio_scores(texts, counts)
     words = out["n_words"]
     out["base_failed"] = (words < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
     out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
     return out
 
 
-def quality_report(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
+def quality_report(docs: DataFrame, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
                    threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base counts, base_failed, score, kept."""
-    model = docs.sparkSession.sparkContext.broadcast(ratio)  # one number a bucket
+    model = docs.sparkSession.sparkContext.broadcast(counts)  # two numbers a bucket
 
     def run(batches):
         for batch in batches:
@@ -133,10 +142,10 @@ def quality_report(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", t
             .mapInArrow(run, f"doc_id long, {stats}, base_failed boolean, kept boolean, score double"))
 
 
-def apply_quality_rules(docs: DataFrame, ratio: np.ndarray, text_col: str = "text",
+def apply_quality_rules(docs: DataFrame, counts: np.ndarray, text_col: str = "text",
                         threshold: float = THRESHOLD) -> DataFrame:
     """The rows that are kept, all columns unchanged."""
-    model = docs.sparkSession.sparkContext.broadcast(ratio)
+    model = docs.sparkSession.sparkContext.broadcast(counts)
     index = docs.columns.index(text_col)
 
     def run(batches):

@@ -31,8 +31,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loghawk.llm import text as T
 from loghawk.llm.components import components
@@ -88,13 +89,8 @@ def fingerprint_batch(texts, size: int = SHINGLE_WORDS) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
-    def run(batches):
-        for batch in batches:
-            for part in T.slices(batch, "text"):
-                fp = fingerprint_batch(part.column(1), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    return _keyed_prints(rows, "text", shingle).withColumnRenamed("row", "doc_id")
 
 
 def _signed(value: int) -> int:
@@ -252,15 +248,53 @@ def near_links(fps: DataFrame, distance: int = MAX_DISTANCE, group_limit: int =
     return few.unionByName(_meet(dense, distance)).distinct()
 
 
+def component_ids(prints: DataFrame, distance: int, group_limit: int) -> DataFrame:
+    """(fp, root): one fingerprint that stands for the component of each distinct ``fp``."""
+    fps = prints.select("fp").distinct().checkpoint()
+    labels = components(near_links(fps, distance, group_limit))
+    return fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
                    distance: int = MAX_DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per document: fingerprint (16 hex digits) and component_id."""
     prints = fingerprints(docs, id_col, text_col, shingle).checkpoint()
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
-    labels = components(near_links(fps.select("fp"), distance, group_limit))
-    rooted = fps.join(labels, fps["fp"] == labels["node"], "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("root"))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rooted = first.join(component_ids(prints, distance, group_limit), "fp").checkpoint()
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
+               distance: int = MAX_DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """One row of each component, all columns unchanged: the smallest id, then text hash.
+
+    Null ids come last. Of rows that repeat both id and text one is kept.
+    """
+    def key(i, t):
+        return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(t, F.lit("")))))
+
+    slim = docs.select(F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"),
+                                key(F.col(id_col), F.col(text_col)).alias("key")).alias("row"), text_col)
+    # The row's key takes the id's place, and so follows its fingerprint.
+    prints = _keyed_prints(slim, text_col, shingle).checkpoint()
+    roots = component_ids(prints, distance, group_limit)
+    first = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp") \
+        .groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"))
+    keyed = docs.withColumn("__key", key(F.col(id_col), F.col(text_col)))
+    once = Window.partitionBy("__key").orderBy("__key")
+    return (keyed.join(first.distinct(), "__key", "left_semi").withColumn("__nth", F.row_number().over(once))
+            .where("__nth = 1").select(*docs.columns))
+
+
+def _keyed_prints(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(row, fp) for any ``row`` column beside the text."""
+    def run(batches):
+        for batch in batches:
+            for part in T.slices(batch, text_col):
+                fp = fingerprint_batch(part.column(1), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["row", "fp"])
+    schema = StructType([rows.schema["row"], StructField("fp", LongType())])
+    return rows.select("row", text_col).mapInArrow(run, schema)
