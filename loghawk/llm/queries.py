@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loghawk.llm.decontaminate import contaminated_pairs
 from loghawk.llm import quality_rules
-from loghawk.llm import mixing, secret_scan
+from loghawk.llm import kneser_ney, mixing, secret_scan
 from loghawk.llm.simhash import simhash_groups
 from loghawk.llm.substring_dedup import substring_dedup
 from loghawk.session import ensure_checkpoint_dir, ship_package
@@ -48,6 +48,14 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(part == 2, F.lit(False)).alias("held_out"))
+    model = kneser_ney.fit(docs.where("NOT held_out"))
+    return kneser_ney.score(docs, model, flag_col="held_out")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken",
@@ -60,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scans": op7_secret_scans,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_source_mixing": op9_source_mixing,
 }
 

@@ -130,7 +130,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
     return mix((sums[at + size] - sums[at]) * _power(inverse, len(hashes))[at]), at
 
 
-def slices(batch, column: str, most_bytes: int = 4 * SLICE_BYTES):
+def slices(batch, column: str, most_bytes: int = SLICE_BYTES):
     """A record batch in runs of rows with at most ``most_bytes`` of text (one row at least)."""
     _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
