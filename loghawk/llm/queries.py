@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loghawk.llm.decontaminate import contaminated_pairs
 from loghawk.llm import quality_rules
 from loghawk.llm import kneser_ney, mixing, secret_scan
+from loghawk.llm.html_render import html_text
 from loghawk.llm.simhash import simhash_groups
 from loghawk.llm.substring_dedup import substring_dedup
 from loghawk.llm.suffix_dedup import suffix_dedup
@@ -27,6 +28,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -69,6 +74,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
