@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loghawk.llm.decontaminate import contaminated_pairs
 from loghawk.llm import quality_rules
-from loghawk.llm import kneser_ney, mixing, secret_scan
+from loghawk.llm import chat_format, kneser_ney, mixing, secret_scan
 from loghawk.llm.html_render import html_text
 from loghawk.llm.simhash import simhash_groups
 from loghawk.llm.substring_dedup import substring_dedup
@@ -72,6 +72,18 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.array_min("passes.position").alias("first_position"))
 
 
+#: A conversation whose texts hold marks that templates use.
+CONTROL_CONV, CONTROL_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(CONTROL_CONV, 0, "user", CONTROL_TEXT), (CONTROL_CONV, 1, "assistant", CONTROL_TEXT)],
+                                    rows.schema)
+    rows = rows.unionByName(control)
+    return chat_format.read_back(chat_format.format_turns(rows, chat_format.text_part(F.col("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -82,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scans": op7_secret_scans,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_source_mixing": op9_source_mixing,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE: dict[str, str] = {}
@@ -104,3 +117,20 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) A
          [x[1] FOR x IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(ps, x[2])] END, ' ')) AS kept_sha256
 FROM w LEFT JOIN cut ON w.doc_id = cut.doc_id
 """
+
+ORACLE["op10_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (WHERE role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(15 + length(role) + length(text)
+         + length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), chr(10), ''))
+         + length(text) - length(replace(replace(text, '\', ''), '<', ''))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
