@@ -28,6 +28,8 @@ from loghawk.llm import text as T
 from loghawk.llm.substring_dedup import cover
 
 BUCKETS = 1 << 13
+#: Trusted ids that may be broadcast: about 32 MB.
+BROADCAST_IDS = 1 << 20
 THRESHOLD = -0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 
@@ -49,6 +51,8 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
         buckets: int = BUCKETS) -> np.ndarray:
     """Raw and target count of every bucket; ``trusted`` holds the ids of trusted documents."""
     ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    if ids.count() <= BROADCAST_IDS:  # else both sides are shuffled by id
+        ids = F.broadcast(ids)
     marked = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
               .join(ids.withColumn("good", F.lit(True)), "doc_id", "left")
               .select("text", F.coalesce("good", F.lit(False)).alias("good")))
