@@ -129,12 +129,32 @@ MODEL_SEED = 42
 MIN_CLASSIFIER_ROWS = 10
 DEFAULT_ATTACK_RATIO = 0.22
 
-# Row caps of the source application (optional here; default is no cap).
-SOURCE_MAX_ROWS = 15000
-SOURCE_PERSISTED_ROWS = 5000
 TRAFFIC_SAMPLE_ROWS = 2000
+TIME_RANGE = ("1677-09-21 00:12:44", "2262-04-11 23:47:16")
+
+# Stored columns of a scored row.
+EVENT_COLUMNS = [
+    "timestamp", "source_ip", "destination_ip", "protocol", "bytes_sent", "bytes_received",
+    "connection_duration", "predicted_label", "attack_type", "attack_type_predicted",
+    "attack_type_confidence", "attack_probability", "anomaly_score", "is_anomaly",
+    "frequency_score", "severity_weight", "threat_score", "severity",
+]
+
+# Labels of the report totals.
+SUMMARY_ITEMS = [("Total Logs Analyzed", "total_logs"), ("Detected Attacks", "attack_count"),
+                 ("Attack Percentage", "attack_pct"), ("Critical", "critical_count"),
+                 ("High", "high_count"), ("Medium", "medium_count"), ("Low", "low_count")]
+INCIDENT_SUMMARY_ITEMS = [("Total Logs Analyzed", "total_logs"), ("Detected Attacks", "attack_count"),
+                          ("Critical Threats", "critical_count"), ("High Severity Threats", "high_count"),
+                          ("Total Incidents Reported", "incident_count")]
+LISTED_ADDRESSES = 10
 # ------------------------------------------------------------ END FIXED VALUES
 
+_DOUBLES = {"bytes_sent", "bytes_received", "connection_duration", "attack_type_confidence", "attack_probability",
+            "anomaly_score", "frequency_score", "severity_weight", "threat_score"}
+EVENT_SCHEMA = ", ".join(
+    f"{c} {'double' if c in _DOUBLES else 'boolean' if c == 'is_anomaly' else 'string'}" for c in EVENT_COLUMNS)
+
 # Tokens the pandas CSV reader treats as missing by default (pandas docs).
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

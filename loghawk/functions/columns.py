@@ -44,8 +44,10 @@ def parse_number(c) -> Column:
 
 
 def parse_timestamp(c) -> Column:
-    """String -> timestamp_ntz; unparsable -> null."""
-    return _col(c).cast("string").try_cast("timestamp_ntz")
+    """String -> timestamp_ntz; unparsable or outside the range of 64-bit nanoseconds -> null."""
+    ts = _col(c).cast("string").try_cast("timestamp_ntz")
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in C.TIME_RANGE)
+    return F.when(ts.between(first, last), ts)
 
 
 def map_lookup(mapping: dict, key, default=None) -> Column:

@@ -1,44 +1,91 @@
-"""Global statistics as one-row frames and scalar subqueries.
+"""Global statistics.
 
-A global statistic (median, quartiles, max count, min/max) is computed by one
-aggregate with map-side partial aggregation, and attached to rows as a scalar
-subquery: Spark runs it once and inlines the value, so no join, no shuffle of
-the big side and no driver round trip is involved.
+Order statistics are selected exactly and distributed: a round cuts the range that
+still holds a wanted rank into equal intervals, counts each (map-side combined), and
+keeps the one interval with the rank, by its smallest and largest value. Rounds end
+when an interval has one distinct value. A task holds at most one counter an interval,
+and a few rows a round reach the driver, whatever the number of rows or values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Relative rank error of the approximate mode is 1 / APPROX_ACCURACY.
-APPROX_ACCURACY = 100_000
+INTERVALS = 1 << 16
 
 
-def quantile_expr(c: str, probs: Sequence[float], approx: bool = False,
-                  accuracy: int = APPROX_ACCURACY) -> Column:
-    """Array of quantiles of ``c`` (nulls ignored).
+def _interval(value: Column, lo: float, hi: float, intervals: int) -> Column:
+    """0 .. intervals, ascending in the value: lo is in the first, hi in the last."""
+    # Halves keep the width of the whole double range finite.
+    part = (value / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+    return F.floor(part * intervals).cast("int")
 
-    Exact mode interpolates linearly between order statistics (as pandas'
-    ``quantile`` does) and keeps a value->count map per partial aggregate, so
-    its final merge holds one entry per distinct value. ``approx=True`` uses
-    the bounded-memory sketch instead: the choice for 100 TB inputs with
-    high-cardinality doubles.
-    """
-    probs = [float(p) for p in probs]
-    if approx:
-        return F.percentile_approx(F.col(c), probs, accuracy)
-    return F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs]))
+
+def _select_ranks(df: DataFrame, wanted: dict[str, set[int]], bounds: dict[str, tuple[float, float]],
+                  intervals: int) -> dict[tuple[str, int], float]:
+    """The value at each 0-based rank of the ascending finite values of each column."""
+    found: dict[tuple[str, int], float] = {}
+    # (column, low, high) -> [(rank, rank within the range)]
+    open_ranges: dict[tuple[str, float, float], list[tuple[int, int]]] = {
+        (c, *bounds[c]): [(r, r) for r in sorted(ranks)] for c, ranks in wanted.items() if ranks}
+    while open_ranges:
+        for (c, lo, hi), ranks in list(open_ranges.items()):
+            if lo == hi:
+                found.update({(c, r): lo for r, _ in ranks})
+                del open_ranges[(c, lo, hi)]
+        if not open_ranges:
+            break
+        ranges = list(open_ranges)
+        cells = [F.when(F.col(c).between(lo, hi), F.struct(
+            F.lit(k).alias("k"), _interval(F.col(c), lo, hi, intervals).alias("at"), F.col(c).alias("v")))
+            for k, (c, lo, hi) in enumerate(ranges)]
+        counted = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+                   .groupBy("k", "at").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        # At most ``intervals`` + 1 rows a range.
+        through = F.sum("n").over(Window.partitionBy("k").orderBy("at"))
+        hit = F.lit(False)
+        for k, key in enumerate(ranges):
+            for _, within in open_ranges[key]:
+                hit = hit | ((F.col("k") == k) & (F.col("before") <= within) & (F.col("before") + F.col("n") > within))
+        rows = counted.withColumn("before", through - F.col("n")).where(hit).collect()
+        narrowed: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
+        for row in rows:
+            key = ranges[row["k"]]
+            for rank, within in open_ranges[key]:
+                if row["before"] <= within < row["before"] + row["n"]:
+                    narrowed.setdefault((key[0], row["lo"], row["hi"]), []).append((rank, within - row["before"]))
+        open_ranges = narrowed
+    return found
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              approx: bool = False) -> DataFrame:
-    """One-row frame with an array column ``<col>`` of quantiles per column."""
-    return df.agg(*[quantile_expr(c, probs, approx).alias(c) for c in cols])
+              intervals: int = INTERVALS) -> dict[str, list[float | None]]:
+    """Exact quantiles per column, linear between order statistics; nulls and NaN ignored.
+
+    None for a column without values. Infinite values are the ends of the order.
+    """
+    values = df.select(*[F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")).alias(c)
+                         for c in cols])
+    inf = float("inf")
+    finite = {c: F.when((F.col(c) > -inf) & (F.col(c) < inf), F.col(c)) for c in cols}
+    ends = values.agg(*[F.struct(
+        F.count(F.col(c)).alias("n"), F.count_if(F.col(c) == -inf).alias("below"), F.count(finite[c]).alias("inside"),
+        F.min(finite[c]).alias("lo"), F.max(finite[c]).alias("hi")).alias(c) for c in cols]).first()
+    places = {c: [p * (ends[c]["n"] - 1) for p in probs] if ends[c]["n"] else [] for c in cols}
+    wanted = {c: {r - ends[c]["below"] for x in places[c] for r in (math.floor(x), math.ceil(x))
+                  if 0 <= r - ends[c]["below"] < ends[c]["inside"]} for c in cols}
+    found = _select_ranks(values, wanted, {c: (ends[c]["lo"], ends[c]["hi"]) for c in cols}, intervals)
+
+    def at(c: str, rank: int) -> float:
+        inside = rank - ends[c]["below"]
+        return -inf if inside < 0 else inf if inside >= ends[c]["inside"] else found[c, inside]
 
+    def between(c: str, x: float) -> float:
+        lo, hi = math.floor(x), math.ceil(x)
+        return at(c, lo) if lo == hi or at(c, lo) == at(c, hi) else (hi - x) * at(c, lo) + (x - lo) * at(c, hi)
 
-def scalar_row(one_row: DataFrame) -> Column:
-    """The single row of ``one_row`` as a struct-valued scalar subquery."""
-    return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+    return {c: [between(c, x) for x in places[c]] if places[c] else [None] * len(probs) for c in cols}

@@ -140,14 +140,19 @@ def threat_leaderboard(scored: DataFrame, top_n: int = 10) -> DataFrame:
 def hourly_attack_counts(scored: DataFrame) -> DataFrame:
     """A10: attack rows per hour from the first to the last attack hour, gaps as 0.
 
-    The hour grid is generated from the one-row min/max (its size is the time
-    span in hours, independent of row count) and left-joined to the counts.
+    The hour grid depends on the time span alone, which ``parse_timestamp`` bounds;
+    it is expanded by day first, then by hour, and left-joined to the counts.
     """
     counts = (_with_ts(_attacks(scored).select("timestamp", "predicted_label"))
               .groupBy(_hour().alias("hour")).agg(F.count(F.lit(1)).alias("_n")))
     grid = (counts.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
             .where(F.col("lo").isNotNull())
-            .select("lo", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour")))
+            .select("lo", "hi", F.explode(F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"),
+                                                     F.expr("INTERVAL 1 DAY"))).alias("day"))
+            .select("lo", "hi", F.explode(F.transform(
+                F.sequence(F.lit(0), F.lit(23)),
+                lambda h: F.col("day") + F.make_dt_interval(F.lit(0), h))).alias("hour"))
+            .where(F.col("hour").between(F.col("lo"), F.col("hi"))).drop("hi"))
     idx = F.timestamp_diff("HOUR", F.col("lo"), F.col("hour")).cast("bigint")
     return (grid.join(counts, "hour", "left")
             .select(idx.alias("hour_index"), F.col("hour").cast("timestamp_ntz").alias("hour"),
@@ -161,12 +166,17 @@ def attack_forecast(scored: DataFrame, horizon: int = 6, min_attacks: int = 5,
     Empty when there are fewer than ``min_attacks`` attacks (with a valid
     timestamp) or fewer than ``min_hours`` hours; negative forecasts clip to 0.
     """
-    hourly = hourly_attack_counts(scored)
-    fit = hourly.agg(
-        F.sum("count").alias("n_attacks"), F.count(F.lit(1)).alias("n_hours"),
-        F.max("hour").alias("last_hour"),
-        F.regr_slope(F.col("count").cast("double"), F.col("hour_index").cast("double")).alias("slope"),
-        F.regr_intercept(F.col("count").cast("double"), F.col("hour_index").cast("double")).alias("intercept"))
+    counts = (_with_ts(_attacks(scored).select("timestamp", "predicted_label"))
+              .groupBy(_hour().alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("y")))
+    first = counts.agg(F.min("hour")).scalar()
+    x = F.timestamp_diff("HOUR", first, F.col("hour")).cast("double")
+    sums = counts.agg(F.sum("y").alias("n_attacks"), F.max("hour").cast("timestamp_ntz").alias("last_hour"),
+                      (F.max(x) + 1).alias("n_hours"), F.sum(x * F.col("y")).alias("xy"))
+    # Empty hours add nothing to the sums with y; the sums of x and x * x have a closed form.
+    n, total = F.col("n_hours"), F.col("n_attacks")
+    sum_x, sum_xx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+    slope = F.try_divide(n * F.col("xy") - sum_x * total, n * sum_xx - sum_x * sum_x)
+    fit = sums.withColumn("slope", slope).withColumn("intercept", (total - F.col("slope") * sum_x) / n)
     steps = fit.where((F.col("n_attacks") >= min_attacks) & (F.col("n_hours") >= min_hours)) \
                .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     x = (F.col("n_hours") - 1 + F.col("step")).cast("double")
@@ -226,9 +236,9 @@ def classified_preview(scored: DataFrame, n: int = 200) -> DataFrame:
         round_half_even("attack_type_confidence", 3).alias("confidence")))
 
 
-def preview_type_counts(scored: DataFrame, n: int = 200) -> DataFrame:
-    """Predicted type counts over the A17 preview."""
-    return (classified_preview(scored, n).groupBy(F.col("predicted_attack_type").alias("attack_type"))
+def preview_type_counts(scored: DataFrame) -> DataFrame:
+    """Predicted type counts over all detected rows."""
+    return (_attacks(scored).groupBy(F.col("attack_type_predicted").alias("attack_type"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 

@@ -4,11 +4,10 @@ Published algorithm (Liu, Ting, Zhou 2008): each tree isolates a random
 subsample of psi rows with random axis-parallel cuts; short average paths
 mean anomalies. Built as Spark jobs:
 
-1. a hashed pool of at most ``POOL_ROWS`` rows (a fraction of the table, so
-   its size is bounded whatever the input size);
-2. every pool row is offered to every tree and ``row_number() <= psi`` per
-   tree keeps the tree's sample (a per-partition group limit runs before
-   the shuffle);
+1. every tree draws from all rows: a row joins a tree if the pair's hash is
+   below a share a little above psi / n, so about 1.5 psi rows a tree are left
+   whatever n is, and only these rows are emitted;
+2. ``row_number() <= psi`` per tree keeps the tree's sample;
 3. ``groupBy(tree).applyInPandas`` grows each tree on its psi rows;
 4. the node table (at most trees x (2 psi - 1) rows: a model of fixed
    size) is broadcast, and a vectorised pandas UDF walks all trees for
@@ -26,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loghawk import constants as C
-from loghawk.functions.stats import quantile_expr
+from loghawk.functions.stats import quantiles
 
-POOL_ROWS = 20_000
+HASH_STEPS = 1 << 40
 _EULER = 0.5772156649015329
 
 NODE_SCHEMA = T.StructType([
@@ -141,12 +140,17 @@ def fit_isolation_forest(df: DataFrame, feature_cols: list[str], n_trees: int =
     n = df.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    frac = min(1.0, POOL_ROWS / max(n, 1))
-    u = (F.abs(F.xxhash64(F.col(id_col), F.lit(seed))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pool = df.where(u < F.lit(frac)).select(id_col, *feature_cols)
-    offered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    pick = F.row_number().over(Window.partitionBy("tree").orderBy(
-        F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed)), F.col(id_col)))
+    if n == 0:
+        raise ValueError("an isolation forest needs rows")
+    # 64 over half as many again: fewer than psi hits is beyond nine standard deviations.
+    below = int(min(1.0, (1.5 * psi + 64) / n) * HASH_STEPS)
+
+    def draw(tree):
+        return F.pmod(F.xxhash64(F.col(id_col), tree, F.lit(seed)), F.lit(HASH_STEPS))
+
+    hits = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda tree: draw(tree) < below)
+    offered = df.select(id_col, *feature_cols, F.explode(hits).alias("tree"))
+    pick = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), F.col(id_col)))
     samples = offered.withColumn("_pick", pick).where(F.col("_pick") <= psi).drop("_pick")
     nodes = samples.groupBy("tree").applyInPandas(_builder(feature_cols, max_depth, seed), NODE_SCHEMA)
     return IsolationForestModel(nodes.toPandas(), psi, feature_cols)
@@ -175,10 +179,9 @@ def normalise_scores(df: DataFrame, raw_col: str = "iso_score", out_col: str = "
 
 
 def flag_anomalies(df: DataFrame, raw_col: str = "iso_score",
-                   contamination: float = C.DEFAULT_CONTAMINATION, out_col: str = "is_anomaly",
-                   approx: bool = False) -> DataFrame:
+                   contamination: float = C.DEFAULT_CONTAMINATION, out_col: str = "is_anomaly") -> DataFrame:
     """The most anomalous ``contamination`` share (strictly above the cut)."""
-    cut = df.agg(quantile_expr(raw_col, [1.0 - contamination], approx)[0]).scalar()
-    return df.withColumn(out_col, F.coalesce(F.col(raw_col) > cut, F.lit(False)))
+    cut = quantiles(df, [raw_col], [1.0 - contamination])[raw_col][0]
+    return df.withColumn(out_col, F.coalesce(F.col(raw_col) > F.lit(cut), F.lit(False)))
 
 

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loghawk import constants as C
@@ -21,12 +21,18 @@ from loghawk.functions import portable_hash, round_half_even
 from loghawk.operators.prepare import cut_lineage
 
 SPLIT_BITS = 16
+#: Labels of a classifier; each is a column of the model's output.
+MAX_CLASSES = 1000
 HASH_BITS = 60
 
 
 def binary_label(df: DataFrame, label_col: str = "attack_type", out_col: str = "y") -> DataFrame:
-    """M1: 1 for anything but "Normal" (a missing label, "Unknown", is an attack)."""
-    return df.withColumn(out_col, F.when(F.col(label_col) != "Normal", 1).otherwise(0).cast("int"))
+    """M1: 1 for anything but "Normal" (a missing label, null or "Unknown", is an attack)."""
+    return df.withColumn(out_col, F.when(is_attack_label(label_col), 1).otherwise(0).cast("int"))
+
+
+def is_attack_label(label_col: str) -> Column:
+    return ~F.col(label_col).eqNullSafe("Normal")
 
 
 def class_guard(df: DataFrame, y_col: str = "y") -> DataFrame:
@@ -38,7 +44,7 @@ def class_guard(df: DataFrame, y_col: str = "y") -> DataFrame:
 def classifier_guard(df: DataFrame, label_col: str = "attack_type",
                      min_rows: int = C.MIN_CLASSIFIER_ROWS) -> DataFrame:
     """One row over the true attack rows: rows, labels, trainable."""
-    attacks = df.where(F.col(label_col) != "Normal")
+    attacks = df.where(is_attack_label(label_col))
     return attacks.agg(F.count(F.lit(1)).alias("attack_rows"),
                        F.countDistinct(label_col).alias("attack_labels")) \
                   .withColumn("trainable", (F.col("attack_rows") >= min_rows) & (F.col("attack_labels") >= 2))
@@ -67,7 +73,9 @@ def stratified_split(df: DataFrame, strata_col: str | None, test_fraction: float
         "_through": F.sum("_c").over(running)})
         .withColumn("_before", F.col("_through") - F.col("_c"))
         .select("_s", "_b", "_k", "_through", "_before"))
-    joined = keyed.join(plan, ["_s", "_b"])
+    plan = plan.select(F.col("_s").alias("_ps"), F.col("_b").alias("_pb"), "_k", "_through", "_before")
+    same = keyed["_s"].eqNullSafe(plan["_ps"]) & (keyed["_b"] == plan["_pb"])  # null is a stratum of its own
+    joined = keyed.join(plan, same).drop("_ps", "_pb")
     boundary = (F.col("_before") < F.col("_k")) & (F.col("_through") > F.col("_k"))
     whole = joined.where(~boundary).withColumn("is_test", F.col("_through") <= F.col("_k"))
     rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", id_col))
@@ -75,37 +83,30 @@ def stratified_split(df: DataFrame, strata_col: str | None, test_fraction: float
     return whole.unionByName(edge).drop("_s", "_h", "_b", "_k", "_through", "_before")
 
 
-ROWS_PER_TRAIN_PARTITION = 500_000
-MIN_ROWS_PER_TRAIN_PARTITION = 2_000
+MIN_TRAIN_ROWS, MAX_TRAIN_ROWS, WIDE_TRAIN_PARTITIONS = 10_000, 500_000, 2_000
 
 
-def training_partitions(n_rows: int, parallelism: int, rows_per_partition: int = ROWS_PER_TRAIN_PARTITION,
-                        min_rows: int = MIN_ROWS_PER_TRAIN_PARTITION) -> int:
-    """Partitions for a training set of ``n_rows``.
+def training_partitions(n_rows: int) -> int:
+    """Partitions for a training set: a function of its rows alone.
 
-    At least one per ``rows_per_partition`` rows (large inputs keep their
-    parallelism); and, while every partition keeps ``min_rows``, at least one
-    per core: a forest level over one partition runs on one core, which made a
-    80-tree forest 4x slower at 76k rows (measured: 52 s on 1 partition, 13 s
-    on 8).
+    One per 10,000 rows up to 2,000 partitions, then one per 500,000. Bagging is
+    seeded by partition, so a count that followed the cores would make the same
+    data and seed give another model on another machine.
     """
-    by_size = math.ceil(n_rows / rows_per_partition)
-    by_cores = min(parallelism, n_rows // min_rows)
-    return max(1, by_size, by_cores)
+    wide = min(math.ceil(n_rows / MIN_TRAIN_ROWS), WIDE_TRAIN_PARTITIONS)
+    return max(1, wide, math.ceil(n_rows / MAX_TRAIN_ROWS))
 
 
-def training_frame(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_TRAIN_PARTITION) -> DataFrame:
-    """Cache a training set with partitions sized to its rows and the cluster's cores.
+def training_frame(df: DataFrame, n_rows: int, id_col: str = "row_id", seed: int = C.MODEL_SEED) -> DataFrame:
+    """Cache a training set, its rows placed and ordered by a hash of their ids.
 
-    Tree learners run several jobs per tree level: tiny partitions make those
-    jobs all overhead, a single partition leaves the other cores idle. Too
-    many partitions are merged without a shuffle; too few are spread with one
-    round-robin shuffle of the (feature, label) rows.
+    However the input is partitioned, the same rows meet in the same partition in
+    the same order, so a fit depends on the data and the seed alone.
     """
-    want = training_partitions(n_rows, df.sparkSession.sparkContext.defaultParallelism, rows_per_partition)
-    have = df.rdd.getNumPartitions()
-    out = df.coalesce(want) if want < have else df.repartition(want) if want > have else df
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = training_partitions(n_rows)
+    key = portable_hash(id_col, seed)
+    placed = df.repartition(parts, F.pmod(key, F.lit(parts))).sortWithinPartitions(key, id_col)
+    return placed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _p1(prob_col: str = "probability"):
@@ -132,7 +133,7 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
     from concurrent.futures import ThreadPoolExecutor
 
     from loghawk.session import run_in_pool
-    sel = df.where(~F.col("is_test")).select(features_col, y_col)
+    sel = df.where(~F.col("is_test")).select("row_id", features_col, y_col)
     train = training_frame(sel, sel.count())
     rf_est = RandomForestClassifier(featuresCol=features_col, labelCol=y_col, numTrees=rf_trees,
                                     maxDepth=rf_depth, seed=seed, probabilityCol="rf_prob",
@@ -156,7 +157,7 @@ def fit_detector(df: DataFrame, which: str, features_col: str = "features", y_co
                  rf_trees: int = C.RF_TREES, rf_depth: int = C.RF_DEPTH, gbt_rounds: int = C.GBT_ROUNDS,
                  gbt_depth: int = C.GBT_DEPTH, gbt_step: float = C.GBT_STEP, seed: int = C.MODEL_SEED):
     """M4 (``which="random_forest"``) or M5 (``"gbt"``) alone, on the training split."""
-    sel = df.where(~F.col("is_test")).select(features_col, y_col)
+    sel = df.where(~F.col("is_test")).select("row_id", features_col, y_col)
     train = training_frame(sel, sel.count())
     try:
         if which == "random_forest":
@@ -234,8 +235,8 @@ def detect_attacks(df: DataFrame, features_col: str = "features", label_col: str
         fallback = labelled.withColumns({
             "attack_probability": F.col("y").cast("double"), "ensemble_pred": F.col("y")})
         return Detection(scored=fallback, metrics=None, warning=(
-            "Dataset contains only one class (all Normal or all Attack). Detection metrics "
-            "require both classes; upload a more varied dataset or use the synthetic generator."))
+            "All labels fall in one class, so no detector was trained: the labels stand in for "
+            "predictions and there are no metrics."))
     split = cut_lineage(stratified_split(labelled, "y", seed=seed))
     rf, gbt = fit_detectors(split, features_col, seed=seed, on_fit=on_fit, **params)
     out = gbt.transform(rf.transform(split))
@@ -262,22 +263,27 @@ def classify_attacks(df: DataFrame, features_col: str = "features", label_col: s
                      seed: int = C.MODEL_SEED, apply_to: DataFrame | None = None) -> Classification:
     """Multiclass forest on the true attack rows; class probabilities for all rows.
 
-    Labels are coded alphabetically. The 75/25 split is stratified by label
-    unless some label has a single row, then unstratified.
+    Labels are coded alphabetically; a missing label is "Unknown". The 75/25 split is
+    stratified by label where that is possible: every label has two rows, and either
+    part has room for every label. One count per label decides all of it.
     """
-    guard = classifier_guard(df, label_col).first()
-    if not guard["trainable"]:
+    df = df.withColumn(label_col, F.coalesce(F.col(label_col), F.lit("Unknown")))
+    attacks = df.where(is_attack_label(label_col))
+    by_label = attacks.groupBy(label_col).count()
+    size = by_label.agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("labels"), F.min("count").alias("least")).first()
+    if (size["rows"] or 0) < C.MIN_CLASSIFIER_ROWS or size["labels"] < 2:
         return Classification(None, [], None, warning=(
-            "Not enough labeled attack diversity to train a reliable classifier. "
-            "Probability scores shown are heuristic, not model-based."))
-    attacks = df.where(F.col(label_col) != "Normal")
-    indexer = StringIndexer(inputCol=label_col, outputCol="_cls", stringOrderType="alphabetAsc").fit(attacks)
+            "Too few attack rows or attack labels for a type classifier; types and confidences "
+            "come from the labels."))
+    if size["labels"] > MAX_CLASSES:
+        raise ValueError(f"{size['labels']} attack labels; a forest holds one probability a label and takes {MAX_CLASSES}")
+    test_rows = math.ceil(C.TEST_FRACTION * size["rows"])
+    stratified = size["least"] >= 2 and min(test_rows, size["rows"] - test_rows) >= size["labels"]
+    indexer = StringIndexer(inputCol=label_col, outputCol="_cls", stringOrderType="alphabetAsc").fit(by_label)
     names = list(indexer.labels)
-    smallest = attacks.groupBy(label_col).count().agg(F.min("count")).first()[0]
-    split = cut_lineage(stratified_split(indexer.transform(attacks), label_col if smallest >= 2 else None,
-                                         seed=seed))
-    sel = split.where(~F.col("is_test")).select(features_col, "_cls")
-    train = training_frame(sel, guard["attack_rows"])
+    split = cut_lineage(stratified_split(indexer.transform(attacks), label_col if stratified else None, seed=seed))
+    sel = split.where(~F.col("is_test")).select("row_id", features_col, "_cls")
+    train = training_frame(sel, size["rows"] - test_rows)
     try:
         rf = RandomForestClassifier(featuresCol=features_col, labelCol="_cls", numTrees=trees, maxDepth=depth,
                                     seed=seed, probabilityCol="_cprob", rawPredictionCol="_craw",
@@ -286,7 +292,7 @@ def classify_attacks(df: DataFrame, features_col: str = "features", label_col: s
         train.unpersist()
     accuracy = (rf.transform(split.where(F.col("is_test")))
                 .agg(round_half_even(F.avg((F.col("_cpred") == F.col("_cls")).cast("double")), 4)
-                     .alias("accuracy")))
+                     .alias("accuracy"), F.count(F.lit(1)).alias("test_rows")))
     scored = rf.transform(apply_to if apply_to is not None else df) \
                .withColumn("class_probability", vector_to_array(F.col("_cprob"))) \
                .drop("_cprob", "_craw", "_cpred")
@@ -309,7 +315,8 @@ def assign_attack_type(df: DataFrame, class_names: list[str] | None, pred_col: s
         kind = F.element_at(names, pos.cast("int"))
         conf = F.array_max(probs)
     else:
-        kind = F.when(F.col(label_col) != "Normal", F.col(label_col)).otherwise(F.lit("Unknown Threat"))
+        kind = F.when(is_attack_label(label_col), F.coalesce(F.col(label_col), F.lit("Unknown"))) \
+            .otherwise(F.lit("Unknown Threat"))
         conf = F.lit(0.5)
     return df.withColumns({
         "attack_type_predicted": F.when(detected, kind).otherwise(F.lit("Normal")),

@@ -1,8 +1,8 @@
 """Scan history queries (H1-H13) over the store tables.
 
 Tables: ``users``, ``scans``, ``scan_events`` (partitioned by scan_id),
-``incident_reports`` (partitioned by scan_id), ``audit_log`` and the
-``deleted_scans`` tombstones. Every function is DataFrame -> DataFrame.
+``incident_reports`` (partitioned by scan_id) and ``audit_log``. Every
+function is DataFrame -> DataFrame.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("high_count", T.LongType()), T.StructField("medium_count", T.LongType()),
     T.StructField("low_count", T.LongType()),
     T.StructField("classification_classes", T.ArrayType(T.StringType())),
+    T.StructField("detection_metrics", T.ArrayType(T.StructType([
+        T.StructField("model", T.StringType()), T.StructField("accuracy", T.DoubleType()),
+        T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType()),
+        T.StructField("f1", T.DoubleType())]))),
+    T.StructField("classification_accuracy", T.DoubleType()),
 ])
 
 
@@ -45,7 +50,7 @@ def all_scans(scans: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def without_deleted(df: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
-    """H4 (read side): rows whose scan is not tombstoned (left anti join)."""
+    """H4: rows whose scan is not among the deleted ones (left anti join)."""
     return df.join(deleted.select(F.col("scan_id").alias(key)).distinct(), key, "left_anti")
 
 

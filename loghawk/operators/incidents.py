@@ -9,7 +9,6 @@ from loghawk import constants as C
 from loghawk.functions import round_half_even, severity_rank
 
 GROUP_KEYS = ["attack_type_predicted", "severity"]
-MAX_LISTED_IPS = 10
 
 
 def flag_incident_rows(scored: DataFrame, min_severity: str = "High") -> DataFrame:
@@ -18,8 +17,8 @@ def flag_incident_rows(scored: DataFrame, min_severity: str = "High") -> DataFra
     return scored.where((F.col("predicted_label") == "Attack") & (severity_rank("severity") >= threshold))
 
 
-def first_sorted_distinct(rows: DataFrame, keys: list[str], value: str, n: int, out: str) -> DataFrame:
-    """Per group of ``keys``: the ``n`` smallest distinct ``value`` s, sorted, as an array.
+def first_sorted_distinct(rows: DataFrame, keys: list[str], value: str, n: int, out: str, count: str) -> DataFrame:
+    """Per group of ``keys``: the ``n`` smallest distinct ``value`` s, sorted, as an array; the number of all.
 
     Distinct (key, value) pairs come from a partial-aggregated group-by; the
     ``row_number() <= n`` filter is planned with a per-partition group limit
@@ -28,8 +27,9 @@ def first_sorted_distinct(rows: DataFrame, keys: list[str], value: str, n: int,
     """
     pairs = rows.select(*keys, value).distinct()
     ranked = pairs.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    return (ranked.where(F.col("_rk") <= n).groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(value)).alias(out)))
+    lists = (ranked.where(F.col("_rk") <= n).groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(value)).alias(out)))
+    return lists.join(pairs.groupBy(*keys).agg(F.count(value).alias(count)), keys)
 
 
 def actions_for(threat_type: Column) -> Column:
@@ -40,23 +40,25 @@ def actions_for(threat_type: Column) -> Column:
 
 
 def incident_records(scored: DataFrame, scan_id: int, min_severity: str = "High",
-                     year: int | None = None) -> DataFrame:
+                     year: int | None = None, listed: int = C.LISTED_ADDRESSES) -> DataFrame:
     """One record per (predicted type, severity) of the flagged rows.
 
     Columns: incident_id, threat_type, severity, event_count, affected_assets,
-    source_ips (first 10 sorted distinct each), avg_threat_score (2 dp),
-    recommended_actions, first_seen, last_seen, incident_order.
+    source_ips (first ``listed`` sorted distinct each), asset_count, source_count (all
+    distinct ones), avg_threat_score (2 dp), recommended_actions, first_seen, last_seen,
+    incident_order. The flagged rows are read once, into one row per type, severity,
+    source and destination; totals and both lists come from that.
     Incident numbers follow the (type, severity) order; records are ordered
     by severity descending, then number.
     """
-    flagged = flag_incident_rows(scored, min_severity)
-    stats = flagged.groupBy(*GROUP_KEYS).agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.avg("threat_score").alias("_avg"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"))
-    assets = first_sorted_distinct(flagged, GROUP_KEYS, "destination_ip", MAX_LISTED_IPS, "affected_assets")
-    sources = first_sorted_distinct(flagged, GROUP_KEYS, "source_ip", MAX_LISTED_IPS, "source_ips")
+    flows = flag_incident_rows(scored, min_severity).groupBy(*GROUP_KEYS, "source_ip", "destination_ip").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("threat_score").alias("_sum"), F.count("threat_score").alias("_scored"),
+        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    stats = flows.groupBy(*GROUP_KEYS).agg(
+        F.sum("_n").alias("event_count"), (F.sum("_sum") / F.sum("_scored")).alias("_avg"),
+        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"))
+    assets = first_sorted_distinct(flows, GROUP_KEYS, "destination_ip", listed, "affected_assets", "asset_count")
+    sources = first_sorted_distinct(flows, GROUP_KEYS, "source_ip", listed, "source_ips", "source_count")
     groups = stats.join(assets, GROUP_KEYS).join(sources, GROUP_KEYS)
     # Few rows (one per type x severity): numbering them needs no partitioning.
     number = F.row_number().over(Window.orderBy(*GROUP_KEYS))
@@ -69,7 +71,7 @@ def incident_records(scored: DataFrame, scan_id: int, min_severity: str = "High"
         F.format_string("INC-%d-%04d-%03d", yr, F.lit(scan_id), F.col("_n")).alias("incident_id"),
         F.col("attack_type_predicted").alias("threat_type"), "severity",
         F.col("event_count").cast("bigint").alias("event_count"),
-        "affected_assets", "source_ips",
+        "affected_assets", "source_ips", "asset_count", "source_count",
         round_half_even("_avg", 2).alias("avg_threat_score"),
         actions_for(F.col("attack_type_predicted")).alias("recommended_actions"),
         "first_seen", "last_seen", "incident_order")
@@ -88,9 +90,7 @@ def executive_summary(metrics: DataFrame) -> DataFrame:
     pct = F.when(F.col("total_logs") > 0,
                  round_half_even(F.col("attack_count") / F.col("total_logs") * F.lit(100.0), 1)).otherwise(F.lit(0.0))
     m = metrics.withColumn("attack_pct", pct)
-    items = [("Total Logs Analyzed", "total_logs"), ("Detected Attacks", "attack_count"),
-             ("Attack Percentage", "attack_pct"), ("Critical", "critical_count"),
-             ("High", "high_count"), ("Medium", "medium_count"), ("Low", "low_count")]
+    items = C.SUMMARY_ITEMS
     parts = ", ".join(f"{i}, '{label}', CAST(`{c}` AS DOUBLE)" for i, (label, c) in enumerate(items))
     return m.selectExpr(f"stack({len(items)}, {parts}) AS (position, metric, value)") \
             .withColumn("position", F.col("position").cast("int"))
@@ -100,9 +100,7 @@ def incident_summary(metrics: DataFrame, incidents: DataFrame) -> DataFrame:
     """Totals for the incident report: logs, attacks, critical, high, incidents."""
     n_inc = incidents.agg(F.count(F.lit(1))).scalar()
     m = metrics.withColumn("incident_count", n_inc)
-    items = [("Total Logs Analyzed", "total_logs"), ("Detected Attacks", "attack_count"),
-             ("Critical Threats", "critical_count"), ("High Severity Threats", "high_count"),
-             ("Total Incidents Reported", "incident_count")]
+    items = C.INCIDENT_SUMMARY_ITEMS
     parts = ", ".join(f"{i}, '{label}', CAST(`{c}` AS BIGINT)" for i, (label, c) in enumerate(items))
     return m.selectExpr(f"stack({len(items)}, {parts}) AS (position, metric, value)") \
             .withColumn("position", F.col("position").cast("int"))

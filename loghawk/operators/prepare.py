@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loghawk import constants as C
 from loghawk.functions import parse_number
-from loghawk.functions.stats import quantile_expr
+from loghawk.functions.stats import quantiles
 
 FEATURE_COLUMNS = [f"{c}_scaled" for c in C.NUMERIC_COLUMNS] + ["protocol_encoded"]
 
@@ -28,11 +28,10 @@ def coerce_numeric(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
     return df.withColumns({c: parse_number(c) for c in cols})
 
 
-def fill_median(df: DataFrame, cols=C.NUMERIC_COLUMNS, approx: bool = False) -> DataFrame:
+def fill_median(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
     """Nulls -> the column median of the non-null values; all-null column -> 0."""
-    med = df.agg(*[quantile_expr(c, [0.5], approx)[0].alias(c) for c in cols])
-    m = med.select(F.struct(*cols)).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), m[c], F.lit(0.0)) for c in cols})
+    found = quantiles(df, cols, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(found[c][0] if found[c][0] is not None else 0.0)) for c in cols})
 
 
 def fill_unknown(df: DataFrame, cols=C.TEXT_FILL_COLUMNS) -> DataFrame:
@@ -102,38 +101,43 @@ def dedup_first(df: DataFrame, keys=C.REQUIRED_COLUMNS, order_col: str = "row_id
     return out.select(*df.columns)
 
 
-def flag_outliers(df: DataFrame, cols=C.NUMERIC_COLUMNS, approx: bool = False,
-                  out_col: str = "is_outlier") -> DataFrame:
-    """Outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] in any column (strict)."""
-    q = df.agg(*[quantile_expr(c, [0.25, 0.75], approx).alias(c) for c in cols])
-    qs = q.select(F.struct(*cols)).scalar()
+def outlier_condition(found: dict[str, list[float | None]], cols=C.NUMERIC_COLUMNS) -> Column:
+    """P7's condition from the quartiles; columns without values have no outliers."""
     cond = F.lit(False)
     for c in cols:
-        q1, q3 = qs[c][0], qs[c][1]
-        iqr = q3 - q1
-        cond = cond | (F.col(c) < q1 - F.lit(1.5) * iqr) | (F.col(c) > q3 + F.lit(1.5) * iqr)
-    return df.withColumn(out_col, F.coalesce(cond, F.lit(False)))
+        q1, q3 = found[c][0], found[c][-1]
+        if q1 is not None:
+            reach = 1.5 * (q3 - q1)
+            cond = cond | (F.col(c) < F.lit(q1 - reach)) | (F.col(c) > F.lit(q3 + reach))
+    return F.coalesce(cond, F.lit(False))
+
 
+def flag_outliers(df: DataFrame, cols=C.NUMERIC_COLUMNS, out_col: str = "is_outlier") -> DataFrame:
+    """Outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] in any column (strict)."""
+    return df.withColumn(out_col, outlier_condition(quantiles(df, cols, [0.25, 0.75]), cols))
 
-def fit_protocol_encoder(df: DataFrame, col: str = "protocol") -> StringIndexerModel:
-    """P8 (fit): sorted distinct strings -> 0..k-1 (the model holds the label list)."""
-    return StringIndexer(inputCol=col, outputCol=f"{col}_encoded_d",
-                         stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
 
+def protocol_codes(df: DataFrame, col: str = "protocol") -> DataFrame:
+    """P8 (fit): (value, ``<col>_encoded``): the distinct values numbered 0..k-1 in order.
 
-def encode_protocol(df: DataFrame, encoder: StringIndexerModel | None = None,
-                    col: str = "protocol") -> DataFrame:
-    """Label-encode ``col`` into ``<col>_encoded`` (int)."""
-    model = encoder or fit_protocol_encoder(df, col)
-    return (model.transform(df).withColumn(f"{col}_encoded", F.col(f"{col}_encoded_d").cast("int"))
-            .drop(f"{col}_encoded_d"))
+    The values are free text, so their number is unbounded: they are sorted by
+    range, numbered within a partition, and shifted by the sizes of the partitions
+    before it (one row a partition).
+    """
+    part = F.spark_partition_id()
+    ranged = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col) \
+        .select(col, part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    ranged = cut_lineage(ranged)  # the partitions must not change between the two readings
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(starts, "_part").select(
+        col, (F.col("_before") + F.col("_id") - F.col("_first")).cast("int").alias(f"{col}_encoded"))
 
 
-def encode_protocol_lazy(df: DataFrame, col: str = "protocol") -> DataFrame:
-    """P8 without a fitted model: dense rank over the distinct values (small table)."""
-    codes = (df.select(col).distinct()
-             .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(f"{col}_encoded")))
-    return df.join(codes, col, "left")
+def encode_protocol(df: DataFrame, codes: DataFrame | None = None, col: str = "protocol") -> DataFrame:
+    """Label-encode ``col`` into ``<col>_encoded`` (int); a value without a code stays null."""
+    return df.join(codes if codes is not None else protocol_codes(df, col), col, "left")
 
 
 def scale_features(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
@@ -156,7 +160,7 @@ def feature_vector(df: DataFrame, out_col: str = "features") -> DataFrame:
 class Prepared:
     clean: DataFrame
     report: DataFrame
-    encoder: StringIndexerModel | None
+    codes: DataFrame
 
 
 def missing_after_coercion(df: DataFrame) -> DataFrame:
@@ -169,30 +173,15 @@ def missing_after_coercion(df: DataFrame) -> DataFrame:
                   F.count(F.lit(1)).alias("original_rows"))
 
 
-def dedup_stats(df: DataFrame, cols=C.NUMERIC_COLUMNS, approx: bool = False) -> DataFrame:
-    """One aggregate for P7 and P9: quartiles, mean and population std per column."""
-    return df.agg(*[F.struct(quantile_expr(c, [0.25, 0.75], approx).alias("q"),
-                             F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+def outlier_and_scale(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
+    """P7 + P9."""
+    return scale_features(flag_outliers(df, cols), cols)
 
 
-def outlier_and_scale(df: DataFrame, cols=C.NUMERIC_COLUMNS, approx: bool = False) -> DataFrame:
-    """P7 + P9 from one statistics pass (attached as one scalar subquery)."""
-    st = dedup_stats(df, cols, approx)
-    s = st.select(F.struct(*cols)).scalar()
-    cond = F.lit(False)
-    out = {}
-    for c in cols:
-        q1, q3 = s[c]["q"][0], s[c]["q"][1]
-        cond = cond | (F.col(c) < q1 - F.lit(1.5) * (q3 - q1)) | (F.col(c) > q3 + F.lit(1.5) * (q3 - q1))
-        sd = s[c]["s"]
-        out[f"{c}_scaled"] = (F.col(c) - s[c]["m"]) / F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-    return df.withColumn("is_outlier", F.coalesce(cond, F.lit(False))).withColumns(out)
-
-
-def fill_and_dedup(raw: DataFrame, approx: bool = False) -> DataFrame:
-    """P1-P6 as one lazy plan (ends in the dedup shuffle)."""
+def fill_and_dedup(raw: DataFrame) -> DataFrame:
+    """P1-P6 (ends in the dedup shuffle)."""
     df = coerce_numeric(raw)
-    df = fill_median(df, approx=approx)
+    df = fill_median(df)
     df = fill_unknown(df)
     df = forward_back_fill(df, "timestamp")
     df = fill_label(df)
@@ -200,25 +189,28 @@ def fill_and_dedup(raw: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    The copy survives lost executors, and later reads prune columns and push filters.
+    ``loghawk.session.drop_scratch`` removes the copies of a session.
+    """
     if not checkpoint:
         return df
-    from loghawk.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from loghawk.session import scratch_path
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_logs(raw: DataFrame, approx: bool = False, checkpoint: bool = True,
-               encoder: StringIndexerModel | None = None) -> DataFrame:
+def clean_logs(raw: DataFrame, checkpoint: bool = True, codes: DataFrame | None = None) -> DataFrame:
     """The cleaned table.
 
     The deduplicated table is checkpointed: the outlier/scaling statistics
     and the final projection then read it instead of re-running the fills
     and the dedup shuffle.
     """
-    dd = cut_lineage(fill_and_dedup(raw, approx), checkpoint)
-    enc = encode_protocol(dd, encoder) if encoder is not None else encode_protocol_lazy(dd)
-    return outlier_and_scale(enc, approx=approx)
+    dd = cut_lineage(fill_and_dedup(raw), checkpoint)
+    return outlier_and_scale(encode_protocol(dd, codes))
 
 
 def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
@@ -234,9 +226,9 @@ def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
     ).withColumn("columns", F.lit(", ".join(clean.columns)))
 
 
-def preprocess(raw: DataFrame, approx: bool = False, checkpoint: bool = True) -> Prepared:
-    """The whole cleaning step: cleaned table, quality report and fitted encoder."""
-    dd = cut_lineage(fill_and_dedup(raw, approx), checkpoint)
-    encoder = fit_protocol_encoder(dd)
-    clean = outlier_and_scale(encode_protocol(dd, encoder), approx=approx)
-    return Prepared(clean=clean, report=quality_report(raw, clean), encoder=encoder)
+def preprocess(raw: DataFrame, checkpoint: bool = True) -> Prepared:
+    """The whole cleaning step: cleaned table, quality report and protocol codes."""
+    dd = cut_lineage(fill_and_dedup(raw), checkpoint)
+    codes = protocol_codes(dd)
+    clean = cut_lineage(outlier_and_scale(encode_protocol(dd, codes)), checkpoint)
+    return Prepared(clean=clean, report=quality_report(raw, clean), codes=codes)

@@ -34,20 +34,25 @@ def threat_scores(df: DataFrame, probability_col: str = "attack_probability",
 
     Severity buckets the unrounded score.
     """
+    return blend(frequency_score(df, out_col="_freq"), "_freq", probability_col, anomaly_col, type_col)
+
+
+def blend(df: DataFrame, frequency_col: str, probability_col: str = "attack_probability",
+          anomaly_col: str = "anomaly_score", type_col: str = "attack_type_predicted") -> DataFrame:
+    """T2-T4 on rows that have their frequency; that column is replaced by the published one."""
     w = C.BLEND_WEIGHTS
-    scored = frequency_score(df, out_col="_freq")
     sev_w = severity_weight(F.col(type_col))
     raw = (F.lit(w["attack"]) * (clip(probability_col, 0.0, 1.0) * F.lit(100.0))
            + F.lit(w["anomaly"]) * clip(anomaly_col, 0.0, 100.0)
-           + F.lit(w["frequency"]) * F.col("_freq")
+           + F.lit(w["frequency"]) * F.col(frequency_col)
            + F.lit(w["severity"]) * sev_w)
     raw = clip(raw, 0.0, 100.0)
-    return (scored.withColumns({
-        "frequency_score": round_half_even("_freq", 2),
+    return (df.withColumns({
+        "frequency_score": round_half_even(frequency_col, 2),
         "severity_weight": round_half_even(sev_w, 2),
         "threat_score": round_half_even(raw, 2),
         "severity": severity_bucket(raw),
-    }).drop("_freq"))
+    }).drop(frequency_col))
 
 
 def finalize_scored(df: DataFrame, predicted_col: str = "ensemble_pred",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,9 @@ from loghawk import constants as C
 from loghawk.functions import round_half_even
 from loghawk.operators import prepare as P
 from loghawk.operators import quality as V
-from loghawk.session import ensure_checkpoint_dir
+from loghawk.session import scratch_path
 from loghawk.sources import fixtures
-from loghawk.sources.logs import limit_rows, read_logs
+from loghawk.sources.logs import read_logs
 
 NUMS = C.NUMERIC_COLUMNS
 
@@ -48,12 +46,21 @@ def _scaled_out():
 
 def q_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 round trip: the F1 logs written as CSV text, read back as strings."""
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/loghawk-csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     fixtures.security_logs(spark, sf_dir).write.option("header", True).csv(path)
     return read_logs(spark, path, order_col="row_id")
 
 
+def q_validate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 on the whole F1 table and without two of its columns: missing names, rows looked at."""
+    logs = fixtures.security_logs(spark, sf_dir)
+    cut = logs.drop("protocol", "bytes_sent")
+    out = [df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(name).alias("table_name"), F.lit(", ".join(V.missing_columns(df))).alias("missing"), "row_count")
+        for name, df in (("all", logs), ("cut", cut))]
+    return out[0].unionByName(out[1])
+
+
 QUERIES = {
     "read_logs": q_read_logs,
     "validation_counts": lambda s, d: V.validation_counts(fixtures.security_logs(s, d)),
@@ -63,7 +70,7 @@ QUERIES = {
         .where("check = 'nulls' AND count > 0").drop("check"),
     "is_empty": lambda s, d: V.validation_counts(fixtures.security_logs(s, d))
         .where("check = 'rows'").select((F.col("count") == 0).alias("is_empty")),
-    "limit_rows": lambda s, d: limit_rows(fixtures.security_logs(s, d), C.SOURCE_MAX_ROWS),
+    "validate_columns": q_validate_columns,
     "coerce_numeric": lambda s, d: _coerced(s, d).select("row_id", *NUMS),
     "fill_median": lambda s, d: P.fill_median(_coerced(s, d)).select("row_id", *NUMS),
     "fill_unknown": lambda s, d: P.fill_unknown(_coerced(s, d)).select("row_id", *C.TEXT_FILL_COLUMNS),
@@ -71,7 +78,7 @@ QUERIES = {
     "fill_label": lambda s, d: P.fill_label(fixtures.security_logs(s, d)).select("row_id", "attack_type"),
     "dedup_first": _dedup,
     "flag_outliers": lambda s, d: _outl(s, d).select("row_id", "is_outlier"),
-    "encode_protocol": lambda s, d: P.encode_protocol_lazy(P.cut_lineage(_dedup(s, d))).select("row_id", "protocol", "protocol_encoded"),
+    "encode_protocol": lambda s, d: P.encode_protocol(P.cut_lineage(_dedup(s, d))).select("row_id", "protocol", "protocol_encoded"),
     "scale_features": lambda s, d: clean_fixture(s, d).select("row_id", *_scaled_out()),
     "clean_logs": lambda s, d: clean_fixture(s, d).select(
         "row_id", *C.REQUIRED_COLUMNS, "attack_type", "is_outlier", "protocol_encoded", *_scaled_out()),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from loghawk.operators import history as H
 from loghawk.operators import incidents as I
 from loghawk.plans.fixture_plans import scored_fixture
+from loghawk.session import scratch_path
 from loghawk.sources import fixtures
-from loghawk.sources.store import EVENT_COLUMNS
+from loghawk.sources.store import EVENT_COLUMNS, ScanStore
 
 USER_ID = 7
 SCAN_ID = 12
@@ -22,8 +23,36 @@ def scan_events_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_reports_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.incident_records(scored_fixture(spark, sf_dir), scan_id=1, year=2024)
-    return I.incident_rows_for_store(rows, scan_id=1)
+    """Incidents of two scans; the second one's minimum severity is lower."""
+    scored = scored_fixture(spark, sf_dir)
+    first = I.incident_rows_for_store(I.incident_records(scored, scan_id=1, year=2024), scan_id=1)
+    second = I.incident_records(scored, scan_id=2, year=2024, min_severity="Low")
+    return first.unionByName(I.incident_rows_for_store(second, scan_id=2))
+
+
+def _event_store(spark: SparkSession, sf_dir: str) -> ScanStore:
+    store = ScanStore(spark, scratch_path(spark, "events"))
+    store.write_event_table(scan_events_fixture(spark, sf_dir))
+    return store
+
+
+def q_events_for_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.events_for_scan(_event_store(spark, sf_dir).events(), SCAN_ID)
+
+
+def q_delete_scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _event_store(spark, sf_dir)
+    store.delete_scans(fixtures.deleted_scans(spark, sf_dir))
+    return store.events()
+
+
+def q_reports_for_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scans' incidents stored, one scan's read back."""
+    store = ScanStore(spark, scratch_path(spark, "reports"))
+    reports = incident_reports_fixture(spark, sf_dir)
+    for scan in (1, 2):
+        store.write_incidents(scan, reports.where(F.col("scan_id") == scan))
+    return H.reports_for_scan(store.incidents(), 1).drop("created_at")
 
 
 QUERIES = {
@@ -31,18 +60,18 @@ QUERIES = {
     "scan_by_id": lambda s, d: H.scan_by_id(fixtures.scans(s, d), SCAN_ID),
     "all_scans": lambda s, d: H.all_scans(fixtures.scans(s, d), fixtures.users(s, d)),
     "delete_scan_scans": lambda s, d: H.without_deleted(fixtures.scans(s, d), fixtures.deleted_scans(s, d), "id"),
-    "delete_scan_events": lambda s, d: H.without_deleted(
-        scan_events_fixture(s, d), fixtures.deleted_scans(s, d), "scan_id"),
+    "delete_scan_events": q_delete_scan_events,
     "count_scans": lambda s, d: H.count_rows(fixtures.scans(s, d), "scan_count"),
     "count_users": lambda s, d: H.count_rows(fixtures.users(s, d), "user_count"),
     "sum_threats": lambda s, d: H.sum_threats(fixtures.scans(s, d)),
-    "events_for_scan": lambda s, d: H.events_for_scan(scan_events_fixture(s, d), SCAN_ID),
+    "events_for_scan": q_events_for_scan,
     "global_top_sources": lambda s, d: H.global_top_sources(scan_events_fixture(s, d)),
-    "reports_for_scan": lambda s, d: H.reports_for_scan(incident_reports_fixture(s, d), 1),
+    "reports_for_scan": q_reports_for_scan,
     "recent_audit": lambda s, d: H.recent_audit(fixtures.audit_log(s, d), 200),
     "user_totals": lambda s, d: H.user_totals(fixtures.scans(s, d)),
     "user_recent_scans": lambda s, d: H.user_recent_scans(fixtures.scans(s, d)),
     "list_users": lambda s, d: H.list_users(fixtures.users(s, d)),
     "scan_report": lambda s, d: H.scan_report(fixtures.scans(s, d)).withColumn(
-        "classification_classes", F.array_join("classification_classes", ", ")),
+        "classification_classes", F.array_join("classification_classes", ", "))
+        .drop("detection_metrics", "classification_accuracy"),
 }

@@ -7,24 +7,18 @@ back gives; the oracle is the table itself.
 
 from __future__ import annotations
 
-import uuid
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghawk.operators import incidents as I
 from loghawk.operators import scoring as T
 from loghawk.plans.fixture_plans import scored_fixture
-from loghawk.session import ensure_checkpoint_dir
+from loghawk.session import scratch_path
 from loghawk.sources import export, fixtures
 from loghawk.sources.store import ScanStore
-from loghawk.sources.synthetic import synthetic_from_ids
-from loghawk.sources.tables import read_table
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/loghawk-{name}-{uuid.uuid4().hex}"
+_scratch = scratch_path
 
 
 def q_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +46,13 @@ def q_write_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_write_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan row with its JSON report, read back and parsed."""
     store = ScanStore(spark, _scratch(spark, "store"))
-    store.write_scan(3, 7, "fixture.csv", T.scan_metrics(scored_fixture(spark, sf_dir)), "2024-02-01 00:00:00")
     from loghawk.operators.history import scan_report
-    return scan_report(store.scans()).drop("classification_classes")
+    from loghawk.plans.model_plans import detector_metrics
+    store.write_scan(3, 7, "fixture.csv", T.scan_metrics(scored_fixture(spark, sf_dir)), "2024-02-01 00:00:00",
+                     detection_metrics=detector_metrics(spark, sf_dir))
+    best = F.filter("detection_metrics", lambda m: m["model"] == "random_forest")[0]
+    return scan_report(store.scans()).withColumn("forest_f1", best["f1"]).drop(
+        "classification_classes", "classification_accuracy", "detection_metrics")
 
 
 def q_write_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +69,6 @@ def q_write_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.audit()
 
 
-def q_synthetic_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: one generated log per ``events`` row (seed 42, fixed start)."""
-    ids = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
-    n = ids.count()
-    return synthetic_from_ids(ids, n, seed=42, start=datetime(2024, 1, 1))
-
-
 QUERIES = {
     "export_csv": q_export_csv,
     "export_json": q_export_json,
@@ -85,5 +76,4 @@ QUERIES = {
     "write_events": q_write_events,
     "write_incidents": q_write_incidents,
     "write_audit": q_write_audit,
-    "synthetic_logs": q_synthetic_logs,
 }

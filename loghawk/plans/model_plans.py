@@ -2,12 +2,12 @@
 
 Operators whose inputs are model outputs are checked on fixed model outputs
 (F5, F6, F2) against SQL; the fitted models themselves run on the whole
-cleaned F1 table and are checked by invariants (tests/test_models.py).
+cleaned F1 table and return what must hold of their results, as one row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghawk.functions import round_half_even
@@ -27,7 +27,7 @@ def _preds(spark, sf_dir):
         "rf_pred": (F.col("p_rf") >= 0.5).cast("int"), "gbt_pred": (F.col("p_gbt") >= 0.5).cast("int")})
 
 
-def _metrics(spark, sf_dir):
+def detector_metrics(spark, sf_dir):
     p = _preds(spark, sf_dir)
     return D.classification_metrics(p.where(F.col("is_test")), "y", {"random_forest": "rf_pred", "gbt": "gbt_pred"})
 
@@ -40,25 +40,48 @@ def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.stratified_split(D.binary_label(clean_fixture(spark, sf_dir)), "y").select("row_id", "y", "is_test")
 
 
+def _invariants(rows: DataFrame, score: str, lo: float, hi: float, *more) -> DataFrame:
+    """One row: rows, distinct ids, scores outside [lo, hi] or missing, and further aggregates."""
+    outside = F.col(score).isNull() | ~F.col(score).between(lo, hi)
+    return rows.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("row_id").alias("id_count"),
+                    F.count_if(outside).alias("out_of_range"), *more)
+
+
+def _split_counts() -> list:
+    return [F.count_if(F.col("is_test") & (F.col("y") == k)).alias(f"test_rows_{k}") for k in (0, 1)]
+
+
+def _beats_majority(pred) -> Column:
+    """Whether more test rows are right than by always naming the larger class."""
+    test = F.col("is_test")
+    right = F.count_if(test & (pred == F.col("y")))
+    return (right > F.greatest(*[F.count_if(test & (F.col("y") == k)) for k in (0, 1)])).alias("beats_majority")
+
+
 def q_detect_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4-M6 fitted on the whole cleaned table: what must hold of every row's ensemble."""
     det = D.detect_attacks(_features(spark, sf_dir))
-    return det.scored.select("row_id", "y", "is_test", "p_rf", "p_gbt", "attack_probability", "ensemble_pred")
+    mean = F.abs(F.col("attack_probability") - (F.col("p_rf") + F.col("p_gbt")) / 2) < 1e-9
+    return _invariants(det.scored, "attack_probability", 0.0, 1.0, *_split_counts(),
+                       F.count_if(~mean).alias("not_the_mean"), _beats_majority(F.col("ensemble_pred")))
 
 
 def _one_detector(spark, sf_dir, which):
     split = cut_lineage(D.stratified_split(D.binary_label(_features(spark, sf_dir)), "y"))
     out = D.fit_detector(split, which).transform(split)
     prob = "rf_prob" if which == "random_forest" else "gbt_prob"
-    return out.select("row_id", "y", "is_test", D._p1(prob).alias("attack_probability"))
+    rows = out.select("row_id", "y", "is_test", D._p1(prob).alias("attack_probability"))
+    return _invariants(rows, "attack_probability", 0.0, 1.0, *_split_counts(),
+                       _beats_majority((F.col("attack_probability") >= 0.5).cast("int")))
 
 
 def q_detect_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4 alone: forest probability of attack on every row."""
+    """M4 alone, fitted: what must hold of the forest's probability on every row."""
     return _one_detector(spark, sf_dir, "random_forest")
 
 
 def q_detect_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5 alone: boosted-trees probability of attack on every row."""
+    """M5 alone, fitted: what must hold of the boosted trees' probability on every row."""
     return _one_detector(spark, sf_dir, "gbt")
 
 
@@ -71,27 +94,58 @@ def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detect_attacks(_features(spark, sf_dir)).metrics
+    """M7-M8 of the fitted detectors: test rows counted, ratios in range, F1 above always naming attacks."""
+    m = D.detect_attacks(_features(spark, sf_dir)).metrics
+    cells = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    attacks = F.col("fn") + F.col("tp")
+    ratios = [F.col(c).between(0.0, 1.0) for c in ("accuracy", "precision", "recall", "f1")]
+    return m.select("model", cells.alias("test_rows"), attacks.alias("test_attacks"),
+                    (ratios[0] & ratios[1] & ratios[2] & ratios[3]).alias("in_range"),
+                    (F.col("f1") > 2 * attacks / (cells + attacks)).alias("beats_constant"))
 
 
 def q_classify_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10-M12 fitted: class probabilities sum to 1, and every detected row gets a known class."""
     feats = _features(spark, sf_dir)
     cls = D.classify_attacks(feats)
-    return D.assign_attack_type(D.binary_label(cls.scored).withColumn("ensemble_pred", F.col("y")),
-                                cls.class_names).select(
-        "row_id", "attack_type", "attack_type_predicted",
-        round_half_even("attack_type_confidence", 4).alias("attack_type_confidence"))
+    rows = D.assign_attack_type(D.binary_label(cls.scored).withColumn("ensemble_pred", F.col("y")), cls.class_names)
+    total = F.aggregate("class_probability", F.lit(0.0), lambda a, x: a + x)
+    known = F.array(*[F.lit(n) for n in cls.class_names])
+    expected = F.when(F.col("y") == 1, F.array_contains(known, F.col("attack_type_predicted"))) \
+        .otherwise(F.col("attack_type_predicted") == "Normal")
+    return _invariants(rows, "attack_type_confidence", 0.0, 1.0, F.count_if(F.abs(total - 1) > 1e-6).alias("not_summing"),
+                       F.count_if(~expected).alias("unexpected_type"), F.lit(len(cls.class_names)).cast("long").alias("classes"))
+
+
+def q_classification_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11's held-out accuracy: in range, over the held-out rows of every class."""
+    cls = D.classify_attacks(_features(spark, sf_dir))
+    return cls.accuracy.select((F.col("accuracy").between(0.0, 1.0)).alias("in_range"),
+                               F.col("test_rows").cast("long").alias("test_rows"))
 
 
 def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13-M15 fitted: scores in (0, 1), normalised to 0 .. 100, the share above the cut flagged."""
     feats = _features(spark, sf_dir)
     model = AN.fit_isolation_forest(feats, FEATURE_COLUMNS)
-    rows = AN.isolation_scores(feats.select("row_id", *FEATURE_COLUMNS), model)
-    return AN.flag_anomalies(AN.normalise_scores(rows)).select("row_id", "iso_score", "anomaly_score", "is_anomaly")
+    scores = cut_lineage(AN.isolation_scores(feats.select("row_id", *FEATURE_COLUMNS), model))
+    rows = AN.flag_anomalies(AN.normalise_scores(scores))
+    share = F.avg(F.col("is_anomaly").cast("double"))
+    return _invariants(rows, "iso_score", 0.0, 1.0, F.min("anomaly_score").alias("score_min"),
+                       F.max("anomaly_score").alias("score_max"), share.between(0.05, 0.1).alias("share_flagged"),
+                       (F.min(F.when(F.col("is_anomaly"), F.col("iso_score")))
+                        > F.max(F.when(~F.col("is_anomaly"), F.col("iso_score")))).alias("flags_highest"))
 
 
 def q_run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_pipeline(clean_fixture(spark, sf_dir)).scored
+    """Every cleaned row scored once, with columns in range and counts that add up."""
+    result = run_pipeline(clean_fixture(spark, sf_dir))
+    rows, bands = result.scored, ("Critical", "High", "Medium", "Low")
+    return _invariants(rows, "threat_score", 0.0, 100.0,
+                       F.count_if(~F.col("severity").isin(*bands)).alias("unknown_severity"),
+                       F.count_if((F.col("predicted_label") == "Normal") != (F.col("attack_type_predicted") == "Normal"))
+                       .alias("label_conflicts"),
+                       F.count_if(~F.col("anomaly_score").between(0.0, 100.0)).alias("anomaly_out_of_range"))
 
 
 QUERIES = {
@@ -100,9 +154,9 @@ QUERIES = {
     "classifier_guard": lambda s, d: D.classifier_guard(clean_fixture(s, d)),
     "stratified_split": q_stratified_split,
     "ensemble_vote": lambda s, d: _preds(s, d).select("row_id", "attack_probability", "ensemble_pred"),
-    "classification_metrics": _metrics,
-    "confusion_matrix": lambda s, d: D.confusion_matrix(_metrics(s, d)),
-    "model_comparison": lambda s, d: D.model_comparison(_metrics(s, d)),
+    "classification_metrics": detector_metrics,
+    "confusion_matrix": lambda s, d: D.confusion_matrix(detector_metrics(s, d)),
+    "model_comparison": lambda s, d: D.model_comparison(detector_metrics(s, d)),
     "assign_attack_type": lambda s, d: D.assign_attack_type(
         fixtures.class_probabilities(s, d).withColumnRenamed("detected", "ensemble_pred")
         .withColumnRenamed("probability", "class_probability"), F6_NAMES
@@ -121,6 +175,7 @@ QUERIES = {
     "detect_attacks": q_detect_attacks,
     "detection_metrics": q_detection_metrics,
     "classify_attacks": q_classify_attacks,
+    "classification_accuracy": q_classification_accuracy,
     "isolation_forest": q_isolation_forest,
     "run_pipeline": q_run_pipeline,
 }

@@ -162,8 +162,8 @@ ORACLE = {
         + r("attack_type_confidence", 3) + " AS confidence FROM scored WHERE predicted_label = 'Attack' "
         "ORDER BY row_id LIMIT 200"),
     "preview_type_counts": scored_query(
-        "SELECT attack_type_predicted AS attack_type, count(*) AS count FROM (SELECT * FROM scored "
-        "WHERE predicted_label = 'Attack' ORDER BY row_id LIMIT 200) GROUP BY 1"),
+        "SELECT attack_type_predicted AS attack_type, count(*) AS count FROM scored "
+        "WHERE predicted_label = 'Attack' GROUP BY 1"),
     "detected_count": scored_query(
         "SELECT count(*) FILTER (WHERE predicted_label = 'Attack') AS attacks_flagged, count(*) AS total_rows FROM scored"),
     "table_preview": scored_query("SELECT * FROM scored ORDER BY row_id LIMIT 20"),
@@ -261,12 +261,13 @@ INCIDENT_CTE = f"""
 flagged AS (SELECT * FROM scored WHERE predicted_label = 'Attack' AND {_sev_rank('severity')} >= 2),
 inc_groups AS (SELECT attack_type_predicted, severity, count(*) AS event_count, avg(threat_score) AS avg_s,
   min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+  count(DISTINCT destination_ip) AS asset_count, count(DISTINCT source_ip) AS source_count,
   list_slice(list_sort(list(DISTINCT destination_ip)), 1, 10) AS affected_assets,
   list_slice(list_sort(list(DISTINCT source_ip)), 1, 10) AS source_ips
   FROM flagged GROUP BY 1, 2),
 inc_num AS (SELECT *, row_number() OVER (ORDER BY attack_type_predicted, severity) AS n FROM inc_groups),
 incidents AS (SELECT printf('INC-%d-%04d-%03d', 2024, 1, n) AS incident_id, attack_type_predicted AS threat_type,
-  severity, event_count, affected_assets, source_ips, {r('avg_s', 2)} AS avg_threat_score,
+  severity, event_count, affected_assets, source_ips, asset_count, source_count, {r('avg_s', 2)} AS avg_threat_score,
   {_actions_json('attack_type_predicted')} AS recommended_actions, first_seen, last_seen,
   CAST(row_number() OVER (ORDER BY {_sev_rank('severity')} DESC, n) AS INTEGER) AS incident_order FROM inc_num)
 """
@@ -283,8 +284,8 @@ ORACLE.update({
         f"SELECT row_id, attack_type_predicted, severity FROM scored WHERE predicted_label = 'Attack' AND {_sev_rank('severity')} >= 2"),
     "incident_records": scored_query(
         "SELECT incident_id, threat_type, severity, event_count, array_to_string(affected_assets, ', ') AS affected_assets, "
-        "array_to_string(source_ips, ', ') AS source_ips, avg_threat_score, recommended_actions, first_seen, last_seen, "
-        "incident_order FROM incidents", INCIDENT_CTE),
+        "array_to_string(source_ips, ', ') AS source_ips, asset_count, source_count, avg_threat_score, "
+        "recommended_actions, first_seen, last_seen, incident_order FROM incidents", INCIDENT_CTE),
     "incident_store_rows": scored_query(
         "SELECT CAST(1 AS BIGINT) AS scan_id, incident_id, threat_type, severity, "
         "array_to_string(affected_assets, ', ') AS affected_assets, recommended_actions FROM incidents", INCIDENT_CTE),
@@ -457,7 +458,9 @@ ORACLE.update({
     "non_numeric_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + f"SELECT column_name, count FROM ({NON_NUMERIC})",
     "null_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + f"SELECT column_name, count FROM ({NULLS}) WHERE count > 0",
     "is_empty": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + "SELECT count(*) = 0 AS is_empty FROM f1",
-    "limit_rows": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + f"SELECT * FROM f1 ORDER BY row_id LIMIT {C.SOURCE_MAX_ROWS}",
+    "validate_columns": _with(f"f1 AS ({SECURITY_LOGS_SQL})")
+        + "SELECT 'all' AS table_name, '' AS missing, count(*) AS row_count FROM f1 "
+          "UNION ALL SELECT 'cut', 'protocol, bytes_sent', count(*) FROM f1",
     "feature_matrix": clean_query(
         f"SELECT row_id, {r('bytes_sent_scaled', 6)} AS f0, {r('bytes_received_scaled', 6)} AS f1, "
         f"{r('connection_duration_scaled', 6)} AS f2, {r('CAST(protocol_encoded AS DOUBLE)', 6)} AS f3 FROM clean"),
@@ -483,3 +486,32 @@ ORACLE.update({
         f"AS is_test FROM (SELECT row_id, CAST(CASE WHEN attack_type <> 'Normal' THEN 1 ELSE 0 END AS INTEGER) AS y, "
         f"{_pkey('row_id', 42)} AS k FROM clean)"),
 })
+
+
+# ---------------------------------------------------------------- fitted models: what must hold
+_TABLE = "SELECT count(*) AS row_count, count(DISTINCT row_id) AS id_count, CAST(0 AS BIGINT) AS out_of_range"
+_IS_ATTACK = "attack_type IS DISTINCT FROM 'Normal'"
+_TESTS = (f", CAST(ceil(25e-2 * count(*) FILTER (WHERE NOT {_IS_ATTACK})) AS BIGINT) AS test_rows_0"
+          f", CAST(ceil(25e-2 * count(*) FILTER (WHERE {_IS_ATTACK})) AS BIGINT) AS test_rows_1")
+_PER_CLASS = f"SELECT attack_type, ceil(25e-2 * count(*)) AS n FROM clean WHERE {_IS_ATTACK} GROUP BY 1"
+ORACLE.update({
+    "detect_rf": clean_query(_TABLE + _TESTS + ", true AS beats_majority FROM clean"),
+    "detect_gbt": clean_query(_TABLE + _TESTS + ", true AS beats_majority FROM clean"),
+    "detect_attacks": clean_query(_TABLE + _TESTS + ", CAST(0 AS BIGINT) AS not_the_mean, true AS beats_majority FROM clean"),
+    "detection_metrics": clean_query(
+        "SELECT model, CAST(t.test_rows_0 + t.test_rows_1 AS BIGINT) AS test_rows, t.test_rows_1 AS test_attacks, "
+        f"true AS in_range, true AS beats_constant FROM ({_TABLE}{_TESTS} FROM clean) t, "
+        "(SELECT unnest(['random_forest', 'gbt']) AS model)"),
+    "classify_attacks": clean_query(
+        _TABLE + ", CAST(0 AS BIGINT) AS not_summing, CAST(0 AS BIGINT) AS unexpected_type, "
+        f"count(DISTINCT attack_type) FILTER (WHERE {_IS_ATTACK}) AS classes FROM clean"),
+    "classification_accuracy": clean_query(
+        f"SELECT true AS in_range, CAST(sum(n) AS BIGINT) AS test_rows FROM ({_PER_CLASS})"),
+    "isolation_forest": clean_query(
+        _TABLE + ", 0e0 AS score_min, 1e2 AS score_max, true AS share_flagged, true AS flags_highest FROM clean"),
+    "run_pipeline": clean_query(
+        _TABLE + ", CAST(0 AS BIGINT) AS unknown_severity, CAST(0 AS BIGINT) AS label_conflicts, "
+        "CAST(0 AS BIGINT) AS anomaly_out_of_range FROM clean"),
+})
+ORACLE["write_scan"] = (f"SELECT w.*, m.f1 AS forest_f1 FROM ({ORACLE['write_scan']}) w, "
+                        f"({ORACLE['classification_metrics']}) m WHERE m.model = 'random_forest'")

@@ -46,10 +46,14 @@ class ScanResult:
 def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATION,
                  rf_trees: int = C.RF_TREES, rf_depth: int = C.RF_DEPTH, gbt_rounds: int = C.GBT_ROUNDS,
                  gbt_depth: int = C.GBT_DEPTH, iso_trees: int = C.IFOREST_TREES,
-                 seed: int = C.MODEL_SEED, checkpoint: bool = True, approx: bool = False) -> ScanResult:
-    """Every model is trained on ``clean`` and applied to all of its rows."""
+                 seed: int = C.MODEL_SEED, checkpoint: bool = True) -> ScanResult:
+    """Every model is trained on ``clean`` and applied to all of its rows.
+
+    The feature table is written once at the head: guards, splits and fits read it
+    a dozen times.
+    """
     warnings: list[str] = []
-    feats = feature_vector(clean)
+    feats = cut_lineage(feature_vector(clean), checkpoint)
     # The three model families are independent: fit them concurrently (Spark
     # schedules the jobs of all driver threads on the same executors; each
     # family has its own scheduler pool, used when the cluster runs FAIR).
@@ -83,7 +87,7 @@ def run_pipeline(clean: DataFrame, contamination: float = C.DEFAULT_CONTAMINATIO
     keep = [c for c in rows.columns if c not in ("features", "class_probability", "y", "is_test",
                                                    "p_rf", "p_gbt")]
     predictions = cut_lineage(rows.select(*keep), checkpoint)
-    rows = AN.flag_anomalies(AN.normalise_scores(predictions), contamination=contamination, approx=approx)
+    rows = AN.flag_anomalies(AN.normalise_scores(predictions), contamination=contamination)
     scored = T.finalize_scored(T.threat_scores(rows))
     scored = cut_lineage(scored.select(*SCORED_COLUMNS), checkpoint)
     return ScanResult(scored=scored, metrics=T.scan_metrics(scored, cls.class_names), detection_metrics=det.metrics,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,8 +28,9 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LOGHAWK_DRIVER_MEMORY", "16g"))
     )
+    if master.startswith("local"):  # elsewhere the launcher decides
+        builder = builder.config("spark.driver.memory", os.environ.get("LOGHAWK_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -39,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a scratch one only when unset.
 
     A cluster sets ``spark.checkpoint.dir`` to a shared folder; that value wins.
-    Only a local session without it (tests, bench) gets a fresh scratch folder.
+    Only a local session without it (tests, bench) gets a fresh scratch folder;
+    elsewhere it must be set, as a folder of one machine would lose data.
     """
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None)
     sc = spark.sparkContext
@@ -50,12 +53,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current is not None:
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="loghawk-ckpt-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, local)
     sc.setCheckpointDir(local)
     return local
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, remembered for :func:`drop_scratch`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loghawk-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables written so far; frames that read them end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 def run_in_pool(spark: SparkSession, pool: str, fn, *args, **kwargs):
     """Run ``fn`` with this thread's jobs in the fair-scheduler pool ``pool``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loghawk.sources.tables import register_tables
 
 # raw security logs, all columns strings as read from CSV, with nulls,
-# non-numeric cells and 2% repeated rows.
+# non-numeric cells and 2% repeated rows. Most attacks send and last longer.
 SECURITY_LOGS_SQL = """
 WITH base AS (
 SELECT event_id AS row_id,
@@ -21,9 +21,10 @@ SELECT event_id AS row_id,
   concat('10.0.', cast(event_id % 4 AS string), '.', cast(event_id % 23 AS string)) AS destination_ip,
   CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'TCP' WHEN event_id % 5 = 1 THEN 'UDP'
        WHEN event_id % 5 = 2 THEN 'ICMP' WHEN event_id % 5 = 3 THEN 'HTTP' ELSE 'HTTPS' END AS protocol,
-  CASE WHEN event_id % 101 = 0 THEN 'bad' ELSE cast(cast(floor(value * 1e2) AS bigint) AS string) END AS bytes_sent,
+  CASE WHEN event_id % 101 = 0 THEN 'bad' ELSE cast(cast(floor(value * 1e2) AS bigint)
+       + CASE WHEN event_type = 'error' AND event_id % 10 < 8 THEN 60000 ELSE 0 END AS string) END AS bytes_sent,
   CASE WHEN event_id % 109 = 0 THEN NULL ELSE cast(cast(floor(value * 1e2) AS bigint) * (1 + event_id % 3) AS string) END AS bytes_received,
-  cast(1 + event_id % 100 AS string) AS connection_duration,
+  cast(1 + event_id % 100 + CASE WHEN event_type = 'error' THEN 40 ELSE 0 END AS string) AS connection_duration,
   CASE WHEN event_id % 113 = 0 THEN NULL WHEN event_type <> 'error' THEN 'Normal'
        WHEN event_id % 9 = 0 THEN 'DDoS' WHEN event_id % 9 = 1 THEN 'DoS' WHEN event_id % 9 = 2 THEN 'Brute Force'
        WHEN event_id % 9 = 3 THEN 'Port Scan' WHEN event_id % 9 = 4 THEN 'SQL Injection' WHEN event_id % 9 = 5 THEN 'Botnet'
@@ -52,7 +53,7 @@ SELECT event_id AS row_id, substr(cast(ts AS string), 1, 19) AS timestamp,
        WHEN event_id % 9 = 3 THEN 'Port Scan' WHEN event_id % 9 = 4 THEN 'SQL Injection' WHEN event_id % 9 = 5 THEN 'Botnet'
        WHEN event_id % 9 = 6 THEN 'Malware' WHEN event_id % 9 = 7 THEN 'Phishing' ELSE 'Unknown Threat' END AS attack_type,
   CASE WHEN event_type = 'error' THEN 5e-1 + (event_id % 50) / 1e2 ELSE (event_id % 50) / 1e2 END AS attack_probability,
-  least(1e2, value * 15e-1) AS anomaly_score,
+  value * 1e2 / (value + 5e1) AS anomaly_score,
   CASE WHEN event_type <> 'error' THEN 'Normal' WHEN event_id % 7 < 3 THEN 'DDoS' WHEN event_id % 7 < 5 THEN 'Port Scan'
        WHEN event_id % 7 = 5 THEN 'Malware' ELSE 'Unknown' END AS attack_type_predicted,
   CASE WHEN event_type = 'error' THEN 'Attack' ELSE 'Normal' END AS predicted_label,

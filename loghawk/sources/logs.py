@@ -1,4 +1,4 @@
-"""Security-log sources."""
+"""Security-log source."""
 
 from __future__ import annotations
 
@@ -33,24 +33,20 @@ def with_file_order_ids(df: DataFrame, id_col: str = "row_id") -> DataFrame:
             .drop("_file", "_start", "_mono", "_first", "_before"))
 
 
-def read_logs(spark: SparkSession, path: str, order_col: str | None = None) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, order_col: str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header; every column read as text, missing tokens -> null.
 
+    A file whose header differs from the first one's, also in order, is an error.
+    ``multi_line`` reads quoted cells with line breaks; a file is then one split.
+
     Rows get ``row_id`` in file order, or from ``order_col`` when the file
     carries its own ordering column. Types are coerced later (P1), so a bad
     cell never fails the read.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False) \
-        .option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False) \
+        .option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     cols = [c for c in raw.columns]
     cleaned = raw.select(*[null_na_tokens(F.col(f"`{c}`")).alias(c) for c in cols], "_metadata")
     if order_col is not None:
         return cleaned.drop("_metadata").withColumn("row_id", F.col(order_col).cast("bigint"))
     return with_file_order_ids(cleaned).drop("_metadata")
-
-
-def limit_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Optional cap to the first ``max_rows`` rows by ``row_id``; default no cap."""
-    if max_rows is None:
-        return df
-    return df.orderBy("row_id").limit(int(max_rows))

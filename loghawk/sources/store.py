@@ -1,29 +1,18 @@
-"""Scan store: parquet datasets under one root (S7-S10, H4 write side).
-
-Row tables are appended; per-scan tables (``scan_events``,
-``incident_reports``) are partitioned by ``scan_id`` and written with
-dynamic partition overwrite, so re-running a scan replaces its partition
-instead of duplicating it. Deletes are tombstones in ``deleted_scans``
-(read with an anti join) plus :meth:`ScanStore.compact`, which rewrites
-only the touched partitions.
+"""Scan store: Parquet tables under one root (S7-S10, H4 write side).
+
+``scans``, ``scan_events`` and ``incident_reports`` have one folder per scan. Writing a
+scan replaces its folder, also by no rows; deleting a scan drops its folders; nothing
+else is kept about it, so an id may be written again. ``audit_log`` is appended to.
+Reads name their schema: a table that doesn't exist yet is an empty one.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loghawk.operators.history import without_deleted
-
-EVENT_COLUMNS = [
-    "timestamp", "source_ip", "destination_ip", "protocol", "bytes_sent", "bytes_received",
-    "connection_duration", "predicted_label", "attack_type", "attack_type_predicted",
-    "attack_type_confidence", "attack_probability", "anomaly_score", "is_anomaly",
-    "frequency_score", "severity_weight", "threat_score", "severity",
-]
+from loghawk.constants import EVENT_COLUMNS, EVENT_SCHEMA
 
 SCAN_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -31,12 +20,18 @@ SCAN_SCHEMA = T.StructType([
     T.StructField("total_logs", T.LongType()), T.StructField("threat_count", T.LongType()),
     T.StructField("critical_count", T.LongType()), T.StructField("report_json", T.StringType()),
 ])
+SCAN_EVENT_SCHEMA = T.StructType().fromDDL(f"scan_id long, {EVENT_SCHEMA}")
+INCIDENT_SCHEMA = T.StructType().fromDDL(
+    "scan_id long, incident_id string, threat_type string, severity string, affected_assets string, "
+    "recommended_actions string, created_at string")
 AUDIT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
     T.StructField("action", T.StringType()), T.StructField("details", T.StringType()),
     T.StructField("created_at", T.StringType()),
 ])
-TOMBSTONE_SCHEMA = T.StructType([T.StructField("scan_id", T.LongType())])
+#: table -> (schema, column that names a scan's folder)
+TABLES = {"scans": (SCAN_SCHEMA, "id"), "scan_events": (SCAN_EVENT_SCHEMA, "scan_id"),
+          "incident_reports": (INCIDENT_SCHEMA, "scan_id"), "audit_log": (AUDIT_SCHEMA, None)}
 
 
 class ScanStore:
@@ -44,96 +39,101 @@ class ScanStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def path(self, table: str, scan_id: int | None = None) -> str:
+        folder = f"{self.root}/{table}"
+        return folder if scan_id is None else f"{folder}/{TABLES[table][1]}={int(scan_id)}"
 
-    def _exists(self, table: str) -> bool:
+    def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(conf).exists(p)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
-        if not self._exists(table) and schema is not None:
+    def read(self, table: str) -> DataFrame:
+        schema, _ = TABLES[table]
+        fs, p = self._fs(self.path(table))
+        if not fs.exists(p) or not fs.listStatus(p):
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.parquet(self.path(table))
-        if "scan_id" in df.columns:
-            # Partition values are typed by inference (small ids -> int); ids are bigint.
-            # Filters on the cast column still prune partitions.
-            df = df.withColumn("scan_id", F.col("scan_id").cast("bigint"))
-        return df
+        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+
+    def _replace(self, table: str, scan_id: int, rows: DataFrame) -> None:
+        schema, key = TABLES[table]
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name != key]) \
+            .write.mode("overwrite").parquet(self.path(table, scan_id))
+
+    def next_id(self, table: str) -> int:
+        """One above the largest id of ``scans`` or ``audit_log``; for one writer at a time."""
+        return (self.read(table).agg(F.max("id")).first()[0] or 0) + 1
 
     # ---------------------------------------------------------------- writes
     def write_scan(self, scan_id: int, user_id: int, dataset_name: str, metrics: DataFrame,
-                   scan_date: str | None = None) -> None:
-        """One scan row; the metrics row becomes its JSON report."""
+                   scan_date: str | None = None, detection_metrics: DataFrame | None = None,
+                   classification_accuracy: DataFrame | None = None) -> None:
+        """The scan's row; the metrics row and the models' metrics become its JSON report."""
         date = F.lit(scan_date) if scan_date else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-        row = metrics.select(
-            F.lit(scan_id).cast("bigint").alias("id"), F.lit(user_id).cast("bigint").alias("user_id"),
-            F.lit(dataset_name).alias("dataset_name"), date.alias("scan_date"),
-            F.col("total_logs").cast("bigint").alias("total_logs"),
-            F.col("attack_count").cast("bigint").alias("threat_count"),
-            F.col("critical_count").cast("bigint").alias("critical_count"),
-            F.to_json(F.struct(*metrics.columns)).alias("report_json"))
-        row.write.mode("append").parquet(self.path("scans"))
-
-    def write_events(self, scan_id: int, scored: DataFrame, max_rows: int | None = None) -> None:
-        """A scan's scored rows (all of them unless ``max_rows``), replacing its partition."""
-        rows = scored
-        if max_rows is not None:
-            rows = rows.orderBy("row_id").limit(int(max_rows))
-        out = rows.select(F.lit(scan_id).cast("bigint").alias("scan_id"), *EVENT_COLUMNS)
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        report = metrics
+        if detection_metrics is not None:  # a row a model
+            names = ["model", "accuracy", "precision", "recall", "f1"]
+            per_model = detection_metrics.agg(F.array_sort(F.collect_list(F.struct(*names))))
+            report = report.withColumn("detection_metrics", per_model.scalar())
+        if classification_accuracy is not None:
+            report = report.withColumn("classification_accuracy", classification_accuracy.select("accuracy").scalar())
+        row = report.select(
+            F.lit(user_id).alias("user_id"), F.lit(dataset_name).alias("dataset_name"), date.alias("scan_date"),
+            "total_logs", F.col("attack_count").alias("threat_count"), "critical_count",
+            F.to_json(F.struct(*report.columns)).alias("report_json"))
+        self._replace("scans", scan_id, row)
+
+    def write_events(self, scan_id: int, scored: DataFrame) -> None:
+        """All of a scan's scored rows."""
+        self._replace("scan_events", scan_id, scored)
+
+    def write_event_table(self, events: DataFrame) -> None:
+        """S8 for several scans at once: rows with ``scan_id``, each scan's folder replaced."""
+        (events.select(*[F.col(f.name).cast(f.dataType) for f in SCAN_EVENT_SCHEMA]).repartition("scan_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("scan_id").parquet(self.path("scan_events")))
 
     def write_incidents(self, scan_id: int, incident_rows: DataFrame) -> None:
-        """A scan's incident rows, replacing its partition (no duplicates on re-run)."""
-        out = incident_rows.withColumn("scan_id", F.lit(scan_id).cast("bigint")) \
-                           .withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("scan_id").parquet(self.path("incident_reports")))
+        """A scan's incident rows."""
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+        self._replace("incident_reports", scan_id, incident_rows.withColumn("created_at", now))
 
     def write_audit(self, entries: DataFrame) -> None:
         """Append audit rows (id, user_id, action, details, created_at)."""
         entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT_SCHEMA.fields]) \
                .write.mode("append").parquet(self.path("audit_log"))
 
-    def delete_scans(self, scan_ids: DataFrame) -> None:
-        """H4: tombstone scans; their events and incidents disappear from every read."""
-        scan_ids.select(F.col("scan_id").cast("bigint")).write.mode("append").parquet(self.path("deleted_scans"))
+    def delete_scan(self, scan_id: int) -> None:
+        """H4: drop the scan's folder in every table."""
+        for table, (_, key) in TABLES.items():
+            if key:
+                fs, p = self._fs(self.path(table, scan_id))
+                fs.delete(p, True)
+
+    def scan_ids(self, table: str = "scan_events") -> list[int]:
+        """Scans that have a folder in the table, from one listing."""
+        fs, p = self._fs(self.path(table))
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{TABLES[table][1]}="))
+
+    def delete_scans(self, scan_ids: DataFrame, table: str = "scan_events") -> None:
+        """H4 for the stored scans among ``scan_ids``; only those reach the driver."""
+        stored = self.spark.createDataFrame([(i,) for i in self.scan_ids(table)], "scan_id long")
+        for row in stored.join(scan_ids.select("scan_id").distinct(), "scan_id", "left_semi").collect():
+            self.delete_scan(row["scan_id"])
 
     # ---------------------------------------------------------------- reads
-    def deleted(self) -> DataFrame:
-        return self.read("deleted_scans", TOMBSTONE_SCHEMA)
-
     def scans(self) -> DataFrame:
-        return without_deleted(self.read("scans", SCAN_SCHEMA), self.deleted(), "id")
+        return self.read("scans")
 
     def events(self) -> DataFrame:
-        return without_deleted(self.read("scan_events"), self.deleted(), "scan_id")
+        return self.read("scan_events")
 
     def incidents(self) -> DataFrame:
-        return without_deleted(self.read("incident_reports"), self.deleted(), "scan_id")
+        return self.read("incident_reports")
 
     def audit(self) -> DataFrame:
-        return self.read("audit_log", AUDIT_SCHEMA)
-
-    def compact(self) -> None:
-        """Physically drop tombstoned scans: partition directories of the per-scan
-        tables are removed, and the (small) scans table is rewritten once."""
-        ids = [r[0] for r in self.deleted().distinct().collect()]
-        if not ids:
-            return
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in ("scan_events", "incident_reports"):
-            for i in ids:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/scan_id={i}")
-                fs = p.getFileSystem(conf)
-                if fs.exists(p):
-                    fs.delete(p, True)
-        kept = self.scans()
-        tmp = self.path(f"scans_compact_{os.getpid()}")
-        kept.write.mode("overwrite").parquet(tmp)
-        self.spark.read.parquet(tmp).write.mode("overwrite").parquet(self.path("scans"))
-        self.spark.createDataFrame([], TOMBSTONE_SCHEMA).write.mode("overwrite").parquet(self.path("deleted_scans"))
+        return self.read("audit_log")
+
+
+__all__ = ["EVENT_COLUMNS", "ScanStore"]

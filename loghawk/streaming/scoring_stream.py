@@ -14,8 +14,9 @@ cut). New CSV files are then scored as a stream against that profile:
   with the profile's code table and per-source counts (no state);
 * hourly attack counts with a one-hour event-time window and watermark.
 
-Forward fill has no meaning on an unordered stream: rows without a
-parsable timestamp are dropped here (the batch path fills them).
+Forward fill has no meaning on an unordered stream: rows without a parsable
+timestamp have no event time to deduplicate or window by. ``undated_rows`` is the
+stream of them, to be stored and filled by the next batch scan.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from loghawk.functions import null_na_tokens, parse_timestamp
 from loghawk.operators import anomaly as AN
 from loghawk.operators import detect as D
 from loghawk.operators import scoring as S
-from loghawk.operators.prepare import FEATURE_COLUMNS, coerce_numeric, feature_vector
+from loghawk.functions.stats import quantiles
+from loghawk.operators.prepare import coerce_numeric, feature_vector, protocol_codes
 
 LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in C.REQUIRED_COLUMNS + ["attack_type"]])
 
@@ -60,21 +62,19 @@ def fit_profile(clean: DataFrame, result, contamination: float = C.DEFAULT_CONTA
     per-source counts stay a DataFrame, persisted in the checkpoint folder.
     """
     nums = C.NUMERIC_COLUMNS
-    st = clean.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q_{c}") for c in nums],
-                   *[F.avg(c).alias(f"m_{c}") for c in nums],
+    st = clean.agg(*[F.avg(c).alias(f"m_{c}") for c in nums],
                    *[F.stddev_pop(c).alias(f"s_{c}") for c in nums]).first()
-    from loghawk.operators.prepare import encode_protocol_lazy
-    codes = encode_protocol_lazy(clean.select("protocol").distinct()).checkpoint(eager=True)
+    cuts = quantiles(clean, nums, [0.25, 0.5, 0.75])
+    codes = protocol_codes(clean).checkpoint(eager=True)
     counts = clean.groupBy("source_ip").agg(F.count(F.lit(1)).alias("_src_n")).checkpoint(eager=True)
     busiest = counts.agg(F.max("_src_n")).first()[0]
-    iso = result.predictions.agg(F.min("iso_score"), F.max("iso_score"),
-                                 F.percentile("iso_score", 1.0 - contamination)).first()
+    iso = result.predictions.agg(F.min("iso_score"), F.max("iso_score")).first()
+    iso_cut = quantiles(result.predictions, ["iso_score"], [1.0 - contamination])["iso_score"][0]
     return StreamProfile(
-        medians={c: st[f"q_{c}"][1] for c in nums},
-        quartiles={c: (st[f"q_{c}"][0], st[f"q_{c}"][2]) for c in nums},
+        medians={c: cuts[c][1] for c in nums}, quartiles={c: (cuts[c][0], cuts[c][2]) for c in nums},
         means={c: st[f"m_{c}"] for c in nums}, stds={c: st[f"s_{c}"] for c in nums},
         protocol_codes=codes, n_protocols=codes.count(), source_counts=counts, busiest=int(busiest),
-        iso_lo=iso[0], iso_hi=iso[1], iso_cut=iso[2], models=result.models, class_names=result.class_names)
+        iso_lo=iso[0], iso_hi=iso[1], iso_cut=iso_cut, models=result.models, class_names=result.class_names)
 
 
 def read_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -85,6 +85,11 @@ def read_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
     return raw.select(*[null_na_tokens(c).alias(c) for c in raw.columns])
 
 
+def undated_rows(stream: DataFrame) -> DataFrame:
+    """The rows that ``clean_stream`` can't take: no parsable timestamp."""
+    return stream.where(parse_timestamp("timestamp").isNull())
+
+
 def clean_stream(stream: DataFrame, profile: StreamProfile, watermark: str = "1 hour") -> DataFrame:
     """Stream form of P1-P9 with the profile's statistics."""
     df = coerce_numeric(stream)
@@ -116,7 +121,7 @@ def score_stream(stream: DataFrame, profile: StreamProfile) -> DataFrame:
         rows = D.ensemble_vote(rows.withColumns({"p_rf": D._p1("rf_prob"), "p_gbt": D._p1("gbt_prob")}))
         rows = rows.drop("rf_prob", "rf_raw", "rf_pred", "gbt_prob", "gbt_raw", "gbt_pred")
     else:
-        rows = rows.withColumn("ensemble_pred", (F.col("attack_type") != "Normal").cast("int")) \
+        rows = rows.withColumn("ensemble_pred", D.is_attack_label("attack_type").cast("int")) \
                    .withColumn("attack_probability", F.col("ensemble_pred").cast("double"))
     if m.get("classifier") is not None:
         rows = D.apply_classifier(rows, m["classifier"])
@@ -129,17 +134,7 @@ def score_stream(stream: DataFrame, profile: StreamProfile) -> DataFrame:
         "is_anomaly": F.col("iso_score") > F.lit(profile.iso_cut)})
     freq = rows.join(profile.source_counts, "source_ip", "left").withColumn(
         "_freq", F.coalesce(F.col("_src_n") / F.lit(float(profile.busiest)) * 100.0, F.lit(0.0)))
-    w = C.BLEND_WEIGHTS
-    sev_w = S.severity_weight(F.col("attack_type_predicted"))
-    raw = F.least(F.greatest(
-        F.lit(w["attack"]) * F.least(F.greatest(F.col("attack_probability"), F.lit(0.0)), F.lit(1.0)) * 100.0
-        + F.lit(w["anomaly"]) * F.col("anomaly_score") + F.lit(w["frequency"]) * F.col("_freq")
-        + F.lit(w["severity"]) * sev_w, F.lit(0.0)), F.lit(100.0))
-    from loghawk.functions import round_half_even, severity_bucket
-    scored = freq.withColumns({
-        "frequency_score": round_half_even("_freq", 2), "severity_weight": round_half_even(sev_w, 2),
-        "threat_score": round_half_even(raw, 2), "severity": severity_bucket(raw)})
-    return S.finalize_scored(scored).drop("_freq", "_src_n", "features", "class_probability")
+    return S.finalize_scored(S.blend(freq, "_freq")).drop("_src_n", "features", "class_probability")
 
 
 def hourly_attacks(scored: DataFrame) -> DataFrame:

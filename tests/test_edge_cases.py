@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loghawk import constants as C
@@ -78,7 +80,7 @@ def test_zero_iqr_flags_any_deviation_and_zero_variance_scales_to_zero(spark):
 
 def test_single_protocol_encodes_zero(spark):
     df = logs(spark, [row(0), row(1, src="2.2.2.2")])
-    assert {r[0] for r in P.encode_protocol_lazy(df).select("protocol_encoded").collect()} == {0}
+    assert {r[0] for r in P.encode_protocol(df, P.protocol_codes(df)).select("protocol_encoded").collect()} == {0}
     assert {r[0] for r in P.encode_protocol(df).select("protocol_encoded").collect()} == {0}
 
 
@@ -86,12 +88,12 @@ def test_validate_messages(spark):
     df = logs(spark, [row(0, bs="bad", src=None), row(1)])
     ok, issues = V.validate(df)
     assert ok
-    assert "Column 'bytes_sent' has 1 non-numeric values that will be coerced." in issues
+    assert "bytes_sent: 1 cells are no numbers and count as missing" in issues
     assert "Column 'source_ip' has 1 missing values." in issues
     ok, issues = V.validate(df.drop("protocol"))
-    assert not ok and issues == ["Missing required columns: protocol"]
+    assert not ok and issues == ["Required columns not in the file: protocol"]
     ok, issues = V.validate(df.limit(0))
-    assert not ok and issues[-1] == "Uploaded file contains no rows."
+    assert not ok and issues[-1] == "The file has a header and no rows"
 
 
 def scored_frame(spark, data):
@@ -210,3 +212,54 @@ def test_incident_numbers_follow_type_order_and_records_follow_severity(spark):
     got = [(r["incident_id"], r["threat_type"], r["severity"]) for r in recs]
     assert got == [("INC-2024-0003-001", "DDoS", "Critical"), ("INC-2024-0003-003", "Malware", "Critical"),
                    ("INC-2024-0003-002", "DDoS", "High")]
+
+
+@pytest.mark.parametrize("intervals", [2, 7, 1 << 16])
+def test_exact_quantiles(spark, intervals):
+    import numpy as np
+
+    from loghawk.functions.stats import quantiles
+    rng = np.random.default_rng(3)
+    inf = float("inf")
+    columns = {
+        "uniform": list(rng.uniform(-5, 5, 400)), "skewed": [float(2.0 ** k) for k in rng.integers(-60, 60, 400)],
+        "ties": [float(k) for k in rng.integers(0, 3, 400)], "flat": [7.0] * 400,
+        "ends": [inf, -inf, -inf, 1e308, -1e308] + [0.5] * 5 + [None] * 390, "none": [None] * 400,
+        "gaps": [None if k % 3 else float(k) for k in range(400)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = quantiles(df, list(columns), probs, intervals)
+    for c, values in columns.items():
+        there = sorted(v for v in values if v is not None)
+        if not there:
+            assert got[c] == [None] * len(probs)
+            continue
+        for p, q in zip(probs, got[c]):
+            x = p * (len(there) - 1)
+            lo, hi = there[math.floor(x)], there[math.ceil(x)]
+            expected = lo if lo == hi or x == int(x) else (math.ceil(x) - x) * lo + (x - math.floor(x)) * hi
+            assert q == expected or abs(q - expected) <= 1e-12 * abs(expected), (c, p, q, expected)
+
+
+def test_far_timestamps_change_no_forecast(spark):
+    from loghawk.operators import analytics as A
+    rows = [(k, f"2024-01-01 {k % 9:02d}:10:00", "Attack") for k in range(40)]
+    far = [(100, "200000-01-01 00:00:00", "Attack"), (101, "0001-01-01 00:00:00", "Attack"), (102, "x", "Attack")]
+    schema = "row_id long, timestamp string, predicted_label string"
+    near, all_rows = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + far, schema)
+    assert A.attack_forecast(near).collect() == A.attack_forecast(all_rows).collect() != []
+    hours = A.hourly_attack_counts(all_rows).collect()
+    assert hours == A.hourly_attack_counts(near).collect() and len(hours) == 9
+    y = [r["count"] for r in sorted(hours)]
+    slope, intercept = __import__("numpy").polyfit(range(9), y, 1)
+    assert abs(A.attack_forecast(near).first()["forecast"] - (intercept + slope * 9)) < 1e-5
+    wide = spark.createDataFrame([(k, f"{1700 + 50 * k}-01-01 00:00:00", "Attack") for k in range(6)], schema)
+    assert A.hourly_attack_counts(wide).where("count > 0").count() == 6
+
+
+def test_protocol_codes_follow_the_order(spark):
+    names = [f"p{k:04d}" for k in range(500)] + [None]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names * 2)], "row_id long, protocol string").repartition(5)
+    got = {r["protocol"]: r["protocol_encoded"] for r in P.encode_protocol(df).collect()}
+    assert got == {**{n: k for k, n in enumerate(names[:-1])}, None: None}

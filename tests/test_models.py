@@ -104,38 +104,47 @@ def test_unlabelled_file_scores_everything_as_unknown_attack(spark, clean):
     assert st[2] == ["Unknown"] and st[3] == [0.5] and st[4] == [50.0]
 
 
-def test_approx_statistics_stay_close(spark, clean):
-    raw = synthetic_logs(spark, 2000, seed=7, start=START)
-    raw = raw.select("row_id", *[F.col(c).cast("string") for c in raw.columns if c != "row_id"])
-    exact = P.clean_logs(raw).agg(F.count_if("is_outlier"), F.sum("bytes_sent_scaled")).first()
-    approx = P.clean_logs(raw, approx=True).agg(F.count_if("is_outlier"), F.sum("bytes_sent_scaled")).first()
-    assert abs(exact[0] - approx[0]) <= 5 and abs(exact[1] - approx[1]) < 1e-6
-
-
-def test_training_partitions_rule():
-    # one partition per 500k rows at scale; one per core while each keeps 2,000 rows
-    assert D.training_partitions(10**9, 8) == 2000
-    assert D.training_partitions(76_000, 8) == 8
-    assert D.training_partitions(7_500, 8) == 3
-    assert D.training_partitions(1_500, 8) == 1
-    assert D.training_partitions(0, 8) == 1
-
-
-def test_training_frame_spreads_and_merges(spark, clean):
-    n = clean.count()
-    one = clean.coalesce(1)
-    spread = D.training_frame(one, n, rows_per_partition=500)
-    try:
-        assert spread.rdd.getNumPartitions() == D.training_partitions(
-            n, spark.sparkContext.defaultParallelism, 500)
-        assert spread.count() == n
-    finally:
-        spread.unpersist()
-    merged = D.training_frame(clean.repartition(16), 10, rows_per_partition=500)
-    try:
-        assert merged.rdd.getNumPartitions() == 1
-    finally:
-        merged.unpersist()
+def test_training_partitions_follow_the_rows_alone():
+    assert [D.training_partitions(n) for n in (0, 1_500, 76_000, 10**7, 2 * 10**7, 10**10)] == [1, 1, 8, 1000, 2000, 20000]
+
+
+def test_fits_do_not_depend_on_the_partitioning(spark, clean):
+    split = D.stratified_split(D.binary_label(P.feature_vector(clean)), "y")
+    got = []
+    for parts in (2, 4):
+        df = split.repartition(parts)
+        rf, gbt = D.fit_detectors(df, rf_trees=8, rf_depth=4, gbt_rounds=3, gbt_depth=2)
+        out = gbt.transform(rf.transform(split))
+        got.append(sorted((r["row_id"], r["a"], r["b"]) for r in out.select(
+            "row_id", D._p1("rf_prob").alias("a"), D._p1("gbt_prob").alias("b")).collect()))
+    assert got[0] == got[1]
+
+
+def test_isolation_trees_draw_from_all_rows(spark):
+    n = 50_000
+    rows = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 977).cast("double").alias("f"))
+    models = [AN.fit_isolation_forest(rows.repartition(p), ["f"], n_trees=40) for p in (2, 5)]
+    assert (models[0].threshold == models[1].threshold).all() and (models[0].size[:, 0] == 256).all()
+    empty = rows.where("false")
+    with pytest.raises(ValueError):
+        AN.fit_isolation_forest(empty, ["f"])
+
+
+def test_null_labels_are_attacks_and_a_stratum(spark):
+    rows = spark.createDataFrame([(k, ["Normal", "DDoS", None][k % 3]) for k in range(12)], "row_id long, attack_type string")
+    assert sum(r["y"] for r in D.binary_label(rows).collect()) == 8
+    guard = D.classifier_guard(rows, min_rows=8).first()
+    assert guard["attack_rows"] == 8
+    split = D.stratified_split(rows, "attack_type")
+    assert split.count() == 12 and split.where("is_test").count() == 3
+
+
+def test_few_test_rows_fall_back_to_one_stratum(spark):
+    labels = ["A", "B", "C", "D", "E", "F"]
+    rows = spark.createDataFrame([(k, labels[k % 6], float(k % 6), 1.0 * (k % 2), 0.5, 0) for k in range(12)],
+                                 ["row_id", "attack_type", *P.FEATURE_COLUMNS])
+    cls = D.classify_attacks(P.feature_vector(rows), trees=3, depth=2)
+    assert cls.accuracy.first()["test_rows"] == 3  # ceil(12 / 4): a test row a label would be 6
 
 
 def test_run_in_pool_sets_and_clears_the_pool(spark):

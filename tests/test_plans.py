@@ -1,7 +1,5 @@
 """Physical plan shape of the scale-sensitive operators."""
 
-from pyspark.sql import functions as F
-
 from loghawk.operators import analytics as A
 from loghawk.operators import history as H
 from loghawk.operators import incidents as I
@@ -17,7 +15,7 @@ def plan(df):
 
 def test_bounded_lists_limit_before_shuffle(spark):
     scored = scored_fixture(spark, SF_SMALL)
-    p = plan(I.first_sorted_distinct(scored, ["attack_type_predicted", "severity"], "destination_ip", 10, "a"))
+    p = plan(I.first_sorted_distinct(scored, ["attack_type_predicted", "severity"], "destination_ip", 10, "a", "n"))
     assert "WindowGroupLimit" in p and "Partial" in p
     assert "WindowGroupLimit" in plan(H.user_recent_scans(fixtures.scans(spark, SF_SMALL)))
 
@@ -28,12 +26,27 @@ def test_top_k_is_bounded_heap(spark):
         assert "TakeOrderedAndProject" in plan(q)
 
 
-def test_scan_prunes_columns_and_pushes_filters(spark):
-    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    p = plan(ev.where(F.col("event_type") == "error").groupBy("user_id").count())
-    scan = [line for line in p.splitlines() if "FileScan" in line][0]
-    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in scan
-    assert "ReadSchema: struct<user_id:bigint,event_type:string>" in scan
+def test_stored_scores_are_pruned_and_filtered_in_the_scan(spark):
+    stored = P.cut_lineage(scored_fixture(spark, SF_SMALL))
+    scan = [line for line in plan(A.kpi_row(stored)).splitlines() if "FileScan" in line][0]
+    read = scan.split("ReadSchema: ")[1]
+    assert "source_ip" not in read and "bytes_sent" not in read and "predicted_label" in read
+    scan = [line for line in plan(A.top_source_ips(stored)).splitlines() if "FileScan" in line][0]
+    assert "EqualTo(predicted_label,Attack)" in scan and "threat_score" not in scan.split("ReadSchema: ")[1]
+
+
+def test_incidents_read_the_scores_once(spark):
+    stored = P.cut_lineage(scored_fixture(spark, SF_SMALL))
+    df = I.incident_records(stored, 1, year=2024)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") <= 2
+
+
+def test_no_percentile_aggregate_in_the_cleaning(spark):
+    for df in (P.fill_median(P.coerce_numeric(fixtures.security_logs(spark, SF_SMALL))),
+               P.clean_logs(fixtures.security_logs(spark, SF_SMALL))):
+        assert "percentile" not in df._jdf.queryExecution().toString()
 
 
 def test_dedup_aggregates_partially_before_shuffle(spark):
@@ -43,10 +56,16 @@ def test_dedup_aggregates_partially_before_shuffle(spark):
     assert ex and any("Aggregate" in line for line in lines[ex[0] + 1:])
 
 
-def test_global_statistics_are_subqueries_not_joins(spark):
-    df = P.fill_median(P.coerce_numeric(fixtures.security_logs(spark, SF_SMALL)))
+def test_global_statistics_are_no_joins(spark):
+    df = P.scale_features(P.fill_median(P.coerce_numeric(fixtures.security_logs(spark, SF_SMALL))))
     p = plan(df)
-    assert "Subquery" in p and "Join" not in p and "CartesianProduct" not in p
+    assert "Join" not in p and "CartesianProduct" not in p
+
+
+def test_anomaly_fixture_flags_a_tenth(spark):
+    scored = scored_fixture(spark, SF_SMALL)
+    n, flagged = scored.count(), scored.where("is_anomaly").count()
+    assert 0.05 * n <= flagged <= 0.15 * n and A.top_anomalies(scored).count() == 20
 
 
 def test_store_reads_prune_partitions(spark, tmp_path):

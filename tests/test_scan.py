@@ -34,4 +34,4 @@ def test_run_scan_rejects_missing_columns(spark):
         f.write("timestamp,source_ip\n2024-01-01 00:00:00,1.1.1.1\n")
     scan = run_scan(spark, path, ScanStore(spark, os.path.join(base, "store")), 1, 1, "bad.csv")
     assert scan.result is None
-    assert scan.issues[0].startswith("Missing required columns: destination_ip, protocol")
+    assert scan.issues[0].startswith("Required columns not in the file: destination_ip, protocol")

@@ -4,6 +4,8 @@ import os
 import tempfile
 from datetime import datetime
 
+import pytest
+
 from loghawk.sources.logs import read_logs
 from loghawk.sources.synthetic import synthetic_logs, write_sample_logs
 
@@ -23,6 +25,20 @@ def test_read_logs_file_order_and_na_tokens(spark):
     assert got[4][2] is None
 
 
+def test_header_order_and_quoted_line_breaks(spark):
+    d = tempfile.mkdtemp(prefix="csv-", dir="/tmp")
+    for name, header in (("a.csv", "timestamp,source_ip"), ("b.csv", "source_ip,timestamp")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(header + "\n1,2\n")
+    with pytest.raises(Exception, match="CSV header|header"):
+        read_logs(spark, d).collect()
+    path = os.path.join(tempfile.mkdtemp(prefix="csv-", dir="/tmp"), "q.csv")
+    with open(path, "w") as f:
+        f.write('timestamp,source_ip\n"2024\n01",a\nx,"b ""q"""\n')
+    got = read_logs(spark, path, multi_line=True).orderBy("row_id").collect()
+    assert [(r["timestamp"], r["source_ip"]) for r in got] == [("2024\n01", "a"), ("x", 'b "q"')]
+
+
 def test_generator_is_deterministic_and_partition_free(spark):
     start = datetime(2024, 1, 1)
     a = synthetic_logs(spark, 500, seed=42, start=start)

@@ -1,39 +1,64 @@
-"""Scan store round trips: partition overwrite, tombstones, compaction."""
+"""Scan store: replace, delete, empty tables, pruned reads."""
 
 import tempfile
 
 from pyspark.sql import functions as F
 
 from loghawk.operators import history as H
+from loghawk.operators import incidents as I
 from loghawk.operators import scoring as T
 from loghawk.plans.fixture_plans import scored_fixture
 from loghawk.sources.store import ScanStore
 from tests.conftest import SF_SMALL
 
 
-def test_store_round_trip(spark):
-    store = ScanStore(spark, tempfile.mkdtemp(prefix="store-", dir="/tmp"))
+def _store(spark):
+    return ScanStore(spark, tempfile.mkdtemp(prefix="store-", dir="/tmp"))
+
+
+def test_write_delete_write(spark):
+    store = _store(spark)
     scored = scored_fixture(spark, SF_SMALL)
     n = scored.count()
     for scan in (1, 2):
         store.write_scan(scan, 7, f"s{scan}.csv", T.scan_metrics(scored), f"2024-01-0{scan} 00:00:00")
         store.write_events(scan, scored)
-    store.write_events(1, scored)  # re-run: replaces the partition
-    assert store.events().where("scan_id = 1").count() == n
-    assert store.events().count() == 2 * n
+    store.write_scan(1, 7, "s1.csv", T.scan_metrics(scored), "2024-01-01 00:00:00")  # again: one row
+    store.write_events(1, scored)
+    assert store.scans().count() == 2 and store.events().count() == 2 * n
     assert [r["id"] for r in H.scans_for_user(store.scans(), 7).collect()] == [2, 1]
-    rep = H.scan_report(store.scans()).where("id = 1").first()
-    assert rep["total_logs"] == n
-    store.delete_scans(spark.createDataFrame([(1,)], "scan_id bigint"))
-    assert store.events().select("scan_id").distinct().collect() == [(2,)]
-    assert store.scans().count() == 1
-    store.compact()
-    assert store.scans().count() == 1 and store.deleted().count() == 0
-    assert store.events().count() == n
-
-
-def test_capped_events_keep_first_rows(spark):
-    store = ScanStore(spark, tempfile.mkdtemp(prefix="store-", dir="/tmp"))
+    assert H.scan_report(store.scans()).where("id = 1").first()["total_logs"] == n
+    store.delete_scan(1)
+    assert store.events().select("scan_id").distinct().collect() == [(2,)] and store.scans().count() == 1
+    store.write_events(1, scored)
+    assert store.events().where("scan_id = 1").count() == n
+    store.delete_scans(spark.createDataFrame([(1,), (99,)], "scan_id bigint"))
+    assert store.scan_ids() == [2] and store.next_id("scans") == 3
+
+
+def test_rerun_without_rows_leaves_none(spark):
+    store = _store(spark)
     scored = scored_fixture(spark, SF_SMALL)
-    store.write_events(5, scored.withColumn("row_id", F.col("row_id")), max_rows=100)
-    assert store.events().count() == 100
+    rows = I.incident_rows_for_store(I.incident_records(scored, 1, year=2024), 1)
+    store.write_incidents(1, rows)
+    assert store.incidents().count() == rows.count() > 0
+    store.write_incidents(1, rows.where("false"))
+    store.write_events(1, scored)
+    store.write_events(1, scored.where("false"))
+    assert store.incidents().count() == 0 and store.events().count() == 0
+
+
+def test_new_store_is_empty(spark):
+    store = _store(spark)
+    assert [t.count() for t in (store.scans(), store.events(), store.incidents(), store.audit())] == [0] * 4
+    assert store.next_id("audit_log") == 1 and store.scan_ids() == []
+    store.delete_scan(5)
+
+
+def test_one_scan_reads_one_folder(spark):
+    store = _store(spark)
+    scored = scored_fixture(spark, SF_SMALL).withColumn("scan_id", F.col("row_id") % 3)
+    store.write_event_table(scored)
+    assert store.scan_ids() == [0, 1, 2] and store.events().count() == scored.count()
+    plan = H.events_for_scan(store.events(), 1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(scan_id" in plan and "(scan_id" in plan.split("PartitionFilters")[1]
