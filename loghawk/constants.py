@@ -150,11 +150,6 @@ INCIDENT_SUMMARY_ITEMS = [("Total Logs Analyzed", "total_logs"), ("Detected Atta
 LISTED_ADDRESSES = 10
 # ------------------------------------------------------------ END FIXED VALUES
 
-_DOUBLES = {"bytes_sent", "bytes_received", "connection_duration", "attack_type_confidence", "attack_probability",
-            "anomaly_score", "frequency_score", "severity_weight", "threat_score"}
-EVENT_SCHEMA = ", ".join(
-    f"{c} {'double' if c in _DOUBLES else 'boolean' if c == 'is_anomaly' else 'string'}" for c in EVENT_COLUMNS)
-
 # Tokens the pandas CSV reader treats as missing by default (pandas docs).
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

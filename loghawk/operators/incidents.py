@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loghawk import constants as C
 from loghawk.functions import round_half_even, severity_rank
+from loghawk.operators.prepare import cut_lineage
 
 GROUP_KEYS = ["attack_type_predicted", "severity"]
 
@@ -47,13 +48,13 @@ def incident_records(scored: DataFrame, scan_id: int, min_severity: str = "High"
     source_ips (first ``listed`` sorted distinct each), asset_count, source_count (all
     distinct ones), avg_threat_score (2 dp), recommended_actions, first_seen, last_seen,
     incident_order. The flagged rows are read once, into one row per type, severity,
-    source and destination; totals and both lists come from that.
+    source and destination that is stored; totals and both lists come from that.
     Incident numbers follow the (type, severity) order; records are ordered
     by severity descending, then number.
     """
-    flows = flag_incident_rows(scored, min_severity).groupBy(*GROUP_KEYS, "source_ip", "destination_ip").agg(
+    flows = cut_lineage(flag_incident_rows(scored, min_severity).groupBy(*GROUP_KEYS, "source_ip", "destination_ip").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("threat_score").alias("_sum"), F.count("threat_score").alias("_scored"),
-        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last")))
     stats = flows.groupBy(*GROUP_KEYS).agg(
         F.sum("_n").alias("event_count"), (F.sum("_sum") / F.sum("_scored")).alias("_avg"),
         F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"))

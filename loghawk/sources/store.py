@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loghawk.constants import EVENT_COLUMNS, EVENT_SCHEMA
+from loghawk.constants import EVENT_COLUMNS
 
 SCAN_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -20,10 +20,19 @@ SCAN_SCHEMA = T.StructType([
     T.StructField("total_logs", T.LongType()), T.StructField("threat_count", T.LongType()),
     T.StructField("critical_count", T.LongType()), T.StructField("report_json", T.StringType()),
 ])
-SCAN_EVENT_SCHEMA = T.StructType().fromDDL(f"scan_id long, {EVENT_SCHEMA}")
-INCIDENT_SCHEMA = T.StructType().fromDDL(
-    "scan_id long, incident_id string, threat_type string, severity string, affected_assets string, "
-    "recommended_actions string, created_at string")
+_EVENT_TYPES = {
+    "is_anomaly": T.BooleanType(),
+    **{c: T.DoubleType() for c in (
+        "bytes_sent", "bytes_received", "connection_duration", "attack_type_confidence", "attack_probability",
+        "anomaly_score", "frequency_score", "severity_weight", "threat_score")},
+}
+SCAN_EVENT_SCHEMA = T.StructType([
+    T.StructField("scan_id", T.LongType()),
+    *[T.StructField(c, _EVENT_TYPES.get(c, T.StringType())) for c in EVENT_COLUMNS]])
+INCIDENT_SCHEMA = T.StructType([
+    T.StructField("scan_id", T.LongType()),
+    *[T.StructField(c, T.StringType()) for c in (
+        "incident_id", "threat_type", "severity", "affected_assets", "recommended_actions", "created_at")]])
 AUDIT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
     T.StructField("action", T.StringType()), T.StructField("details", T.StringType()),
