@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes in a block (one task's working set) and behind a bucket of hashes.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 
 
 def text_size(docs: DataFrame, text_col: str = "text") -> int:

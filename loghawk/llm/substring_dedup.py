@@ -32,7 +32,8 @@ from loghawk.llm import text as T
 
 WINDOW_WORDS = 13
 HASH_BYTES = 7
-_PACKED = "bucket int, block int, width int, hashes binary, firsts binary, docs binary, starts binary"
+_PACKED = ("bucket int, block int, width int, hashes binary, firsts binary, lowest long, id_width int, docs binary, "
+           "starts binary")
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
@@ -68,6 +69,9 @@ def _send(window: int, buckets: int):
         new = _run_starts(hashes)
         hashes, at = hashes[new], at[new]  # sorted by place within a hash: the smallest document
         width = B.index_width(len(words.start))
+        lowest = int(ids.min())
+        above = ids.view(np.uint64) - np.uint64(lowest & 0xFFFFFFFFFFFFFFFF)  # modulo 2**64, so for any ids
+        id_width = max(1, -(-int(above.max()).bit_length() // 8))
         cuts = np.searchsorted(B.bucket_of(hashes, buckets), np.arange(buckets + 1))
         out = []
         for bucket in range(buckets):
@@ -75,11 +79,12 @@ def _send(window: int, buckets: int):
             if a == b:
                 continue
             owner = np.unique(np.searchsorted(words.bounds, at[a:b], side="right") - 1)
-            out.append((bucket, block, width, B.pack(hashes[a:b], HASH_BYTES), B.pack(at[a:b], width),
-                        ids[owner].tobytes(), words.bounds[owner].tobytes()))
-        cols = list(zip(*out)) or [[]] * 7
-        kinds = [pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 4
-        names = ["bucket", "block", "width", "hashes", "firsts", "docs", "starts"]
+            out.append((bucket, block, width, B.pack(hashes[a:b], HASH_BYTES), B.pack(at[a:b], width), lowest, id_width,
+                        B.pack(above[owner], id_width), B.pack(words.bounds[owner], width)))
+        cols = list(zip(*out)) or [[]] * 9
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(),
+                 pa.binary()]
+        names = ["bucket", "block", "width", "hashes", "firsts", "lowest", "id_width", "docs", "starts"]
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
     return send
 
@@ -88,14 +93,16 @@ def _answer(table: pa.Table) -> pa.Table:
     """For each block, the places whose window starts in a smaller document."""
     rows = table.to_pydict()
     hashes, ids, firsts, part = [], [], [], []
-    for k, raw in enumerate(rows["hashes"]):
-        hashes.append(B.unpack(raw, HASH_BYTES))
-        at = B.unpack(rows["firsts"][k], rows["width"][k]).astype(np.int64)
-        starts = np.frombuffer(rows["starts"][k], np.int64)
-        ids.append(np.frombuffer(rows["docs"][k], np.int64)[np.searchsorted(starts, at, side="right") - 1])
+    for k in range(len(rows["hashes"])):
+        hashes.append(B.unpack(rows["hashes"][k], HASH_BYTES))
+        width, at = rows["width"][k], B.unpack(rows["firsts"][k], rows["width"][k]).astype(np.int64)
+        starts = B.unpack(rows["starts"][k], width).astype(np.int64)
+        above = B.unpack(rows["docs"][k], rows["id_width"][k])
+        own = (above + np.uint64(rows["lowest"][k] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+        ids.append(own[np.searchsorted(starts, at, side="right") - 1])
+        rows["hashes"][k] = rows["firsts"][k] = None
         firsts.append(at)
         part.append(np.full(len(at), k, np.int32))
-    rows["hashes"] = None
     hashes, ids, firsts, part = (np.concatenate(x) for x in (hashes, ids, firsts, part))
     order = np.argsort(hashes, kind="stable")
     new = _run_starts(hashes[order])
