@@ -47,7 +47,7 @@ def main() -> None:
         return out
 
     raw = fixtures.security_logs(spark, sf_dir)
-    clean = timed("clean_logs", lambda: P.clean_logs(raw).checkpoint(eager=True))
+    clean = timed("clean_logs", lambda: P.preprocess(raw).clean)  # as run_scan does
     result = timed("run_pipeline", lambda: run_pipeline(clean))
     scored = result.scored
     timed("quality_report", lambda: P.quality_report(raw, clean).collect())
