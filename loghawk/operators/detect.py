@@ -221,7 +221,7 @@ def model_comparison(metrics: DataFrame, models=("random_forest", "gbt")) -> Dat
 
 
 def detect_attacks(df: DataFrame, features_col: str = "features", label_col: str = "attack_type",
-                   seed: int = C.MODEL_SEED, on_fit=None, **params) -> Detection:
+                   seed: int = C.MODEL_SEED, on_fit=None, split_bits: int = SPLIT_BITS, **params) -> Detection:
     """M1-M8: label, guard, split, fit both detectors, ensemble on all rows, test metrics.
 
     ``on_fit`` (no arguments) is called once the detector fits start, or when
@@ -237,7 +237,7 @@ def detect_attacks(df: DataFrame, features_col: str = "features", label_col: str
         return Detection(scored=fallback, metrics=None, warning=(
             "All labels fall in one class, so no detector was trained: the labels stand in for "
             "predictions and there are no metrics."))
-    split = cut_lineage(stratified_split(labelled, "y", seed=seed))
+    split = cut_lineage(stratified_split(labelled, "y", seed=seed, bits=split_bits))
     rf, gbt = fit_detectors(split, features_col, seed=seed, on_fit=on_fit, **params)
     out = gbt.transform(rf.transform(split))
     out = out.withColumns({"p_rf": _p1("rf_prob"), "p_gbt": _p1("gbt_prob")}) \
@@ -260,7 +260,8 @@ class Classification:
 
 def classify_attacks(df: DataFrame, features_col: str = "features", label_col: str = "attack_type",
                      trees: int = C.RF_TREES, depth: int = C.RF_DEPTH,
-                     seed: int = C.MODEL_SEED, apply_to: DataFrame | None = None) -> Classification:
+                     seed: int = C.MODEL_SEED, apply_to: DataFrame | None = None,
+                     split_bits: int = SPLIT_BITS) -> Classification:
     """Multiclass forest on the true attack rows; class probabilities for all rows.
 
     Labels are coded alphabetically; a missing label is "Unknown". The 75/25 split is
@@ -281,7 +282,8 @@ def classify_attacks(df: DataFrame, features_col: str = "features", label_col: s
     stratified = size["least"] >= 2 and min(test_rows, size["rows"] - test_rows) >= size["labels"]
     indexer = StringIndexer(inputCol=label_col, outputCol="_cls", stringOrderType="alphabetAsc").fit(by_label)
     names = list(indexer.labels)
-    split = cut_lineage(stratified_split(indexer.transform(attacks), label_col if stratified else None, seed=seed))
+    split = cut_lineage(stratified_split(indexer.transform(attacks), label_col if stratified else None, seed=seed,
+                                         bits=split_bits))
     sel = split.where(~F.col("is_test")).select("row_id", features_col, "_cls")
     train = training_frame(sel, size["rows"] - test_rows)
     try:

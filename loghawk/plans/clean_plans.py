@@ -45,10 +45,11 @@ def _scaled_out():
 
 
 def q_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 round trip: the F1 logs written as CSV text, read back as strings."""
+    """S1 round trip: the F1 logs written as CSV text in order, read back as strings, numbered by file order."""
     path = scratch_path(spark, "csv")
-    fixtures.security_logs(spark, sf_dir).write.option("header", True).csv(path)
-    return read_logs(spark, path, order_col="row_id")
+    logs = fixtures.security_logs(spark, sf_dir).withColumnRenamed("row_id", "source_row")
+    logs.orderBy("source_row").write.option("header", True).csv(path)
+    return read_logs(spark, path)
 
 
 def q_validate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,9 @@ NULLS = " UNION ALL ".join(
     f"SELECT 'nulls' AS check, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS count FROM f1" for c in REQ)
 
 ORACLE.update({
-    "read_logs": _with(f"f1 AS ({SECURITY_LOGS_SQL})") + "SELECT * FROM f1",
+    "read_logs": _with(f"f1 AS ({SECURITY_LOGS_SQL})")
+        + "SELECT * EXCLUDE (row_id), CAST(row_id AS VARCHAR) AS source_row, "
+          "row_number() OVER (ORDER BY row_id) - 1 AS row_id FROM f1",
     "validation_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") +
         f"SELECT 'rows' AS check, CAST(NULL AS VARCHAR) AS column_name, count(*) AS count FROM f1 UNION ALL {NON_NUMERIC} UNION ALL {NULLS}",
     "coerce_numeric": clean_query(f"SELECT row_id, {', '.join(NUMS)} FROM coerced"),
