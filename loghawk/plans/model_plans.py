@@ -130,9 +130,9 @@ def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = AN.fit_isolation_forest(feats, FEATURE_COLUMNS)
     scores = cut_lineage(AN.isolation_scores(feats.select("row_id", *FEATURE_COLUMNS), model))
     rows = AN.flag_anomalies(AN.normalise_scores(scores))
-    share = F.avg(F.col("is_anomaly").cast("double"))
+    flagged, n = F.count_if(F.col("is_anomaly")), F.count(F.lit(1))
     return _invariants(rows, "iso_score", 0.0, 1.0, F.min("anomaly_score").alias("score_min"),
-                       F.max("anomaly_score").alias("score_max"), share.between(0.05, 0.1).alias("share_flagged"),
+                       F.max("anomaly_score").alias("score_max"), ((flagged > 0.05 * n) & (flagged <= F.ceil(0.1 * n))).alias("share_flagged"),
                        (F.min(F.when(F.col("is_anomaly"), F.col("iso_score")))
                         > F.max(F.when(~F.col("is_anomaly"), F.col("iso_score")))).alias("flags_highest"))
 
