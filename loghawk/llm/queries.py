@@ -67,8 +67,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken",
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken",
                                         F.array_min("passes.position").alias("first_position"))
 
 
