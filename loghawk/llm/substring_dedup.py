@@ -68,18 +68,21 @@ def _send(window: int, buckets: int):
         words, ids, hashes, at, _ = _entries(table, window)
         new = _run_starts(hashes)
         hashes, at = hashes[new], at[new]  # sorted by place within a hash: the smallest document
+        bucket_at = B.bucket_of(hashes, buckets)
+        order = np.lexsort((at, bucket_at))
+        hashes, at = hashes[order], at[order]
         width = B.index_width(len(words.start))
         lowest = int(ids.min())
         above = ids.view(np.uint64) - np.uint64(lowest & 0xFFFFFFFFFFFFFFFF)  # modulo 2**64, so for any ids
         id_width = max(1, -(-int(above.max()).bit_length() // 8))
-        cuts = np.searchsorted(B.bucket_of(hashes, buckets), np.arange(buckets + 1))
+        cuts = np.searchsorted(bucket_at, np.arange(buckets + 1))
         out = []
         for bucket in range(buckets):
             a, b = cuts[bucket], cuts[bucket + 1]
             if a == b:
                 continue
             owner = np.unique(np.searchsorted(words.bounds, at[a:b], side="right") - 1)
-            out.append((bucket, block, width, B.pack(hashes[a:b], HASH_BYTES), B.pack(at[a:b], width), lowest, id_width,
+            out.append((bucket, block, width, B.pack(hashes[a:b], HASH_BYTES), B.pack_ascending(at[a:b], width), lowest, id_width,
                         B.pack(above[owner], id_width), B.pack(words.bounds[owner], width)))
         cols = list(zip(*out)) or [[]] * 9
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(),
@@ -95,7 +98,7 @@ def _answer(table: pa.Table) -> pa.Table:
     hashes, ids, firsts, part = [], [], [], []
     for k in range(len(rows["hashes"])):
         hashes.append(B.unpack(rows["hashes"][k], HASH_BYTES))
-        width, at = rows["width"][k], B.unpack(rows["firsts"][k], rows["width"][k]).astype(np.int64)
+        width, at = rows["width"][k], B.unpack_ascending(rows["firsts"][k], rows["width"][k]).astype(np.int64)
         starts = B.unpack(rows["starts"][k], width).astype(np.int64)
         above = B.unpack(rows["docs"][k], rows["id_width"][k])
         own = (above + np.uint64(rows["lowest"][k] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
@@ -113,7 +116,7 @@ def _answer(table: pa.Table) -> pa.Table:
         width = rows["width"][k]
         out["block"].append(rows["block"][k])
         out["width"].append(width)
-        out["places"].append(B.pack(np.sort(firsts[hit[part[hit] == k]]), width))
+        out["places"].append(B.pack_ascending(np.sort(firsts[hit[part[hit] == k]]), width))
     return pa.table([pa.array(out["block"], pa.int32()), pa.array(out["width"], pa.int32()),
                      pa.array(out["places"], pa.binary())], names=["block", "width", "places"])
 
@@ -134,7 +137,7 @@ def _finish(window: int):
         else:
             smallest = np.zeros(0, np.int64)
         gone = ids[doc] > smallest
-        places = [B.unpack(p.as_py(), w.as_py()) for p, w in zip(answers["places"], answers["width"])]
+        places = [B.unpack_ascending(p.as_py(), w.as_py()) for p, w in zip(answers["places"], answers["width"])]
         if places and len(hashes):
             told = np.isin(at, np.concatenate(places).astype(np.int64))
             gone |= np.bincount(group, told, minlength=group[-1] + 1)[group] > 0
