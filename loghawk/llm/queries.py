@@ -47,7 +47,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality_rules.quality_report(docs, quality_rules.fit(docs, trusted_ids(spark, sf_dir)))
+    return quality_rules.quality_report(docs, quality_rules.fit_distinct(docs, trusted_ids(spark, sf_dir)))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

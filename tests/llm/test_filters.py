@@ -70,6 +70,32 @@ def test_quality_rejects_junk_only(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
 
 
+@pytest.mark.parametrize("most_classes", [0, 1 << 20])
+def test_quality_counts_each_text_once(spark, most_classes):
+    r = random.Random(12)
+    names = cases.prose(60, 510).split()
+    rows = [(k, " ".join(r.choices(names, k=150)), "a") for k in range(60)]
+    rows += [(100 + k, " ".join(w.upper() + "!!" for w in r.choices(names, k=150)), "a") for k in range(10)]
+    text = " ".join(r.choices(names, k=150))  # clean, unlabelled, a third of all rows
+    spaced = "".join(c.upper() if c.isascii() else c for c in text).replace(" ", "\n")
+    once, copies = [*rows, (200, text, "a")], [(200 + k, spaced if k % 2 else text, "a") for k in range(35)]
+    trusted = spark.createDataFrame([(k,) for k in range(40)] + [(300,)], "doc_id long")
+    single = quality_rules.fit(cases.frame(spark, once), trusted)
+    docs = cases.frame(spark, rows + copies)
+    counts = quality_rules.fit_distinct(docs, trusted, most_classes=most_classes)
+    assert np.array_equal(counts, single)
+    by_row = quality_rules.fit(docs, trusted)  # holds the copies against each other
+    assert not quality_rules.judge(pa.array([text]), by_row, quality_rules.THRESHOLD)["kept"][0]
+    got = {x.doc_id: x for x in quality_rules.quality_report(docs, counts).collect()}
+    assert {k for k in got if not got[k].kept} == set(range(100, 110))
+    assert len({round(got[i].score, 12) for i, *_ in copies}) == 1
+    # One trusted copy makes the text trusted, and it counts once.
+    with_copy = spark.createDataFrame([(k,) for k in range(40)] + [(217,), (218,)], "doc_id long")
+    one = spark.createDataFrame([(k,) for k in range(40)] + [(200,)], "doc_id long")
+    assert np.array_equal(quality_rules.fit_distinct(docs, with_copy, most_classes=most_classes),
+                          quality_rules.fit(cases.frame(spark, once), one))
+
+
 BENCH = [(0, cases.prose(40, 900)), (1, cases.prose(25, 901)), (2, cases.prose(60, 902)), (3, None), (4, "tiny item"),
          (5, cases.prose(40, 900)), (None, cases.prose(30, 903)), (6, "")]
 
