@@ -5,8 +5,10 @@ Pattern kinds (leftmost, non-overlapping, each on its own): ``assign``, ``access
 and slides a window over each: the window's Shannon entropy follows from counts
 that change by the character that enters and the one that leaves, and the state
 folds along the string. Windows at or above the class's threshold merge into spans.
-Allow-listed candidates give none: repeats and runs of an alphabet, words made of
-letters of one case, and paths or identifiers with too few digits.
+Allow-listed words (example words, runs of an alphabet) end a candidate: what stands
+beside them is judged on its own. Allow-listed candidates give none: pure repeats,
+letters of one case, and paths or identifiers, whose parts between separators are
+capitalised words, or one case throughout, with one digit at the end at most.
 
 Positions are in characters (code points), ends exclusive. Spark's regular
 expressions give texts, not positions: the lengths of the pieces around the
@@ -36,13 +38,15 @@ CLASSES = {
     "base64": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}",
                "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 20, 3.7),
 }
+#: Words that are no part of a secret; candidates are what is left between them.
+WORDS = ["example", "placeholder", "changeme", "abcdefghij", "0123456789"]
+_PART = r"(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++)[0-9]?+"
 #: Candidates that are no secrets.
 ALLOWED = [
-    r"^[a-z_/-]+$", r"^[A-Z_/-]+$", r"^[A-Z]?[a-z]+([-_/][A-Z]?[a-z]+)*$", r"^[0-9]+$",
-    r"^(.{1,4})\1{3,}", r"(?i)abcdefghij|0123456789|example|placeholder|changeme",
+    r"^[a-z_/-]+$", r"^[A-Z_/-]+$", rf"^[-_/+]*+{_PART}(?:[-_/+]++{_PART})*+[-_/+]*+$", r"^[0-9]+$",
+    r"^(.{1,4})\1{3,}$", "(?i)" + "|".join(WORDS),
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 ]
-LEAST_DIGITS = 2
 KIND_ORDER = [*KINDS, "entropy"]
 MASK = "[SECRET]"
 _NONE = "array<struct<start:int,kind:int,end:int>>"
@@ -121,11 +125,19 @@ def _entropy_windows(match: Column, alphabet: str, window: int, bits: float) ->
     return F.aggregate(F.sequence(F.lit(1), F.length(match)), state, step, lambda acc: acc["spans"])
 
 
+def _without_words(text: Column) -> Column:
+    """The text with blanks in place of the allowed words; positions stay."""
+    out = text
+    for size in sorted({len(w) for w in WORDS}):
+        out = F.regexp_replace(out, "(?i)" + "|".join(w for w in WORDS if len(w) == size), " " * size)
+    return F.when(text.rlike("(?i)" + "|".join(WORDS)), out).otherwise(text)
+
+
 def _entropy_spans(text: Column, name: str) -> Column:
     pattern, alphabet, window, bits = CLASSES[name]
 
     def suspicious(m):
-        allowed = F.length(F.regexp_replace(m["match"], "[^0-9]", "")) < LEAST_DIGITS
+        allowed = F.lit(False)
         for rule in ALLOWED:
             allowed = allowed | m["match"].rlike(rule)
         return ~allowed
@@ -134,7 +146,7 @@ def _entropy_spans(text: Column, name: str) -> Column:
         return F.transform(_entropy_windows(m["match"], alphabet, window, bits),
                            lambda w: _span(m["start"] + w["start"], "entropy", m["start"] + w["end"]))
 
-    return F.flatten(F.transform(F.filter(_matches(text, pattern), suspicious), shifted))
+    return F.flatten(F.transform(F.filter(_matches(_without_words(text), pattern), suspicious), shifted))
 
 
 def secret_spans(text: Column) -> Column:

@@ -230,3 +230,28 @@ def test_redaction(spark):
             at = max(at, b)
         expected.append((i, out + text[at:] if at else text))
     cases.same_rows([(r.doc_id, r.text) for r in got.collect()], expected)
+
+
+def test_secret_scan_finds_random_keys(spark):
+    r = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(r.choices(letters, k=40)) for _ in range(200)] + ["".join(r.choices(letters[:52], k=40)) for _ in range(50)]
+    before = ["", "AAAA", "----", "example/", "0123456789/", "changeme", "EXAMPLE", "placeholder_", "abcdefghij"]
+    rows = [(k, f"é {before[k % len(before)]}{key} end", "a") for k, key in enumerate(keys)]
+    hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(50)]
+    rows += [(1000 + k, "x " + "0" * 8 + (h.upper() if k % 2 else h), "a") for k, h in enumerate(hexes)]
+    plain = ["getElementByIdAndClassName", "src/main/java/com/Acme/UserAccountServiceImpl", "MAX_RETRY_COUNT_PER_SESSION_v2",
+             "the-quick-brown-fox-jumps-over", "some_long_identifier_utf8", "abcd" * 12, "a/" * 30000 + "B", "Ab" * 30000]
+    rows += [(2000 + k, p, "a") for k, p in enumerate(plain)]
+    got = {x.doc_id: [(s["start"], s["end"]) for s in x.found if s["kind"] == 3]
+           for x in secret_scan.scan(cases.frame(spark, rows)).collect()}
+    n_windows = 0
+    for (k, text, _), key in zip(rows, keys):  # every window of the key alone that reaches the bar is in a span
+        at = text.index(key)
+        for i in range(21):
+            h = -sum(v / 20 * math.log2(v / 20) for v in Counter(key[i:i + 20]).values())
+            n_windows += h >= 3.7
+            assert h < 3.7 + 1e-6 or any(a <= at + i and at + i + 20 <= b for a, b in got[k]), text
+    assert n_windows > 0.95 * 21 * len(keys) and all(got[k] for k in range(len(keys)))
+    assert sum(bool(got[1000 + k]) for k in range(50)) >= 45
+    assert not any(got[2000 + k] for k in range(len(plain)))
