@@ -11,9 +11,10 @@ the threshold goes on:
 2. per block of items, the sum of the terms' largest impacts in that block,
 3. the score itself, for the items of the blocks that are left.
 
-A retrieved item is verified in its passage: at least ``overlap`` of the item's
+A retrieved item is verified in its passage: at least ``overlap`` of its question's
 five-word shingles, and of the words of its answer (the last ``answer_share`` of
-the item), occur there. Impacts are divided by the item's threshold, so that 1 is
+the item), occur there. Shingles of the whole item may stand in for those of the
+question, and must where the question is shorter than a shingle. Impacts are divided by the item's threshold, so that 1 is
 the bar throughout.
 
 The index holds at most ``index_items`` items at a time; a larger benchmark is
@@ -136,6 +137,12 @@ def _overlaps(item: np.ndarray, passage: np.ndarray) -> tuple[float, float, floa
             float(np.isin(item[cut:], passage).mean()))
 
 
+def _verified(item: np.ndarray, found: tuple[float, float, float], overlap: float) -> bool:
+    """Question and answer, or item and answer, are there."""
+    asks = len(item) - max(1, round(ANSWER_SHARE * len(item))) >= SHINGLE
+    return found[2] >= overlap and (found[0] >= overlap or (asks and found[1] >= overlap))
+
+
 def leaks(index: Index, texts, overlap: float = OVERLAP):
     """(document number, item id, first word of the passage, score, overlaps), best passage of each pair."""
     if not len(index.terms):
@@ -162,7 +169,7 @@ def leaks(index: Index, texts, overlap: float = OVERLAP):
         at = (p - int(first_passage[d])) * index.step
         a = int(words.bounds[d]) + at
         found = _overlaps(index.words[i], hashes[a:min(a + index.passage, int(words.bounds[d + 1]))])
-        if found[0] >= overlap and found[2] >= overlap:
+        if _verified(index.words[i], found, overlap):
             row = (found[0], s, -at, found)
             if (d, i) not in best or row > best[d, i]:
                 best[d, i] = row

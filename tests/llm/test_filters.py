@@ -140,6 +140,19 @@ def test_decontamination(spark, part):
     assert clean.schema == cases.frame(spark, rows).schema
 
 
+def test_decontamination_judges_question_and_answer(spark):
+    item = cases.prose(60, 920, 4000).split()
+    answer, r = item[45:], random.Random(3)
+    shuffled = sorted(answer, key=lambda _: r.random())
+    rows = [(1, " ".join(["before", *item[:45], *shuffled, "after"]), "a"),  # question as it is, answer's words mixed
+            (2, " ".join(item[:45]), "a"), (3, " ".join(shuffled), "a"), (4, "item and tiny", "a")]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "tiny item")], "item_id long, text string")
+    got = decontaminate.contaminated_pairs(cases.frame(spark, rows), bench).collect()
+    assert [(x.doc_id, x.item_id) for x in got] == [(1, 7)]
+    assert got[0].question_overlap == got[0].answer_overlap == 1 and got[0].item_overlap < 0.8
+    assert sorted(x.doc_id for x in decontaminate.remove_contaminated(cases.frame(spark, rows), bench).collect()) == [2, 3, 4]
+
+
 def test_block_max_retrieval_equals_full_scoring():
     texts = pa.array([cases.prose(30, 2000 + k, 80) for k in range(100)])
     index = decontaminate.build_index(np.arange(100), texts, 0.45)
