@@ -153,6 +153,23 @@ def test_decontamination_judges_question_and_answer(spark):
     assert sorted(x.doc_id for x in decontaminate.remove_contaminated(cases.frame(spark, rows), bench).collect()) == [2, 3, 4]
 
 
+def test_decontamination_does_not_depend_on_parts(spark):
+    rows = _leaky() + [(410, cases.prose(200, 1010) + " " + BENCH[6][1], "a"), (411, BENCH[2][1], "a")]
+    items = [*BENCH, (2, cases.prose(25, 901)), (9, cases.prose(3000, 930))]
+    keys = ["doc_id", "item_id", "passage_start", "item_overlap", "question_overlap", "answer_overlap"]
+
+    def pairs(items, **parts):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = decontaminate.contaminated_pairs(cases.frame(spark, rows), bench, **parts).collect()
+        return sorted((repr([x[k] for k in keys]), round(x.score, 9)) for x in got), got
+
+    one, got = pairs(items)
+    assert one == pairs(items, index_items=2)[0] == pairs(items, index_words=50)[0]
+    assert [x.doc_id for x in got if x.item_id is None] == [410]  # a test item without an id is one all the same
+    # A long item leaves the passages of the short ones as they are.
+    assert [k for k, _ in one] == [k for k, _ in pairs(items[:-1])[0]]
+
+
 def test_block_max_retrieval_equals_full_scoring():
     texts = pa.array([cases.prose(30, 2000 + k, 80) for k in range(100)])
     index = decontaminate.build_index(np.arange(100), texts, 0.45)
