@@ -6,8 +6,9 @@ end tags without a start, and keeps the bodies of raw-text elements out of the t
 
 The renderer emits all visible text. Hidden are scripts, styles, the head, templates
 and other unrendered elements, the ``hidden`` attribute, ``display:none``,
-``visibility:hidden`` and the body of a closed ``details``. White space collapses, but in
-``pre``. Blocks start on a new line; paragraphs, headings, lists, tables and quotes
+``visibility:hidden``, the body of a closed ``details`` and the parts of an ``svg`` that are
+only referred to; its ``text`` elements are lines. White space collapses, but in ``pre``
+and ``xmp``. Blocks start on a new line; paragraphs, headings, lists, tables and quotes
 stand between blank lines. List items get a bullet or their number and are indented
 by depth; table cells are padded to their column's width.
 
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset("head script style title template iframe noembed noframes noscript meta link base "
-                   "datalist object audio video canvas svg".split())
+                   "datalist object audio video canvas".split())
+#: Within svg.
+SVG_UNSEEN = frozenset("defs symbol clippath mask marker pattern lineargradient radialgradient filter desc "
+                       "metadata".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre "
-                  "search section summary table ul caption tr tbody thead tfoot td th".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr".split())
-ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option".split())
+                  "search section summary table ul caption tr tbody thead tfoot td th text xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre xmp table figure hr".split())
+ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 #: start tag -> (open elements it closes, elements that stop the search)
@@ -50,8 +54,12 @@ IMPLIED_END = {
 }
 SCOPE = frozenset("table td th caption html button".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
+#: A quote opens a value only directly after "="; elsewhere it is part of a name or of an unquoted value.
+_VALUE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^ \t\n\r\f>\"'][^ \t\n\r\f>]*+)|(?=>|\Z))"
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_ATTRS = re.sub(r"\((?!\?)", "(?:", rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_VALUE})?+)*+")
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\r\f/>]*+)({_ATTRS})>", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -71,6 +79,14 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _closes_itself(raw: str) -> bool:
+    """A slash ends the tag and isn't part of an unquoted value."""
+    last = None
+    for last in _ATTR.finditer(raw):
+        pass
+    return raw.endswith("/") and (last is None or last.end() < len(raw))
+
+
 class TreeBuilder:
     """Open elements as a stack; children are nodes or strings."""
 
@@ -135,10 +151,19 @@ def parse(source: str) -> Node:
             build.end(tag)
             continue
         build.start(tag, m.group(3))
+        if (tag in SVG_UNSEEN or m.group(3).endswith("/")) and any(x.tag == "svg" for x in build.open):
+            if tag in SVG_UNSEEN:
+                build.open[-1].attrs["hidden"] = ""
+            if _closes_itself(m.group(3)) and build.open[-1].tag == tag:
+                build.open.pop()
+                continue
         if tag in RAW:
             last = _RAW_END[tag].search(source, at)
             if tag == "textarea":
                 build.text(source[at:last.start() if last else n])
+            elif tag == "xmp":  # as in pre, but without entities
+                body = source[at:last.start() if last else n].removeprefix("\n")
+                build.open[-1].children += [body] if body else []
             at = last.end() if last else n
             if build.open[-1].tag == tag:
                 build.open.pop()
@@ -275,7 +300,7 @@ def render(root: Node) -> str:
                 out.block(tag in SPACED and not (tag in LISTS and lists))
             if tag == "hr":
                 continue
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 pre += 1
             elif tag in LISTS:
                 lists.append([tag, _number(node.attrs.get("start"), 1)])
@@ -304,7 +329,7 @@ def render(root: Node) -> str:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
             stack.extend((c, False) for c in reversed(children))
             continue
-        if tag == "pre":
+        if tag in ("pre", "xmp"):
             pre -= 1
         elif tag in LISTS:
             lists.pop()

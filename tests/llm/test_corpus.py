@@ -222,6 +222,23 @@ def test_html_rendering(source):
     assert render_html(source) == HTML[source]
 
 
+VISIBLE = {
+    "<p class=it's>visible text, we don't lose</p>": "visible text, we don't lose",
+    "<p title=5\" id=x>a 5\" b</p><a href=/x/y?q='1>c</a>'": "a 5\" b\n\nc'",
+    "<p title = 'a>b' data-x=\"c>d\" hidden=>no</p><p it's>yes</p>": "yes",
+    "<p>a<svg width=9><title/><style/><defs><text>no</text></defs><path d='M0'/><rect/><text x=1>One</text>"
+    "<text>Two <tspan>2</tspan></text><title>no</title></svg>b": "a\nOne\nTwo 2\nb",
+    "x<svg><a href=y/><text>in</text></a></svg>z": "x\nin\nz",
+    "a<xmp>\n <b>x</b>  &amp;</xmp>b": "a\n\n <b>x</b>  &amp;\n\nb",
+    "<a href=\"open>text": "text",
+}
+
+
+@pytest.mark.parametrize("source", list(VISIBLE), ids=range(len(VISIBLE)))
+def test_html_emits_all_visible_text(source):
+    assert render_html(source) == VISIBLE[source]
+
+
 def test_html_tree():
     def shape(node):
         return [c if isinstance(c, str) else (c.tag, *shape(c)) for c in node.children]
