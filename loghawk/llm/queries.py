@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from loghawk.llm.decontaminate import contaminated_pairs
 from loghawk.llm import quality_rules
-from loghawk.llm import chat_format, fill_middle, kneser_ney, mixing, secret_scan
+from loghawk.llm import chat_format, fill_middle, kneser_ney, mixing, secret_scan, warc
 from loghawk.llm.html_render import html_text
 from loghawk.llm.simhash import simhash_groups
 from loghawk.llm.substring_dedup import substring_dedup
 from loghawk.llm.suffix_dedup import suffix_dedup
-from loghawk.session import ensure_checkpoint_dir, ship_package
+from loghawk.session import ensure_checkpoint_dir, scratch_path, ship_package
 from loghawk.sources.tables import read_table
 
 
@@ -90,6 +90,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = _table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_warc(pages, folder)
+    return warc.read_warc(spark, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                               "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_formatting": op10_chat_formatting,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_warc": op13_warc,
 }
 
 ORACLE: dict[str, str] = {}
@@ -165,3 +173,18 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(t) AS restored_sha256
 FROM g
 """
+
+ORACLE["op13_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), b AS (
+  SELECT page_id, first, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+         array_to_string([lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0') FOR c IN string_split(sha1(t), '')], '') AS bits FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, 5 * i + 1, 5) AS INTEGER), 1)
+                        FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
