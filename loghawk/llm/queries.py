@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loghawk.llm.decontaminate import contaminated_pairs
 from loghawk.llm import quality_rules
-from loghawk.llm import chat_format, fill_middle, kneser_ney, mixing, secret_scan, warc
+from loghawk.llm import chat_format, fill_middle, kneser_ney, mixing, phrases, secret_scan, warc
 from loghawk.llm.html_render import html_text
 from loghawk.llm.simhash import simhash_groups
 from loghawk.llm.substring_dedup import substring_dedup
@@ -83,6 +83,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows, chat_format.text_part(F.col("text"))))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents")).drop("k")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_warc": op13_warc,
 }
@@ -150,6 +155,47 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+ORACLE["op11_phrase_mining"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), places AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM places, range(1, 6) AS t(k) WHERE i + k - 1 <= len(ws)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), size AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k >= 2 AND f >= 100
+), cut AS (
+  SELECT lang, phrase, a, ws, unnest(range(1, k)) AS cut_at FROM c
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, cut_at, l.f AS l, r.f AS r, n,
+         (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[1:cut_at], ' ')
+  JOIN f AS r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[cut_at + 1:], ' ') JOIN size ON size.lang = cut.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, a, k, unnest(range(1, k)) AS i FROM c), range(2, 6) AS t(j)
+  WHERE j > i AND j <= k AND j - i + 1 < k GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase
+  WHERE longer IS NULL OR 100 * longer < 100 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE["op12_fill_in_middle"] = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,

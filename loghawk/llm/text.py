@@ -59,7 +59,14 @@ def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts, lower: bool = False) -> Words:
+def byte_set(members: bytes) -> np.ndarray:
+    """True for the bytes that are members."""
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+def split_words(texts, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
     data, offsets = text_bytes(texts)
     n = len(data)
     if n == 0:
@@ -67,7 +74,7 @@ def split_words(texts, lower: bool = False) -> Words:
         return Words(data, none, none, np.zeros(len(offsets), np.int64))
     if lower:
         data = LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
