@@ -12,14 +12,15 @@
 3. Time. Each weight class has a schedule, piecewise linear over training time 0 .. 1
    and scaled to area 1. Its integral times the target is the source's demand by that
    time; the inverse gives the time at which a document's first word is due.
-4. ``training_order`` has one row for each pass over a document and is range-sorted by
-   that time.
+4. ``by_position`` range-sorts the documents by the time of their first word;
+   ``training_order`` has one row for each pass over a document, sorted likewise.
 
 A document's taken words are those of its passes that lie before the target, which
 is rounded to whole words: the sum over a source is its target to half a word.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of
-its own; repeated rows are taken each; equal hashes go by id, then by text hash;
+its own; repeated rows are taken each; null or repeated ids are spread by their text;
+equal hashes go by id, then by text hash;
 input columns whose names this operator also writes get the suffix ``_input``;
 without any words all targets are 0; an empty table gives no rows.
 """
@@ -31,6 +32,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loghawk.llm.text import free_name
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP, BUCKETS = (3.0, 1.0, 2.0), 1.5, 2.0, 4096
 #: (time, relative weight) knots for each place in ``WEIGHTS``: steady, rising, falling.
@@ -94,7 +97,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     keep = [F.col(f"`{c}`").alias(c + "_input" if c in PLAN_COLUMNS else c) for c in carry or docs.columns]
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
-    order = F.xxhash64(F.col(f"`{id_col}`").cast("string"), source.cast("string"))
+    order = F.xxhash64(F.col(f"`{id_col}`").cast("string"), source.cast("string"), text)
     rows = docs.select(
         F.struct(*keep).alias("row"), source.alias("source"),
         # One text key for the joins: null is not the empty name.
@@ -130,11 +133,18 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                     total.alias("taken"), "passes"))
 
 
+def by_position(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The plan with ``first_position``, range-sorted by it; documents that aren't taken come last."""
+    return plan.withColumn("first_position", F.array_min("passes.position")) \
+        .orderBy(F.asc_nulls_last("first_position"), F.asc_nulls_last(id_col))
+
+
 def training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per pass over a document, range-sorted by its training position."""
     kept = [c for c in plan.columns if c not in PLAN_COLUMNS]
-    rows = plan.select(*kept, F.explode("passes").alias("__pass"))
+    held = free_name("pass", kept)
+    rows = plan.select(*kept, F.explode("passes").alias(held))
     names = {n: f"{n}_input" if n in kept else n for n in ("copy", "position", "taken")}
     renamed = [F.col(f"`{c}`").alias(names.get(c, c)) for c in kept]
-    return (rows.select(*renamed, *[F.col(f"__pass.{n}").alias(n) for n in names])
+    return (rows.select(*renamed, *[F.col(f"{held}.{n}").alias(n) for n in names])
             .orderBy("position", F.asc_nulls_last(id_col), "copy"))

@@ -67,8 +67,8 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken",
-                                        F.array_min("passes.position").alias("first_position"))
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixing.by_position(plan).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 #: A conversation whose texts hold marks that templates use.

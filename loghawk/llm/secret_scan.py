@@ -26,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loghawk.llm.text import free_name
+
 #: Fixed pattern kinds in their order: kind -> (pattern, group whose length counts, least length).
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -52,12 +54,27 @@ MASK = "[SECRET]"
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once even where lambdas in the body use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """The list in runs of about the square root of its length: folds that append stay short."""
+    def cut(items):
+        each = F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))), F.lit(1)).cast("int")
+        runs = F.ceil(F.size(items) / each).cast("int")
+        return F.when(F.size(items) <= 16, F.array(items)).otherwise(
+            F.transform(F.sequence(F.lit(0), runs - 1), lambda k: F.slice(items, k * each + 1, each)))
+
+    return _let(items, cut)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """(start, end, match) of every match, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     before = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def add(acc, pair):
         start = acc["at"] + pair["before"]
@@ -65,9 +82,21 @@ def _matches(text: Column, pattern: str) -> Column:
         row = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    pairs = F.zip_with(before, found, lambda b, m: F.struct(b.alias("before"), m.alias("match")))
+    def start_of_next(acc, block):
+        size = F.aggregate(block, F.lit(0), lambda n, pair: n + pair["before"] + F.length(pair["match"]))
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    blocks = _blocks(F.zip_with(before, found, lambda b, m: F.struct(b.alias("before"), m.alias("match"))))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def all_placed(blocks):
+        return F.flatten(F.zip_with(blocks, F.aggregate(blocks, none, start_of_next, lambda acc: acc["out"]), placed))
+
     # Only texts with a match are split and folded.
-    return F.when(text.rlike(pattern), F.aggregate(pairs, state, add, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(blocks, all_placed)).otherwise(empty)
 
 
 def _span(start: Column, kind: str, end: Column) -> Column:
@@ -99,11 +128,17 @@ def _entropy_windows(match: Column, alphabet: str, window: int, bits: float) ->
     codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
                         lambda c: F.position(c, F.lit(alphabet)))  # 1-based
     most = window * (math.log2(window) - bits) + 1e-9
-    state = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-                     F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    # The span that may still grow is held beside the list; an end of -1 says that there is none.
+    state = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"),
+                     spans.alias("spans"), F.lit(0).alias("start"), F.lit(-1).alias("end"))
+
+    def closed(acc):
+        last = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+        return F.when(acc["end"] >= 0, F.concat(acc["spans"], last)).otherwise(acc["spans"])
 
     def step(acc, i):
-        codes, counts, spans = acc["codes"], acc["counts"], acc["spans"]
+        codes, counts = acc["codes"], acc["counts"]
         full = i > window
         enters = F.element_at(codes, i)
         leaves = F.when(full, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
@@ -114,15 +149,14 @@ def _entropy_windows(match: Column, alphabet: str, window: int, bits: float) ->
         now = F.transform(counts, lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0)
                           - F.when(k + 1 == leaves, 1).otherwise(0))
         start, end = (i - window).cast("int"), i.cast("int")
-        joins = (F.size(spans) > 0) & (start <= F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(-1)))
-        grown = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(
-            F.try_element_at(spans, F.lit(-1))["start"].alias("start"), end.alias("end"))))
-        more = F.concat(spans, F.array(F.struct(start.alias("start"), end.alias("end"))))
         hit = (i >= window) & (total <= most)
+        fresh = hit & (start > acc["end"])
         return F.struct(codes.alias("codes"), now.alias("counts"), total.alias("sum"),
-                        F.when(hit & joins, grown).when(hit, more).otherwise(spans).alias("spans"))
+                        F.when(fresh, closed(acc)).otherwise(acc["spans"]).alias("spans"),
+                        F.when(fresh, start).otherwise(acc["start"]).alias("start"),
+                        F.when(hit, end).otherwise(acc["end"]).alias("end"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(match)), state, step, lambda acc: acc["spans"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(match)), state, step, closed)
 
 
 def _without_words(text: Column) -> Column:
@@ -153,7 +187,9 @@ def secret_spans(text: Column) -> Column:
     """Distinct (start, kind, end) of all kinds, by start, then kind; kind numbers index ``KIND_ORDER``."""
     text = F.coalesce(text, F.lit(""))
     found = [_pattern_spans(text, k) for k in KINDS] + [_entropy_spans(text, c) for c in CLASSES]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    # Two classes may find one span; sorted, equal ones are neighbours.
+    return _let(F.array_sort(F.concat(*found)),
+                lambda spans: F.filter(spans, lambda x, i: (i == 0) | (x != F.element_at(spans, F.greatest(i, F.lit(1))))))
 
 
 def _joined(spans: Column) -> Column:
@@ -176,16 +212,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """The rows with every span, overlapping ones together, replaced by ``mask``."""
-    text, spans = F.col(f"`{text_col}`"), F.col("__found")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc, x):
-        apart = x["start"] >= acc["at"]
-        piece = F.concat(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"),
-                        F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate(spans, state, cut,
-                         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return (docs.withColumn("__found", secret_spans(text))
-            .withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop("__found"))
+    held = free_name("found", docs.columns)
+    text, spans = F.col(f"`{text_col}`"), F.col(held)
+
+    def through(acc, block):
+        at = F.greatest(acc["at"], F.array_max(F.transform(block, lambda x: x["end"])))
+        row = F.struct(block.alias("spans"), acc["at"].alias("at"), at.alias("end"))
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    def masked(block):
+        # A block's own stretch of text, so that no piece is looked for from the text's start.
+        first = block["at"]
+        state = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def pieces(own):
+            def cut(acc, x):
+                piece = F.concat(F.substr(own, acc["at"] - first + 1, x["start"] - acc["at"]), F.lit(mask))
+                return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(
+                    x["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(block["spans"], state, cut, lambda acc: acc["out"]), "")
+
+        return _let(F.substr(text, first + 1, block["end"] - first), pieces)
+
+    none = F.array().cast("array<struct<spans:array<struct<start:int,kind:int,end:int>>,at:int,end:int>>")
+    blocks = F.aggregate(_blocks(spans), F.struct(F.lit(0).alias("at"), none.alias("out")), through, lambda acc: acc["out"])
+    out = F.concat(F.array_join(F.transform(blocks, masked), ""), F.substr(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1))
+    return (docs.withColumn(held, secret_spans(text))
+            .withColumn(text_col, F.when(F.size(spans) > 0, out).otherwise(text)).drop(held))

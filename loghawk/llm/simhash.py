@@ -276,17 +276,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def key(i, t):
         return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(t, F.lit("")))))
 
+    named, nth = T.free_name("key", docs.columns), T.free_name("nth", docs.columns)
     slim = docs.select(F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"),
                                 key(F.col(id_col), F.col(text_col)).alias("key")).alias("row"), text_col)
     # The row's key takes the id's place, and so follows its fingerprint.
     prints = _keyed_prints(slim, text_col, shingle).checkpoint()
     roots = component_ids(prints, distance, group_limit)
     first = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp") \
-        .groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("__key"))
-    keyed = docs.withColumn("__key", key(F.col(id_col), F.col(text_col)))
-    once = Window.partitionBy("__key").orderBy("__key")
-    return (keyed.join(first.distinct(), "__key", "left_semi").withColumn("__nth", F.row_number().over(once))
-            .where("__nth = 1").select(*docs.columns))
+        .groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias(named))
+    keyed = docs.withColumn(named, key(F.col(id_col), F.col(text_col)))
+    once = Window.partitionBy(named).orderBy(named)
+    return (keyed.join(first.distinct(), named, "left_semi").withColumn(nth, F.row_number().over(once))
+            .where(F.col(nth) == 1).select(*docs.columns))
 
 
 def _keyed_prints(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:

@@ -149,3 +149,11 @@ def slices(batch, column: str, most_bytes: int = SLICE_BYTES):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most_bytes, side="right")) - 1)
         yield batch.slice(i, min(j, n) - i)
         i = min(j, n)
+
+
+def free_name(name: str, taken) -> str:
+    """A column name that isn't taken, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

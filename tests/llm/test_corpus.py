@@ -259,3 +259,15 @@ def test_html_text(spark):
 
 def test_attachment_digest_is_json_safe():
     assert json.loads(json.dumps(chat_format.parse_body("a\\<b"))) == [["text", "a<b"]]
+
+
+def test_plan_is_range_sorted_and_null_ids_spread(spark):
+    rows = [(None, cases.prose(5 + k % 9, 700 + k), "a") for k in range(300)] + [(7, cases.prose(9, 70 + k), "b") for k in range(300)]
+    plan = mixing.by_position(mixing.mix_plan(cases.frame(spark, rows), carry=["doc_id"]))
+    found = [r.first_position for r in plan.select("first_position").collect()]
+    taken = [p for p in found if p is not None]
+    assert taken == sorted(taken) and found[len(taken):] == [None] * (len(found) - len(taken)) and taken
+    text = cases.frame(spark, rows).select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "source", "text"), F.lit(mixing.BUCKETS)))
+    assert text.distinct().count() > 500  # one id, or none, on half of all rows: they don't share a bucket
+    whole = plan.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 for r in whole)
