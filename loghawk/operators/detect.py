@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loghawk import constants as C
 from loghawk.functions import portable_hash, round_half_even
+from loghawk.operators.boosting import BoostedTrees
 from loghawk.operators.prepare import cut_lineage
 
 SPLIT_BITS = 16
@@ -121,6 +122,11 @@ class Detection:
     models: dict = field(default_factory=dict)
 
 
+def _booster(features_col: str, y_col: str, rounds: int, depth: int, step: float, seed: int) -> BoostedTrees:
+    return BoostedTrees(featuresCol=features_col, labelCol=y_col, maxIter=rounds, maxDepth=depth, stepSize=step,
+                        seed=seed, predictionCol="gbt_pred", probabilityCol="gbt_prob")
+
+
 def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y",
                   rf_trees: int = C.RF_TREES, rf_depth: int = C.RF_DEPTH,
                   gbt_rounds: int = C.GBT_ROUNDS, gbt_depth: int = C.GBT_DEPTH,
@@ -138,9 +144,7 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
     rf_est = RandomForestClassifier(featuresCol=features_col, labelCol=y_col, numTrees=rf_trees,
                                     maxDepth=rf_depth, seed=seed, probabilityCol="rf_prob",
                                     rawPredictionCol="rf_raw", predictionCol="rf_pred")
-    gbt_est = (GBTClassifier(featuresCol=features_col, labelCol=y_col, maxIter=gbt_rounds, maxDepth=gbt_depth,
-                             stepSize=gbt_step, seed=seed, predictionCol="gbt_pred")
-               .setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))
+    gbt_est = _booster(features_col, y_col, gbt_rounds, gbt_depth, gbt_step, seed)
     if on_fit is not None:
         on_fit()
     try:
@@ -165,9 +169,7 @@ def fit_detector(df: DataFrame, which: str, features_col: str = "features", y_co
                                          maxDepth=rf_depth, seed=seed, probabilityCol="rf_prob",
                                          rawPredictionCol="rf_raw", predictionCol="rf_pred")
         else:
-            est = (GBTClassifier(featuresCol=features_col, labelCol=y_col, maxIter=gbt_rounds,
-                                 maxDepth=gbt_depth, stepSize=gbt_step, seed=seed, predictionCol="gbt_pred")
-                   .setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))
+            est = _booster(features_col, y_col, gbt_rounds, gbt_depth, gbt_step, seed)
         return est.fit(train)
     finally:
         train.unpersist()
@@ -241,7 +243,7 @@ def detect_attacks(df: DataFrame, features_col: str = "features", label_col: str
     rf, gbt = fit_detectors(split, features_col, seed=seed, on_fit=on_fit, **params)
     out = gbt.transform(rf.transform(split))
     out = out.withColumns({"p_rf": _p1("rf_prob"), "p_gbt": _p1("gbt_prob")}) \
-             .drop("rf_prob", "rf_raw", "gbt_prob", "gbt_raw")
+             .drop("rf_prob", "rf_raw", "gbt_prob")
     out = ensemble_vote(out)
     metrics = classification_metrics(out.where(F.col("is_test")), "y",
                                      {"random_forest": "rf_pred", "gbt": "gbt_pred"})

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loghawk import constants as C
 from loghawk.functions import round_half_even, severity_rank
-from loghawk.operators.prepare import cut_lineage
 
 GROUP_KEYS = ["attack_type_predicted", "severity"]
 
@@ -18,19 +17,24 @@ def flag_incident_rows(scored: DataFrame, min_severity: str = "High") -> DataFra
     return scored.where((F.col("predicted_label") == "Attack") & (severity_rank("severity") >= threshold))
 
 
-def first_sorted_distinct(rows: DataFrame, keys: list[str], value: str, n: int, out: str, count: str) -> DataFrame:
-    """Per group of ``keys``: the ``n`` smallest distinct ``value`` s, sorted, as an array; the number of all.
+def smallest_distinct(rows: DataFrame, keys: list[str], lists: dict[str, tuple[str, str]], n: int) -> DataFrame:
+    """Per group of ``keys`` and column: the ``n`` smallest distinct values, sorted, and the number of all.
 
-    Distinct (key, value) pairs come from a partial-aggregated group-by; the
-    ``row_number() <= n`` filter is planned with a per-partition group limit
-    before the shuffle, so no group ever collects more than n x partitions
-    values, however many rows or distinct values it has.
+    ``lists`` names the (list, count) outputs of each column. Each row gives its value of every
+    column; a group-by makes them distinct. ``row_number() <= n`` is planned with a group limit
+    before its shuffle, so at most groups x columns x n rows a task are sent for the lists,
+    however many distinct values there are.
     """
-    pairs = rows.select(*keys, value).distinct()
-    ranked = pairs.withColumn("_rk", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    lists = (ranked.where(F.col("_rk") <= n).groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(value)).alias(out)))
-    return lists.join(pairs.groupBy(*keys).agg(F.count(value).alias(count)), keys)
+    cells = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("value")) for k, c in enumerate(lists)])
+    pairs = rows.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*").distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys, "which").orderBy(F.asc_nulls_last("value")))
+    # A missing value comes last and isn't listed; a filter for it would part this from the counts' shuffle.
+    few = (pairs.withColumn("_rk", rank).where(F.col("_rk") <= n)
+           .groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("which") == k, F.col("value")))).alias(names[0])
+                                 for k, names in enumerate(lists.values())]))
+    counts = pairs.groupBy(*keys).agg(*[F.count(F.when(F.col("which") == k, F.col("value"))).alias(names[1])
+                                        for k, names in enumerate(lists.values())])
+    return counts.join(few, keys).select(*keys, *[name for names in lists.values() for name in names])
 
 
 def actions_for(threat_type: Column) -> Column:
@@ -47,20 +51,18 @@ def incident_records(scored: DataFrame, scan_id: int, min_severity: str = "High"
     Columns: incident_id, threat_type, severity, event_count, affected_assets,
     source_ips (first ``listed`` sorted distinct each), asset_count, source_count (all
     distinct ones), avg_threat_score (2 dp), recommended_actions, first_seen, last_seen,
-    incident_order. The flagged rows are read once, into one row per type, severity,
-    source and destination that is stored; totals and both lists come from that.
+    incident_order. Totals are one aggregate; sources and assets are made distinct apart,
+    never their pairs, and nothing is stored.
     Incident numbers follow the (type, severity) order; records are ordered
     by severity descending, then number.
     """
-    flows = cut_lineage(flag_incident_rows(scored, min_severity).groupBy(*GROUP_KEYS, "source_ip", "destination_ip").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("threat_score").alias("_sum"), F.count("threat_score").alias("_scored"),
-        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last")))
-    stats = flows.groupBy(*GROUP_KEYS).agg(
-        F.sum("_n").alias("event_count"), (F.sum("_sum") / F.sum("_scored")).alias("_avg"),
-        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"))
-    assets = first_sorted_distinct(flows, GROUP_KEYS, "destination_ip", listed, "affected_assets", "asset_count")
-    sources = first_sorted_distinct(flows, GROUP_KEYS, "source_ip", listed, "source_ips", "source_count")
-    groups = stats.join(assets, GROUP_KEYS).join(sources, GROUP_KEYS)
+    flagged = flag_incident_rows(scored, min_severity)
+    stats = flagged.groupBy(*GROUP_KEYS).agg(
+        F.count(F.lit(1)).alias("event_count"), F.avg("threat_score").alias("_avg"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    lists = smallest_distinct(flagged, GROUP_KEYS, {"destination_ip": ("affected_assets", "asset_count"),
+                                                    "source_ip": ("source_ips", "source_count")}, listed)
+    groups = stats.join(lists, GROUP_KEYS)
     # Few rows (one per type x severity): numbering them needs no partitioning.
     number = F.row_number().over(Window.orderBy(*GROUP_KEYS))
     yr = F.lit(year) if year is not None else F.year(F.current_date())

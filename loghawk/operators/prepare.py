@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loghawk import constants as C
 from loghawk.functions import parse_number
-from loghawk.functions.stats import quantiles
+from loghawk.functions.stats import describe, quantiles
 
 FEATURE_COLUMNS = [f"{c}_scaled" for c in C.NUMERIC_COLUMNS] + ["protocol_encoded"]
 
-# Rows per fill bucket in the forward fill: bounds the rows one window task sorts.
-FILL_BUCKET_ROWS = 1 << 20
-
 
 def coerce_numeric(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
     """Text -> double, unparsable -> null."""
@@ -39,42 +40,49 @@ def fill_unknown(df: DataFrame, cols=C.TEXT_FILL_COLUMNS) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in cols})
 
 
-def forward_back_fill(df: DataFrame, col: str, order_col: str = "row_id",
-                      bucket_rows: int = FILL_BUCKET_ROWS) -> DataFrame:
+def forward_back_fill(df: DataFrame, col: str, order_col: str = "row_id") -> DataFrame:
     """Forward fill ``col`` in ``order_col`` order, then back fill the leading gap.
 
-    Two passes instead of one window over all rows:
-      1. rows are cut into buckets of ``bucket_rows`` consecutive ids; each
-         bucket's first and last non-null values are partial-aggregated
-         ``min_by``/``max_by``. Over that small bucket table a running
-         ``last(ignorenulls)`` gives the value carried into each bucket, and
-         the first non-null value overall (the backward fill, which only
-         reaches rows before it) backs up buckets with nothing before them;
-      2. a window partitioned by bucket fills inside the bucket, falling back
-         to the carried value.
-    No task ever holds more than one bucket of rows. Ids are expected to be
-    dense (as ``with_file_order_ids`` makes them): the bucket table has
-    (id range / bucket_rows) rows.
+    A prefix scan that asks nothing of the ids:
+      1. rows are range-partitioned and sorted by id; each task passes over its rows with the
+         last value in hand, and the result is stored, as partitions must not change between readings;
+      2. what a partition's leading gap takes over is the last value of the partitions before it,
+         from a table of one row a partition; where there is none, the first value of all.
     """
-    bucket = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")
-    keyed = df.withColumn("_fb", bucket)
-    # Every bucket gets a row (a bucket of nulls still needs its carried value);
-    # orderings of null cells are nulled so min_by/max_by skip them.
-    present_order = F.when(F.col(col).isNotNull(), F.col(order_col))
-    per_bucket = keyed.groupBy("_fb").agg(F.min_by(col, present_order).alias("_first"),
-                                          F.max_by(col, present_order).alias("_last"))
-    ordered = Window.orderBy("_fb")
-    carry = per_bucket.select(
-        "_fb", F.coalesce(
-            F.last("_last", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
-            F.first("_first", ignorenulls=True).over(
-                ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_carry"))
-    overall_first = per_bucket.agg(F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("_fb")))).scalar()
-    inside = F.last(col, ignorenulls=True).over(
-        Window.partitionBy("_fb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
-    return (keyed.join(carry, "_fb", "left")
-            .withColumn(col, F.coalesce(inside, F.col("_carry"), overall_first))
-            .drop("_fb", "_carry"))
+    carry = fill_carry(stored := _filled_inside(df, col, order_col), col, order_col)
+    first = F.coalesce(F.col(col), F.col("_carry"))
+    return stored.join(F.broadcast(carry), "_part").withColumn(col, first).select(*df.columns)
+
+
+def _filled_inside(df: DataFrame, col: str, order_col: str) -> DataFrame:
+    """Rows by range of ``order_col``, ``col`` filled within each partition, stored with the partition's number."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])
+    at = df.columns.index(col)
+
+    def run(batches):
+        part, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            filled = pc.fill_null_forward(batch.column(at))
+            if last is not None and last.is_valid:
+                filled = pc.fill_null(filled, last)
+            last = filled[-1]
+            cols = [filled if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * batch.num_rows, pa.int32())], names=schema.names)
+
+    ranged = df.repartitionByRange(F.asc_nulls_first(order_col)).sortWithinPartitions(F.asc_nulls_first(order_col))
+    return cut_lineage(ranged.mapInArrow(run, schema))
+
+
+def fill_carry(stored: DataFrame, col: str, order_col: str) -> DataFrame:
+    """(_part, _carry): the value that comes into each partition; one row a partition."""
+    present = F.when(F.col(col).isNotNull(), F.col(order_col))
+    ends = stored.groupBy("_part").agg(F.max_by(col, present).alias("_last"), F.min_by(col, present).alias("_first"))
+    ordered = Window.orderBy("_part")
+    before = F.last("_last", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    anything = F.first("_first", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ends.select("_part", F.coalesce(before, anything).alias("_carry"))
 
 
 def fill_label(df: DataFrame, label_col: str = "attack_type") -> DataFrame:
@@ -142,13 +150,12 @@ def encode_protocol(df: DataFrame, codes: DataFrame | None = None, col: str = "p
 
 def scale_features(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
     """Z-score with the population std; a zero std divides by 1."""
-    stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
-    st = stats.select(F.struct(*cols)).scalar()
-    out = {}
-    for c in cols:
-        sd = st[c]["s"]
-        out[f"{c}_scaled"] = (F.col(c) - st[c]["m"]) / F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-    return df.withColumns(out)
+    st = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]).first()
+    return _scaled(df, {c: st[c]["m"] for c in cols}, {c: st[c]["s"] for c in cols})
+
+
+def _scaled(df: DataFrame, means: dict[str, float | None], stds: dict[str, float | None]) -> DataFrame:
+    return df.withColumns({f"{c}_scaled": (F.col(c) - F.lit(means[c]).cast("double")) / F.lit(stds[c] or 1.0) for c in means})
 
 
 def feature_vector(df: DataFrame, out_col: str = "features") -> DataFrame:
@@ -174,8 +181,9 @@ def missing_after_coercion(df: DataFrame) -> DataFrame:
 
 
 def outlier_and_scale(df: DataFrame, cols=C.NUMERIC_COLUMNS) -> DataFrame:
-    """P7 + P9."""
-    return scale_features(flag_outliers(df, cols), cols)
+    """P7 + P9, from the same passes."""
+    st = describe(df, cols, [0.25, 0.75])
+    return _scaled(df.withColumn("is_outlier", outlier_condition(st.quantiles, cols)), st.means, st.stds)
 
 
 def fill_and_dedup(raw: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from loghawk.operators import prepare as P
 from loghawk.operators import quality as V
 from loghawk.session import scratch_path
 from loghawk.sources import fixtures
-from loghawk.sources.logs import read_logs
+from loghawk.sources.logs import land_logs, read_logs
 
 NUMS = C.NUMERIC_COLUMNS
 
@@ -52,6 +52,26 @@ def q_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_logs(spark, path)
 
 
+def _landed(spark: SparkSession, sf_dir: str):
+    path = scratch_path(spark, "csv")
+    lines = fixtures.log_lines(spark, sf_dir).select(F.col("line").alias(fixtures.LOG_HEADER))
+    lines.write.option("header", True).option("sep", "\x01").csv(path)  # each line is one cell
+    return land_logs(spark, path, order_col="source_row")
+
+
+def q_read_logs_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1's quarantine: every record whose cells don't match the header, as it stands in the file."""
+    return _landed(spark, sf_dir).rejects
+
+
+def q_landed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V4 of the good rows as validation gets them, beside the number of rows that are read on."""
+    landed = _landed(spark, sf_dir)
+    counts = spark.createDataFrame([(k, v) for k, v in landed.counts.items()], "name string, count long")
+    stored = landed.rows.agg(F.count(F.lit(1)).alias("count")).select(F.lit("stored").alias("name"), "count")
+    return counts.unionByName(stored)
+
+
 def q_validate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 on the whole F1 table and without two of its columns: missing names, rows looked at."""
     logs = fixtures.security_logs(spark, sf_dir)
@@ -64,6 +84,8 @@ def q_validate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "read_logs": q_read_logs,
+    "read_logs_rejects": q_read_logs_rejects,
+    "landed_counts": q_landed_counts,
     "validation_counts": lambda s, d: V.validation_counts(fixtures.security_logs(s, d)),
     "non_numeric_counts": lambda s, d: V.validation_counts(fixtures.security_logs(s, d))
         .where("check = 'non_numeric'").drop("check"),

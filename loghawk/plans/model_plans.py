@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loghawk.functions import round_half_even
+from loghawk import constants as C
+from loghawk.functions import round_half_even, severity_bucket, severity_weight
 from loghawk.operators import anomaly as AN
 from loghawk.operators import detect as D
 from loghawk.operators.prepare import FEATURE_COLUMNS, cut_lineage, feature_vector
@@ -118,10 +119,15 @@ def q_classify_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_classification_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M11's held-out accuracy: in range, over the held-out rows of every class."""
-    cls = D.classify_attacks(_features(spark, sf_dir))
+    """M11's held-out accuracy: in range, over the held-out rows of every class, above the largest class's share."""
+    feats = _features(spark, sf_dir)
+    cls = D.classify_attacks(feats)
+    label = F.coalesce("attack_type", F.lit("Unknown"))
+    share = feats.where(D.is_attack_label("attack_type")).groupBy(label.alias("label")).count().agg(
+        (F.max("count") / F.sum("count")).alias("s")).scalar()
     return cls.accuracy.select((F.col("accuracy").between(0.0, 1.0)).alias("in_range"),
-                               F.col("test_rows").cast("long").alias("test_rows"))
+                               F.col("test_rows").cast("long").alias("test_rows"),
+                               (F.col("accuracy") > share).alias("beats_majority"))
 
 
 def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,14 +144,32 @@ def q_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cleaned row scored once, with columns in range and counts that add up."""
+    """Every cleaned row scored once; each row's threat score and severity follow from its own columns and the
+    sources' counts, the metrics from the rows, and the labels beat naming the larger class."""
     result = run_pipeline(clean_fixture(spark, sf_dir))
     rows, bands = result.scored, ("Critical", "High", "Medium", "Low")
+    counts = rows.groupBy("source_ip").agg(F.count(F.lit(1)).alias("_n"))
+    busiest = counts.agg(F.max("_n")).scalar()
+    rows = rows.join(counts, F.col("source_ip").eqNullSafe(counts["source_ip"])).drop(counts["source_ip"])
+    parts = {"attack": 100.0 * F.col("attack_probability"), "anomaly": F.col("anomaly_score"),
+             "severity": severity_weight("attack_type_predicted"), "frequency": F.col("_n") / busiest * 100.0}
+    expected = round_half_even(sum((F.lit(w) * parts[k] for k, w in C.BLEND_WEIGHTS.items()), F.lit(0.0)), 2)
+    attack, true_attack = F.col("predicted_label") == "Attack", D.is_attack_label("attack_type")
+    right = F.count_if(attack == true_attack)
+    metrics = result.metrics.select(F.struct("total_logs", "attack_count", "critical_count").alias("m")).scalar()
+    agree = ((F.count(F.lit(1)) == metrics["total_logs"]) & (F.count_if(attack) == metrics["attack_count"])
+             & (F.count_if(F.col("severity") == "Critical") == metrics["critical_count"]))
     return _invariants(rows, "threat_score", 0.0, 100.0,
                        F.count_if(~F.col("severity").isin(*bands)).alias("unknown_severity"),
                        F.count_if((F.col("predicted_label") == "Normal") != (F.col("attack_type_predicted") == "Normal"))
                        .alias("label_conflicts"),
-                       F.count_if(~F.col("anomaly_score").between(0.0, 100.0)).alias("anomaly_out_of_range"))
+                       F.count_if(~F.col("anomaly_score").between(0.0, 100.0)).alias("anomaly_out_of_range"),
+                       F.count_if(F.abs(F.col("threat_score") - expected) > 0.0151).alias("score_differs"),
+                       # The bucket is taken before rounding: either side of a rounded score may hold.
+                       F.count_if(~F.col("severity").isin(severity_bucket(F.col("threat_score") - 0.006),
+                                                          severity_bucket(F.col("threat_score") + 0.006))).alias("severity_differs"),
+                       agree.alias("metrics_agree"),
+                       (right > F.greatest(F.count_if(true_attack), F.count_if(~true_attack))).alias("beats_majority"))
 
 
 QUERIES = {

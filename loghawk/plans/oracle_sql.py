@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from loghawk import constants as C
 from loghawk.sources.fixtures import (
-    CLASS_PROBABILITIES_DUCKDB, DETECTOR_OUTPUTS_SQL, MODEL_OUTPUTS_SQL, SECURITY_LOGS_SQL,
+    CLASS_PROBABILITIES_DUCKDB, DETECTOR_OUTPUTS_SQL, LOG_LINES_SQL, MODEL_OUTPUTS_SQL, SECURITY_LOGS_SQL,
 )
 
 
@@ -222,6 +222,12 @@ ORACLE.update({
     "read_logs": _with(f"f1 AS ({SECURITY_LOGS_SQL})")
         + "SELECT * EXCLUDE (row_id), CAST(row_id AS VARCHAR) AS source_row, "
           "row_number() OVER (ORDER BY row_id) - 1 AS row_id FROM f1",
+    "read_logs_rejects": f"SELECT row_id, line AS record, reason FROM ({LOG_LINES_SQL}) WHERE reason IS NOT NULL",
+    "landed_counts": _with(f"lines AS ({LOG_LINES_SQL})", f"all_f1 AS ({SECURITY_LOGS_SQL})",
+                           "f1 AS (SELECT * FROM all_f1 WHERE row_id IN (SELECT row_id FROM lines WHERE reason IS NULL))")
+        + "SELECT name, count FROM (SELECT 'rows' AS name, count(*) AS count FROM f1 UNION ALL SELECT 'stored', count(*) FROM f1 "
+        + "UNION ALL SELECT 'rejects', count(*) FROM lines WHERE reason IS NOT NULL "
+        + f"UNION ALL SELECT \"check\" || '__' || column_name, count FROM ({NON_NUMERIC}) UNION ALL SELECT \"check\" || '__' || column_name, count FROM ({NULLS}))",
     "validation_counts": _with(f"f1 AS ({SECURITY_LOGS_SQL})") +
         f"SELECT 'rows' AS check, CAST(NULL AS VARCHAR) AS column_name, count(*) AS count FROM f1 UNION ALL {NON_NUMERIC} UNION ALL {NULLS}",
     "coerce_numeric": clean_query(f"SELECT row_id, {', '.join(NUMS)} FROM coerced"),
@@ -508,12 +514,13 @@ ORACLE.update({
         _TABLE + ", CAST(0 AS BIGINT) AS not_summing, CAST(0 AS BIGINT) AS unexpected_type, "
         f"count(DISTINCT attack_type) FILTER (WHERE {_IS_ATTACK}) AS classes FROM clean"),
     "classification_accuracy": clean_query(
-        f"SELECT true AS in_range, CAST(sum(n) AS BIGINT) AS test_rows FROM ({_PER_CLASS})"),
+        f"SELECT true AS in_range, CAST(sum(n) AS BIGINT) AS test_rows, true AS beats_majority FROM ({_PER_CLASS})"),
     "isolation_forest": clean_query(
         _TABLE + ", 0e0 AS score_min, 1e2 AS score_max, true AS share_flagged, true AS flags_highest FROM clean"),
     "run_pipeline": clean_query(
         _TABLE + ", CAST(0 AS BIGINT) AS unknown_severity, CAST(0 AS BIGINT) AS label_conflicts, "
-        "CAST(0 AS BIGINT) AS anomaly_out_of_range FROM clean"),
+        "CAST(0 AS BIGINT) AS anomaly_out_of_range, CAST(0 AS BIGINT) AS score_differs, CAST(0 AS BIGINT) AS severity_differs, "
+        "true AS metrics_agree, true AS beats_majority FROM clean"),
 })
 ORACLE["write_scan"] = (f"SELECT w.*, m.f1 AS forest_f1 FROM ({ORACLE['write_scan']}) w, "
                         f"({ORACLE['classification_metrics']}) m WHERE m.model = 'random_forest'")

@@ -37,6 +37,18 @@ SELECT row_id + 100000000 AS row_id, timestamp, source_ip, destination_ip, proto
 FROM base WHERE row_id % 50 = 0
 """
 
+# F1 as lines of CSV text; some records have cells to spare, some too few.
+LOG_LINES_SQL = f"""
+SELECT row_id, concat_ws(',', cast(row_id AS string), coalesce(timestamp, ''), coalesce(source_ip, ''),
+  CASE WHEN row_id % 43 = 0 THEN NULL ELSE concat_ws(',', destination_ip, coalesce(protocol, ''), coalesce(bytes_sent, ''),
+    coalesce(bytes_received, ''), connection_duration, coalesce(attack_type, '')) END,
+  CASE WHEN row_id % 43 > 0 AND row_id % 41 = 0 THEN 'more,' ELSE NULL END) AS line,
+  CASE WHEN row_id % 43 = 0 THEN 'fewer cells than the header' WHEN row_id % 41 = 0 THEN 'more cells than the header' END AS reason
+FROM ({SECURITY_LOGS_SQL}) AS logs
+"""
+LOG_HEADER = ("source_row,timestamp,source_ip,destination_ip,protocol,bytes_sent,bytes_received,"
+              "connection_duration,attack_type")
+
 # deterministic model outputs standing in for trained models, plus the
 # raw log columns of the same event (one projection, no self-join).
 MODEL_OUTPUTS_SQL = """
@@ -161,3 +173,8 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deleted_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables_sql(spark, sf_dir, DELETED_SCANS_SQL)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_tables(spark, sf_dir)
+    return spark.sql(LOG_LINES_SQL)

@@ -119,7 +119,7 @@ def score_stream(stream: DataFrame, profile: StreamProfile) -> DataFrame:
     if m.get("random_forest") is not None:
         rows = m["gbt"].transform(m["random_forest"].transform(rows))
         rows = D.ensemble_vote(rows.withColumns({"p_rf": D._p1("rf_prob"), "p_gbt": D._p1("gbt_prob")}))
-        rows = rows.drop("rf_prob", "rf_raw", "rf_pred", "gbt_prob", "gbt_raw", "gbt_pred")
+        rows = rows.drop("rf_prob", "rf_raw", "rf_pred", "gbt_prob", "gbt_pred")
     else:
         rows = rows.withColumn("ensemble_pred", D.is_attack_label("attack_type").cast("int")) \
                    .withColumn("attack_probability", F.col("ensemble_pred").cast("double"))

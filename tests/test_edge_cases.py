@@ -49,9 +49,32 @@ def test_median_is_interpolated(spark):
 
 def test_forward_then_backward_fill(spark):
     df = logs(spark, [row(0, ts=None), row(1, ts=None), row(2, ts="a"), row(3, ts=None), row(5, ts="b"), row(9, ts=None)])
-    for bucket in (1, 2, 1 << 20):
-        out = P.forward_back_fill(df, "timestamp", bucket_rows=bucket).orderBy("row_id")
-        assert [r[0] for r in out.select("timestamp").collect()] == ["a", "a", "a", "a", "b", "b"], bucket
+    for parts in (1, 2, 6):
+        out = P.forward_back_fill(df.repartition(parts), "timestamp").orderBy("row_id")
+        assert [r[0] for r in out.select("timestamp").collect()] == ["a", "a", "a", "a", "b", "b"], parts
+
+
+def test_fill_asks_nothing_of_the_ids(spark):
+    """Ids spread over 2^60, negative ones among them: one carry row a partition, and the fill of a plain scan."""
+    import random
+    r = random.Random(4)
+    ids = sorted(r.randrange(-2 ** 59, 2 ** 59) for _ in range(4000))
+    data = [(i, f"t{k}" if r.random() < 0.01 and k > 300 else None, k % 7) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(data, "row_id long, timestamp string, other int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = P._filled_inside(df, "timestamp", "row_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    carry = P.fill_carry(stored, "timestamp", "row_id")
+    assert 1 < carry.count() == stored.select("_part").distinct().count() <= 8
+    first = next(t for _, t, _ in data if t is not None)
+    expected, last = [], first
+    for i, t, o in data:
+        last = t if t is not None else last
+        expected.append((i, last, o))
+    got = P.forward_back_fill(df, "timestamp").orderBy("row_id").collect()
+    assert [tuple(x) for x in got] == expected
 
 
 def test_fill_all_null_timestamps_stays_null(spark):
@@ -214,8 +237,8 @@ def test_incident_numbers_follow_type_order_and_records_follow_severity(spark):
                    ("INC-2024-0003-002", "DDoS", "High")]
 
 
-@pytest.mark.parametrize("intervals", [2, 7, 1 << 16])
-def test_exact_quantiles(spark, intervals):
+@pytest.mark.parametrize("counted", [20, 1 << 16])
+def test_exact_quantiles(spark, counted):
     import numpy as np
 
     from loghawk.functions.stats import quantiles
@@ -229,7 +252,7 @@ def test_exact_quantiles(spark, intervals):
     }
     df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(3)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = quantiles(df, list(columns), probs, intervals)
+    got = quantiles(df, list(columns), probs, counted)
     for c, values in columns.items():
         there = sorted(v for v in values if v is not None)
         if not there:
@@ -242,6 +265,30 @@ def test_exact_quantiles(spark, intervals):
             assert q == expected or abs(q - expected) <= 1e-12 * abs(expected), (c, p, q, expected)
 
 
+def test_quantiles_take_few_passes_on_any_values(spark):
+    """At most 4 passes over uniform, lognormal, heavily tied and powers-of-two values, and still exact."""
+    import numpy as np
+
+    from loghawk.functions.stats import describe
+    rng = np.random.default_rng(11)
+    n = 60_000
+    columns = {"uniform": rng.uniform(0, 1, n), "lognormal": rng.lognormal(0, 6, n), "powers": 2.0 ** rng.integers(-1000, 1000, n),
+               "tied": rng.integers(0, 5, n).astype(float)}
+    df = spark.createDataFrame(__import__("pandas").DataFrame(columns)).repartition(8)
+    probs = [0.01, 0.25, 0.5, 0.75, 0.9, 0.999]
+    for counted, most in ((1 << 16, 2), (2000, 4)):
+        got = describe(df, list(columns), probs, counted)
+        assert got.passes <= most
+        for c, values in columns.items():
+            there = np.sort(values)
+            for p, q in zip(probs, got.quantiles[c]):
+                x = p * (n - 1)
+                lo, hi = there[math.floor(x)], there[math.ceil(x)]
+                expected = lo if lo == hi else (math.ceil(x) - x) * lo + (x - math.floor(x)) * hi
+                assert q == expected or abs(q - expected) <= 1e-12 * abs(expected), (c, p)
+            assert math.isclose(got.means[c], values.mean(), rel_tol=1e-9)
+
+
 def test_far_timestamps_change_no_forecast(spark):
     from loghawk.operators import analytics as A
     rows = [(k, f"2024-01-01 {k % 9:02d}:10:00", "Attack") for k in range(40)]

@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from loghawk.operators import history as H
@@ -62,3 +63,89 @@ def test_one_scan_reads_one_folder(spark):
     assert store.scan_ids() == [0, 1, 2] and store.events().count() == scored.count()
     plan = H.events_for_scan(store.events(), 1)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(scan_id" in plan and "(scan_id" in plan.split("PartitionFilters")[1]
+
+
+def _scan(store, spark, scan, scored):
+    with store.transaction() as tx:
+        tx.write_events(scan, scored)
+        tx.write_incidents(scan, I.incident_rows_for_store(I.incident_records(scored, scan, year=2024), scan))
+        tx.write_scan(scan, 7, f"s{scan}.csv", T.scan_metrics(scored), "2024-01-01 00:00:00")
+
+
+def _state(store):
+    return [sorted(map(repr, t.drop("created_at").collect())) for t in (store.scans(), store.events(), store.incidents())]
+
+
+def test_failure_between_two_writes_leaves_the_old_scan(spark):
+    store, scored = _store(spark), scored_fixture(spark, SF_SMALL)
+    _scan(store, spark, 1, scored)
+    before = _state(store)
+    with pytest.raises(RuntimeError):
+        with store.transaction() as tx:
+            tx.write_events(1, scored.where("false"))
+            raise RuntimeError("lost")
+    assert _state(store) == before and store.recover() == 0
+
+
+@pytest.mark.parametrize("lost_at", [1, 2, 3, 4, 5])
+def test_publication_is_finished_after_a_loss(spark, monkeypatch, lost_at):
+    """A writer lost between any two renames: the next one finishes, and all tables show the new scan."""
+    store, scored = _store(spark), scored_fixture(spark, SF_SMALL)
+    _scan(store, spark, 1, scored)
+    calls, move = [], ScanStore._move
+
+    def breaks(self, old, new):
+        calls.append(old)
+        if len(calls) == lost_at:
+            raise OSError("lost")
+        move(self, old, new)
+
+    monkeypatch.setattr(ScanStore, "_move", breaks)
+    few = scored.where("row_id % 2 = 0")
+    with pytest.raises(OSError):
+        _scan(store, spark, 1, few)
+    monkeypatch.setattr(ScanStore, "_move", move)
+    assert store.recover() == 1 and store.recover() == 0
+    assert store.events().count() == few.count() and H.scan_report(store.scans()).first()["total_logs"] == few.count()
+
+
+def test_two_writers_never_get_one_id(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    store = _store(spark)
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: ScanStore(spark, store.root).next_id("scans"), range(24)))
+    assert sorted(got) == list(range(1, 25))
+
+
+def test_a_large_scan_is_written_by_many_tasks(spark):
+    import glob
+    store = _store(spark)
+    scored = scored_fixture(spark, SF_SMALL)
+    n = scored.count()
+    events = scored.withColumn("scan_id", F.when(F.col("row_id") % 3 == 0, 0).otherwise(F.col("row_id") % 7 + 1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one partition
+    try:
+        store.write_event_table(events, file_rows=n // 30)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{store.root}/scan_events/scan_id=0/*.parquet")) > 1
+    assert sorted(map(repr, store.events().collect())) == sorted(map(repr, events.select(*store.events().columns).collect()))
+    assert H.events_for_scan(store.events(), 0).count() == events.where("scan_id = 0").count()
+
+
+def test_compacted_scans(spark):
+    import glob
+    store = _store(spark)
+    schema = "total_logs long, attack_count long, critical_count long"
+    for scan in (1, 2, 3):
+        store.write_scan(scan, 7, f"s{scan}.csv", spark.createDataFrame([(scan, 1, 0)], schema), "2024-01-01 00:00:00")
+    before = sorted(map(repr, store.scans().collect()))
+    store.compact_scans()
+    assert store.scan_ids("scans") == [] and sorted(map(repr, store.scans().collect())) == before
+    assert len(glob.glob(f"{store.root}/scans_base/*.parquet")) == 1
+    store.write_scan(2, 8, "again.csv", spark.createDataFrame([(20, 1, 0)], schema), "2024-01-01 00:00:00")
+    store.delete_scan(3)
+    assert sorted((r["id"], r["total_logs"]) for r in store.scans().collect()) == [(1, 1), (2, 20)]
+    store.compact_scans()
+    assert sorted((r["id"], r["total_logs"]) for r in store.scans().collect()) == [(1, 1), (2, 20)]
+    assert store.scan_ids("scans") == [] and store.next_id("scans") == 3
