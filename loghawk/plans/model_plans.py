@@ -150,7 +150,7 @@ def q_run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, bands = result.scored, ("Critical", "High", "Medium", "Low")
     counts = rows.groupBy("source_ip").agg(F.count(F.lit(1)).alias("_n"))
     busiest = counts.agg(F.max("_n")).scalar()
-    rows = rows.join(counts, F.col("source_ip").eqNullSafe(counts["source_ip"])).drop(counts["source_ip"])
+    rows = rows.join(counts, "source_ip")  # the filled table has no missing source
     parts = {"attack": 100.0 * F.col("attack_probability"), "anomaly": F.col("anomaly_score"),
              "severity": severity_weight("attack_type_predicted"), "frequency": F.col("_n") / busiest * 100.0}
     expected = round_half_even(sum((F.lit(w) * parts[k] for k, w in C.BLEND_WEIGHTS.items()), F.lit(0.0)), 2)
