@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -100,6 +101,7 @@ def run_in_pool(spark: SparkSession, pool: str, fn, *args, **kwargs):
 
 
 _SHIPPED: set[int] = set()
+_SHIPPING = threading.Lock()  # model fits ship from several driver threads
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -112,11 +114,12 @@ def ship_package(spark: SparkSession) -> None:
 
     sc = spark.sparkContext
     key = id(sc._jsc)
-    if key in _SHIPPED:
-        return
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="loghawk-pkg-", dir="/tmp")
-    archive = shutil.make_archive(os.path.join(out_dir, "loghawk"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="loghawk")
-    sc.addPyFile(archive)
-    _SHIPPED.add(key)
+    with _SHIPPING:
+        if key in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out_dir = tempfile.mkdtemp(prefix="loghawk-pkg-", dir="/tmp")
+        archive = shutil.make_archive(os.path.join(out_dir, "loghawk"), "zip",
+                                      root_dir=os.path.dirname(pkg_dir), base_dir="loghawk")
+        sc.addPyFile(archive)
+        _SHIPPED.add(key)
