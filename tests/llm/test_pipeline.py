@@ -173,9 +173,9 @@ def test_entry_without_the_folder(tmp_path):
     assert done.stdout.strip() == "ok", done.stderr[-500:]
 
 
-def test_eleven_queries_are_registered():
+def test_fourteen_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     import loghawk.plans.catalog as catalog
     assert not any(n.startswith("op") and n[2].isdigit() for n in catalog.QUERIES)
