@@ -112,11 +112,14 @@ def _answer(table: pa.Table) -> pa.Table:
     smallest = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     hit = order[ids[order] > smallest]
     out = {"block": [], "width": [], "places": []}
-    for k in np.unique(part[hit]):
+    hit = hit[np.lexsort((firsts[hit], part[hit]))]  # by part, then place: one sort, however many parts
+    cuts = np.flatnonzero(_run_starts(part[hit]))
+    for a, e in zip(cuts, np.append(cuts[1:], len(hit))):
+        k = part[hit[a]]
         width = rows["width"][k]
         out["block"].append(rows["block"][k])
         out["width"].append(width)
-        out["places"].append(B.pack_ascending(np.sort(firsts[hit[part[hit] == k]]), width))
+        out["places"].append(B.pack_ascending(firsts[hit[a:e]], width))
     return pa.table([pa.array(out["block"], pa.int32()), pa.array(out["width"], pa.int32()),
                      pa.array(out["places"], pa.binary())], names=["block", "width", "places"])
 
