@@ -38,9 +38,14 @@ def kpi_row(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("predicted_label") == "Normal").alias("normal_count"),
         F.count_if(_is_attack()).alias("attack_count"),
         F.count_if(F.col("severity") == "Critical").alias("critical_count"))
+    return with_attack_rate(agg)
+
+
+def with_attack_rate(totals: DataFrame) -> DataFrame:
+    """Attacks as a share of all rows (%, 1 dp; 0 if there are none)."""
     rate = F.when(F.col("total_logs") > 0,
                   F.col("attack_count") / F.col("total_logs") * F.lit(100.0)).otherwise(F.lit(0.0))
-    return agg.withColumn("attack_rate", round_half_even(rate, 1))
+    return totals.withColumn("attack_rate", round_half_even(rate, 1))
 
 
 def attack_timeline(scored: DataFrame) -> DataFrame:
@@ -55,8 +60,13 @@ def severity_distribution(scored: DataFrame) -> DataFrame:
 
     One pass of conditional counts unpivoted by ``stack``: no dimension join.
     """
+    return stack_severities(scored, lambda s: F.count_if(F.col("severity") == s))
+
+
+def stack_severities(rows: DataFrame, count_of) -> DataFrame:
+    """(display_order, severity, count) with ``count_of(severity)`` as the aggregate."""
     names = C.SEVERITY_DISPLAY_ORDER
-    wide = scored.agg(*[F.count_if(F.col("severity") == s).alias(f"_{i}") for i, s in enumerate(names)])
+    wide = rows.agg(*[count_of(s).alias(f"_{i}") for i, s in enumerate(names)])
     parts = ", ".join(f"{i}, '{s}', _{i}" for i, s in enumerate(names))
     return wide.selectExpr(f"stack({len(names)}, {parts}) AS (display_order, severity, count)") \
                .withColumn("display_order", F.col("display_order").cast("int"))
@@ -138,13 +148,21 @@ def threat_leaderboard(scored: DataFrame, top_n: int = 10) -> DataFrame:
 
 
 def hourly_attack_counts(scored: DataFrame) -> DataFrame:
-    """A10: attack rows per hour from the first to the last attack hour, gaps as 0.
+    """A10: attack rows per hour from the first to the last attack hour, gaps as 0."""
+    return fill_hours(_attack_hours(scored))
+
+
+def _attack_hours(scored: DataFrame) -> DataFrame:
+    return (_with_ts(_attacks(scored).select("timestamp", "predicted_label"))
+            .groupBy(_hour().alias("hour")).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def fill_hours(counts: DataFrame) -> DataFrame:
+    """Hours (hour, _n) from the first to the last, numbered, gaps as 0.
 
     The hour grid depends on the time span alone, which ``parse_timestamp`` bounds;
     it is expanded by day first, then by hour, and left-joined to the counts.
     """
-    counts = (_with_ts(_attacks(scored).select("timestamp", "predicted_label"))
-              .groupBy(_hour().alias("hour")).agg(F.count(F.lit(1)).alias("_n")))
     grid = (counts.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
             .where(F.col("lo").isNotNull())
             .select("lo", "hi", F.explode(F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"),
@@ -166,8 +184,12 @@ def attack_forecast(scored: DataFrame, horizon: int = 6, min_attacks: int = 5,
     Empty when there are fewer than ``min_attacks`` attacks (with a valid
     timestamp) or fewer than ``min_hours`` hours; negative forecasts clip to 0.
     """
-    counts = (_with_ts(_attacks(scored).select("timestamp", "predicted_label"))
-              .groupBy(_hour().alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("y")))
+    return forecast_hours(_attack_hours(scored), horizon, min_attacks, min_hours)
+
+
+def forecast_hours(counts: DataFrame, horizon: int = 6, min_attacks: int = 5, min_hours: int = 3) -> DataFrame:
+    """A11 on hourly counts (hour, _n)."""
+    counts = counts.select("hour", F.col("_n").cast("double").alias("y"))
     first = counts.agg(F.min("hour")).scalar()
     x = F.timestamp_diff("HOUR", first, F.col("hour")).cast("double")
     sums = counts.agg(F.sum("y").alias("n_attacks"), F.max("hour").cast("timestamp_ntz").alias("last_hour"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loghawk.operators import history as H
 from loghawk.operators import incidents as I
+from loghawk.operators import rollups as R
 from loghawk.plans.fixture_plans import scored_fixture
 from loghawk.session import scratch_path
 from loghawk.sources import fixtures
@@ -55,7 +56,31 @@ def q_reports_for_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.reports_for_scan(store.incidents(), 1).drop("created_at")
 
 
+def _from_rollup(answer, table: str, scan_id: int | None = None):
+    """Store every scan's rows, then answer from the rollups of all scans, or of one."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _event_store(spark, sf_dir).read(table)
+        return answer(rows if scan_id is None else rows.where(F.col("scan_id") == scan_id))
+    run.__name__, run.__doc__ = f"rollup_{answer.__name__}", answer.__doc__
+    return run
+
+
+#: query -> (operator on the rollup, rollup); each equals the query of the same name on the events
+ROLLUP_ANSWERS = {
+    "kpi_row": (R.kpi_row, "scan_hours"), "attack_timeline": (R.attack_timeline, "scan_hours"),
+    "severity_distribution": (R.severity_distribution, "scan_hours"),
+    "attack_type_breakdown": (R.attack_type_breakdown, "scan_hours"),
+    "top_source_ips": (R.top_source_ips, "scan_addresses"),
+    "top_destination_ips": (R.top_destination_ips, "scan_addresses"),
+    "attack_heatmap": (R.attack_heatmap, "scan_hours"),
+    "hourly_attack_counts": (R.hourly_attack_counts, "scan_hours"),
+    "attack_forecast": (R.attack_forecast, "scan_hours"),
+    "global_top_sources": (R.top_source_ips, "scan_addresses"),
+}
+
 QUERIES = {
+    **{f"rollup_{name}": _from_rollup(*how) for name, how in ROLLUP_ANSWERS.items()},
+    "scan_dashboard": _from_rollup(R.kpi_row, "scan_hours", SCAN_ID),
     "scans_for_user": lambda s, d: H.scans_for_user(fixtures.scans(s, d), USER_ID),
     "scan_by_id": lambda s, d: H.scan_by_id(fixtures.scans(s, d), SCAN_ID),
     "all_scans": lambda s, d: H.all_scans(fixtures.scans(s, d), fixtures.users(s, d)),

@@ -441,6 +441,19 @@ ORACLE.update({
 })
 
 
+# Answers from the rollups are those from the rows.
+ORACLE.update({f"rollup_{name}": ORACLE[name] for name in (
+    "kpi_row", "attack_timeline", "severity_distribution", "attack_type_breakdown", "top_source_ips",
+    "top_destination_ips", "attack_heatmap", "hourly_attack_counts", "attack_forecast", "global_top_sources")})
+ORACLE["scan_dashboard"] = hist_events(
+    "SELECT total_logs, normal_count, attack_count, critical_count, "
+    + r("CASE WHEN total_logs > 0 THEN attack_count / total_logs * 1e2 ELSE 0e0 END", 1)
+    + " AS attack_rate FROM (SELECT count(*) AS total_logs,"
+    " count(*) FILTER (WHERE predicted_label = 'Normal') AS normal_count,"
+    " count(*) FILTER (WHERE predicted_label = 'Attack') AS attack_count,"
+    " count(*) FILTER (WHERE severity = 'Critical') AS critical_count FROM events_t WHERE scan_id = 12)")
+
+
 # ---------------------------------------------------------------- sources / sinks (S)
 ORACLE.update({
     "export_csv": scored_query("SELECT * FROM scored"),

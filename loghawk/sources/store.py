@@ -1,6 +1,6 @@
 """Scan store: Parquet tables under one root (S7-S10, H4 write side).
 
-``scan_events`` and ``incident_reports`` have one folder per scan, ``scans`` one folder per
+``scan_events``, its rollups and ``incident_reports`` have one folder per scan, ``scans`` one folder per
 new scan beside ``scans_base``, to which :meth:`ScanStore.compact_scans` moves their rows, so
 that many scans are few files. ``audit_log`` is appended to. Reads name their schema: a
 table that doesn't exist yet is an empty one.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loghawk.constants import EVENT_COLUMNS
+from loghawk.operators.rollups import address_rollup, hour_rollup
 
 SCAN_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -52,19 +53,27 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("action", T.StringType()), T.StructField("details", T.StringType()),
     T.StructField("created_at", T.StringType()),
 ])
-#: table -> (schema, column that names a scan's folder)
+HOUR_SCHEMA = T.StructType([
+    T.StructField("scan_id", T.LongType()), T.StructField("hour", T.TimestampNTZType()),
+    *[T.StructField(c, T.StringType()) for c in ("predicted_label", "attack_type_predicted", "severity")],
+    T.StructField("events", T.LongType()), T.StructField("scored_events", T.LongType())])
+ADDRESS_SCHEMA = T.StructType([
+    T.StructField("scan_id", T.LongType()), T.StructField("side", T.StringType()),
+    T.StructField("address", T.StringType()), T.StructField("attacks", T.LongType())])
+#: table -> (schema, column that names a scan's folder); ``scan_models`` holds saved models, not rows
 TABLES = {"scans": (SCAN_SCHEMA, "id"), "scan_events": (SCAN_EVENT_SCHEMA, "scan_id"),
-          "incident_reports": (INCIDENT_SCHEMA, "scan_id"), "audit_log": (AUDIT_SCHEMA, None)}
-
-
-
+          "incident_reports": (INCIDENT_SCHEMA, "scan_id"), "audit_log": (AUDIT_SCHEMA, None),
+          "scan_hours": (HOUR_SCHEMA, "scan_id"), "scan_addresses": (ADDRESS_SCHEMA, "scan_id"),
+          "scan_models": (None, "scan_id")}
+#: Summed up from a scan's stored rows, and replaced with them.
+ROLLUPS = {"scan_hours": hour_rollup, "scan_addresses": address_rollup}
 
 def _place(table: str, scan_id: int | None = None) -> str:
     return table if scan_id is None else f"{table}/{TABLES[table][1]}={int(scan_id)}"
 
 
 #: Scans are published in this order: the scan's row commits it.
-PUBLISH_ORDER = ["scan_events", "incident_reports", "scans_base", "scans"]
+PUBLISH_ORDER = ["scan_events", *ROLLUPS, "scan_models", "incident_reports", "scans_base", "scans"]
 #: Rows of one file when several scans are stored at once.
 FILE_ROWS = 1_000_000
 COMPLETE = "complete.json"
@@ -202,6 +211,19 @@ class ScanStore:
         (salted.repartition("scan_id", "_salt").drop("_files", "_salt").select(*rows.columns)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("scan_id").parquet(self.path("scan_events")))
+        self._write_rollup_tables(rows)
+
+    def _write_rollup_tables(self, rows: DataFrame) -> None:
+        """The rollups of several scans' rows; a scan that has no attack any more loses its addresses."""
+        for table, rollup in ROLLUPS.items():
+            summed = rollup(rows, "scan_id").select(*TABLES[table][0].names)
+            (summed.repartition("scan_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("scan_id").parquet(self.path(table)))
+        stored = set(self.scan_ids("scan_addresses"))
+        quiet = rows.select("scan_id").distinct().join(
+            rows.where("predicted_label = 'Attack'").select("scan_id").distinct(), "scan_id", "left_anti")
+        self._each(lambda i: self._delete(self.path("scan_addresses", i)),
+                   [r["scan_id"] for r in quiet.collect() if r["scan_id"] in stored])
 
     def write_audit(self, entries: DataFrame) -> None:
         """Append audit rows (id, user_id, action, details, created_at)."""
@@ -242,7 +264,7 @@ class ScanStore:
             if i in in_base:  # a folder without rows stands for the deletion until the next compaction
                 self._delete(self.path("scans", i))
                 self._write_text(f"{self.path('scans', i)}/_deleted", "")
-            for table in ("scans", "incident_reports", "scan_events"):
+            for table in ("scans", "incident_reports", "scan_models", *ROLLUPS, "scan_events"):
                 if table != "scans" or i not in in_base:
                     self._delete(self.path(table, i))
 
@@ -289,6 +311,17 @@ class ScanStore:
     def events(self) -> DataFrame:
         return self.read("scan_events")
 
+    def hours(self) -> DataFrame:
+        """Rollups of the stored rows; see ``operators.rollups``."""
+        return self.read("scan_hours")
+
+    def addresses(self) -> DataFrame:
+        return self.read("scan_addresses")
+
+    def models_path(self, scan_id: int) -> str:
+        """Folder of a scan's saved models; see ``plans.scan_models``."""
+        return self.path("scan_models", scan_id)
+
     def incidents(self) -> DataFrame:
         return self.read("incident_reports")
 
@@ -330,7 +363,16 @@ class _Staged:
         self._write("scans", scan_id, row)
 
     def write_events(self, scan_id: int, scored: DataFrame) -> None:
+        """S8, with the rollups of the rows as they were written."""
         self._write("scan_events", scan_id, scored)
+        schema = T.StructType([f for f in SCAN_EVENT_SCHEMA if f.name != "scan_id"])
+        rows = self.store.spark.read.schema(schema).parquet(f"{self.folder}/{_place('scan_events', scan_id)}")
+        for table, rollup in ROLLUPS.items():
+            self._write(table, scan_id, rollup(rows))
+
+    def write_models(self, scan_id: int, models) -> None:
+        """A scan's fitted models, a ``PipelineModel``."""
+        models.write().save(self.place("scan_models", scan_id))
 
     def write_incidents(self, scan_id: int, incident_rows: DataFrame) -> None:
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
