@@ -12,6 +12,9 @@ mean anomalies. Built as Spark jobs:
 4. the node table (at most trees x (2 psi - 1) rows: a model of fixed
    size) is broadcast, and a vectorised pandas UDF walks all trees for
    every row in Arrow batches.
+
+``IsolationForest`` and ``IsolationForestModel`` are a ``pyspark.ml`` Estimator and Model over
+plain numeric columns: the model can be written and read, alone or in a ``PipelineModel``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,11 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol, HasSeed
+from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
+                             MLWriter)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +82,10 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
-def _builder(feature_cols: list[str], max_depth: int, seed: int):
+def _builder(feature_cols: list[str], max_depth: int, seed: int, id_col: str):
     def build_tree(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("row_id")
+        pdf = pdf.sort_values(id_col)
         x = pdf[feature_cols].to_numpy(dtype=float)
         rows = _grow(x, np.random.default_rng([seed, tree]), max_depth)
         out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left", "right", "size"])
@@ -87,10 +95,10 @@ def _builder(feature_cols: list[str], max_depth: int, seed: int):
     return build_tree
 
 
-class IsolationForestModel:
+class _Trees:
     """Node arrays of a fitted forest, padded to (trees, max nodes)."""
 
-    def __init__(self, nodes: pd.DataFrame, sample_size: int, feature_cols: list[str]):
+    def __init__(self, nodes: pd.DataFrame, sample_size: int):
         n_trees = int(nodes["tree"].max()) + 1
         width = int(nodes.groupby("tree")["node"].max().max()) + 1
         self.feature = np.full((n_trees, width), -1, dtype=np.int64)
@@ -105,7 +113,6 @@ class IsolationForestModel:
         self.right[t, n] = nodes["right"].to_numpy()
         self.size[t, n] = nodes["size"].to_numpy()
         self.sample_size = sample_size
-        self.feature_cols = list(feature_cols)
         self.n_trees = n_trees
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -131,43 +138,121 @@ class IsolationForestModel:
         return np.power(2.0, -mean_depth / average_path_length([self.sample_size])[0])
 
 
+class _ForestParams(HasInputCols, HasOutputCol, HasSeed):
+    numTrees = Param(Params._dummy(), "numTrees", "trees of the forest", TypeConverters.toInt)
+    maxSamples = Param(Params._dummy(), "maxSamples", "rows a tree is grown on", TypeConverters.toInt)
+    idCol = Param(Params._dummy(), "idCol", "unique id that decides which trees a row joins", TypeConverters.toString)
+
+    def _defaults(self) -> None:
+        self._setDefault(numTrees=C.IFOREST_TREES, maxSamples=C.IFOREST_MAX_SAMPLES, idCol="row_id",
+                         seed=C.MODEL_SEED, outputCol="iso_score")
+
+
+class IsolationForest(Estimator, _ForestParams):
+    """M13 as an Estimator; the same rows and seed give the same forest, however they are partitioned."""
+
+    def __init__(self, **params):
+        super().__init__()
+        self._defaults()
+        self._set(**params)
+
+    def _fit(self, dataset: DataFrame) -> IsolationForestModel:
+        from loghawk.session import ship_package
+        ship_package(dataset.sparkSession)
+        n_trees, max_samples, seed, id_col = (self.getOrDefault(p) for p in ("numTrees", "maxSamples", "seed", "idCol"))
+        features = list(self.getInputCols())
+        n = dataset.count()
+        psi = max(1, min(max_samples, n))
+        max_depth = int(math.ceil(math.log2(max(psi, 2))))
+        if n == 0:
+            raise ValueError("an isolation forest needs rows")
+        # 64 over half as many again: fewer than psi hits is beyond nine standard deviations.
+        below = int(min(1.0, (1.5 * psi + 64) / n) * HASH_STEPS)
+
+        def draw(tree):
+            return F.pmod(F.xxhash64(F.col(id_col), tree, F.lit(seed)), F.lit(HASH_STEPS))
+
+        hits = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda tree: draw(tree) < below)
+        offered = dataset.select(id_col, *features, F.explode(hits).alias("tree"))
+        pick = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), F.col(id_col)))
+        samples = offered.withColumn("_pick", pick).where(F.col("_pick") <= psi).drop("_pick")
+        nodes = samples.groupBy("tree").applyInPandas(_builder(features, max_depth, seed, id_col), NODE_SCHEMA)
+        return self._copyValues(IsolationForestModel(nodes.toPandas(), psi))
+
+
+class IsolationForestModel(Model, _ForestParams, MLWritable, MLReadable):
+    """Adds the raw score 2^(-E[h(x)] / c(psi)) of every row: higher is more anomalous."""
+
+    def __init__(self, nodes: pd.DataFrame | None = None, sample_size: int = 1):
+        super().__init__()
+        self._defaults()
+        self.nodes, self.sample_size = nodes, sample_size
+        self._trees = None
+
+    @property
+    def trees(self) -> _Trees:
+        if self._trees is None:
+            self._trees = _Trees(self.nodes, self.sample_size)
+        return self._trees
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.trees.score(x)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from loghawk.session import ship_package
+        ship_package(dataset.sparkSession)
+        shared = dataset.sparkSession.sparkContext.broadcast(self.trees)  # a model of fixed size
+
+        @F.pandas_udf(T.DoubleType())
+        def score(*cols: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            return pd.Series(shared.value.score(x))
+
+        return dataset.withColumn(self.getOutputCol(), score(*[F.col(c) for c in self.getInputCols()]))
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader(cls)
+
+
+class _ForestWriter(MLWriter):
+    def __init__(self, model: IsolationForestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession,
+                                         extraMetadata={"sampleSize": self.model.sample_size})
+        self.sparkSession.createDataFrame(self.model.nodes, NODE_SCHEMA).write.parquet(f"{path}/nodes")
+
+
+class _ForestReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> IsolationForestModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls(self.sparkSession.read.parquet(f"{path}/nodes").toPandas(), metadata["sampleSize"])
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
 def fit_isolation_forest(df: DataFrame, feature_cols: list[str], n_trees: int = C.IFOREST_TREES,
                          max_samples: int = C.IFOREST_MAX_SAMPLES, seed: int = C.MODEL_SEED,
                          id_col: str = "row_id") -> IsolationForestModel:
     """M13 (fit). One count and one tree-building job; the node table is the model."""
-    from loghawk.session import ship_package
-    ship_package(df.sparkSession)
-    n = df.count()
-    psi = max(1, min(max_samples, n))
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    if n == 0:
-        raise ValueError("an isolation forest needs rows")
-    # 64 over half as many again: fewer than psi hits is beyond nine standard deviations.
-    below = int(min(1.0, (1.5 * psi + 64) / n) * HASH_STEPS)
-
-    def draw(tree):
-        return F.pmod(F.xxhash64(F.col(id_col), tree, F.lit(seed)), F.lit(HASH_STEPS))
-
-    hits = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda tree: draw(tree) < below)
-    offered = df.select(id_col, *feature_cols, F.explode(hits).alias("tree"))
-    pick = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), F.col(id_col)))
-    samples = offered.withColumn("_pick", pick).where(F.col("_pick") <= psi).drop("_pick")
-    nodes = samples.groupBy("tree").applyInPandas(_builder(feature_cols, max_depth, seed), NODE_SCHEMA)
-    return IsolationForestModel(nodes.toPandas(), psi, feature_cols)
+    return IsolationForest(inputCols=list(feature_cols), numTrees=n_trees, maxSamples=max_samples, seed=seed,
+                           idCol=id_col).fit(df)
 
 
 def isolation_scores(df: DataFrame, model: IsolationForestModel, out_col: str = "iso_score") -> DataFrame:
     """M13 (apply): raw score per row, computed in Arrow batches from a broadcast model."""
-    from loghawk.session import ship_package
-    ship_package(df.sparkSession)
-    bc = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        return pd.Series(bc.value.score(x))
-
-    return df.withColumn(out_col, score(*[F.col(c) for c in model.feature_cols]))
+    return model.transform(df, {model.outputCol: out_col})
 
 
 def normalise_scores(df: DataFrame, raw_col: str = "iso_score", out_col: str = "anomaly_score") -> DataFrame:
@@ -183,5 +268,3 @@ def flag_anomalies(df: DataFrame, raw_col: str = "iso_score",
     """The most anomalous ``contamination`` share (strictly above the cut)."""
     cut = quantiles(df, [raw_col], [1.0 - contamination])[raw_col][0]
     return df.withColumn(out_col, F.coalesce(F.col(raw_col) > F.lit(cut), F.lit(False)))
-
-

@@ -16,7 +16,9 @@ from loghawk.operators import anomaly as AN
 from loghawk.operators import detect as D
 from loghawk.operators.prepare import FEATURE_COLUMNS, cut_lineage, feature_vector
 from loghawk.plans.clean_plans import clean_fixture
-from loghawk.plans.pipeline import run_pipeline
+from loghawk.plans.pipeline import SCORED_COLUMNS, run_pipeline
+from loghawk.plans.scan_models import as_pipeline, load_scan_models, score_with_models
+from loghawk.session import scratch_path
 from loghawk.sources import fixtures
 
 F6_NAMES = ["Botnet", "DDoS", "Malware", "Port Scan"]
@@ -172,6 +174,22 @@ def q_run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (right > F.greatest(F.count_if(true_attack), F.count_if(~true_attack))).alias("beats_majority"))
 
 
+def q_score_with_saved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models of a scan written, read back and applied to its rows give the run's own results.
+
+    Smaller models than a scan's, as it is the storing that is checked; every cleaned row is compared.
+    """
+    clean = cut_lineage(clean_fixture(spark, sf_dir))
+    result = run_pipeline(clean, rf_trees=20, rf_depth=6, gbt_rounds=10, gbt_depth=3, iso_trees=50)
+    path = scratch_path(spark, "models")
+    as_pipeline(result.models, result.class_names).write().save(path)
+    again = score_with_models(clean, load_scan_models(path))
+    packed = [d.select("row_id", F.struct(*SCORED_COLUMNS).alias(side)) for d, side in ((result.scored, "a"), (again, "b"))]
+    rows = packed[0].join(packed[1], "row_id", "full")
+    return rows.agg(F.count("a").alias("row_count"), F.count("b").alias("rescored_count"),
+                    F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
+
+
 QUERIES = {
     "binary_label": lambda s, d: D.binary_label(clean_fixture(s, d)).select("row_id", "y"),
     "single_class_guard": lambda s, d: D.class_guard(D.binary_label(clean_fixture(s, d))),
@@ -202,4 +220,5 @@ QUERIES = {
     "classification_accuracy": q_classification_accuracy,
     "isolation_forest": q_isolation_forest,
     "run_pipeline": q_run_pipeline,
+    "score_with_saved_models": q_score_with_saved_models,
 }

@@ -535,5 +535,7 @@ ORACLE.update({
         "CAST(0 AS BIGINT) AS anomaly_out_of_range, CAST(0 AS BIGINT) AS score_differs, CAST(0 AS BIGINT) AS severity_differs, "
         "true AS metrics_agree, true AS beats_majority FROM clean"),
 })
+ORACLE["score_with_saved_models"] = clean_query(
+    "SELECT count(*) AS row_count, count(*) AS rescored_count, CAST(0 AS BIGINT) AS differs FROM clean")
 ORACLE["write_scan"] = (f"SELECT w.*, m.f1 AS forest_f1 FROM ({ORACLE['write_scan']}) w, "
                         f"({ORACLE['classification_metrics']}) m WHERE m.model = 'random_forest'")

@@ -15,6 +15,7 @@ from loghawk.operators import incidents as I
 from loghawk.operators import prepare as P
 from loghawk.operators import quality as V
 from loghawk.plans.pipeline import ScanResult, run_pipeline
+from loghawk.plans.scan_models import as_pipeline
 from loghawk.sources.logs import land_logs
 from loghawk.sources.store import ScanStore
 
@@ -32,7 +33,7 @@ class Scan:
 def run_scan(spark: SparkSession, path: str, store: ScanStore, scan_id: int | None, user_id: int,
              dataset_name: str, min_severity: str = "High", year: int | None = None,
              scan_date: str | None = None, multi_line: bool = False, **model_params) -> Scan:
-    """Land, validate, clean, score, then persist the scan, its rows, incidents and an audit entry.
+    """Land, validate, clean, score, then persist the scan, its rows, models, incidents and an audit entry.
 
     An invalid file stops after validation (``result`` is None). Without a
     ``scan_id`` the store assigns the next one; running a ``scan_id`` again
@@ -50,6 +51,7 @@ def run_scan(spark: SparkSession, path: str, store: ScanStore, scan_id: int | No
     incidents = I.incident_records(result.scored, scan_id, min_severity=min_severity, year=year)
     with store.transaction() as tx:
         tx.write_events(scan_id, result.scored)
+        tx.write_models(scan_id, as_pipeline(result.models, result.class_names))
         tx.write_incidents(scan_id, I.incident_rows_for_store(incidents, scan_id))
         tx.write_scan(scan_id, user_id, dataset_name, result.metrics, scan_date,
                       detection_metrics=result.detection_metrics,

@@ -29,11 +29,10 @@ from pyspark.sql import types as T
 
 from loghawk import constants as C
 from loghawk.functions import null_na_tokens, parse_timestamp
-from loghawk.operators import anomaly as AN
-from loghawk.operators import detect as D
 from loghawk.operators import scoring as S
 from loghawk.functions.stats import quantiles
-from loghawk.operators.prepare import coerce_numeric, feature_vector, protocol_codes
+from loghawk.operators.prepare import coerce_numeric, cut_lineage, feature_vector, protocol_codes
+from loghawk.plans.scan_models import ScanModels, predict
 
 LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in C.REQUIRED_COLUMNS + ["attack_type"]])
 
@@ -55,12 +54,18 @@ class StreamProfile:
     class_names: list
 
 
-def fit_profile(clean: DataFrame, result, contamination: float = C.DEFAULT_CONTAMINATION) -> StreamProfile:
+def fit_profile(clean: DataFrame, result, contamination: float = C.DEFAULT_CONTAMINATION,
+                saved: ScanModels | None = None) -> StreamProfile:
     """Profile from a batch scan: one aggregate over the clean table, one over predictions.
 
-    Only scalars and the (bounded) protocol list reach the driver; the
-    per-source counts stay a DataFrame, persisted in the checkpoint folder.
+    ``result`` is the scan's result; with ``saved`` models (``load_scan_models``) only the
+    predictions are taken from it, or made by these models if it is None. Only scalars and the
+    (bounded) protocol list reach the driver; the per-source counts stay a DataFrame,
+    persisted in the checkpoint folder.
     """
+    source = saved or ScanModels(result.models, result.class_names)
+    predictions = result.predictions if result is not None else cut_lineage(
+        predict(feature_vector(clean), source.models, source.class_names).select("iso_score"))
     nums = C.NUMERIC_COLUMNS
     st = clean.agg(*[F.avg(c).alias(f"m_{c}") for c in nums],
                    *[F.stddev_pop(c).alias(f"s_{c}") for c in nums]).first()
@@ -68,13 +73,13 @@ def fit_profile(clean: DataFrame, result, contamination: float = C.DEFAULT_CONTA
     codes = protocol_codes(clean).checkpoint(eager=True)
     counts = clean.groupBy("source_ip").agg(F.count(F.lit(1)).alias("_src_n")).checkpoint(eager=True)
     busiest = counts.agg(F.max("_src_n")).first()[0]
-    iso = result.predictions.agg(F.min("iso_score"), F.max("iso_score")).first()
-    iso_cut = quantiles(result.predictions, ["iso_score"], [1.0 - contamination])["iso_score"][0]
+    iso = predictions.agg(F.min("iso_score"), F.max("iso_score")).first()
+    iso_cut = quantiles(predictions, ["iso_score"], [1.0 - contamination])["iso_score"][0]
     return StreamProfile(
         medians={c: cuts[c][1] for c in nums}, quartiles={c: (cuts[c][0], cuts[c][2]) for c in nums},
         means={c: st[f"m_{c}"] for c in nums}, stds={c: st[f"s_{c}"] for c in nums},
         protocol_codes=codes, n_protocols=codes.count(), source_counts=counts, busiest=int(busiest),
-        iso_lo=iso[0], iso_hi=iso[1], iso_cut=iso_cut, models=result.models, class_names=result.class_names)
+        iso_lo=iso[0], iso_hi=iso[1], iso_cut=iso_cut, models=source.models, class_names=source.class_names)
 
 
 def read_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -114,19 +119,7 @@ def clean_stream(stream: DataFrame, profile: StreamProfile, watermark: str = "1
 
 def score_stream(stream: DataFrame, profile: StreamProfile) -> DataFrame:
     """Models and threat score on a cleaned stream (no stateful operator besides dedup)."""
-    m = profile.models
-    rows = feature_vector(stream)
-    if m.get("random_forest") is not None:
-        rows = m["gbt"].transform(m["random_forest"].transform(rows))
-        rows = D.ensemble_vote(rows.withColumns({"p_rf": D._p1("rf_prob"), "p_gbt": D._p1("gbt_prob")}))
-        rows = rows.drop("rf_prob", "rf_raw", "rf_pred", "gbt_prob", "gbt_pred")
-    else:
-        rows = rows.withColumn("ensemble_pred", D.is_attack_label("attack_type").cast("int")) \
-                   .withColumn("attack_probability", F.col("ensemble_pred").cast("double"))
-    if m.get("classifier") is not None:
-        rows = D.apply_classifier(rows, m["classifier"])
-    rows = D.assign_attack_type(rows, profile.class_names)
-    rows = AN.isolation_scores(rows, m["isolation_forest"])
+    rows = predict(feature_vector(stream), profile.models, profile.class_names)
     span = profile.iso_hi - profile.iso_lo
     rows = rows.withColumns({
         "anomaly_score": F.lit(0.0) if span < 1e-9 else
@@ -134,7 +127,7 @@ def score_stream(stream: DataFrame, profile: StreamProfile) -> DataFrame:
         "is_anomaly": F.col("iso_score") > F.lit(profile.iso_cut)})
     freq = rows.join(profile.source_counts, "source_ip", "left").withColumn(
         "_freq", F.coalesce(F.col("_src_n") / F.lit(float(profile.busiest)) * 100.0, F.lit(0.0)))
-    return S.finalize_scored(S.blend(freq, "_freq")).drop("_src_n", "features", "class_probability")
+    return S.finalize_scored(S.blend(freq, "_freq")).drop("_src_n")
 
 
 def hourly_attacks(scored: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ import os
 import tempfile
 from datetime import datetime
 
+from loghawk.operators import analytics as A
 from loghawk.operators import history as H
+from loghawk.operators import rollups as R
 from loghawk.plans.scan import run_scan
+from loghawk.plans.scan_models import load_scan_models
 from loghawk.sources.store import ScanStore
 from loghawk.sources.synthetic import write_sample_logs
 
@@ -25,6 +28,11 @@ def test_run_scan_end_to_end(spark):
     assert report["classification_classes"] == scan.result.class_names
     assert store.audit().first()["details"] == "Scan #1 on sample.csv"
     assert store.incidents().count() == scan.incidents.count()
+    saved = load_scan_models(store.models_path(1))
+    assert saved.class_names == scan.result.class_names and set(saved.models) == set(scan.result.models)
+    assert R.kpi_row(store.hours()).first() == A.kpi_row(store.events()).first()
+    store.delete_scan(1)
+    assert store.hours().count() == store.addresses().count() == 0 and not os.path.exists(store.models_path(1))
 
 
 def test_run_scan_rejects_missing_columns(spark):

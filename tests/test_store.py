@@ -149,3 +149,26 @@ def test_compacted_scans(spark):
     store.compact_scans()
     assert sorted((r["id"], r["total_logs"]) for r in store.scans().collect()) == [(1, 1), (2, 20)]
     assert store.scan_ids("scans") == [] and store.next_id("scans") == 3
+
+
+def test_rollups_follow_the_rows(spark):
+    """Rows stored again, a scan without attacks, null addresses and unparsable times."""
+    from loghawk.operators import analytics as A
+    from loghawk.operators import rollups as R
+    store = _store(spark)
+    assert R.kpi_row(store.hours()).first()["total_logs"] == 0 and R.top_source_ips(store.addresses()).count() == 0
+    scored = scored_fixture(spark, SF_SMALL)
+    odd = scored.withColumns({"timestamp": F.when(F.col("row_id") % 5 == 0, "never").otherwise(F.col("timestamp")),
+                              "source_ip": F.when(F.col("row_id") % 3 > 0, F.col("source_ip"))})
+    events = odd.withColumn("scan_id", F.col("row_id") % 4)
+    store.write_event_table(events)
+    for name in ("kpi_row", "attack_timeline", "severity_distribution", "attack_type_breakdown", "attack_heatmap",
+                 "hourly_attack_counts", "attack_forecast"):
+        assert sorted(map(str, getattr(R, name)(store.hours()).collect())) == \
+            sorted(map(str, getattr(A, name)(store.events()).collect())), name
+    assert R.top_source_ips(store.addresses()).collect() == A.top_source_ips(store.events()).collect()
+    assert R.top_source_ips(store.addresses()).first()["source_ip"] is None
+    store.write_events(1, odd.where("predicted_label = 'Normal'"))
+    store.write_event_table(events.where("scan_id = 2 AND predicted_label = 'Normal'"))
+    assert store.addresses().where("scan_id IN (1, 2)").count() == 0 and store.addresses().count() > 0
+    assert R.kpi_row(store.hours()).first() == A.kpi_row(store.events()).first()
