@@ -1,25 +1,31 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney n-gram model of any order, counted in Spark, memory-mapped by workers.
 
-Tokens are the lower-cased words of a whole text and one end token; the first is
-predicted from a start token. The model is a folder of sorted arrays on storage that
-all workers mount (by default below ``spark.checkpoint.dir``):
+Tokens are the lower-cased words of a whole text and one end token; ``order - 1`` start tokens
+come before the first. The model is a folder of sorted arrays on storage that all workers
+mount (by default below ``spark.checkpoint.dir``):
 
 - ``words-*``: sorted word hashes and their counts, by ranges of the hash. A word's id
   is its place in all of them; the start token has the smallest hash, the end token the
   largest.
-- ``pairs-*``: sorted (id, id) keys and their counts, by a hash of the first id. A first
-  id with more than ``split_tokens`` tokens is spread over several shards by the
-  second, so that a frequent word's successors never meet in one task.
-- ``lower-*``: by ranges of the id, in how many distinct pairs a token comes second,
-  and how many pairs it starts that were seen once, twice, three times or more.
-
-Tasks combine counts before they send them, packed by shard; shards, discounts and
-totals are all that reaches the driver. A worker opens an array as a memory map when
-it first needs it, and looks up a slice's distinct keys in order.
-
-``p(w | h) = max(c(h w) - D, 0) / c(h) + l(h) p(w)`` with the usual three discounts;
-``p(w)`` is the same over distinct predecessors, interpolated with ``1 / (V + 1)``, which
-is also what an unknown word gets. After an unknown word it is ``p(w)`` alone.
+- ``grams-k-*``: sorted 64-bit keys of the k-grams, k from 2 to the order: a hash of the first
+  k - 1 words above, the last word's id below, so that a context's grams are neighbours. Counts
+  are one byte each; those of 255 and more have an array of their own. Shards are hash
+  ranges of the context; one whose rarest word has over ``split_tokens`` tokens is spread over
+  several by the last word, so that a frequent context never meets in one task.
+- ``long-k-*``, ``hot-k-*``: total, and number of words seen once, twice, three times or more,
+  of contexts with ``LONG`` grams and more, and of spread ones. Shorter ones are summed when read.
+- ``before-*``: by ranges of the id, how many distinct words a token follows.
+
+Only the highest order counts occurrences. Each of its distinct grams adds one to its last
+k - 1 words, whose shards do the same one order below (continuation counts). Tasks combine
+counts before they send them, as gaps of sorted ids; shards, discounts and totals are all that
+reaches the driver. Ids have as many bits as the words need; there is no limit to either. A
+context's hash keeps 64 less these bits beside its shard's range, and isn't verified: with 2^21
+words and 10^7 contexts a lookup hits a wrong one with odds of about 10^-8.
+
+``p(w | h) = max(c(h w) - D, 0) / c(h) + l(h) p(w | h')`` with the usual three discounts an order,
+``h'`` being ``h`` without its first word; after a context that training hasn't seen it is
+``p(w | h')``. ``p(w)`` is interpolated with ``1 / (V + 1)``, which is also what an unknown word gets.
 
 Edge cases: a null or wordless text is the end token alone; repeated rows count each;
 with no training rows every probability is ``1 / (V + 1) = 1``; null ids are carried;
@@ -43,20 +49,31 @@ from loghawk.session import ensure_checkpoint_dir
 
 START, END = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 SHARD_BYTES, SLICE_BYTES, SPLIT_TOKENS, FLUSH = 16 << 20, 2 << 20, 1 << 20, 1 << 20
+ORDER, LONG = 3, 16
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+GRAMS, HOT, TALLY = 0, 1, 2  # kinds of messages
 
 
 class Model(NamedTuple):
     folder: str
+    order: int
     offsets: np.ndarray    # first id of each word shard, and the number of ids
-    pair_shards: int
+    shards: int
     split_tokens: int
     tokens: int            # training tokens, end tokens included
     types: int             # distinct ones
-    pairs: int             # distinct pairs
-    discounts: tuple       # of pairs, for counts 1, 2, 3 and more
-    lower_discounts: tuple
+    discounts: dict        # order -> of counts 1, 2, 3 and more
+    followed: int          # distinct pairs: the sum of ``before``
     lower_weight: float    # left for 1 / (V + 1)
 
+    @property
+    def bits(self) -> int:
+        return _bits(self.offsets)
+
+
+def _bits(offsets: np.ndarray) -> int:
+    return max(1, int(offsets[-1]).bit_length())
+
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Whole files only: a task that is run again, or twice, replaces like with like."""
@@ -78,51 +95,108 @@ def _map(folder: str, name: str, kind) -> np.ndarray:
     return _maps[path]
 
 
-def _combine(keys: np.ndarray, counts: np.ndarray):
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+def _combine(words: list, counts: np.ndarray):
+    """Distinct rows of one or more key columns, sorted, with their summed counts."""
+    order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0], kind="stable")
+    words = [w[order] for w in words]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for w in words:
+        new[1:] |= w[1:] != w[:-1]
+    first = np.flatnonzero(new)
+    return [w[first] for w in words], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def _columns_packed(columns: list, bits: int) -> list:
+    """Columns of ids in as few 64-bit words as hold them; the words sort as the columns do."""
+    each = 64 // bits
+    out = []
+    for i in range(0, len(columns), each):
+        word = columns[i].astype(np.uint64)
+        for c in columns[i + 1:i + each]:
+            word = (word << np.uint64(bits)) | c.astype(np.uint64)
+        out.append(word)
+    return out
+
+
+def _columns_unpacked(words: list, n: int, bits: int) -> list:
+    each, mask = 64 // bits, np.uint64((1 << bits) - 1) if bits < 64 else ~np.uint64(0)
+    out = []
+    for i, word in enumerate(words):
+        held = min(each, n - i * each)
+        out += [(word >> np.uint64(bits * (held - 1 - j))) & mask for j in range(held)]
+    return out
+
+
+def _encoded(words: list, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """A message: gaps of the first word's ascending values and the counts, plane by plane."""
+    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return b"".join([B.pack_ascending(words[0], 8), *[B.pack(w, 8) for w in words[1:]]]), planes.tobytes()
 
 
-def _tokens(texts):
-    """Token hashes with a start before and an end after each document's words, and the documents' bounds."""
+def _decoded(keys: bytes, counts: bytes) -> tuple[list, np.ndarray]:
+    n = len(counts) // 4
+    words = [B.unpack_ascending(keys[:8 * n], 8)] + [B.unpack(keys[i:i + 8 * n], 8) for i in range(8 * n, len(keys), 8 * n)]
+    planes = np.frombuffer(counts, np.uint8).reshape(4, n)
+    return words, np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _tokens(texts, pad: int):
+    """Token hashes with ``pad`` starts before and an end after each document's words, and the documents' bounds."""
     words = T.split_words(texts, lower=True)
-    bounds = words.bounds + 2 * np.arange(len(words.bounds))
-    out = np.empty(bounds[-1], np.uint64)
+    bounds = words.bounds + (pad + 1) * np.arange(len(words.bounds))
+    out = np.full(bounds[-1], START, np.uint64)
     inside = np.ones(len(out), bool)
-    inside[bounds[:-1]] = inside[bounds[1:] - 1] = False
+    for k in range(pad):
+        inside[bounds[:-1] + k] = False
+    inside[bounds[1:] - 1] = False
     out[inside] = T.word_hashes(words)
-    out[bounds[:-1]], out[bounds[1:] - 1] = START, END
+    out[bounds[1:] - 1] = END
     return out, bounds
 
 
+def _predicted(bounds: np.ndarray, pad: int) -> np.ndarray:
+    """Places of the tokens that are no starts."""
+    real = np.ones(bounds[-1], bool)
+    for k in range(pad):
+        real[bounds[:-1] + k] = False
+    return np.flatnonzero(real)
+
+
 def _word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return B.bucket_of(hashes, shards).astype(np.int64)
 
 
+def _by_shard(words: list, counts: np.ndarray, shard: np.ndarray):
+    """(shard, keys, counts) messages of sorted rows."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) > 0, [True]))) if len(shard) else []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = order[a:b]
+        yield int(shard[own[0]]), *_encoded([w[own] for w in words], counts[own])
+
+
 def _packed(batches, keys_of, shard_of):
     """Combined keys and counts of the task's texts, packed by shard."""
     held, size = [], 0
 
+    def merged():
+        return _combine([np.concatenate(c) for c in zip(*[w for w, _ in held])], np.concatenate([c for _, c in held]))
+
     def flush():
-        keys, counts = _combine(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        shard = shard_of(keys)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) > 0, [True])))
-        rows = [(int(shard[order[a]]), keys[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes())
-                for a, b in zip(cuts[:-1], cuts[1:])]
+        words, counts = merged()
+        rows = list(_by_shard(words, counts, shard_of(words)))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]),
                                            pa.array([r[2] for r in rows])], names=["shard", "keys", "counts"])
 
     for batch in batches:
         for part in T.slices(batch, "text", SLICE_BYTES):
-            keys, counts = np.unique(keys_of(part.column(0)), return_counts=True)
-            held.append((keys, counts.astype(np.int64)))
-            size += len(keys)
+            words = keys_of(part.column(0))
+            held.append(_combine(words, np.ones(len(words[0]), np.int64)))
+            size += len(held[-1][1])
             if size > FLUSH:
-                held[:] = [_combine(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                size = len(held[0][0])
+                held[:] = [merged()]
+                size = len(held[0][1])
                 if size > FLUSH // 2:
                     yield flush()
                     held, size = [], 0
@@ -134,9 +208,8 @@ _PACKED = "shard int, keys binary, counts binary"
 
 
 def _merged(table: pa.Table):
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
-    return _combine(keys, counts.astype(np.int64))
+    parts = [_decoded(k.as_py(), c.as_py()) for k, c in zip(table["keys"], table["counts"])]
+    return _combine([np.concatenate(c) for c in zip(*[w for w, _ in parts])], np.concatenate([c for _, c in parts]))
 
 
 def _ids(model_folder: str, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -165,19 +238,42 @@ def _by_id(folder: str, offsets: np.ndarray, name: str, kind, ids: np.ndarray) -
     return out
 
 
-def _pair_shard(keys: np.ndarray, first_counts: np.ndarray, split: int, shards: int) -> np.ndarray:
-    first, second = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    salt = T.mix(second + np.uint64(1)) % (1 + first_counts.astype(np.uint64) // np.uint64(split))
-    return (T.mix(first + np.uint64(1) + (salt << np.uint64(32))) % np.uint64(shards)).astype(np.int64)
+def _context_hash(columns: list) -> np.ndarray:
+    out = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        out = T.mix(out + (c.astype(np.uint64) + np.uint64(1)) * _STEP)
+    return out
+
+
+def _gram_shard(context: np.ndarray, last: np.ndarray, splits: np.ndarray, shards: int) -> np.ndarray:
+    salt = T.mix(last.astype(np.uint64) + np.uint64(1)) % splits.astype(np.uint64)
+    return B.bucket_of(np.where(salt == 0, context, T.mix(context + salt * _STEP)), shards).astype(np.int64)
+
+
+def _context_key(context: np.ndarray, bits: int) -> np.ndarray:
+    """The upper part of a gram's key; independent of the bits that choose the shard."""
+    return (T.mix(context + _STEP) >> np.uint64(bits)) << np.uint64(bits)
+
+
+def _splits(columns: list, count_of, split: int) -> np.ndarray:
+    """Shards a context is spread over, by the count of its rarest word."""
+    rarest = count_of(columns[0])
+    for c in columns[1:]:
+        rarest = np.minimum(rarest, count_of(c))
+    return 1 + rarest // split
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple:
-    """Modified Kneser-Ney discounts from counts of counts; fixed ones where a count is missing."""
+    """Modified Kneser-Ney discounts from counts of counts.
+
+    Fixed ones where a count is missing or a discount would leave nothing, or too much, for the order below.
+    """
+    fixed = (0.5, 1.0, 1.5)
     if min(n1, n2, n3, n4) == 0:
-        return (0.5, 1.0, 1.5)
+        return fixed
     y = n1 / (n1 + 2 * n2)
     found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.0), k + 1.0) for k, d in enumerate(found))
+    return tuple(d if 0 < d <= k + 1 else fixed[k] for k, d in enumerate(found))
 
 
 def _discounted(counts: np.ndarray, discounts: tuple) -> np.ndarray:
@@ -194,20 +290,137 @@ def model_folder(spark) -> str:
     return os.path.join("/" + path.lstrip("/"), f"kneser-ney-{uuid.uuid4().hex}")
 
 
-def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES,
-        split_tokens: int = SPLIT_TOKENS) -> Model:
-    """Count the training documents and write the model's arrays."""
-    folder = folder or model_folder(docs.sparkSession)
+def _write_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    large = np.flatnonzero(counts >= 255)
+    _save(folder, f"times-{name}", np.minimum(counts, 255).astype(np.uint8))
+    if len(large):
+        _save(folder, f"large-{name}", np.stack([large, counts[large]], axis=1).astype(np.int64))
+
+
+def _read_counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    out = _map(folder, f"times-{name}", np.uint8)[at].astype(np.int64)
+    full = np.flatnonzero(out == 255)
+    if len(full):
+        large = _map(folder, f"large-{name}", np.int64).reshape(-1, 2)
+        out[full] = large[np.searchsorted(large[:, 0], at[full]), 1]
+    return out
+
+
+def _run_stats(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Total, and grams counted once, twice, three times or more, of each run."""
+    if not len(first):
+        return np.zeros((0, 4), np.int64)
+    return np.stack([np.add.reduceat(x, first) for x in
+                     (counts, *[(k(counts)).astype(np.int64) for k in _TIMES])], axis=1)
+
+
+_TIMES = (lambda c: c == 1, lambda c: c == 2, lambda c: c >= 3)
+_MESSAGE = "level int, kind int, " + _PACKED + ", n1 long, n2 long, n3 long, n4 long, more long, total long"
+
+
+def _tallies(counts: np.ndarray) -> list:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum())]
+
+
+def _messages(rows: list) -> pa.Table:
+    """Rows of (level, kind, shard, keys, counts, tallies) as Spark reads them back."""
+    schema = pa.schema([("level", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()),
+                        ("counts", pa.binary()), *[(n, pa.int64()) for n in ("n1", "n2", "n3", "n4", "more", "total")]])
+    columns = list(zip(*[(*r[:5], *r[5]) for r in rows])) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_NONE = [0] * 6
+
+
+class _Counter:
+    """What the counting tasks need: the folder and the words' ids and counts."""
+
+    def __init__(self, folder: str, offsets: np.ndarray, shards: int, split: int):
+        self.folder, self.offsets, self.shards, self.split, self.bits = folder, offsets, shards, split, _bits(offsets)
+
+    def count_of(self, ids: np.ndarray) -> np.ndarray:
+        words, back = np.unique(ids, return_inverse=True)
+        return _by_id(self.folder, self.offsets, "counts", np.int64, words.astype(np.int64))[back]
+
+    def place(self, columns: list):
+        """Context hash, number of shards and own shard of every gram."""
+        context, splits = _context_hash(columns[:-1]), _splits(columns[:-1], self.count_of, self.split)
+        return context, splits, _gram_shard(context, columns[-1], splits, self.shards)
+
+    def write(self, table: pa.Table) -> pa.Table:
+        """Write a group's arrays; pass on what its grams add to the order below."""
+        level, kind, shard = (table[c][0].as_py() for c in ("level", "kind", "shard"))
+        if kind == TALLY:
+            return _messages([(level, TALLY, shard, b"", b"", [int(np.sum(table[c].to_numpy())) for c in table.column_names[5:]])])
+        if kind == HOT:
+            return self._write_hot(level, shard, table)
+        words, counts = _merged(table)
+        if level == 1:
+            return self._write_words(shard, words[0].astype(np.int64), counts)
+        return self._write_grams(level, shard, words, counts)
+
+    def _write_words(self, shard: int, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
+        before = np.zeros(int(self.offsets[shard + 1] - self.offsets[shard]), np.int64)
+        before[ids - self.offsets[shard]] = counts
+        _save(self.folder, f"before-{shard:06d}", before)
+        return _messages([(1, TALLY, 0, b"", b"", _tallies(counts))])
+
+    def _write_hot(self, level: int, shard: int, table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]])
+        stats = np.concatenate([np.frombuffer(c.as_py(), np.int64).reshape(-1, 4) for c in table["counts"]])
+        keys, back = np.unique(keys, return_inverse=True)
+        total = np.zeros((len(keys), 4), np.int64)
+        np.add.at(total, back, stats)
+        _save(self.folder, f"hot-{level}-{shard:06d}", keys)
+        _save(self.folder, f"hotstats-{level}-{shard:06d}", total)
+        return _messages([])
+
+    def _write_grams(self, level: int, shard: int, words: list, counts: np.ndarray) -> pa.Table:
+        columns = _columns_unpacked(words, level, self.bits)
+        context, splits, _ = self.place(columns)
+        keys = _context_key(context, self.bits) | columns[-1]
+        order = np.argsort(keys, kind="stable")
+        keys, context, splits, sorted_counts = keys[order], context[order], splits[order], counts[order]
+        name = f"{level}-{shard:06d}"
+        _save(self.folder, f"grams-{name}", keys)
+        _write_counts(self.folder, name, sorted_counts)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] >> np.uint64(self.bits) != keys[:-1] >> np.uint64(self.bits))))
+        stats, spread = _run_stats(sorted_counts, first), splits[first] > 1
+        long = ~spread & (np.diff(np.append(first, len(keys))) >= LONG)
+        _save(self.folder, f"long-{name}", keys[first[long]] >> np.uint64(self.bits))
+        _save(self.folder, f"longstats-{name}", stats[long])
+        rows = [(level, TALLY, 0, b"", b"", _tallies(counts))]
+        hashes = context[first[spread]]
+        to = _word_shard(hashes, self.shards)
+        for s in np.unique(to):
+            rows.append((level, HOT, int(s), hashes[to == s].tobytes(), stats[spread][to == s].tobytes(), _NONE))
+        below = [c for c in columns[1:]]
+        words, counts = _combine(_columns_packed(below, self.bits), np.ones(len(counts), np.int64))
+        if level > 2:
+            to = self.place(_columns_unpacked(words, level - 1, self.bits))[2]
+        else:
+            to = np.searchsorted(self.offsets, words[0].astype(np.int64), side="right") - 1
+        rows += [(level - 1, GRAMS, *message, _NONE) for message in _by_shard(words, counts, to)]
+        return _messages(rows)
+
+
+def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, order: int = ORDER,
+        shard_bytes: int = SHARD_BYTES, split_tokens: int = SPLIT_TOKENS) -> Model:
+    """Count the training documents and write the model's arrays; ``order`` is 2 or more."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
+    folder, pad = folder or model_folder(docs.sparkSession), order - 1
     os.makedirs(folder, exist_ok=True)
     texts = docs.select(F.col(text_col).alias("text"))
     shards = B.parts_for(B.text_size(texts), shard_bytes)
 
     def send_words(batches):
-        return _packed(batches, lambda t: _tokens(t)[0], lambda k: _word_shard(k, shards))
+        return _packed(batches, lambda t: [_tokens(t, pad)[0]], lambda w: _word_shard(w[0], shards))
 
     def write_words(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        keys, counts = _merged(table)
+        (keys,), counts = _merged(table)
         _save(folder, f"words-{shard:06d}", keys)
         _save(folder, f"counts-{shard:06d}", counts)
         start = int(counts[0]) if len(keys) and keys[0] == START else 0
@@ -220,114 +433,130 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, shar
     for r in rows:
         sizes[r["shard"]] = r["n"]
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    if offsets[-1] >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words: ids no longer pair into 64 bits")
+    counter = _Counter(folder, offsets, shards, split_tokens)
 
     def keys_of(t):
-        hashes, bounds = _tokens(t)
+        hashes, bounds = _tokens(t, pad)
         words, back = np.unique(hashes, return_inverse=True)
-        ids = _ids(folder, offsets, words)[back].astype(np.uint64)
-        first = np.ones(len(ids), bool)
-        first[bounds[1:] - 1] = False
-        at = np.flatnonzero(first)
-        return (ids[at] << np.uint64(32)) | ids[at + 1]
-
-    def pair_shard(keys):
-        firsts, back = np.unique(keys >> np.uint64(32), return_inverse=True)
-        return _pair_shard(keys, _by_id(folder, offsets, "counts", np.int64, firsts.astype(np.int64))[back],
-                           split_tokens, shards)
-
-    def send_pairs(batches):
-        return _packed(batches, keys_of, pair_shard)
-
-    def write_pairs(table: pa.Table) -> pa.Table:
-        """Write the shard; pass on what its pairs add to either word's lower-order counts."""
-        shard = table["shard"][0].as_py()
-        keys, counts = _merged(table)
-        _save(folder, f"pairs-{shard:06d}", keys)
-        _save(folder, f"times-{shard:06d}", counts.astype(np.uint32))
-        second, before = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        firsts, back = np.unique(keys >> np.uint64(32), return_inverse=True)
-        seen = [np.bincount(back, counts == k if k < 3 else counts >= 3, minlength=len(firsts)) for k in (1, 2, 3)]
-        ids = np.union1d(second, firsts)
-        stats = np.zeros((len(ids), 4), np.uint32)
-        stats[np.searchsorted(ids, second), 0] = before
-        stats[np.searchsorted(ids, firsts), 1:] = np.stack(seen, axis=1)
-        cuts = np.searchsorted(ids, offsets.astype(np.uint64))
-        tally = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        out = [(int(s), ids[cuts[s]:cuts[s + 1]].astype(np.uint32).tobytes(),
-                np.ascontiguousarray(stats[cuts[s]:cuts[s + 1]].T).tobytes()) for s in np.flatnonzero(np.diff(cuts))]
-        n = len(out)
-        return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()),
-                         pa.array([r[2] for r in out], pa.binary()),
-                         *[pa.array([t] + [0] * (n - 1), pa.int64()) for t in tally]],
-                        names=["shard", "keys", "counts", "n1", "n2", "n3", "n4"])
-
-    def write_lower(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        stats = np.zeros((4, int(sizes[shard])), np.int64)
-        for ids, body in zip(table["keys"], table["counts"]):
-            at = np.frombuffer(ids.as_py(), np.uint32).astype(np.int64) - offsets[shard]
-            stats[:, at] += np.frombuffer(body.as_py(), np.uint32).reshape(4, -1)
-        for name, row in zip(("before", "once", "twice", "more"), stats):
-            _save(folder, f"{name}-{shard:06d}", row)
-        tally = [int(np.sum(table[f"n{k}"].to_numpy())) for k in (1, 2, 3, 4)]
-        lower = [int((stats[0] == k).sum()) for k in (1, 2, 3, 4)] + [int((stats[0] >= 3).sum()), int(stats[0].sum())]
-        return pa.table([[x] for x in (shard, *tally, *lower)], names=names)
-
-    names = ["shard", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "m3_up", "pairs"]
-    found = (texts.mapInArrow(send_pairs, _PACKED).groupBy("shard")
-             .applyInArrow(write_pairs, _PACKED + ", n1 long, n2 long, n3 long, n4 long")
-             .groupBy("shard").applyInArrow(write_lower, ", ".join(f"{n} long" for n in names))
-             .groupBy().agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names[1:]]).first())
-    lower = _discounts(*(found[f"m{k}"] for k in (1, 2, 3, 4)))
-    weight = sum(d * n for d, n in zip(lower, (found["m1"], found["m2"], found["m3_up"]))) / max(1, found["pairs"])
+        ids = _ids(folder, offsets, words)[back]
+        at = _predicted(bounds, pad)
+        return _columns_packed([ids[at - pad + j] for j in range(order)], counter.bits)
+
+    def send_grams(batches):
+        return _packed(batches, keys_of, lambda w: counter.place(_columns_unpacked(w, order, counter.bits))[2])
+
+    def write(table: pa.Table) -> pa.Table:
+        return counter.write(table)
+
+    names = ["n1", "n2", "n3", "n4", "more", "total"]
+    level = texts.mapInArrow(send_grams, _PACKED).select(
+        F.lit(order).alias("level"), F.lit(GRAMS).alias("kind"), "shard", "keys", "counts",
+        *[F.lit(0).cast("long").alias(n) for n in names])
+    for _ in range(order):
+        level = level.groupBy("level", "kind", "shard").applyInArrow(write, _MESSAGE)
+    found = {r["level"]: r for r in level.where(F.col("kind") == TALLY).groupBy("level")
+             .agg(*[F.sum(n).alias(n) for n in names]).collect()}
+    discounts = {k: _discounts(*[found[k][f"n{i}"] if k in found else 0 for i in (1, 2, 3, 4)]) for k in range(1, order + 1)}
+    one = found.get(1)
+    weight = sum(d * n for d, n in zip(discounts[1], (one["n1"], one["n2"], one["more"]))) / one["total"] if one else 1.0
     types = int(offsets[-1]) - max([r["starts"] for r in rows], default=0)
-    return Model(folder, offsets, shards, split_tokens, sum(r["tokens"] for r in rows), types, found["pairs"],
-                 _discounts(*(found[f"n{k}"] for k in (1, 2, 3, 4))), lower, weight if found["pairs"] else 1.0)
+    return Model(folder, order, offsets, shards, split_tokens, sum(r["tokens"] for r in rows), types, discounts,
+                 one["total"] if one else 0, weight)
 
 
 def _lower_probability(model: Model, ids: np.ndarray) -> np.ndarray:
     before = _by_id(model.folder, model.offsets, "before", np.int64, ids)
-    return _discounted(before, model.lower_discounts) / max(1, model.pairs) + model.lower_weight / (model.types + 1)
+    return _discounted(before, model.discounts[1]) / max(1, model.followed) + model.lower_weight / (model.types + 1)
+
+
+def _look_up(model: Model, level: int, columns: list, counts: list):
+    """Count of each gram, and (total, once, twice, more) of its context; ids below 0 are unknown.
+
+    The context's columns are all known; only the last word may not be.
+    """
+    n = len(columns[0])
+    seen, stats = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+    if not n:
+        return seen, stats
+    context, last = _context_hash(columns[:-1]), columns[-1]
+    rarest = np.minimum.reduce(counts[:-1])
+    splits = 1 + rarest // model.split_tokens
+    bits, known = np.uint64(model.bits), last >= 0
+    base = _context_key(context, model.bits)
+    keys = base | np.where(known, last, 0).astype(np.uint64)
+    shard = np.where(known | (splits == 1), _gram_shard(context, np.maximum(last, 0), splits, model.shards), -1)
+    order = np.lexsort((keys, shard))
+    cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        own, name = order[cuts[s]:cuts[s + 1]], f"{level}-{s:06d}"
+        have = _map(model.folder, f"grams-{name}", np.uint64)
+        if not len(have):
+            continue
+        place = np.searchsorted(have, keys[own])
+        hit = known[own] & (place < len(have))
+        hit[hit] = have[place[hit]] == keys[own][hit]
+        seen[own[hit]] = _read_counts(model.folder, name, place[hit])
+        whole = own[splits[own] == 1]
+        mask = np.uint64((1 << model.bits) - 1)
+        lo, hi = np.searchsorted(have, base[whole]), np.searchsorted(have, base[whole] | mask, side="right")
+        short = hi - lo < LONG
+        size = np.where(short, hi - lo, 0)
+        group = np.repeat(np.arange(len(whole)), size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[group]
+        times = _read_counts(model.folder, name, at)
+        for j, values in enumerate((times, *[t(times) for t in _TIMES])):
+            stats[whole, j] = np.bincount(group, values, minlength=len(whole))
+        if not short.all():
+            table = _map(model.folder, f"longstats-{name}", np.int64).reshape(-1, 4)
+            stats[whole[~short]] = table[np.searchsorted(_map(model.folder, f"long-{name}", np.uint64), base[whole[~short]] >> bits)]
+    spread = np.flatnonzero(splits > 1)
+    to = _word_shard(context[spread], model.shards)
+    for s in np.unique(to):
+        own = spread[to == s]
+        have = _map(model.folder, f"hot-{level}-{s:06d}", np.uint64)
+        place = np.searchsorted(have, context[own])
+        hit = place < len(have)
+        hit[hit] = have[place[hit]] == context[own][hit]
+        stats[own[hit]] = _map(model.folder, f"hotstats-{level}-{s:06d}", np.int64).reshape(-1, 4)[place[hit]]
+    return seen, stats
 
 
 def score_batch(model: Model, texts):
     """(tokens, known tokens, base score, score) of every text; scores are log10 sums."""
-    hashes, bounds = _tokens(texts)
+    pad = model.order - 1
+    hashes, bounds = _tokens(texts, pad)
     n = len(bounds) - 1
     words, back = np.unique(hashes, return_inverse=True)
     ids = _ids(model.folder, model.offsets, words)
     counts = _by_id(model.folder, model.offsets, "counts", np.int64, ids)
-    doc = np.repeat(np.arange(n), np.diff(bounds))
-    follows = np.ones(len(hashes), bool)
-    follows[bounds[:-1]] = False
-    at = np.flatnonzero(follows)
+    at = _predicted(bounds, pad)
+    doc = np.repeat(np.arange(n), np.diff(bounds) - pad)
     base = np.log10((counts + 1) / (model.tokens + 1 * (model.types + 1)))
-    pairs, pair = np.unique(back[at - 1] * len(words) + back[at], return_inverse=True)
-    first, second = pairs // len(words), pairs % len(words)
-    p = _lower_probability(model, ids)[second]
-    seen = np.zeros(len(pairs), np.int64)
-    both = np.flatnonzero((ids[first] >= 0) & (ids[second] >= 0))
-    keys = (ids[first[both]].astype(np.uint64) << np.uint64(32)) | ids[second[both]].astype(np.uint64)
-    shard = _pair_shard(keys, counts[first[both]], model.split_tokens, model.pair_shards)
-    order = np.lexsort((keys, shard))
-    cuts = np.searchsorted(shard[order], np.arange(model.pair_shards + 1))
-    for s in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[s]:cuts[s + 1]]
-        have = _map(model.folder, f"pairs-{s:06d}", np.uint64)
-        place = np.searchsorted(have, keys[own])
-        hit = place < len(have)
-        hit[hit] = have[place[hit]] == keys[own][hit]
-        seen[both[own[hit]]] = _map(model.folder, f"times-{s:06d}", np.uint32)[place[hit]]
-    total = counts[first]
-    kept = sum(d * _by_id(model.folder, model.offsets, name, np.int64, ids)[first]
-               for d, name in zip(model.discounts, ("once", "twice", "more")))
-    known = total > 0
-    p[known] = (_discounted(seen[known], model.discounts) + kept[known] * p[known]) / total[known]
-    per_doc = lambda values: np.bincount(doc[at], values, minlength=n)
-    return (np.diff(bounds) - 1, per_doc(counts[back[at]] > 0).astype(np.int64), per_doc(base[back[at]]),
-            per_doc(np.log10(p)[pair]))
+    own = max(1, len(words)).bit_length()
+    packed = _columns_packed([back[at - pad + j] for j in range(model.order)], own)
+    order = np.lexsort(packed[::-1]) if len(packed) > 1 else np.argsort(packed[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for w in packed:
+        new[1:] |= w[order][1:] != w[order][:-1]
+    gram = np.empty(len(order), np.int64)
+    gram[order] = np.cumsum(new) - 1
+    grams = _columns_unpacked([w[order[new]] for w in packed], model.order, own)
+    grams = [g.astype(np.int64) for g in grams]
+    p = _lower_probability(model, ids)[grams[-1]]
+    able = np.ones(len(p), bool)  # the context's words are known so far
+    for level in range(2, model.order + 1):
+        able &= ids[grams[-level]] >= 0
+        rows = np.flatnonzero(able)
+        columns = [g[rows] for g in grams[-level:]]
+        seen, stats = _look_up(model, level, [ids[c] for c in columns], [counts[c] for c in columns])
+        met = stats[:, 0] > 0
+        rows, seen, stats, d = rows[met], seen[met], stats[met], model.discounts[level]
+        kept = stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]
+        p[rows] = (_discounted(seen, d) + kept * p[rows]) / stats[:, 0]
+    per_doc = lambda values: np.bincount(doc, values, minlength=n)
+    return (np.diff(bounds) - pad, per_doc(counts[back[at]] > 0).astype(np.int64), per_doc(base[back[at]]),
+            per_doc(np.log10(p)[gram]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",

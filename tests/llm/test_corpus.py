@@ -11,60 +11,92 @@ from loghawk.llm.html_render import html_text, parse, render_html
 from tests.llm import cases
 
 
-def _kneser_ney(train, texts):
+def _kneser_ney(train, texts, order):
     """(tokens, known, base, score) of each text, and the model's probability function."""
     tok = lambda t: cases.words(cases.lower(t)) + ["\n"]
-    count, pair = Counter(), Counter()
+
+    def grams(t):
+        padded = ["\t"] * (order - 1) + tok(t)
+        return [tuple(padded[i:i + order]) for i in range(len(tok(t)))]
+
+    count, times = Counter(), {order: Counter()}
     for t in train:
         count.update(tok(t))
-        pair.update(zip(["\t"] + tok(t), tok(t)))
+        times[order].update(grams(t))
+    for k in range(order - 1, 0, -1):
+        times[k] = Counter(g[1:] for g in times[k + 1])
     n, v = sum(count.values()), len(count)
-    before = Counter(b for _, b in pair)
-    total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pair.items():
-        total[a] += k
-        kinds[a][min(k, 3) - 1] += 1
-    times, lower_times = Counter(pair.values()), Counter(before.values())
-    high = kneser_ney._discounts(*(times[k] for k in (1, 2, 3, 4)))
-    low = kneser_ney._discounts(*(lower_times[k] for k in (1, 2, 3, 4)))
-    more = sum(c for k, c in lower_times.items() if k >= 3)
-    weight = (low[0] * lower_times[1] + low[1] * lower_times[2] + low[2] * more) / len(pair) if pair else 1.0
-
-    def p(a, b):
-        k = before[b]
-        lower = (max(k - low[min(k, 3) - 1], 0) if k else 0) / max(1, len(pair)) + weight / (v + 1)
-        if not total[a]:
+    total, kinds, d = defaultdict(int), defaultdict(lambda: [0, 0, 0]), {}
+    for k, table in times.items():
+        of = Counter(table.values())
+        d[k] = kneser_ney._discounts(*(of[i] for i in (1, 2, 3, 4)))
+        for g, c in table.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3) - 1] += 1
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (v + 1)
+        if not total[context]:
             return lower
-        c = pair.get((a, b), 0)
-        return ((max(c - high[min(c, 3) - 1], 0) if c else 0) + sum(d * x for d, x in zip(high, kinds[a])) * lower) / total[a]
+        c = times[k].get((*context, w), 0)
+        kept = max(c - d[k][min(c, 3) - 1], 0) if c else 0
+        return (kept + sum(a * x for a, x in zip(d[k], kinds[context])) * lower) / total[context]
 
     out = []
     for t in texts:
         w = tok(t)
         out.append((len(w), sum(count[x] > 0 for x in w), n,
                     sum(math.log10((count[x] + 1) / (n + (v + 1))) for x in w),
-                    sum(math.log10(p(a, b)) for a, b in zip(["\t"] + w, w))))
+                    sum(math.log10(p(g[:-1], g[-1])) for g in grams(t))))
     return out, p, list(count)
 
 
-@pytest.mark.parametrize("shard,split", [(1 << 24, 1 << 20), (1 << 11, 16)])
-def test_kneser_ney(spark, shard, split):
+@pytest.mark.parametrize("order,shard,split", [(2, 1 << 24, 1 << 20), (2, 1 << 11, 16), (3, 1 << 24, 1 << 20),
+                                               (3, 1 << 11, 4), (4, 1 << 12, 16), (6, 1 << 13, 8)])
+def test_kneser_ney(spark, order, shard, split):
     rows = cases.documents()
     docs = cases.frame(spark, rows)
     train = [t for i, t, _ in rows if i is None or i % 3]
-    model = kneser_ney.fit(docs.where("doc_id IS NULL OR doc_id % 3 <> 0"), shard_bytes=shard, split_tokens=split)
+    model = kneser_ney.fit(docs.where("doc_id IS NULL OR doc_id % 3 <> 0"), order=order, shard_bytes=shard,
+                           split_tokens=split)
     got = kneser_ney.score(docs, model).collect()
-    expected, p, known = _kneser_ney(train, [t for _, t, _ in rows])
+    expected, p, known = _kneser_ney(train, [t for _, t, _ in rows], order)
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:3], round(r[4], 6))
     a = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
     b = sorted(((i, *e) for (i, *_), e in zip(rows, expected)), key=key)
     for x, y in zip(a, b):
         assert x[:4] == y[:4] and math.isclose(x[4], y[4], rel_tol=1e-9) and math.isclose(x[5], y[5], rel_tol=1e-9)
     assert len(a) == len(b)
-    for context in ("\t", known[0], known[len(known) // 2]):  # a distribution over the words and the unknown one
+    start = ("\t",) * (order - 1)
+    for context in (start, (*start, known[0])[1:], (*start, known[0], known[1])[2:], (known[len(known) // 2],)):
+        # a distribution over the words and the unknown one
         assert math.isclose(sum(p(context, w) for w in known) + p(context, "never seen"), 1, rel_tol=1e-9)
 
 
+def test_kneser_ney_longer_contexts_predict_better(spark):
+    """Held-out texts that go on as the training texts do."""
+    rows = [(k, " ".join(f"w{(k * i * i + i) % 23}" for i in range(k % 11, 60 + k % 11)), "a") for k in range(120)]
+    docs = cases.frame(spark, rows)
+    scores = [kneser_ney.score(docs.where("doc_id % 4 = 0"), kneser_ney.fit(docs.where("doc_id % 4 <> 0"), order=n))
+              .agg(F.sum("score")).first()[0] for n in (2, 3)]
+    assert scores[1] > scores[0]
+
+
+def test_kneser_ney_ids_of_any_width():
+    """More bits than two ids in a 64-bit word leave room for: several words, sorted as the columns."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for bits in (1, 13, 21, 22, 32, 33, 40):
+        columns = [rng.integers(0, 1 << bits, 200, dtype=np.uint64) for _ in range(4)]
+        words = kneser_ney._columns_packed(columns, bits)
+        assert all((a == b).all() for a, b in zip(columns, kneser_ney._columns_unpacked(words, 4, bits)))
+        assert (np.lexsort(words[::-1]) == np.lexsort(columns[::-1])).all()
+        merged, counts = kneser_ney._combine([np.tile(w, 2) for w in words], np.full(400, 300))
+        back, times = kneser_ney._decoded(*kneser_ney._encoded(merged, counts))
+        assert all((a == b).all() for a, b in zip(merged, back)) and (times == counts).all()
+
+
 def test_kneser_ney_without_training(spark):
     docs = cases.frame(spark)
     got = kneser_ney.score(docs, kneser_ney.fit(docs.where("false"))).collect()
