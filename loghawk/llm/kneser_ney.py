@@ -49,7 +49,7 @@ from loghawk.session import ensure_checkpoint_dir
 
 START, END = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 SHARD_BYTES, SLICE_BYTES, SPLIT_TOKENS, FLUSH = 16 << 20, 2 << 20, 1 << 20, 1 << 20
-ORDER, LONG = 3, 16
+ORDER, LONG, MAPPED_BYTES = 3, 16, 256 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 GRAMS, HOT, TALLY = 0, 1, 2  # kinds of messages
 
@@ -87,9 +87,10 @@ _maps: dict[str, np.ndarray] = {}
 
 
 def _map(folder: str, name: str, kind) -> np.ndarray:
+    """An array as a memory map; a worker keeps at most ``MAPPED_BYTES`` of them open between two calls."""
     path = os.path.join(folder, name)
     if path not in _maps:
-        if len(_maps) > 4096:
+        if len(_maps) > 4096 or sum(m.nbytes for m in _maps.values()) > MAPPED_BYTES:
             _maps.clear()
         _maps[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
     return _maps[path]
