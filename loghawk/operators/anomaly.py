@@ -195,6 +195,18 @@ class IsolationForestModel(Model, _ForestParams, MLWritable, MLReadable):
             self._trees = _Trees(self.nodes, self.sample_size)
         return self._trees
 
+    @property
+    def feature(self) -> np.ndarray:
+        return self.trees.feature
+
+    @property
+    def threshold(self) -> np.ndarray:
+        return self.trees.threshold
+
+    @property
+    def n_trees(self) -> int:
+        return self.trees.n_trees
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.trees.score(x)
 
