@@ -203,6 +203,10 @@ class IsolationForestModel(Model, _ForestParams, MLWritable, MLReadable):
     def threshold(self) -> np.ndarray:
         return self.trees.threshold
 
+    @property
+    def size(self) -> np.ndarray:
+        return self.trees.size
+
     @property
     def n_trees(self) -> int:
         return self.trees.n_trees
