@@ -4,11 +4,12 @@
 2. The rows are binned, packed into blocks of numpy arrays and stored in the shared
    folder. A block carries its rows' margins (log-odds so far).
 3. Two levels of a tree are one job: each partition adds its gradients and Hessians per
-   (node, feature, bin, feature, bin), partitions are summed in a tree, and the driver, which
-   holds those sums only, takes each node's best regularised split; the bins on one side of it,
-   summed up, are the child's sums, which give the child's split. Where the sums of pairs would
-   exceed ``PAIR_CELLS``, and for an odd last level, a level is a job, with sums per (node,
-   feature, bin). Both give the same splits.
+   (node, feature, bin, feature, bin) and sends each node's sums to that node's task. It adds
+   them in the order of the partitions and takes the node's best regularised split; the bins on
+   one side of it, summed up, are the child's sums, which give the child's split. The driver gets
+   the splits alone, a few numbers a node. Where the sums of pairs would exceed ``PAIR_CELLS``,
+   and for an odd last level, a level is a job, with sums per (node, feature, bin). Both give the
+   same splits.
 4. A finished tree is added to the margins in the next level's job. Margins are written
    to the checkpoint folder every ``CHECKPOINT_ROUNDS`` trees, which cuts the lineage: a lost
    executor costs a few trees' additions, not the fit.
@@ -27,7 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -43,8 +44,9 @@ BINS, BLOCK_ROWS, CHECKPOINT_ROUNDS = 64, 1 << 16, 10
 #: Cells of a partition's pair sums: 8 MB.
 PAIR_CELLS = 1 << 20
 LAMBDA, LEAST_HESSIAN, LEAST_GAIN = 1.0, 1.0, 1e-6
-#: Rows of a partition: a level's work on fewer is less than the job around it.
-PARTITION_ROWS, WIDE_PARTITIONS, MOST_ROWS = 50_000, 2_000, 500_000
+#: Rows of a partition: a level's work on fewer is less than the job around it. A partition
+#: sends up to 8 MB of sums a level, so beyond ``WIDE_PARTITIONS`` partitions grow before their number does.
+PARTITION_ROWS, WIDE_PARTITIONS, MOST_ROWS = 50_000, 100, 500_000
 
 
 def boosting_partitions(n_rows: int) -> int:
@@ -70,17 +72,16 @@ class Tree:
         return node
 
 
-def best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gain, feature, bin) of each node's best split, from (2, nodes, features, bins) sums."""
-    left = np.cumsum(sums, axis=3)
-    whole = left[:, :, :1, -1:]
+def best_split(sums: np.ndarray) -> tuple[float, int, int]:
+    """(gain, feature, bin) of a node's best split, from (2, features, bins) sums."""
+    left = np.cumsum(sums, axis=2)
+    whole = left[:, :1, -1:]
     right = whole - left
     worth = lambda s: s[0] ** 2 / (s[1] + LAMBDA)
     gain = worth(left) + worth(right) - worth(whole)
     gain[(left[1] < LEAST_HESSIAN) | (right[1] < LEAST_HESSIAN)] = -np.inf
-    flat = gain.reshape(len(gain), -1)
-    best = flat.argmax(axis=1)
-    return flat[np.arange(len(flat)), best], best // gain.shape[2], best % gain.shape[2]
+    best = int(gain.argmax())
+    return float(gain.flat[best]), best // gain.shape[1], best % gain.shape[1]
 
 
 def _gradients(block, tree: Tree, level: int):
@@ -105,20 +106,73 @@ def _level_sums(block, tree: Tree, level: int, bins: int) -> np.ndarray:
 
 
 def _pair_sums(block, tree: Tree, level: int, bins: int) -> np.ndarray:
-    """Sums (2, nodes, features, bins, features, bins): each feature's bins, split up by the bins of every one."""
+    """Sums (2, nodes, pairs, bins, bins): the bins of each feature, split up by those of itself and every later one."""
     node, codes, weights = _gradients(block, tree, level)
-    width, size = 1 << level, codes.shape[1]
-    out = np.empty((2, width, size, bins, size, bins))
-    for f in range(size):
-        for g in range(f, size):
-            key = (node * bins + codes[:, f]) * bins + codes[:, g]
-            for k, weight in enumerate(weights):
-                cells = np.bincount(key, weight, minlength=width * bins * bins).reshape(width, bins, bins)
-                out[k, :, f, :, g] = cells
-                out[k, :, g, :, f] = cells.transpose(0, 2, 1)
+    width, pairs = 1 << level, _pairs(codes.shape[1])
+    out = np.empty((2, width, len(pairs), bins, bins))
+    for nth, (f, g) in enumerate(pairs):
+        key = (node * bins + codes[:, f]) * bins + codes[:, g]
+        for k, weight in enumerate(weights):
+            out[k, :, nth] = np.bincount(key, weight, minlength=width * bins * bins).reshape(width, bins, bins)
     return out
 
 
+def _pairs(size: int) -> list[tuple[int, int]]:
+    return [(f, g) for f in range(size) for g in range(f, size)]
+
+
+def _split_up(sums: np.ndarray, size: int, feature: int) -> np.ndarray:
+    """(2, bins, features, bins) of one feature, from a node's pair sums."""
+    at = {pair: nth for nth, pair in enumerate(_pairs(size))}
+    cells = [sums[:, at[feature, g]] if feature <= g else sums[:, at[g, feature]].transpose(0, 2, 1) for g in range(size)]
+    return np.stack(cells, axis=2)
+
+
+def _grown(k: int, sums: np.ndarray, size: int) -> list[tuple]:
+    """(node, its sums, feature, bin, sums left of it, sums right of it) of node ``k`` and, from pair sums, its children."""
+    pairs = sums.ndim == 4
+    here = np.stack([_split_up(sums, size, f)[:, :, 0].sum(axis=2) for f in range(size)], axis=1) if pairs else sums
+    gain, feature, at = best_split(here)
+    whole, cells = here[:, 0].sum(axis=1), here[:, feature]
+    if gain <= LEAST_GAIN:
+        return [(k, whole, -1, 0, whole, whole)]
+    out = [(k, whole, feature, at, cells[:, :at + 1].sum(axis=1), cells[:, at + 1:].sum(axis=1))]
+    if pairs:
+        cells = _split_up(sums, size, feature)
+        out += _grown(2 * k + 1, cells[:, :at + 1].sum(axis=1), size)
+        out += _grown(2 * k + 2, cells[:, at + 1:].sum(axis=1), size)
+    return out
+
+
+def _splits(state: RDD, tree: Tree, level: int, nodes: list[int], size: int, pairs: bool, bins: int = BINS) -> list[tuple]:
+    """What :func:`_grown` finds of a level's nodes. Each node is summed in one task, in the order of the partitions."""
+    work, first = _pair_sums if pairs else _level_sums, (1 << level) - 1
+
+    def send(part, blocks):
+        total = None
+        for block in blocks:
+            sums = work(block, tree, level, bins)
+            total = sums if total is None else np.add(total, sums, out=total)
+        if total is not None:
+            for nth, k in enumerate(nodes):
+                yield (nth, part), total[:, k - first]
+
+    def grow(rows):
+        nth = total = None
+        for (to, _), sums in rows:
+            if to != nth:
+                if total is not None:
+                    yield from _grown(nodes[nth], total, size)
+                nth, total = to, sums.copy()
+            else:
+                total += sums
+        if total is not None:
+            yield from _grown(nodes[nth], total, size)
+
+    return state.mapPartitionsWithIndex(send) \
+        .repartitionAndSortWithinPartitions(len(nodes), lambda key: key[0]).mapPartitions(grow).collect()
+
+
 def _feature_cuts(df: DataFrame, features_col: str, size: int, bins: int) -> list[np.ndarray]:
     """Ascending cuts of each feature: bin b holds values above cut b - 1, up to cut b."""
     shares = [k / bins for k in range(1, bins)]
@@ -205,32 +259,24 @@ def _boost(stored: DataFrame, size: int, parts: int, base: float, rounds: int, d
     older = []
     for nth in range(rounds):
         tree = Tree(depth)
-        level, bins = 0, BINS
+        level = 0
         while level < depth:
             open_nodes = [k for k in _level_nodes(level) if level == 0 or tree.feature[(k - 1) // 2] >= 0]
             if not open_nodes:
                 break
-            pairs = level + 1 < depth and 2 * (1 << level) * (size * bins) ** 2 <= PAIR_CELLS
-            work = _pair_sums if pairs else _level_sums
-            sums = state.map(lambda b, t=tree, v=level, work=work: work(b, t, v, bins)).treeReduce(np.add, 2)
+            pairs = level + 1 < depth and 2 * (1 << level) * (size * BINS) ** 2 <= PAIR_CELLS
+            found = _splits(state, tree, level, open_nodes, size, pairs)
             for rdd in older:  # the newer margins have been computed by now
                 rdd.unpersist()
             older = []
-            here = sums[:, :, :, :, 0].sum(axis=4) if pairs else sums
-            if level == 0:
-                _set_leaf(tree, 0, here[:, 0, 0].sum(axis=1), step)
-            _split(tree, open_nodes, level, here, step)
-            level += 1
-            if pairs:
-                children = np.zeros((2, 1 << level, size, bins))
-                for k in open_nodes:
-                    if tree.feature[k] >= 0:
-                        n = k - (1 << level - 1) + 1
-                        cells = sums[:, n, tree.feature[k]]
-                        children[:, 2 * n] = cells[:, :tree.at[k] + 1].sum(axis=1)
-                        children[:, 2 * n + 1] = cells[:, tree.at[k] + 1:].sum(axis=1)
-                _split(tree, [k for k in _level_nodes(level) if tree.feature[(k - 1) // 2] >= 0], level, children, step)
-                level += 1
+            for k, whole, feature, at, left, right in found:
+                if k == 0:
+                    _set_leaf(tree, 0, whole, step)
+                if feature >= 0:
+                    tree.feature[k], tree.at[k] = feature, at
+                    _set_leaf(tree, 2 * k + 1, left, step)
+                    _set_leaf(tree, 2 * k + 2, right, step)
+            level += 2 if pairs else 1
         trees.append(tree)
         if nth + 1 == rounds:
             break
@@ -247,18 +293,6 @@ def _level_nodes(level: int) -> range:
     return range((1 << level) - 1, (2 << level) - 1)
 
 
-def _split(tree: Tree, nodes: list[int], level: int, sums: np.ndarray, step: float) -> None:
-    """Give the nodes of a level their best splits, where one gains, and their children leaves' values."""
-    gain, feature, at = best_splits(sums)
-    for k in nodes:
-        n = k - (1 << level) + 1
-        if gain[n] > LEAST_GAIN:
-            tree.feature[k], tree.at[k] = feature[n], at[n]
-            cells = sums[:, n, feature[n]]
-            _set_leaf(tree, 2 * k + 1, cells[:, :at[n] + 1].sum(axis=1), step)
-            _set_leaf(tree, 2 * k + 2, cells[:, at[n] + 1:].sum(axis=1), step)
-
-
 def _set_leaf(tree: Tree, node: int, sums: np.ndarray, step: float) -> None:
     tree.value[node] = -step * sums[0] / (sums[1] + LAMBDA)
 

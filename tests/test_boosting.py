@@ -99,3 +99,25 @@ def test_one_label_missing_values_and_no_rows(spark):
     assert out.where(_p1("probability").between(0, 1)).count() == 60
     with pytest.raises(ValueError):
         B.BoostedTrees(labelCol="y").fit(df.where("false"))
+
+
+def test_driver_gets_splits_and_no_sums(spark, monkeypatch):
+    df, _, _ = _data(spark, 1500)
+    seen, work = [], B._splits
+
+    def watched(state, tree, level, nodes, *more):
+        seen.append((work(state, tree, level, nodes, *more), state.getNumPartitions(), len(nodes)))
+        return seen[-1][0]
+
+    monkeypatch.setattr(B, "_splits", watched)
+    monkeypatch.setattr(B, "PARTITION_ROWS", 300)
+    fit = lambda: B.BoostedTrees(labelCol="y", maxIter=2, maxDepth=5).fit(df).nodes
+    first = fit()
+    assert {parts for _, parts, _ in seen} == {5}
+    # Nine numbers a node; a task answers for a node and its two children at most.
+    assert all(sum(np.size(v) for row in found for v in row) <= 9 * 3 * nodes for found, _, nodes in seen)
+    assert first.equals(fit())  # partitions are added in order: the same data give the same numbers
+
+
+def test_partitions_grow_before_their_number_does():
+    assert [B.boosting_partitions(n) for n in (0, 50_000, 4_600_000, 27_500_000, 10**9)] == [1, 1, 92, 100, 2000]
