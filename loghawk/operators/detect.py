@@ -98,15 +98,33 @@ def training_partitions(n_rows: int) -> int:
     return max(1, wide, math.ceil(n_rows / MAX_TRAIN_ROWS))
 
 
-def training_frame(df: DataFrame, n_rows: int, id_col: str = "row_id", seed: int = C.MODEL_SEED) -> DataFrame:
-    """Cache a training set, its rows placed and ordered by a hash of their ids.
+#: A forest's partitions beyond ``training_partitions`` of a small table: so many, then one per ``FOREST_ROWS`` rows.
+FOREST_PARTITIONS, FOREST_ROWS = 24, 200_000
+
+
+def forest_partitions(n_rows: int) -> int:
+    """Partitions of a forest's training rows: a function of their number alone.
+
+    On every level a partition sends sums of all open nodes of all trees, whatever its rows:
+    60 MB before compression for 80 trees, two labels and 512 nodes, and more with more labels.
+    So partitions grow before their number does.
+    """
+    return max(1, min(training_partitions(n_rows), FOREST_PARTITIONS), math.ceil(n_rows / FOREST_ROWS))
+
+
+def training_frame(df: DataFrame, n_rows: int, id_col: str = "row_id", seed: int = C.MODEL_SEED,
+                   features_col: str = "features") -> DataFrame:
+    """Cache a training set, its rows placed by a hash of their ids and ordered by coarse features and that hash.
 
     However the input is partitioned, the same rows meet in the same partition in
-    the same order, so a fit depends on the data and the seed alone.
+    the same order, so a fit depends on the data and the seed alone. Alike rows in a row
+    meet the same nodes of a tree, which are in the processor's cache by then.
     """
-    parts = training_partitions(n_rows)
+    parts = forest_partitions(n_rows)
     key = portable_hash(id_col, seed)
-    placed = df.repartition(parts, F.pmod(key, F.lit(parts))).sortWithinPartitions(key, id_col)
+    coarse = F.transform(vector_to_array(F.col(features_col)), lambda v: F.rint(4 * F.asinh(v)))
+    placed = df.repartitionById(parts, F.pmod(key, F.lit(parts)).cast("int")) \
+               .withColumn("_coarse", coarse).sortWithinPartitions("_coarse", key, id_col).drop("_coarse")
     return placed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -140,7 +158,7 @@ def fit_detectors(df: DataFrame, features_col: str = "features", y_col: str = "y
 
     from loghawk.session import run_in_pool
     sel = df.where(~F.col("is_test")).select("row_id", features_col, y_col)
-    train = training_frame(sel, sel.count())
+    train = training_frame(sel, sel.count(), features_col=features_col)
     rf_est = RandomForestClassifier(featuresCol=features_col, labelCol=y_col, numTrees=rf_trees,
                                     maxDepth=rf_depth, seed=seed, probabilityCol="rf_prob",
                                     rawPredictionCol="rf_raw", predictionCol="rf_pred")
@@ -162,7 +180,7 @@ def fit_detector(df: DataFrame, which: str, features_col: str = "features", y_co
                  gbt_depth: int = C.GBT_DEPTH, gbt_step: float = C.GBT_STEP, seed: int = C.MODEL_SEED):
     """M4 (``which="random_forest"``) or M5 (``"gbt"``) alone, on the training split."""
     sel = df.where(~F.col("is_test")).select("row_id", features_col, y_col)
-    train = training_frame(sel, sel.count())
+    train = training_frame(sel, sel.count(), features_col=features_col)
     try:
         if which == "random_forest":
             est = RandomForestClassifier(featuresCol=features_col, labelCol=y_col, numTrees=rf_trees,
@@ -287,7 +305,7 @@ def classify_attacks(df: DataFrame, features_col: str = "features", label_col: s
     split = cut_lineage(stratified_split(indexer.transform(attacks), label_col if stratified else None, seed=seed,
                                          bits=split_bits))
     sel = split.where(~F.col("is_test")).select("row_id", features_col, "_cls")
-    train = training_frame(sel, size["rows"] - test_rows)
+    train = training_frame(sel, size["rows"] - test_rows, features_col=features_col)
     try:
         rf = RandomForestClassifier(featuresCol=features_col, labelCol="_cls", numTrees=trees, maxDepth=depth,
                                     seed=seed, probabilityCol="_cprob", rawPredictionCol="_craw",

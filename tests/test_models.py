@@ -3,7 +3,9 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from loghawk.operators import anomaly as AN
@@ -172,3 +174,44 @@ def test_pipeline_stops_when_detection_fails_before_fitting(spark, clean, monkey
     monkeypatch.setattr(PL.AN, "fit_isolation_forest", must_not_run)
     with pytest.raises(RuntimeError, match="no detector"):
         PL.run_pipeline(clean)
+
+
+def test_forest_partitions_follow_from_the_rows_and_stay_few():
+    assert [D.forest_partitions(n) for n in (0, 1_500, 76_000, 765_000, 27_500_000, 10**9)] == [1, 1, 8, 24, 138, 5000]
+
+
+def test_training_frame_is_even_and_has_alike_rows_together(spark, clean):
+    wide = P.feature_vector(clean).select("row_id", "features", *P.FEATURE_COLUMNS)
+    copies = spark.range(40).select(F.col("id").alias("k"))
+    rows = wide.crossJoin(copies).select((F.col("row_id") + 10_000 * F.col("k")).alias("row_id"), "features")
+    n = rows.count()
+    frames = [D.training_frame(df, n) for df in (rows, rows.repartition(7))]
+    coarse = F.transform(vector_to_array("features"), lambda v: F.rint(4 * F.asinh(v)))
+    got = [[r.asDict() for r in f.select("row_id", coarse.alias("c"), F.spark_partition_id().alias("p")).collect()] for f in frames]
+    for f in frames:
+        f.unpersist()
+    assert got[0] == got[1]
+    sizes = [sum(r["p"] == p for r in got[0]) for p in range(D.forest_partitions(n))]
+    assert sum(sizes) == n and len(sizes) > 1 and min(sizes) > 0.8 * n / len(sizes)
+    for p in range(len(sizes)):
+        part = [r["c"] for r in got[0] if r["p"] == p]
+        assert part == sorted(part)
+
+
+def test_isolation_scores_equal_a_walk_down_each_tree(spark, clean):
+    feats = clean.select("row_id", *P.FEATURE_COLUMNS)
+    model = AN.fit_isolation_forest(feats, P.FEATURE_COLUMNS, n_trees=20)
+    x = np.array([tuple(r)[1:] for r in feats.limit(200).collect()], float)
+    x[0, 0] = np.nan  # goes right
+    trees = model.trees
+
+    def path(row, t):
+        node = depth = 0
+        while trees.feature[t, node] >= 0:
+            side = trees.left if row[trees.feature[t, node]] <= trees.threshold[t, node] else trees.right
+            node, depth = side[t, node], depth + 1
+        return depth + AN.average_path_length(trees.size[t, node:node + 1])[0]
+
+    mean = np.array([sum(path(row, t) for t in range(20)) / 20 for row in x])
+    assert np.allclose(model.score(x), 2.0 ** (-mean / AN.average_path_length([trees.sample_size])[0]), rtol=1e-12, atol=0)
+    assert len(model.score(x[:0])) == 0
