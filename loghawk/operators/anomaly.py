@@ -114,26 +114,35 @@ class _Trees:
         self.size[t, n] = nodes["size"].to_numpy()
         self.sample_size = sample_size
         self.n_trees = n_trees
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """For scoring: leaves lead to themselves, and each node's path length is known beforehand."""
+        n_trees, width = self.feature.shape
+        inner, own = self.feature >= 0, np.arange(width)
+        self._feature = np.where(inner, self.feature, 0)
+        self._next = np.stack([np.where(inner, self.left, own), np.where(inner, self.right, own)], axis=2).reshape(n_trees, -1)
+        self._path, self._levels = average_path_length(self.size), np.zeros(n_trees, np.int64)
+        for t in range(n_trees):
+            level, nodes = 0, np.zeros(1, np.int64)
+            while len(nodes):
+                self._path[t, nodes] = level + self._path[t, nodes]
+                nodes = nodes[inner[t, nodes]]
+                nodes = np.concatenate([self.left[t, nodes], self.right[t, nodes]])
+                level += bool(len(nodes))
+            self._levels[t] = level
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Raw anomaly score 2^(-E[h(x)] / c(psi)): higher is more anomalous."""
         k = len(x)
-        total = np.zeros(k)
-        rows = np.arange(k)
+        total, cells, first = np.zeros(k), np.ascontiguousarray(x, dtype=float).ravel(), np.arange(k) * x.shape[1]
         for t in range(self.n_trees):
+            feature, threshold, child = self._feature[t], self.threshold[t], self._next[t]
             node = np.zeros(k, dtype=np.int64)
-            depth = np.zeros(k)
-            feat = self.feature[t]
-            while True:
-                f = feat[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                val = x[rows, np.where(inner, f, 0)]
-                nxt = np.where(val <= self.threshold[t][node], self.left[t][node], self.right[t][node])
-                node = np.where(inner, nxt, node)
-                depth += inner
-            total += depth + average_path_length(self.size[t][node])
+            for _ in range(self._levels[t]):
+                right = ~(cells.take(first + feature.take(node)) <= threshold.take(node))
+                node = child.take(2 * node + right)
+            total += self._path[t].take(node)
         mean_depth = total / self.n_trees
         return np.power(2.0, -mean_depth / average_path_length([self.sample_size])[0])
 

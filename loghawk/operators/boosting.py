@@ -71,6 +71,25 @@ class Tree:
             node = np.where(f >= 0, 2 * node + 2 - left, node)
         return node
 
+    def handed_down(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, threshold, value) with each leaf's value handed down to the last level, which all rows then reach."""
+        value, leaf = np.array(self.value), np.asarray(self.feature) < 0
+        for k in range((1 << self.depth) - 1):
+            if leaf[k]:
+                value[2 * k + 1] = value[2 * k + 2] = value[k]
+        return np.where(leaf, 0, self.feature).astype(np.int64), np.asarray(self.threshold), value
+
+
+def _margins(trees: list[tuple], base: float, x: np.ndarray) -> np.ndarray:
+    """Log-odds of every row from trees' :meth:`Tree.handed_down` arrays."""
+    out, cells, first = np.full(len(x), base), np.ascontiguousarray(x, dtype=float).ravel(), np.arange(len(x)) * x.shape[1]
+    for feature, threshold, value in trees:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(len(value).bit_length() - 1):
+            node = 2 * node + 2 - (cells.take(first + feature.take(node)) <= threshold.take(node))
+        out += value.take(node)
+    return out
+
 
 def best_split(sums: np.ndarray) -> tuple[float, int, int]:
     """(gain, feature, bin) of a node's best split, from (2, features, bins) sums."""
@@ -312,10 +331,7 @@ class BoostedTreesModel(Model, _BoostingParams, MLWritable, MLReadable):
         self.nodes, self.base = nodes, base
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for tree in self._trees():
-            out += tree.value[tree.place(x, tree.threshold)]
-        return out
+        return _margins([tree.handed_down() for tree in self._trees()], self.base, x)
 
     def _trees(self) -> list[Tree]:
         if not hasattr(self, "_kept"):
@@ -329,17 +345,14 @@ class BoostedTreesModel(Model, _BoostingParams, MLWritable, MLReadable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         from loghawk.session import ship_package
         ship_package(dataset.sparkSession)
-        trees = self._trees()
+        trees = [tree.handed_down() for tree in self._trees()]
         shared = dataset.sparkSession.sparkContext.broadcast((trees, self.base))  # a model of fixed size
 
         @F.arrow_udf("double")
         def probability(rows: pa.Array) -> pa.Array:
             kept, base = shared.value
             x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            margin = np.full(len(x), base)
-            for tree in kept:
-                margin += tree.value[tree.place(x, tree.threshold)]
-            return pa.array(1 / (1 + np.exp(-margin)))
+            return pa.array(1 / (1 + np.exp(-_margins(kept, base, x))))
 
         p, prob = probability(vector_to_array(F.col(self.getOrDefault("featuresCol")))), self.getOrDefault("probabilityCol")
         out = dataset.withColumn(prob, p).withColumn(self.getOrDefault("predictionCol"), (F.col(prob) >= 0.5).cast("double"))

@@ -121,3 +121,11 @@ def test_driver_gets_splits_and_no_sums(spark, monkeypatch):
 
 def test_partitions_grow_before_their_number_does():
     assert [B.boosting_partitions(n) for n in (0, 50_000, 4_600_000, 27_500_000, 10**9)] == [1, 1, 92, 100, 2000]
+
+
+def test_margins_equal_a_walk_down_each_tree(spark):
+    df, x, _ = _data(spark, 800)
+    model = B.BoostedTrees(labelCol="y", maxIter=4, maxDepth=4).fit(df)
+    x[0, 1] = np.nan
+    walked = sum((tree.value[tree.place(x, tree.threshold)] for tree in model._trees()), np.full(len(x), model.base))
+    assert (model.margins(x) == walked).all()
