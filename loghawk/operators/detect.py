@@ -123,7 +123,8 @@ def training_frame(df: DataFrame, n_rows: int, id_col: str = "row_id", seed: int
     parts = forest_partitions(n_rows)
     key = portable_hash(id_col, seed)
     coarse = F.transform(vector_to_array(F.col(features_col)), lambda v: F.rint(4 * F.asinh(v)))
-    placed = df.repartitionById(parts, F.pmod(key, F.lit(parts)).cast("int")) \
+    part = F.coalesce(F.pmod(key, F.lit(parts)).cast("int"), F.lit(0))  # rows without an id stay together
+    placed = df.repartitionById(parts, part) \
                .withColumn("_coarse", coarse).sortWithinPartitions("_coarse", key, id_col).drop("_coarse")
     return placed.persist(StorageLevel.MEMORY_AND_DISK)
 

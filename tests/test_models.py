@@ -198,6 +198,14 @@ def test_training_frame_is_even_and_has_alike_rows_together(spark, clean):
         assert part == sorted(part)
 
 
+def test_training_frame_keeps_rows_without_an_id(spark, clean):
+    rows = P.feature_vector(clean).select(F.when(F.col("row_id") % 3 > 0, F.col("row_id")).alias("row_id"), "features")
+    frame = D.training_frame(rows, 50_000)
+    assert frame.rdd.getNumPartitions() == 5
+    assert (frame.count(), frame.where("row_id IS NULL").count()) == (rows.count(), rows.where("row_id IS NULL").count())
+    frame.unpersist()
+
+
 def test_isolation_scores_equal_a_walk_down_each_tree(spark, clean):
     feats = clean.select("row_id", *P.FEATURE_COLUMNS)
     model = AN.fit_isolation_forest(feats, P.FEATURE_COLUMNS, n_trees=20)
