@@ -4,24 +4,26 @@ Tokens are the lower-cased words of a whole text and one end token; ``order - 1`
 come before the first. The model is a folder of sorted arrays on storage that all workers
 mount (by default below ``spark.checkpoint.dir``):
 
-- ``words-*``: sorted word hashes and their counts, by ranges of the hash. A word's id
-  is its place in all of them; the start token has the smallest hash, the end token the
-  largest.
-- ``grams-k-*``: sorted 64-bit keys of the k-grams, k from 2 to the order: a hash of the first
-  k - 1 words above, the last word's id below, so that a context's grams are neighbours. Counts
-  are one byte each; those of 255 and more have an array of their own. Shards are hash
-  ranges of the context; one whose rarest word has over ``split_tokens`` tokens is spread over
-  several by the last word, so that a frequent context never meets in one task.
-- ``long-k-*``, ``hot-k-*``: total, and number of words seen once, twice, three times or more,
-  of contexts with ``LONG`` grams and more, and of spread ones. Shorter ones are summed when read.
-- ``before-*``: by ranges of the id, how many distinct words a token follows.
+- ``words-*``: sorted word hashes by ranges of the hash, and the rank of each by count. The
+  id of a word is its rank times the number of ranges, plus its range, so that frequent words
+  have small ids anywhere. Counts fall with the rank and are kept as runs.
+- ``grams-k-*``: the k-grams, k from 2 to the order, by context: sorted context hashes in buckets of
+  about twelve (the bucket gives the upper bits, 32 more are kept), how many words follow each, and
+  these words' ids and counts, in half a byte each; higher ones have an array of their own, as have
+  total, and number of words seen once, twice, three times or more, of contexts with ``LONG``
+  grams and more. Shorter ones are summed when read. Shards are hash ranges of the context's first
+  word, and of the others too if that has over an eighth of ``split_tokens`` tokens; a context
+  whose rarest word has over ``split_tokens`` tokens is spread over several by the last word, so
+  that a frequent context never meets in one task.
+- ``hot-k-*``: the same numbers of spread contexts.
+- ``before-*``: by words' ranges, how many distinct words a token follows.
 
 Only the highest order counts occurrences. Each of its distinct grams adds one to its last
 k - 1 words, whose shards do the same one order below (continuation counts). Tasks combine
-counts before they send them, as gaps of sorted ids; shards, discounts and totals are all that
-reaches the driver. Ids have as many bits as the words need; there is no limit to either. A
-context's hash keeps 64 less these bits beside its shard's range, and isn't verified: with 2^21
-words and 10^7 contexts a lookup hits a wrong one with odds of about 10^-8.
+counts before they send them, as gaps of sorted ids, each byte plane compressed by itself; sizes of
+shards, the frequent words, discounts and totals are all that reaches the driver. Ids have
+as many bits as the words need; there is no limit to either. A context's hash isn't verified
+beyond its bucket and 32 bits: a lookup hits a wrong one with odds of about 4 x 10^-9.
 
 ``p(w | h) = max(c(h w) - D, 0) / c(h) + l(h) p(w | h')`` with the usual three discounts an order,
 ``h'`` being ``h`` without its first word; after a context that training hasn't seen it is
@@ -49,7 +51,7 @@ from loghawk.session import ensure_checkpoint_dir
 
 START, END = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 SHARD_BYTES, SLICE_BYTES, SPLIT_TOKENS, FLUSH = 16 << 20, 2 << 20, 1 << 20, 1 << 20
-ORDER, LONG, MAPPED_BYTES = 3, 16, 256 << 20
+ORDER, LONG, MAPPED_BYTES = 3, 16, 128 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 GRAMS, HOT, TALLY = 0, 1, 2  # kinds of messages
 
@@ -57,8 +59,7 @@ GRAMS, HOT, TALLY = 0, 1, 2  # kinds of messages
 class Model(NamedTuple):
     folder: str
     order: int
-    offsets: np.ndarray    # first id of each word shard, and the number of ids
-    shards: int
+    sizes: np.ndarray      # words of each shard
     split_tokens: int
     tokens: int            # training tokens, end tokens included
     types: int             # distinct ones
@@ -66,39 +67,65 @@ class Model(NamedTuple):
     followed: int          # distinct pairs: the sum of ``before``
     lower_weight: float    # left for 1 / (V + 1)
 
+    @property
+    def shards(self) -> int:
+        return len(self.sizes)
+
     @property
     def bits(self) -> int:
-        return _bits(self.offsets)
+        return _bits(self.sizes)
 
 
-def _bits(offsets: np.ndarray) -> int:
-    return max(1, int(offsets[-1]).bit_length())
+def _bits(sizes: np.ndarray) -> int:
+    """Bits of an id, in whole bytes, so that each of a message's planes is of one id."""
+    return 8 * max(1, -(-(int(sizes.max()) * len(sizes)).bit_length() // 8))
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
+def _save(folder: str, name: str, arrays: list) -> None:
     """Whole files only: a task that is run again, or twice, replaces like with like."""
     part = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
     with open(part, "wb") as f:
-        array.tofile(f)
+        np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tofile(f)
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
     os.replace(part, os.path.join(folder, name))
 
 
-_maps: dict[str, np.ndarray] = {}
+_maps: dict[str, list] = {}
 
 
-def _map(folder: str, name: str, kind) -> np.ndarray:
-    """An array as a memory map; a worker keeps at most ``MAPPED_BYTES`` of them open between two calls."""
+def _map(folder: str, name: str, kinds: tuple) -> list | None:
+    """A file's arrays as memory maps, None if there is none; a worker keeps at most ``MAPPED_BYTES`` open."""
     path = os.path.join(folder, name)
     if path not in _maps:
-        if len(_maps) > 4096 or sum(m.nbytes for m in _maps.values()) > MAPPED_BYTES:
+        if len(_maps) > 4096 or sum(a.nbytes for m in _maps.values() if m for a in m) > MAPPED_BYTES:
             _maps.clear()
-        _maps[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+        _maps[path] = None
+        if os.path.exists(path):
+            whole = np.asarray(np.memmap(path, np.uint8, "r"))
+            sizes = whole[8:8 * (1 + len(kinds))].view(np.int64)
+            ends = 8 * (1 + len(kinds)) + np.cumsum(-(-sizes // 8) * 8)
+            _maps[path] = [whole[e + -(-n // 8) * -8:][:n].view(k) for e, n, k in zip(ends, sizes, kinds)]
     return _maps[path]
 
 
+def _order(words: list) -> np.ndarray:
+    """Sorts rows of key columns, not stable: by the rank of the columns so far beside the next one."""
+    key = words[0]
+    for w in words[1:] if len(key) else []:
+        order = np.argsort(key)
+        ranks, key = np.empty(len(key), np.uint64), key[order]
+        ranks[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])), dtype=np.uint64)
+        width = int(w.max()).bit_length()
+        if width + len(key).bit_length() > 64:
+            return np.lexsort(words[::-1])
+        key = ranks << np.uint64(width) | w
+    return np.argsort(key)
+
+
 def _combine(words: list, counts: np.ndarray):
     """Distinct rows of one or more key columns, sorted, with their summed counts."""
-    order = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0], kind="stable")
+    order = _order(words)
     words = [w[order] for w in words]
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -130,16 +157,39 @@ def _columns_unpacked(words: list, n: int, bits: int) -> list:
 
 
 def _encoded(words: list, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """A message: gaps of the first word's ascending values and the counts, plane by plane."""
-    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return b"".join([B.pack_ascending(words[0], 8), *[B.pack(w, 8) for w in words[1:]]]), planes.tobytes()
+    """A message: gaps of the first word's ascending values, the other words and the counts, plane by plane."""
+    gaps = np.diff(words[0], prepend=np.uint64(0))
+    return b"".join([_planes(w) for w in (gaps, *words[1:])]), _planes(counts)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes, each compressed by itself: none if all zero, as it is if that is shorter."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    for plane in np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T):
+        raw = plane.tobytes() if plane.any() else b""
+        packed = codec.compress(raw, asbytes=True) if raw else raw
+        out.append(min(raw, packed, key=len))  # of equal ones the raw
+    return np.array([len(values), *map(len, out)], "<u4").tobytes() + b"".join(out)
+
+
+def _from_planes(raw: bytes) -> list:
+    """The columns that ``_planes`` has written one after the other."""
+    codec, out, at = pa.Codec("zstd"), [], 0
+    while at < len(raw):
+        n, *sizes = np.frombuffer(raw, "<u4", 9, at).tolist()
+        planes, at = np.zeros((n, 8), np.uint8), at + 36
+        for k, size in enumerate(sizes):
+            if size:
+                plane = raw[at:at + size]
+                planes[:, k] = np.frombuffer(plane if size == n else codec.decompress(plane, n, asbytes=True), np.uint8)
+                at += size
+        out.append(planes.view("<u8").ravel())
+    return out
 
 
 def _decoded(keys: bytes, counts: bytes) -> tuple[list, np.ndarray]:
-    n = len(counts) // 4
-    words = [B.unpack_ascending(keys[:8 * n], 8)] + [B.unpack(keys[i:i + 8 * n], 8) for i in range(8 * n, len(keys), 8 * n)]
-    planes = np.frombuffer(counts, np.uint8).reshape(4, n)
-    return words, np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    words = _from_planes(keys)
+    return [np.cumsum(words[0], dtype=np.uint64), *words[1:]], _from_planes(counts)[0].astype(np.int64)
 
 
 def _tokens(texts, pad: int):
@@ -213,32 +263,54 @@ def _merged(table: pa.Table):
     return _combine([np.concatenate(c) for c in zip(*[w for w, _ in parts])], np.concatenate([c for _, c in parts]))
 
 
-def _ids(model_folder: str, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+_WORDS = (np.uint64, np.uint32, np.int64, np.int64)  # hashes, ranks; first ranks of a count, counts
+
+
+def _ids(folder: str, shards: int, hashes: np.ndarray) -> np.ndarray:
     """Ids of sorted distinct hashes; -1 for unknown ones."""
     out = np.full(len(hashes), -1, np.int64)
-    shard = _word_shard(hashes, len(offsets) - 1)
-    cuts = np.searchsorted(shard, np.arange(len(offsets)))
-    for s in np.unique(shard):
-        own, a, b = _map(model_folder, f"words-{s:06d}", np.uint64), cuts[s], cuts[s + 1]
-        at = np.searchsorted(own, hashes[a:b])
-        hit = at < len(own)
-        hit[hit] = own[at[hit]] == hashes[a:b][hit]
-        out[a:b][hit] = at[hit] + offsets[s]
+    shard = _word_shard(hashes, shards)
+    cuts = np.searchsorted(shard, np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        have, a, b = _map(folder, f"words-{s:06d}", _WORDS), cuts[s], cuts[s + 1]
+        if not have:
+            continue
+        at = np.searchsorted(have[0], hashes[a:b])
+        hit = at < len(have[0])
+        hit[hit] = have[0][at[hit]] == hashes[a:b][hit]
+        out[a:b][hit] = have[1][at[hit]].astype(np.int64) * shards + s
     return out
 
 
-def _by_id(folder: str, offsets: np.ndarray, name: str, kind, ids: np.ndarray) -> np.ndarray:
-    """Entries of an array kept by word shard, for ids >= 0; else 0."""
-    out = np.zeros(len(ids), kind)
+def _by_id(shards: int, ids: np.ndarray, read) -> np.ndarray:
+    """``read(shard, ranks)`` of ids >= 0; else 0."""
+    out = np.zeros(len(ids), np.int64)
     known = np.flatnonzero(ids >= 0)
-    known = known[np.argsort(ids[known], kind="stable")]
-    cuts = np.searchsorted(ids[known], offsets)
+    shard = ids[known] % shards
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)):
-        own = known[cuts[s]:cuts[s + 1]]
-        out[own] = _map(folder, f"{name}-{s:06d}", kind)[ids[own] - offsets[s]]
+        own = known[order[cuts[s]:cuts[s + 1]]]
+        out[own] = read(s, ids[own] // shards)
     return out
 
 
+def _word_counts(folder: str, shards: int, ids: np.ndarray) -> np.ndarray:
+    def read(s, ranks):
+        *_, first, counts = _map(folder, f"words-{s:06d}", _WORDS)
+        return counts[np.searchsorted(first, ranks, side="right") - 1]
+
+    return _by_id(shards, ids, read)
+
+
+def _before(folder: str, shards: int, ids: np.ndarray) -> np.ndarray:
+    def read(s, ranks):
+        have = _map(folder, f"before-{s:06d}", _COUNTS)
+        return _read_counts(have, ranks) if have else 0
+
+    return _by_id(shards, ids, read)
+
+
 def _context_hash(columns: list) -> np.ndarray:
     out = np.full(len(columns[0]), len(columns), np.uint64)
     for c in columns:
@@ -246,14 +318,35 @@ def _context_hash(columns: list) -> np.ndarray:
     return out
 
 
+def _home(context: np.ndarray, columns: list, first_count: np.ndarray, split: int) -> np.ndarray:
+    """What deals out a context: its first word, so that a message's grams are neighbours; if that has
+    ``split`` tokens and more, one of several values, by the words after it."""
+    if len(columns) < 2:
+        return context
+    first = _context_hash(columns[:1])
+    salt = _context_hash(columns[1:]) % (1 + first_count // split).astype(np.uint64)
+    return np.where(salt == 0, first, T.mix(first + salt * _STEP))
+
+
 def _gram_shard(context: np.ndarray, last: np.ndarray, splits: np.ndarray, shards: int) -> np.ndarray:
     salt = T.mix(last.astype(np.uint64) + np.uint64(1)) % splits.astype(np.uint64)
     return B.bucket_of(np.where(salt == 0, context, T.mix(context + salt * _STEP)), shards).astype(np.int64)
 
 
-def _context_key(context: np.ndarray, bits: int) -> np.ndarray:
-    """The upper part of a gram's key; independent of the bits that choose the shard."""
-    return (T.mix(context + _STEP) >> np.uint64(bits)) << np.uint64(bits)
+def _context_key(context: np.ndarray) -> np.ndarray:
+    """What a context is found by in its shard; independent of the bits that choose the shard."""
+    return T.mix(context + _STEP)
+
+
+def _bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The upper ``bits`` of a context's key and the 32 after them."""
+    half = np.uint64(32)
+    return ((keys >> half) >> np.uint64(32 - bits)).astype(np.int64), ((keys << np.uint64(bits)) >> half).astype(np.uint32)
+
+
+def _head_tokens(split: int) -> int:
+    """Tokens of a word beyond which the contexts that begin with it are dealt out."""
+    return max(1, split // 8)
 
 
 def _splits(columns: list, count_of, split: int) -> np.ndarray:
@@ -291,19 +384,46 @@ def model_folder(spark) -> str:
     return os.path.join("/" + path.lstrip("/"), f"kneser-ney-{uuid.uuid4().hex}")
 
 
-def _write_counts(folder: str, name: str, counts: np.ndarray) -> None:
-    large = np.flatnonzero(counts >= 255)
-    _save(folder, f"times-{name}", np.minimum(counts, 255).astype(np.uint8))
-    if len(large):
-        _save(folder, f"large-{name}", np.stack([large, counts[large]], axis=1).astype(np.int64))
+_COUNTS = (np.uint8, np.uint32, np.int64)  # half bytes; places and values of 15 and more
+
+
+def _packed_counts(counts: np.ndarray) -> list:
+    small = np.minimum(counts, 15).astype(np.uint8)
+    small = np.append(small, np.zeros(len(small) % 2, np.uint8))
+    large = np.flatnonzero(counts >= 15)
+    return [small[::2] | small[1::2] << 4, large.astype(np.uint32), counts[large].astype(np.int64)]
 
 
-def _read_counts(folder: str, name: str, at: np.ndarray) -> np.ndarray:
-    out = _map(folder, f"times-{name}", np.uint8)[at].astype(np.int64)
+def _read_counts(have: list, at: np.ndarray) -> np.ndarray:
+    small, places, values = have
+    out = (small[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15).astype(np.int64)
+    full = np.flatnonzero(out == 15)
+    if len(full):
+        out[full] = values[np.searchsorted(places, at[full])]
+    return out
+
+
+def _last_kinds(bits: int) -> tuple:
+    """Types that hold the lower 16 bits of an id, and the rest."""
+    return np.uint16, np.uint8 if bits <= 24 else np.uint16 if bits <= 32 else np.uint64
+
+
+def _gram_kinds(bits: int) -> tuple:
+    """First context and first gram of each bucket; contexts' hashes and lengths, places and lengths of
+    255 and more, places and statistics of long ones; last words, lower and upper part; counts."""
+    return (np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.int64, np.uint32, np.int64,
+            *_last_kinds(bits), *_COUNTS)
+
+
+def _lasts(have: list, at: np.ndarray) -> np.ndarray:
+    return have[9][at].astype(np.int64) << 16 | have[8][at]
+
+
+def _lengths(have: list, at: np.ndarray) -> np.ndarray:
+    out = have[3][at].astype(np.int64)
     full = np.flatnonzero(out == 255)
     if len(full):
-        large = _map(folder, f"large-{name}", np.int64).reshape(-1, 2)
-        out[full] = large[np.searchsorted(large[:, 0], at[full]), 1]
+        out[full] = have[5][np.searchsorted(have[4], at[full])]
     return out
 
 
@@ -335,19 +455,26 @@ _NONE = [0] * 6
 
 
 class _Counter:
-    """What the counting tasks need: the folder and the words' ids and counts."""
+    """What the counting tasks need: the folder, the shards' sizes, and ids and counts of frequent words."""
 
-    def __init__(self, folder: str, offsets: np.ndarray, shards: int, split: int):
-        self.folder, self.offsets, self.shards, self.split, self.bits = folder, offsets, shards, split, _bits(offsets)
+    def __init__(self, folder: str, sizes: np.ndarray, often: np.ndarray, split: int):
+        self.folder, self.sizes, self.shards, self.split, self.bits = folder, sizes, len(sizes), split, _bits(sizes)
+        self.often = often[np.argsort(often[:, 0])]
 
     def count_of(self, ids: np.ndarray) -> np.ndarray:
-        words, back = np.unique(ids, return_inverse=True)
-        return _by_id(self.folder, self.offsets, "counts", np.int64, words.astype(np.int64))[back]
+        """Counts of words that have ``_head_tokens(split)`` and more; else 0."""
+        out = np.zeros(len(ids), np.int64)
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often[:, 0], ids.astype(np.int64)), len(self.often) - 1)
+            hit = self.often[at, 0] == ids.astype(np.int64)
+            out[hit] = self.often[at[hit], 1]
+        return out
 
     def place(self, columns: list):
         """Context hash, number of shards and own shard of every gram."""
         context, splits = _context_hash(columns[:-1]), _splits(columns[:-1], self.count_of, self.split)
-        return context, splits, _gram_shard(context, columns[-1], splits, self.shards)
+        home = _home(context, columns[:-1], self.count_of(columns[0]), _head_tokens(self.split))
+        return context, splits, _gram_shard(home, columns[-1], splits, self.shards)
 
     def write(self, table: pa.Table) -> pa.Table:
         """Write a group's arrays; pass on what its grams add to the order below."""
@@ -362,9 +489,9 @@ class _Counter:
         return self._write_grams(level, shard, words, counts)
 
     def _write_words(self, shard: int, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
-        before = np.zeros(int(self.offsets[shard + 1] - self.offsets[shard]), np.int64)
-        before[ids - self.offsets[shard]] = counts
-        _save(self.folder, f"before-{shard:06d}", before)
+        before = np.zeros(int(self.sizes[shard]), np.int64)
+        before[ids // self.shards] = counts
+        _save(self.folder, f"before-{shard:06d}", _packed_counts(before))
         return _messages([(1, TALLY, 0, b"", b"", _tallies(counts))])
 
     def _write_hot(self, level: int, shard: int, table: pa.Table) -> pa.Table:
@@ -373,24 +500,26 @@ class _Counter:
         keys, back = np.unique(keys, return_inverse=True)
         total = np.zeros((len(keys), 4), np.int64)
         np.add.at(total, back, stats)
-        _save(self.folder, f"hot-{level}-{shard:06d}", keys)
-        _save(self.folder, f"hotstats-{level}-{shard:06d}", total)
+        _save(self.folder, f"hot-{level}-{shard:06d}", [keys, total])
         return _messages([])
 
     def _write_grams(self, level: int, shard: int, words: list, counts: np.ndarray) -> pa.Table:
         columns = _columns_unpacked(words, level, self.bits)
         context, splits, _ = self.place(columns)
-        keys = _context_key(context, self.bits) | columns[-1]
-        order = np.argsort(keys, kind="stable")
-        keys, context, splits, sorted_counts = keys[order], context[order], splits[order], counts[order]
-        name = f"{level}-{shard:06d}"
-        _save(self.folder, f"grams-{name}", keys)
-        _write_counts(self.folder, name, sorted_counts)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] >> np.uint64(self.bits) != keys[:-1] >> np.uint64(self.bits))))
-        stats, spread = _run_stats(sorted_counts, first), splits[first] > 1
-        long = ~spread & (np.diff(np.append(first, len(keys))) >= LONG)
-        _save(self.folder, f"long-{name}", keys[first[long]] >> np.uint64(self.bits))
-        _save(self.folder, f"longstats-{name}", stats[long])
+        order = np.argsort(_context_key(context), kind="stable")  # a context's grams stay sorted
+        context, splits, last, sorted_counts = context[order], splits[order], columns[-1][order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        lengths, stats, spread = np.diff(np.append(first, len(order))), _run_stats(sorted_counts, first), splits[first] > 1
+        bits = min(31, (len(first) >> 4).bit_length())
+        bucket, rest = _bucket(_context_key(context[first]), bits)
+        begin = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        large, long = np.flatnonzero(lengths >= 255), np.flatnonzero(~spread & (lengths >= LONG))
+        low, high = _last_kinds(self.bits)
+        _save(self.folder, f"grams-{level}-{shard:06d}", [
+            begin.astype(np.uint32), np.append(first, len(order))[begin].astype(np.uint32), rest,
+            np.minimum(lengths, 255).astype(np.uint8), large.astype(np.uint32), lengths[large],
+            long.astype(np.uint32), stats[long], last.astype(low), (last >> np.uint64(16)).astype(high),
+            *_packed_counts(sorted_counts)])
         rows = [(level, TALLY, 0, b"", b"", _tallies(counts))]
         hashes = context[first[spread]]
         to = _word_shard(hashes, self.shards)
@@ -401,7 +530,7 @@ class _Counter:
         if level > 2:
             to = self.place(_columns_unpacked(words, level - 1, self.bits))[2]
         else:
-            to = np.searchsorted(self.offsets, words[0].astype(np.int64), side="right") - 1
+            to = words[0].astype(np.int64) % self.shards
         rows += [(level - 1, GRAMS, *message, _NONE) for message in _by_shard(words, counts, to)]
         return _messages(rows)
 
@@ -422,24 +551,29 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, orde
     def write_words(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         (keys,), counts = _merged(table)
-        _save(folder, f"words-{shard:06d}", keys)
-        _save(folder, f"counts-{shard:06d}", counts)
+        order = np.argsort(-counts, kind="stable")
+        ranks, falling = np.empty(len(order), np.uint32), counts[order]
+        ranks[order] = np.arange(len(order))
+        first = np.flatnonzero(np.concatenate(([True], falling[1:] != falling[:-1])))
+        _save(folder, f"words-{shard:06d}", [keys, ranks, first, falling[first]])
         start = int(counts[0]) if len(keys) and keys[0] == START else 0
-        return pa.table([[shard], [len(keys)], [int(counts.sum()) - start], [int(start > 0)]],
-                        names=["shard", "n", "tokens", "starts"])
+        often = falling[:np.count_nonzero(falling >= _head_tokens(split_tokens))]
+        often = np.stack([np.arange(len(often)) * shards + shard, often], axis=1).astype(np.int64)
+        return pa.table([[shard], [len(keys)], [int(counts.sum()) - start], [int(start > 0)], [often.tobytes()]],
+                        names=["shard", "n", "tokens", "starts", "often"])
 
     rows = texts.mapInArrow(send_words, _PACKED).groupBy("shard") \
-        .applyInArrow(write_words, "shard long, n long, tokens long, starts long").collect()
+        .applyInArrow(write_words, "shard long, n long, tokens long, starts long, often binary").collect()
     sizes = np.zeros(shards, np.int64)
     for r in rows:
         sizes[r["shard"]] = r["n"]
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    counter = _Counter(folder, offsets, shards, split_tokens)
+    often = np.frombuffer(b"".join(bytes(r["often"]) for r in rows), np.int64).reshape(-1, 2)
+    counter = _Counter(folder, sizes, often, split_tokens)
 
     def keys_of(t):
         hashes, bounds = _tokens(t, pad)
         words, back = np.unique(hashes, return_inverse=True)
-        ids = _ids(folder, offsets, words)[back]
+        ids = _ids(folder, shards, words)[back]
         at = _predicted(bounds, pad)
         return _columns_packed([ids[at - pad + j] for j in range(order)], counter.bits)
 
@@ -460,66 +594,120 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None, orde
     discounts = {k: _discounts(*[found[k][f"n{i}"] if k in found else 0 for i in (1, 2, 3, 4)]) for k in range(1, order + 1)}
     one = found.get(1)
     weight = sum(d * n for d, n in zip(discounts[1], (one["n1"], one["n2"], one["more"]))) / one["total"] if one else 1.0
-    types = int(offsets[-1]) - max([r["starts"] for r in rows], default=0)
-    return Model(folder, order, offsets, shards, split_tokens, sum(r["tokens"] for r in rows), types, discounts,
+    types = int(sizes.sum()) - max([r["starts"] for r in rows], default=0)
+    return Model(folder, order, sizes, split_tokens, sum(r["tokens"] for r in rows), types, discounts,
                  one["total"] if one else 0, weight)
 
 
 def _lower_probability(model: Model, ids: np.ndarray) -> np.ndarray:
-    before = _by_id(model.folder, model.offsets, "before", np.int64, ids)
+    before = _before(model.folder, model.shards, ids)
     return _discounted(before, model.discounts[1]) / max(1, model.followed) + model.lower_weight / (model.types + 1)
 
 
+def _find_contexts(have: list, keys: np.ndarray):
+    """Place, first gram and number of grams of contexts in a shard; no grams if it hasn't the context."""
+    bucket, rest = _bucket(keys, (len(have[0]) - 1).bit_length() - 1)
+    place, start, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    at, end, gram = have[0][bucket].astype(np.int64), have[0][bucket + 1], have[1][bucket].astype(np.int64)
+    todo = np.flatnonzero(at < end)
+    at, end, gram, rest = at[todo], end[todo], gram[todo], rest[todo]
+    while len(todo):
+        found, size = have[2][at], _lengths(have, at)
+        hit = found == rest
+        own = todo[hit]
+        place[own], start[own], length[own] = at[hit], gram[hit], size[hit]
+        go = np.flatnonzero((found < rest) & (at + 1 < end))
+        todo, at, end, gram, rest = todo[go], at[go] + 1, end[go], gram[go] + size[go], rest[go]
+    return place, start, length
+
+
+def _find_lasts(have: list, start: np.ndarray, length: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of grams by the last word, among ``length`` ascending ones from ``start`` on; -1 for none."""
+    out = np.full(len(last), -1, np.int64)
+    todo = np.flatnonzero(length > 0)
+    low, high, last = start[todo], start[todo] + length[todo], last[todo]
+    while len(todo):
+        middle = (low + high) >> 1
+        found = _lasts(have, middle)
+        hit = found == last
+        out[todo[hit]] = middle[hit]
+        less = found < last
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        go = np.flatnonzero(~hit & (low < high))
+        todo, low, high, last = todo[go], low[go], high[go], last[go]
+    return out
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``start`` to ``start + length`` of each, one after the other."""
+    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
+
+
 def _look_up(model: Model, level: int, columns: list, counts: list):
     """Count of each gram, and (total, once, twice, more) of its context; ids below 0 are unknown.
 
-    The context's columns are all known; only the last word may not be.
+    Grams of a context are neighbours, and its words are all known; only the last word may not be.
     """
     n = len(columns[0])
-    seen, stats = np.zeros(n, np.int64), np.zeros((n, 4), np.int64)
+    seen = np.zeros(n, np.int64)
     if not n:
-        return seen, stats
-    context, last = _context_hash(columns[:-1]), columns[-1]
-    rarest = np.minimum.reduce(counts[:-1])
-    splits = 1 + rarest // model.split_tokens
-    bits, known = np.uint64(model.bits), last >= 0
-    base = _context_key(context, model.bits)
-    keys = base | np.where(known, last, 0).astype(np.uint64)
-    shard = np.where(known | (splits == 1), _gram_shard(context, np.maximum(last, 0), splits, model.shards), -1)
-    order = np.lexsort((keys, shard))
+        return seen, np.zeros((0, 4), np.int64)
+    last, splits = columns[-1], 1 + np.minimum.reduce(counts[:-1]) // model.split_tokens
+    new = splits > 1
+    new[0] = True
+    for c in columns[:-1]:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)  # a context, or a gram of a spread one, is looked up once
+    many, spread, stats = np.diff(np.append(first, n)), splits[first] > 1, np.zeros((len(first), 4), np.int64)
+    context = _context_hash([c[first] for c in columns[:-1]])
+    keys = _context_key(context)
+    home = _home(context, [c[first] for c in columns[:-1]], counts[0][first], _head_tokens(model.split_tokens))
+    shard = _gram_shard(home, np.maximum(last[first], 0), splits[first], model.shards)
+    order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(model.shards + 1))
     for s in np.flatnonzero(np.diff(cuts)):
-        own, name = order[cuts[s]:cuts[s + 1]], f"{level}-{s:06d}"
-        have = _map(model.folder, f"grams-{name}", np.uint64)
-        if not len(have):
+        own, have = order[cuts[s]:cuts[s + 1]], _map(model.folder, f"grams-{level}-{s:06d}", _gram_kinds(model.bits))
+        if not have:
             continue
-        place = np.searchsorted(have, keys[own])
-        hit = known[own] & (place < len(have))
-        hit[hit] = have[place[hit]] == keys[own][hit]
-        seen[own[hit]] = _read_counts(model.folder, name, place[hit])
-        whole = own[splits[own] == 1]
-        mask = np.uint64((1 << model.bits) - 1)
-        lo, hi = np.searchsorted(have, base[whole]), np.searchsorted(have, base[whole] | mask, side="right")
-        short = hi - lo < LONG
-        size = np.where(short, hi - lo, 0)
-        group = np.repeat(np.arange(len(whole)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[group]
-        times = _read_counts(model.folder, name, at)
-        for j, values in enumerate((times, *[t(times) for t in _TIMES])):
-            stats[whole, j] = np.bincount(group, values, minlength=len(whole))
-        if not short.all():
-            table = _map(model.folder, f"longstats-{name}", np.int64).reshape(-1, 4)
-            stats[whole[~short]] = table[np.searchsorted(_map(model.folder, f"long-{name}", np.uint64), base[whole[~short]] >> bits)]
-    spread = np.flatnonzero(splits > 1)
+        own = own[np.argsort(keys[own])]
+        place, start, length = _find_contexts(have, keys[own])
+        hit = length > 0
+        own, place, start, length = own[hit], place[hit], start[hit], length[hit]
+        grams = _ranges(first[own], many[own])
+        at = _find_lasts(have, np.repeat(start, many[own]), np.repeat(length, many[own]), last[grams])
+        seen[grams[at >= 0]] = _read_counts(have[10:], at[at >= 0])
+        whole, short = ~spread[own], length < LONG
+        one = whole & short
+        times = _read_counts(have[10:], _ranges(start[one], length[one]))
+        if len(times):
+            stats[own[one]] = _run_stats(times, np.cumsum(length[one]) - length[one])
+        one = whole & ~short
+        stats[own[one]] = have[7].reshape(-1, 4)[np.searchsorted(have[6], place[one])]
+    spread = np.flatnonzero(spread)
     to = _word_shard(context[spread], model.shards)
     for s in np.unique(to):
-        own = spread[to == s]
-        have = _map(model.folder, f"hot-{level}-{s:06d}", np.uint64)
-        place = np.searchsorted(have, context[own])
-        hit = place < len(have)
-        hit[hit] = have[place[hit]] == context[own][hit]
-        stats[own[hit]] = _map(model.folder, f"hotstats-{level}-{s:06d}", np.int64).reshape(-1, 4)[place[hit]]
-    return seen, stats
+        own, have = spread[to == s], _map(model.folder, f"hot-{level}-{s:06d}", (np.uint64, np.int64))
+        if not have:
+            continue
+        place = np.searchsorted(have[0], context[own])
+        hit = place < len(have[0])
+        hit[hit] = have[0][place[hit]] == context[own][hit]
+        stats[own[hit]] = have[1].reshape(-1, 4)[place[hit]]
+    return seen, np.repeat(stats, many, axis=0)
+
+
+def _distinct(columns: list, bits: int) -> tuple[list, np.ndarray]:
+    """Distinct rows of columns of small ids, sorted, and each row's place among them."""
+    packed = _columns_packed(columns, bits)
+    order = _order(packed)
+    packed = [w[order] for w in packed]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for w in packed:
+        new[1:] |= w[1:] != w[:-1]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return [c.astype(np.int64) for c in _columns_unpacked([w[new] for w in packed], len(columns), bits)], back
 
 
 def score_batch(model: Model, texts):
@@ -528,36 +716,31 @@ def score_batch(model: Model, texts):
     hashes, bounds = _tokens(texts, pad)
     n = len(bounds) - 1
     words, back = np.unique(hashes, return_inverse=True)
-    ids = _ids(model.folder, model.offsets, words)
-    counts = _by_id(model.folder, model.offsets, "counts", np.int64, ids)
+    ids = _ids(model.folder, model.shards, words)
+    counts = _word_counts(model.folder, model.shards, ids)
     at = _predicted(bounds, pad)
     doc = np.repeat(np.arange(n), np.diff(bounds) - pad)
     base = np.log10((counts + 1) / (model.tokens + 1 * (model.types + 1)))
     own = max(1, len(words)).bit_length()
-    packed = _columns_packed([back[at - pad + j] for j in range(model.order)], own)
-    order = np.lexsort(packed[::-1]) if len(packed) > 1 else np.argsort(packed[0], kind="stable")
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for w in packed:
-        new[1:] |= w[order][1:] != w[order][:-1]
-    gram = np.empty(len(order), np.int64)
-    gram[order] = np.cumsum(new) - 1
-    grams = _columns_unpacked([w[order[new]] for w in packed], model.order, own)
-    grams = [g.astype(np.int64) for g in grams]
-    p = _lower_probability(model, ids)[grams[-1]]
-    able = np.ones(len(p), bool)  # the context's words are known so far
-    for level in range(2, model.order + 1):
-        able &= ids[grams[-level]] >= 0
-        rows = np.flatnonzero(able)
-        columns = [g[rows] for g in grams[-level:]]
-        seen, stats = _look_up(model, level, [ids[c] for c in columns], [counts[c] for c in columns])
+    levels, columns = [], [back[at - pad + j] for j in range(model.order)]
+    for level in range(model.order, 1, -1):  # distinct grams, and each one's place among those an order above
+        columns, to = _distinct(columns, own)
+        levels.append((level, columns, to))
+        columns = columns[1:]
+    p = _lower_probability(model, ids)[columns[0]]
+    for level, columns, to in reversed(levels):
+        rows = np.flatnonzero(np.logical_and.reduce([ids[c] >= 0 for c in columns[:-1]]))  # known contexts
+        found = [c[rows] for c in columns]
+        seen, stats = _look_up(model, level, [ids[c] for c in found], [counts[c] for c in found])
         met = stats[:, 0] > 0
         rows, seen, stats, d = rows[met], seen[met], stats[met], model.discounts[level]
         kept = stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]
         p[rows] = (_discounted(seen, d) + kept * p[rows]) / stats[:, 0]
+        if level < model.order:
+            p = p[to]
     per_doc = lambda values: np.bincount(doc, values, minlength=n)
     return (np.diff(bounds) - pad, per_doc(counts[back[at]] > 0).astype(np.int64), per_doc(base[back[at]]),
-            per_doc(np.log10(p)[gram]))
+            per_doc(np.log10(p)[to]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",

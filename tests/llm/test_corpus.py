@@ -97,6 +97,38 @@ def test_kneser_ney_ids_of_any_width():
         assert all((a == b).all() for a, b in zip(merged, back)) and (times == counts).all()
 
 
+def test_kneser_ney_messages_are_short():
+    """Three ids a gram, 24 bits each, small ones frequent: a few bytes, as each byte plane is compressed by itself."""
+    import numpy as np
+    rng = np.random.default_rng(6)
+    n = 20_000
+    ids = lambda: np.minimum(rng.zipf(1.3, n), (1 << 24) - 1).astype(np.uint64)
+    words, counts = kneser_ney._combine(kneser_ney._columns_packed([ids(), ids(), ids()], 24), np.ones(n, np.int64))
+    keys, times = kneser_ney._encoded(words, counts)
+    assert len(keys) + len(times) < 6 * len(counts)
+    for few in range(80):  # planes as long compressed as they are
+        part = [w[:few] for w in words]
+        back, same = kneser_ney._decoded(*kneser_ney._encoded(part, counts[:few]))
+        assert all((a == b).all() for a, b in zip(part, back)) and (same == counts[:few]).all()
+
+
+def test_kneser_ney_arrays_are_small(spark):
+    """Less than eight bytes a gram, 16 a word, and a kilobyte a file."""
+    import os
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    texts = [[f"w{i}" for i in rng.integers(0, 3000, 400)] for _ in range(150)]
+    model = kneser_ney.fit(cases.frame(spark, [(i, " ".join(t), "a") for i, t in enumerate(texts)]))
+    padded = [["<", "<", *t, ">"] for t in texts]
+    grams = {tuple(t[i:i + 3]) for t in padded for i in range(len(t) - 2)}
+    both = len(grams) + len({g[1:] for g in grams})
+    sizes = [os.path.getsize(os.path.join(model.folder, f)) for f in os.listdir(model.folder)]
+    assert sum(sizes) < 8 * both + 16 * model.types + 1024 * len(sizes)
+    ids = kneser_ney._ids(model.folder, model.shards, np.sort(kneser_ney._tokens(pa.array(["w5 w6"]), 2)[0][2:]))
+    assert (ids >= 0).all() and (ids < 1 << model.bits).all()
+
+
 def test_kneser_ney_without_training(spark):
     docs = cases.frame(spark)
     got = kneser_ney.score(docs, kneser_ney.fit(docs.where("false"))).collect()
