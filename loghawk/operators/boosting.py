@@ -1,8 +1,12 @@
 """Second-order boosted trees with log loss (M5), trained by distributed histograms.
 
 1. One pass sketches each feature; its quantiles are the cuts between bins.
-2. The rows are binned, packed into blocks of numpy arrays and stored in the shared
-   folder. A block carries its rows' margins (log-odds so far).
+2. The rows are binned and counted: trees split between bins, so rows alike in all bins have
+   the same margin (log-odds so far) and pass down every tree together. Each such cell is kept
+   once, with its rows and how many of them have label 1; its gradient and Hessian are those of
+   its rows, added up. There are no more cells than rows, nor than bins to the power of the
+   features, so a round's work stops growing with the rows. Cells are packed into blocks of
+   numpy arrays, which carry their margins, and stored in the shared folder.
 3. Two levels of a tree are one job: each partition adds its gradients and Hessians per
    (node, feature, bin, feature, bin) and sends each node's sums to that node's task. It adds
    them in the order of the partitions and takes the node's best regularised split; the bins on
@@ -15,8 +19,8 @@
    executor costs a few trees' additions, not the fit.
 
 A split of gradient sums G and Hessian sums H gains GL^2/(HL+l) + GR^2/(HR+l) - G^2/(H+l);
-a leaf is worth -G/(H+l), times the step. Partitions follow from the number of rows and rows
-are placed by a hash of their ids, so the same data give the same model on any cluster.
+a leaf is worth -G/(H+l), times the step. Partitions follow from the number of cells and cells
+are placed by a hash of their bins, so the same data give the same model on any cluster.
 Missing values (NaN) go right. The model is a ``pyspark.ml`` Model that can be written and
 read, alone or in a ``PipelineModel``.
 """
@@ -37,20 +41,19 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loghawk.functions import portable_hash
 from loghawk.operators.prepare import cut_lineage
 
 BINS, BLOCK_ROWS, CHECKPOINT_ROUNDS = 64, 1 << 16, 10
 #: Cells of a partition's pair sums: 8 MB.
 PAIR_CELLS = 1 << 20
 LAMBDA, LEAST_HESSIAN, LEAST_GAIN = 1.0, 1.0, 1e-6
-#: Rows of a partition: a level's work on fewer is less than the job around it. A partition
+#: Cells of a partition: a level's work on fewer is less than the job around it. A partition
 #: sends up to 8 MB of sums a level, so beyond ``WIDE_PARTITIONS`` partitions grow before their number does.
 PARTITION_ROWS, WIDE_PARTITIONS, MOST_ROWS = 50_000, 100, 500_000
 
 
-def boosting_partitions(n_rows: int) -> int:
-    return max(1, min(math.ceil(n_rows / PARTITION_ROWS), WIDE_PARTITIONS), math.ceil(n_rows / MOST_ROWS))
+def boosting_partitions(n_cells: int) -> int:
+    return max(1, min(math.ceil(n_cells / PARTITION_ROWS), WIDE_PARTITIONS), math.ceil(n_cells / MOST_ROWS))
 
 
 class Tree:
@@ -104,16 +107,17 @@ def best_split(sums: np.ndarray) -> tuple[float, int, int]:
 
 
 def _gradients(block, tree: Tree, level: int):
-    """Of the rows in nodes of a level: the node's number in it, bins, gradients and Hessians."""
-    codes, y, margin = block
+    """Of the cells in nodes of a level: the node's number in it, bins, and their rows' gradients and Hessians added up."""
+    codes, n, ones, margin = block
     node = tree.place(codes, tree.at) - ((1 << level) - 1)
     inside = node >= 0
     p = 1 / (1 + np.exp(-margin[inside]))
-    return node[inside], codes[inside].astype(np.int64), (p - y[inside], p * (1 - p))
+    n = n[inside]
+    return node[inside], codes[inside].astype(np.int64), (n * p - ones[inside], n * p * (1 - p))
 
 
 def _level_sums(block, tree: Tree, level: int, bins: int) -> np.ndarray:
-    """Sums (2, nodes, features, bins) of a block's rows in the nodes of a level."""
+    """Sums (2, nodes, features, bins) of a block's cells in the nodes of a level."""
     node, codes, weights = _gradients(block, tree, level)
     width, size = 1 << level, codes.shape[1]
     out = np.empty((2, width, size, bins))
@@ -201,36 +205,49 @@ def _feature_cuts(df: DataFrame, features_col: str, size: int, bins: int) -> lis
     return [np.unique(np.array(cut or [], float)) for cut in got]
 
 
-def _blocks(df: DataFrame, features_col: str, y_col: str, size: int, cuts: list[np.ndarray]) -> DataFrame:
-    """One row a block: its partition and place, binned features and labels as bytes."""
+def _cells(df: DataFrame, features_col: str, y_col: str, size: int, cuts: list[np.ndarray]) -> DataFrame:
+    """(codes, n, ones): the bins that rows fall in, a byte a feature, their rows, and those of label 1."""
+    def binned(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            codes = np.stack([np.searchsorted(cuts[f], x[:, f]).astype(np.uint8) for f in range(size)], axis=1)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(x), [None, pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([packed.cast(pa.binary()), batch.column("y")], names=["codes", "y"])
+
+    return df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(y_col).cast("int").alias("y")) \
+        .mapInArrow(binned, "codes binary, y int") \
+        .groupBy("codes").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    """One row a block: its partition and place, its cells' bins, rows and rows of label 1 as bytes."""
     def pack(batches):
-        held, n, part, nth = [], 0, TaskContext.get().partitionId(), 0
+        held, count, part, nth = [], 0, TaskContext.get().partitionId(), 0
 
         def out():
-            codes, y = (np.concatenate([h[k] for h in held]) for k in range(2))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([codes.tobytes()], pa.binary()),
-                 pa.array([y.tobytes()], pa.binary())], names=["part", "nth", "codes", "y"])
+            columns = [pa.array([b"".join(h[k] for h in held)], pa.binary()) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), *columns],
+                                              names=["part", "nth", "codes", "n", "ones"])
 
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            codes = np.stack([np.searchsorted(cuts[f], x[:, f]).astype(np.uint8) for f in range(size)], axis=1)
-            held.append((codes, batch.column("y").to_numpy(zero_copy_only=False).astype(np.uint8)))
-            n += len(x)
-            if n >= BLOCK_ROWS:
+            counts = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("n", "ones")]
+            held.append((b"".join(batch.column("codes").to_pylist()), *counts))
+            count += batch.num_rows
+            if count >= BLOCK_ROWS:
                 yield out()
-                held, n, nth = [], 0, nth + 1
-        if n:
+                held, count, nth = [], 0, nth + 1
+        if count:
             yield out()
 
-    return df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(y_col).cast("int").alias("y")) \
-        .mapInArrow(pack, "part int, nth int, codes binary, y binary")
+    return cells.mapInArrow(pack, "part int, nth int, codes binary, n binary, ones binary")
 
 
 class _BoostingParams(HasFeaturesCol, HasLabelCol, HasMaxIter, HasStepSize, HasPredictionCol, HasProbabilityCol):
     maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits in a tree", TypeConverters.toInt)
-    idCol = Param(Params._dummy(), "idCol", "row ids, which place the rows", TypeConverters.toString)
-    seed = Param(Params._dummy(), "seed", "seed of the placement", TypeConverters.toInt)
+    idCol = Param(Params._dummy(), "idCol", "row ids; unused, kept for models stored with it", TypeConverters.toString)
+    seed = Param(Params._dummy(), "seed", "seed of the cells' placement", TypeConverters.toInt)
 
 
 class BoostedTrees(Estimator, _BoostingParams):
@@ -251,11 +268,12 @@ class BoostedTrees(Estimator, _BoostingParams):
                               F.first(F.size(vector_to_array(F.col(features)))).alias("size")).first()
         if not counted["n"]:
             raise ValueError("boosted trees need rows")
-        size, parts = counted["size"], boosting_partitions(counted["n"])
+        size = counted["size"]
         cuts = _feature_cuts(dataset, features, size, BINS)
-        key = portable_hash(get("idCol"), get("seed"))
-        placed = dataset.repartitionById(parts, F.pmod(key, F.lit(parts)).cast("int")).sortWithinPartitions(key, get("idCol"))
-        stored = cut_lineage(_blocks(placed, features, y, size, cuts))
+        cells = cut_lineage(_cells(dataset, features, y, size, cuts).select("codes", "n", "ones"))
+        parts = boosting_partitions(cells.count())
+        part = F.pmod(F.xxhash64("codes", F.lit(get("seed"))), F.lit(parts)).cast("int")
+        stored = cut_lineage(_blocks(cells.repartitionById(parts, part).sortWithinPartitions("codes")))
         mean = min(max(counted["mean"], 1e-6), 1 - 1e-6)
         base = math.log(mean / (1 - mean))
         trees = _boost(stored, size, parts, base, get("maxIter"), get("maxDepth"), get("stepSize"))
@@ -268,8 +286,8 @@ class BoostedTrees(Estimator, _BoostingParams):
 
 def _boost(stored: DataFrame, size: int, parts: int, base: float, rounds: int, depth: int, step: float) -> list[Tree]:
     def opened(row):
-        y = np.frombuffer(row["y"], np.uint8).astype(float)
-        return np.frombuffer(row["codes"], np.uint8).reshape(-1, size), y, np.full(len(y), base)
+        n, ones = (np.frombuffer(row[c], np.int64).astype(float) for c in ("n", "ones"))
+        return np.frombuffer(row["codes"], np.uint8).reshape(-1, size), n, ones, np.full(len(n), base)
 
     # However the files are read, blocks meet in their partition and order again: sums then add up alike.
     placed = stored.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "nth")
@@ -299,7 +317,7 @@ def _boost(stored: DataFrame, size: int, parts: int, base: float, rounds: int, d
         trees.append(tree)
         if nth + 1 == rounds:
             break
-        added = state.map(lambda b, t=tree: (b[0], b[1], b[2] + t.value[t.place(b[0], t.at)])).persist(StorageLevel.MEMORY_AND_DISK)
+        added = state.map(lambda b, t=tree: (*b[:3], b[3] + t.value[t.place(b[0], t.at)])).persist(StorageLevel.MEMORY_AND_DISK)
         if (nth + 1) % CHECKPOINT_ROUNDS == 0:
             added.checkpoint()
         older, state = [state], added

@@ -129,3 +129,29 @@ def test_margins_equal_a_walk_down_each_tree(spark):
     x[0, 1] = np.nan
     walked = sum((tree.value[tree.place(x, tree.threshold)] for tree in model._trees()), np.full(len(x), model.base))
     assert (model.margins(x) == walked).all()
+
+
+def test_rows_alike_in_all_bins_are_one_cell(spark, monkeypatch):
+    df, x, y = _data(spark, 400)
+    many = df.crossJoin(spark.range(30).withColumnRenamed("id", "copy")) \
+        .withColumn("row_id", F.col("row_id") + 400 * F.col("copy"))
+    seen, work = set(), B._splits
+
+    def watched(state, *more):
+        seen.add((state.getNumPartitions(), state.map(lambda block: len(block[0])).sum()))
+        return work(state, *more)
+
+    monkeypatch.setattr(B, "_splits", watched)
+    monkeypatch.setattr(B, "PARTITION_ROWS", 500)
+    model = B.BoostedTrees(labelCol="y", maxIter=3, maxDepth=3, stepSize=0.3).fit(many)
+    (parts, cells), = seen
+    assert parts == 1 and cells <= 400  # 12,000 rows: a round's work follows the cells
+    cuts = B._feature_cuts(many, "features", 3, B.BINS)
+    expected = _slow(np.tile(x, (30, 1)), np.tile(y, 30), cuts, 3, 3, 0.3)
+    assert np.allclose(model.margins(x), expected[:400], atol=1e-9)
+
+
+def test_rows_without_an_id_count_too(spark):
+    df, _, _ = _data(spark, 200)
+    fit = lambda d: B.BoostedTrees(labelCol="y", maxIter=2, maxDepth=3).fit(d).nodes
+    assert fit(df).equals(fit(df.withColumn("row_id", F.lit(None).cast("long")).repartition(5)))
