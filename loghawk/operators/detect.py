@@ -118,15 +118,16 @@ def training_frame(df: DataFrame, n_rows: int, id_col: str = "row_id", seed: int
 
     However the input is partitioned, the same rows meet in the same partition in
     the same order, so a fit depends on the data and the seed alone. Alike rows in a row
-    meet the same nodes of a tree, which are in the processor's cache by then.
+    meet the same nodes of a tree, which are in the processor's cache by then. One partition
+    alone is small enough without that, and ordered by the hash.
     """
     parts = forest_partitions(n_rows)
     key = portable_hash(id_col, seed)
     coarse = F.transform(vector_to_array(F.col(features_col)), lambda v: F.rint(4 * F.asinh(v)))
     part = F.coalesce(F.pmod(key, F.lit(parts)).cast("int"), F.lit(0))  # rows without an id stay together
-    placed = df.repartitionById(parts, part) \
-               .withColumn("_coarse", coarse).sortWithinPartitions("_coarse", key, id_col).drop("_coarse")
-    return placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed = df.repartitionById(parts, part).withColumn("_coarse", coarse)
+    order = ["_coarse", key, id_col] if parts > 1 else [key, id_col]
+    return placed.sortWithinPartitions(*order).drop("_coarse").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _p1(prob_col: str = "probability"):
